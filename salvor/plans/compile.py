@@ -95,6 +95,25 @@ def plan_selections(assets: DataFrame, chosen: DataFrame, request_id: str) -> Da
     )
 
 
+def beyond_depth(requests: DataFrame, targets: DataFrame, graph: G.LineageGraph) -> DataFrame:
+    """How many assets each request's depth limit cut off just past its edge."""
+    edge = targets.join(
+        requests.select("request_id", F.col("max_blast_radius_depth").alias("max_depth")), "request_id"
+    ).filter(F.col("distance") == F.col("max_depth"))
+    step = graph.up_hubs.spread(edge.select("request_id", "urn"), "urn", "slot")
+    links = graph.known.select(
+        F.col("upstream_urn").alias("urn"), F.col("up_slot").alias("slot"), "downstream_urn"
+    )
+    past = links.join(step, ["urn", "slot"]).groupBy("request_id", F.col("downstream_urn").alias("urn")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return (
+        past.join(targets.select("request_id", "urn"), ["request_id", "urn"], "left_anti")
+        .groupBy("request_id")
+        .agg(F.count(F.lit(1)).alias("beyond_depth"))
+    )
+
+
 @dataclass(frozen=True)
 class PlanBook:
     requests: DataFrame
