@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from salvor.runtime import cut, small
+from salvor.runtime import cut
 
 # A key with more rows than this is split; at most MAX_HUBS keys can qualify,
 # so the table of split keys has a proven bound and may be broadcast.
@@ -69,33 +69,50 @@ def find_hubs(
     ]
 
 
-def number_rows(
-    df: DataFrame, group: list[str], order: list[str], name: str, parts: int | None = None
+def in_ranges(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """Write ``df`` range-partitioned by ``keys`` with its range number as ``_range``.
+
+    A key with many rows spans several ranges, so no task holds more than about
+    one range of it. The written numbers stay fixed whatever is recomputed later.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id())
+    return cut(ranged, "ranged")
+
+
+def running_sum(
+    df: DataFrame, group: list[str], order: list[str], weight: Column, name: str,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Number rows 1..n inside each group without bringing a group into one task.
+    """Running sum of ``weight`` inside each group, up to and including each row.
 
-    Rows are range-partitioned by (group, order); a row's number is its place in
-    its own range plus the sizes of the group's earlier ranges.
+    ``order`` must make rows unique within a group. A row's value is the sum in
+    its own range plus the totals of the group's earlier ranges.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = group + order
-    ranged = cut(
-        df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()),
-        "numbered",
-    )
-    sizes = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = in_ranges(df.withColumn("_w", weight.cast("bigint")), group + order, parts)
+    totals = ranged.groupBy(*group, "_range").agg(F.sum("_w").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    starts = totals.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.sum("_w").over(
+        Window.partitionBy(*group, "_range")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
         ranged.withColumn("_place", inside)
         .join(starts, [*group, "_range"])
-        .withColumn(name, (F.col("_start") + F.col("_place")).cast("bigint"))
-        .drop("_range", "_start", "_place")
+        .withColumn(name, F.col("_start") + F.col("_place"))
+        .drop("_range", "_start", "_place", "_w")
     )
 
 
+def number_rows(
+    df: DataFrame, group: list[str], order: list[str], name: str, parts: int | None = None
+) -> DataFrame:
+    """Number rows 1..n inside each group without bringing a group into one task."""
+    return running_sum(df, group, order, F.lit(1), name, parts)
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows of each group.
 
@@ -106,33 +123,21 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], limit:
     return df.withColumn("place", rank).filter(F.col("place") <= limit)
 
 
-def previous_in_key(
-    df: DataFrame, key: str, at: str, tie: str, span_us: int, name: str
-) -> DataFrame:
-    """``lag(at)`` per key, split by time so that a heavy key fills many tasks.
+def previous_in_key(df: DataFrame, key: str, at: str, tie: str, name: str) -> DataFrame:
+    """``lag(at)`` per key in (at, tie) order, with a heavy key spread over ranges.
 
-    ``at`` is in microseconds. Inside a time span an ordinary lag is used; the
-    first row of a span takes the last instant of the key's previous used span.
+    Inside a range an ordinary lag is used; the first row of a key in a range
+    takes the greatest ``at`` of the key's earlier ranges.
     """
-    spanned = df.withColumn("_span", F.floor(F.col(at) / span_us))
-    last = spanned.groupBy(key, "_span").agg(F.max(at).alias("_last"))
+    ranged = in_ranges(df, [key, at, tie])
+    last = ranged.groupBy(key, "_range").agg(F.max(at).alias("_last"))
     carried = last.select(
-        key, "_span", F.lag("_last").over(Window.partitionBy(key).orderBy("_span")).alias("_carry")
+        key, "_range", F.lag("_last").over(Window.partitionBy(key).orderBy("_range")).alias("_carry")
     )
-    inside = F.lag(at).over(Window.partitionBy(key, "_span").orderBy(at, tie))
+    inside = F.lag(at).over(Window.partitionBy(key, "_range").orderBy(at, tie))
     return (
-        spanned.withColumn("_inside", inside)
-        .join(carried, [key, "_span"])
+        ranged.withColumn("_inside", inside)
+        .join(carried, [key, "_range"])
         .withColumn(name, F.coalesce("_inside", "_carry"))
-        .drop("_span", "_inside", "_carry")
+        .drop("_range", "_inside", "_carry")
     )
-
-
-__all__ = [
-    "Hubs",
-    "find_hubs",
-    "first_per_group",
-    "number_rows",
-    "previous_in_key",
-    "small",
-]

@@ -93,10 +93,20 @@ def _rows(
     )
 
 
-def assets(spark: SparkSession, folder: str, mixed: bool = False) -> DataFrame:
-    """All assets; ``mixed`` puts some of them outside the scope in three ways."""
+def _orders(spark: SparkSession, folder: str, where: Column | None) -> DataFrame:
+    orders = table(spark, folder, "orders")
+    return orders if where is None else orders.filter(where)
+
+
+def assets(
+    spark: SparkSession, folder: str, mixed: bool = False, orders_where: Column | None = None
+) -> DataFrame:
+    """All assets; ``mixed`` puts some of them outside the scope in three ways.
+
+    ``orders_where`` gives the catalog as it was for a span of order dates.
+    """
     part, supplier = table(spark, folder, "part"), table(spark, folder, "supplier")
-    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    orders, customer = _orders(spark, folder, orders_where), table(spark, folder, "customer")
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     lost = lambda cond: F.when(cond, "unavailable").otherwise("healthy")
     team = lambda name: F.lit(f"urn:li:corpuser:{name}")
@@ -132,10 +142,12 @@ def assets(spark: SparkSession, folder: str, mixed: bool = False) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, folder: str) -> DataFrame:
+def edges(spark: SparkSession, folder: str, orders_where: Column | None = None) -> DataFrame:
     part, supplier = table(spark, folder, "part"), table(spark, folder, "supplier")
-    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    orders, customer = _orders(spark, folder, orders_where), table(spark, folder, "customer")
     nation, lines = table(spark, folder, "nation"), table(spark, folder, "lineitem")
+    if orders_where is not None:
+        lines = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"], "left_semi")
 
     def pairs(df: DataFrame, up: str, up_key: str, down: str, down_key: str) -> DataFrame:
         return df.select(
