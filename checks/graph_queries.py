@@ -60,7 +60,7 @@ def target_parents(spark, folder):
 
 def recovery_waves(spark, folder):
     c = catalog(spark, folder)
-    waves, _ = G.recovery_waves(c.book.targets, c.book.parents, c.graph)
+    waves, _, _ = G.recovery_waves(c.book.targets, c.book.parents, c.graph)
     return waves.select("request_id", "urn", "wave")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salvor.functions.text import json_array, json_number, json_object, json_string
+from salvor.functions.text import canonical_json, json_array, json_number, json_object, json_string
 
 # Hex positions of the four 60-bit lanes cut from one SHA-256.
 LANES = (1, 16, 31, 46)
@@ -108,7 +108,7 @@ def canonical_table_digest(df: DataFrame, limit: int = CANONICAL_ROWS) -> DataFr
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             values[field.name] = json_number(col)
         elif isinstance(field.dataType, T.StringType):
-            values[field.name] = json_string(col, ascii_only=False)
+            values[field.name] = json_string(col)
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             stamp = col.cast("timestamp")
             micros = F.date_format(stamp, ".SSSSSS")
@@ -128,6 +128,7 @@ def canonical_table_digest(df: DataFrame, limit: int = CANONICAL_ROWS) -> DataFr
         ]
     )
     rows = df.select(ordered.alias("r")).select("r", json_object(values).alias("j"))
+    rows = rows.select("r", canonical_json(F.col("j"), False).alias("j"))
     whole = rows.agg(F.sort_array(F.collect_list(F.struct("r", "j"))).alias("rows"))
     schema = ",".join(f'"{c}"' for c in df.columns)
     body = F.concat(

@@ -5,59 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The short escapes of JSON, keyed by UTF-16 code unit.
-SHORT_ESCAPES = {
-    "0008": "\\b",
-    "0009": "\\t",
-    "000A": "\\n",
-    "000C": "\\f",
-    "000D": "\\r",
-    "0022": '\\"',
-    "005C": "\\\\",
-}
-
-
-def _units(text: Column) -> Column:
-    """UTF-16 code units of a string as four-digit hex words."""
-    return F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-
-
-def ascii_escape(text: Column) -> Column:
-    """Replace every character outside printable ASCII by ``\\uXXXX``."""
-    plain = lambda u: F.decode(F.unhex(u), "UTF-16BE")
-    escaped = F.transform(
-        _units(text),
-        lambda u: F.when(u > F.lit("007E"), F.concat(F.lit("\\u"), F.lower(u))).otherwise(plain(u)),
-    )
-    return F.when(text.rlike(r"[^\x00-\x7e]"), F.array_join(escaped, "")).otherwise(text)
+# Control characters whose JSON escape has a hex letter, which is lower case here.
+LETTER_ESCAPES = ["000b", "000e", "000f", "001a", "001b", "001c", "001d", "001e", "001f"]
 
 
-def json_string(text: Column, ascii_only: bool = True) -> Column:
-    """A JSON string literal; non-ASCII characters are kept unless ``ascii_only``."""
+def json_string(text: Column) -> Column:
+    """A JSON string literal, or ``null``; non-ASCII characters stay as they are.
 
-    def one(u: Column) -> Column:
-        out = F.when(u == F.lit("0022"), F.lit('\\"'))
-        for unit, escape in SHORT_ESCAPES.items():
-            out = out.when(u == F.lit(unit), F.lit(escape))
-        out = out.when(u < F.lit("0020"), F.concat(F.lit("\\u"), F.lower(u)))
-        return out.otherwise(F.decode(F.unhex(u), "UTF-16BE"))
+    Refers to ``text`` once, so nesting documents does not multiply the work.
+    """
+    wrapped = F.to_json(F.struct(text.cast("string").alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(F.rtrim(wrapped, F.lit("}")), 6, 2**31 - 1)
 
-    special = F.array_join(F.transform(_units_safe(text), one), "")
-    body = F.when(text.rlike(r'[\x00-\x1f"\\]'), special).otherwise(text)
-    if ascii_only:
-        body = ascii_escape(body)
-    return F.when(text.isNull(), F.lit("null")).otherwise(
-        F.concat(F.lit('"'), body, F.lit('"'))
-    )
 
+def canonical_json(document: Column, ascii_only: bool) -> Column:
+    """Last step for a hashed document: lower-case escapes, and optionally ASCII only.
 
-def _units_safe(text: Column) -> Column:
-    """Like ``_units`` but keeps surrogate pairs in one word of eight digits."""
-    return F.regexp_extract_all(
-        F.hex(F.encode(text, "UTF-16BE")),
-        F.lit("(D[89AB][0-9A-F]{2}[0-9A-F]{4}|.{4})"),
-        F.lit(1),
+    Refers to ``document`` several times, so give it a plain column.
+    """
+    lowered = document
+    for code in LETTER_ESCAPES:
+        # An even run of backslashes before the escape is escaped backslashes.
+        pattern = r"(?<!\\)((?:\\\\)*)\\u" + code.upper()
+        lowered = F.regexp_replace(lowered, pattern, "$1\\\\u" + code)
+    text = F.when(document.rlike(r"\\u00[01][A-F]"), lowered).otherwise(document)
+    if not ascii_only:
+        return text
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    escaped = F.transform(
+        units,
+        lambda u: F.when(u > F.lit("007E"), F.concat(F.lit("\\u"), F.lower(u))).otherwise(
+            F.decode(F.unhex(u), "UTF-16BE")
+        ),
     )
+    return F.when(document.rlike(r"[^\x00-\x7e]"), F.array_join(escaped, "")).otherwise(text)
 
 
 def json_number(value: Column) -> Column:

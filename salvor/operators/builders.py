@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salvor.functions.digests import CANONICAL_ROWS, TableTooLarge
-from salvor.functions.text import json_array, json_number, json_object, json_string
+from salvor.functions.text import canonical_json, json_array, json_number, json_object, json_string
 from salvor.sources.sinks import Materialized, TableStore
 
 # The constants written into the derived records.
@@ -86,13 +86,15 @@ def feature_document(records: DataFrame, fingerprint: str, limit: int = CANONICA
         raise TableTooLarge(f"a feature document is limited to {limit} records")
     one = json_object(
         {
-            "customer_id": json_string(F.col("customer_id"), ascii_only=False),
+            "customer_id": json_string(F.col("customer_id")),
             "lifetime_value": json_number(F.col("lifetime_value")),
-            "value_band": json_string(F.col("value_band"), ascii_only=False),
+            "value_band": json_string(F.col("value_band")),
         }
     )
-    ordered = F.sort_array(F.collect_list(F.struct("customer_id", one.alias("j"))))
-    return records.agg(ordered.alias("rows")).select(
+    written = records.select("customer_id", one.alias("j"))
+    written = written.select("customer_id", canonical_json(F.col("j"), False).alias("j"))
+    ordered = F.sort_array(F.collect_list(F.struct("customer_id", "j")))
+    return written.agg(ordered.alias("rows")).select(
         json_object(
             {
                 "artifact": F.lit('"features.customer_value"'),

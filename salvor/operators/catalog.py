@@ -354,7 +354,8 @@ def secret_screen(payloads: DataFrame, body: str, token: str | None = None) -> D
     bad = F.array_sort(F.array_intersect(words, F.array(*[F.lit(k) for k in SECRET_KEYS])))
     leaked = F.lit(False)
     if token:
-        needle = F.substring(json_string(F.lit(token), ascii_only=False), F.lit(2), F.length(json_string(F.lit(token), ascii_only=False)) - 2)
+        literal = json_string(F.lit(token))
+        needle = F.substring(literal, F.lit(2), F.length(literal) - 2)
         leaked = F.exists(strings, lambda s: ~s.endswith(":") & s.contains(needle))
     keep = [c for c in payloads.columns if c != body]
     return (

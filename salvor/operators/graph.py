@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salvor.operators.skew import HUB_ROWS, MAX_HUBS, Hubs, find_hubs
-from salvor.runtime import cut, small, union_all
+from salvor.runtime import cut, cut_counted, small, union_all
 
 
 @dataclass(frozen=True)
@@ -38,10 +38,10 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 def build_graph(
     assets: DataFrame, edges: DataFrame, hub_rows: int = HUB_ROWS, max_hubs: int = MAX_HUBS
 ) -> LineageGraph:
-    pairs = cut(edges.select("upstream_urn", "downstream_urn").distinct(), "edges")
-    up, down = find_hubs(
-        pairs, ["upstream_urn", "downstream_urn"], pairs.count(), hub_rows, max_hubs
+    pairs, n = cut_counted(
+        edges.select("upstream_urn", "downstream_urn").distinct(), "edges", all=F.lit(True)
     )
+    up, down = find_hubs(pairs, ["upstream_urn", "downstream_urn"], n["all"], hub_rows, max_hubs)
     links = up.slot_of(pairs, "upstream_urn", "downstream_urn", "up_slot")
     links = down.slot_of(links, "downstream_urn", "upstream_urn", "down_slot")
     state = assets.select("urn", F.coalesce("availability", F.lit("unknown")).alias("availability"))
@@ -106,33 +106,35 @@ def blast_radius(seeds: DataFrame, graph: LineageGraph) -> DataFrame:
     links = graph.known.select(
         F.col("upstream_urn").alias("urn"), F.col("up_slot").alias("slot"), "downstream_urn"
     )
-    level = cut(
+    going = F.col("max_depth") > F.col("distance")
+    level, n = cut_counted(
         seeds.groupBy("request_id", "urn")
         .agg(F.max("max_depth").alias("max_depth"))
         .withColumn("distance", F.lit(0)),
         "reach",
+        all=F.lit(True),
+        going=going,
     )
-    levels = [level]
-    while True:
-        frontier = level.filter(F.col("max_depth") > F.col("distance"))
-        rows = frontier.count()
-        if rows == 0:
-            break
-        step = graph.up_hubs.spread(frontier, "urn", "slot")
+    levels, total = [level], n["all"]
+    while n["going"]:
+        step = graph.up_hubs.spread(level.filter(going).drop("distance"), "urn", "slot")
         reached = (
-            links.join(small(step, rows * graph.up_hubs.widest), ["urn", "slot"])
+            links.join(small(step, n["going"] * graph.up_hubs.widest), ["urn", "slot"])
             .groupBy("request_id", F.col("downstream_urn").alias("urn"))
             .agg(F.max("max_depth").alias("max_depth"))
         )
-        seen = union_all(levels).select("request_id", "urn")
-        level = cut(
+        seen = small(union_all(levels).select("request_id", "urn"), total)
+        level, n = cut_counted(
             reached.join(seen, ["request_id", "urn"], "left_anti").withColumn(
                 "distance", F.lit(len(levels))
             ),
             "reach",
+            all=F.lit(True),
+            going=going,
         )
         levels.append(level)
-    return union_all(levels).select("request_id", "urn", "distance")
+        total += n["all"]
+    return _gather(levels, "reach").select("request_id", "urn", "distance")
 
 
 def prerequisite_closure(targets: DataFrame, graph: LineageGraph) -> DataFrame:
@@ -146,20 +148,22 @@ def prerequisite_closure(targets: DataFrame, graph: LineageGraph) -> DataFrame:
         ),
         "lost",
     )
-    parts = [targets.select("request_id", "urn", "distance")]
-    frontier, rows = parts[0], parts[0].count()
-    while rows:
+    frontier, n = cut_counted(targets.select("request_id", "urn", "distance"), "closure", all=F.lit(True))
+    parts, total = [frontier], n["all"]
+    while n["all"]:
         step = graph.down_hubs.spread(frontier.select("request_id", "urn"), "urn", "slot")
         pulled = (
-            lost.join(small(step, rows * graph.down_hubs.widest), ["urn", "slot"])
+            lost.join(small(step, n["all"] * graph.down_hubs.widest), ["urn", "slot"])
             .groupBy("request_id", F.col("upstream_urn").alias("urn"))
             .agg(F.lit(None).cast("int").alias("distance"))
         )
-        seen = union_all(parts).select("request_id", "urn")
-        frontier = cut(pulled.join(seen, ["request_id", "urn"], "left_anti"), "closure")
-        rows = frontier.count()
+        seen = small(union_all(parts).select("request_id", "urn"), total)
+        frontier, n = cut_counted(
+            pulled.join(seen, ["request_id", "urn"], "left_anti"), "closure", all=F.lit(True)
+        )
         parts.append(frontier)
-    return union_all(parts)
+        total += n["all"]
+    return _gather(parts, "targets")
 
 
 def target_parents(targets: DataFrame, graph: LineageGraph) -> DataFrame:
@@ -199,9 +203,15 @@ def _own_key(best: Column, urn: Column) -> Column:
     return F.concat(kept, F.array(urn))
 
 
+def _gather(parts: list[DataFrame], label: str) -> DataFrame:
+    """All parts as one table; many parts are rewritten as one to keep plans short."""
+    whole = union_all(parts)
+    return whole if len(parts) <= 16 else cut(whole, label)
+
+
 def _peel(
     nodes: DataFrame, arcs: DataFrame, hubs: Hubs, with_key: bool
-) -> tuple[DataFrame | None, DataFrame]:
+) -> tuple[DataFrame | None, DataFrame, int]:
     """Remove nodes without incoming arcs, layer by layer.
 
     ``arcs`` has ``request_id, src, dst, slot``. Returns the peeled nodes with
@@ -212,7 +222,8 @@ def _peel(
     arity = arcs.groupBy("request_id", F.col("dst").alias("urn")).agg(
         F.count(F.lit(1)).alias("waiting")
     )
-    state = cut(
+    sizes_of = {"ready": F.col("waiting") == 0, "left": F.col("waiting") > 0}
+    state, sizes = cut_counted(
         nodes.select("request_id", "urn")
         .join(arity, ["request_id", "urn"], "left")
         .select(
@@ -220,15 +231,10 @@ def _peel(
             empty_key.alias("best"),
         ),
         "peel",
+        **sizes_of,
     )
     layers: list[DataFrame] = []
-    while True:
-        sizes = state.agg(
-            F.count_if(F.col("waiting") == 0).alias("ready"),
-            F.count_if(F.col("waiting") > 0).alias("left"),
-        ).first()
-        if sizes["ready"] == 0:
-            break
+    while sizes["ready"]:
         ready = state.filter(F.col("waiting") == 0).withColumn("wave", F.lit(len(layers) + 1))
         if with_key:
             ready = ready.withColumn("order_key", _own_key(F.col("best"), F.col("urn")))
@@ -247,7 +253,7 @@ def _peel(
             .groupBy("request_id", F.col("dst").alias("urn"))
             .agg(F.count(F.lit(1)).alias("done"), F.max("order_key").alias("key"))
         )
-        state = cut(
+        state, sizes = cut_counted(
             waiting.join(got, ["request_id", "urn"], "left").select(
                 "request_id",
                 "urn",
@@ -255,9 +261,10 @@ def _peel(
                 F.greatest("best", "key").alias("best"),
             ),
             "peel",
+            **sizes_of,
         )
-    peeled = union_all(layers).drop("waiting", "best") if layers else None
-    return peeled, state.select("request_id", "urn")
+    peeled = _gather(layers, "peeled").drop("waiting", "best") if layers else None
+    return peeled, state.select("request_id", "urn"), sizes["left"] if not sizes["ready"] else 0
 
 
 def _arcs(parents: DataFrame, up: str, down: str, slot: Column) -> DataFrame:
@@ -268,8 +275,8 @@ def _arcs(parents: DataFrame, up: str, down: str, slot: Column) -> DataFrame:
 
 def recovery_waves(
     targets: DataFrame, parents: DataFrame, graph: LineageGraph
-) -> tuple[DataFrame, DataFrame]:
-    """Waves (from 1) and exact order keys of acyclic targets, and the stuck rest.
+) -> tuple[DataFrame, DataFrame, int]:
+    """Waves (from 1) and exact order keys of acyclic targets, the stuck rest and its size.
 
     Sorting a request's targets by ``order_key`` gives the order a worker would
     take that always picks the ready asset with the least URN. A key is the
@@ -277,13 +284,13 @@ def recovery_waves(
     everything after them; it is built from the parents' keys while peeling.
     """
     arcs = _arcs(parents, "upstream_urn", "urn", F.col("up_slot"))
-    waves, stuck = _peel(targets, arcs, graph.up_hubs, with_key=True)
+    waves, stuck, left = _peel(targets, arcs, graph.up_hubs, with_key=True)
     if waves is None:
         waves = targets.limit(0).select(
             "request_id", "urn", F.lit(0).alias("wave"),
             F.lit(None).cast("array<string>").alias("order_key"),
         )
-    return waves.select("request_id", "urn", "wave", "order_key"), stuck
+    return waves.select("request_id", "urn", "wave", "order_key"), stuck, left
 
 
 def cycle_core(stuck: DataFrame, parents: DataFrame, graph: LineageGraph) -> DataFrame:

@@ -7,6 +7,7 @@ carries the first broken rule in a fixed order of precedence.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def beyond_depth(requests: DataFrame, targets: DataFrame, graph: G.LineageGraph)
     )
 
 
-@dataclass(frozen=True)
+@dataclass
 class PlanBook:
     requests: DataFrame
     fingerprint: str
@@ -124,7 +125,12 @@ class PlanBook:
     cycles: DataFrame
     missing: DataFrame
     plans: DataFrame
-    steps: DataFrame
+    assets: DataFrame
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        """The ordered steps of accepted plans."""
+        return _steps(self.plans, self.waves, self.parents, self.assets)
 
     @property
     def ok(self) -> DataFrame:
@@ -192,11 +198,10 @@ def compile_plans(
         usable = usable.limit(0)
 
     reach = G.blast_radius(G.request_seeds(usable), graph)
-    targets = cut(G.prerequisite_closure(reach, graph), "targets")
+    targets = G.prerequisite_closure(reach, graph)
     parents = cut(G.target_parents(targets, graph), "parents")
-    waves, stuck = G.recovery_waves(targets, parents, graph)
-    waves = cut(waves, "waves")
-    cycles = G.cycle_core(stuck, parents, graph) if stuck.limit(1).count() else stuck
+    waves, stuck, stuck_rows = G.recovery_waves(targets, parents, graph)
+    cycles = G.cycle_core(stuck, parents, graph) if stuck_rows else stuck
     missing = missing_adapters(targets, assets, registry)
 
     counts = targets.groupBy("request_id").agg(F.count(F.lit(1)).alias("target_count"))
@@ -211,7 +216,7 @@ def compile_plans(
     open_inputs = unresolved(parents).join(waves, ["request_id", "urn"], "left").groupBy("request_id").agg(
         F.min(F.struct("order_key", "prerequisite_urn", "urn", "availability")).alias("open_input")
     )
-    plans = requests.withColumn("plan_id", identity.plan_id(F.lit(fingerprint)))
+    plans = identity.with_plan_id(requests, F.lit(fingerprint))
     for extra in (unknown, counts, depth, on_cycle, no_adapter, open_inputs):
         plans = plans.join(extra, "request_id", "left")
     verdict = (
@@ -247,8 +252,7 @@ def compile_plans(
         ),
         "plans",
     )
-    steps = _steps(plans, waves, parents, assets)
-    return PlanBook(requests, fingerprint, targets, parents, waves, cycles, missing, plans, steps)
+    return PlanBook(requests, fingerprint, targets, parents, waves, cycles, missing, plans, assets)
 
 
 def _steps(plans: DataFrame, waves: DataFrame, parents: DataFrame, assets: DataFrame) -> DataFrame:

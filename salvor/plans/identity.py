@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salvor.functions.digests import CANONICAL_ROWS, TableTooLarge, multiset_digest, sha_prefix
-from salvor.functions.text import json_array, json_bool, json_object, json_string
+from salvor.functions.text import canonical_json, json_array, json_bool, json_object, json_string
 
 # Fixed value: part of every plan identifier.
 COMPILER_VERSION = "0.1.0"
 
 
-def validations_json(validations: Column, ascii_only: bool = True) -> Column:
+def validations_json(validations: Column) -> Column:
     return json_array(
         F.transform(
             F.coalesce(validations, F.array()),
             lambda v: json_object(
                 {
-                    "kind": json_string(v["kind"], ascii_only),
+                    "kind": json_string(v["kind"]),
                     "parameters": F.coalesce(v["parameters_json"], F.lit("{}")),
                     "required": json_bool(F.coalesce(v["required"], F.lit(True))),
                 }
@@ -63,17 +63,16 @@ def canonical_graph_digest(
     n_assets, n_edges = assets.limit(limit + 1).count(), edges.limit(limit + 1).count()
     if max(n_assets, n_edges) > limit:
         raise TableTooLarge(f"canonical catalog digest is limited to {limit} assets or edges")
-    a = assets.select(F.struct("urn", asset_json().alias("j")).alias("r")).agg(
-        F.sort_array(F.collect_list("r")).alias("a")
-    )
-    e = edges.select(F.struct("upstream_urn", "downstream_urn", edge_json().alias("j")).alias("r")).agg(
-        F.sort_array(F.collect_list("r")).alias("e")
-    )
+    a = assets.select("urn", asset_json().alias("j")).select("urn", canonical_json(F.col("j"), True).alias("j"))
+    a = a.agg(F.sort_array(F.collect_list(F.struct("urn", "j"))).alias("a"))
+    pairs = ["upstream_urn", "downstream_urn"]
+    e = edges.select(*pairs, edge_json().alias("j")).select(*pairs, canonical_json(F.col("j"), True).alias("j"))
+    e = e.agg(F.sort_array(F.collect_list(F.struct(*pairs, "j"))).alias("e"))
     body = json_object(
         {
             "assets": json_array(F.transform("a", lambda r: r["j"])),
             "edges": json_array(F.transform("e", lambda r: r["j"])),
-            "source_instance": json_string(F.lit(source_instance)),
+            "source_instance": canonical_json(json_string(F.lit(source_instance)), True),
         }
     )
     # One row on either side.
@@ -129,7 +128,7 @@ def request_json() -> Column:
     )
 
 
-def plan_id(fingerprint: Column) -> Column:
+def with_plan_id(requests: DataFrame, fingerprint: Column) -> DataFrame:
     document = json_object(
         {
             "compiler_version": json_string(F.lit(COMPILER_VERSION)),
@@ -137,7 +136,9 @@ def plan_id(fingerprint: Column) -> Column:
             "request": request_json(),
         }
     )
-    return F.concat(F.lit("plan-"), sha_prefix(document, 20))
+    written = requests.withColumn("_document", document)
+    key = sha_prefix(canonical_json(F.col("_document"), True), 20)
+    return written.withColumn("plan_id", F.concat(F.lit("plan-"), key)).drop("_document")
 
 
 def step_id(plan: Column, urn: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side is at most this many narrow rows (about 100 bytes each).
@@ -61,6 +61,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut`` that also counts rows while they are written, without another job.
+
+    Each count is the number of rows for which its condition holds.
+    """
+    seen = Observation()
+    rows = [F.count_if(condition).alias(name) for name, condition in counts.items()]
+    table = cut(df.observe(seen, *rows), label)
+    return table, {name: int(value or 0) for name, value in seen.get.items()}
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the counted number of rows is within the limit."""
     return F.broadcast(df) if rows <= limit else df
