@@ -154,28 +154,32 @@ keys AS MATERIALIZED (SELECT request_id, urn, max(k) AS order_key FROM paths GRO
 
 def field(expr: str) -> str:
     text = f"CAST({expr} AS VARCHAR)"
-    return f"CASE WHEN ({expr}) IS NULL THEN 'N' ELSE length({text}) || ':' || {text} END"
+    return f"coalesce(strlen({text}) || ':' || {text}, 'N')"
+
+
+def number(expr: str) -> str:
+    return f"coalesce(CAST({expr} AS VARCHAR), 'N')"
 
 
 def money(expr: str) -> str:
-    return field(f"CAST(round(({expr}) * 100) AS BIGINT)")
+    return number(f"CAST(round_even(({expr}) * 100, 0) AS BIGINT)")
 
 
 def moment(expr: str) -> str:
-    return field(f"epoch_us({expr})")
+    return number(f"epoch_us({expr})")
 
 
 def digest(source: str, columns: dict[str, str]) -> str:
     """A one-row subquery with ``row_count`` and ``digest`` of ``source``."""
-    row = " || ".join(columns.values())
+    row = " || '|' || ".join(columns.values())
     lanes = ", ".join(
         f"CAST(coalesce(sum(CAST(('0x' || substr(h, {at}, 15)) AS BIGINT)), 0) AS VARCHAR) AS lane{i}"
-        for i, at in enumerate((1, 16, 31, 46))
+        for i, at in enumerate((1, 16))
     )
     names = ",".join(columns)
     return (
         f"SELECT row_count, sha256('{names}' || '|' || row_count || '|' || "
-        f"concat_ws('|', lane0, lane1, lane2, lane3)) AS digest FROM ("
+        f"concat_ws('|', lane0, lane1)) AS digest FROM ("
         f"SELECT count(*) AS row_count, {lanes} FROM (SELECT sha256({row}) AS h FROM {source}))"
     )
 

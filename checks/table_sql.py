@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.graph_sql import assets, digest, field, moment, money
+from checks.graph_sql import assets, digest, field, moment, money, number
 
 AS_OF = "TIMESTAMP '1995-06-30'"
 RESTORED = f"SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS amount FROM orders WHERE o_orderdate <= {AS_OF}"
@@ -12,37 +12,37 @@ REVENUE = (
     f"FROM customer LEFT JOIN ({RESTORED}) ON c_custkey = customer_id GROUP BY 1, 2"
 )
 REVENUE_COLS = {
-    "customer_id": field("customer_id"), "customer_name": field("customer_name"),
+    "customer_id": number("customer_id"), "customer_name": field("customer_name"),
     "total_revenue": money("total_revenue"),
 }
-ORDER_COLS = {"order_id": field("order_id"), "customer_id": field("customer_id"), "amount": money("amount")}
+ORDER_COLS = {"order_id": number("order_id"), "customer_id": number("customer_id"), "amount": money("amount")}
 FEATURE = (
     "SELECT customer_id, round(total_revenue, 2) AS lifetime_value, "
     f"CASE WHEN total_revenue >= 100 THEN 'high' ELSE 'standard' END AS value_band FROM ({REVENUE})"
 )
 FEATURE_COLS = {
-    "customer_id": field("customer_id"), "lifetime_value": money("lifetime_value"),
+    "customer_id": number("customer_id"), "lifetime_value": money("lifetime_value"),
     "value_band": field("value_band"),
 }
 
-_T, _M, _I = field, money, moment
+_T, _M, _I, _N = field, money, moment, number
 COLUMNS = {
-    "region": {"r_regionkey": _T, "r_name": _T},
-    "nation": {"n_nationkey": _T, "n_name": _T, "n_regionkey": _T},
-    "customer": {"c_custkey": _T, "c_name": _T, "c_nationkey": _T, "c_acctbal": _M, "c_mktsegment": _T},
-    "supplier": {"s_suppkey": _T, "s_name": _T, "s_nationkey": _T, "s_acctbal": _M},
-    "part": {"p_partkey": _T, "p_name": _T, "p_brand": _T, "p_type": _T, "p_size": _T, "p_retailprice": _M},
-    "orders": {"o_orderkey": _T, "o_custkey": _T, "o_orderstatus": _T, "o_totalprice": _M, "o_orderdate": _I,
+    "region": {"r_regionkey": _N, "r_name": _T},
+    "nation": {"n_nationkey": _N, "n_name": _T, "n_regionkey": _N},
+    "customer": {"c_custkey": _N, "c_name": _T, "c_nationkey": _N, "c_acctbal": _M, "c_mktsegment": _T},
+    "supplier": {"s_suppkey": _N, "s_name": _T, "s_nationkey": _N, "s_acctbal": _M},
+    "part": {"p_partkey": _N, "p_name": _T, "p_brand": _T, "p_type": _T, "p_size": _N, "p_retailprice": _M},
+    "orders": {"o_orderkey": _N, "o_custkey": _N, "o_orderstatus": _T, "o_totalprice": _M, "o_orderdate": _I,
                "o_orderpriority": _T},
-    "lineitem": {"l_orderkey": _T, "l_partkey": _T, "l_suppkey": _T, "l_linenumber": _T, "l_quantity": _M,
+    "lineitem": {"l_orderkey": _N, "l_partkey": _N, "l_suppkey": _N, "l_linenumber": _N, "l_quantity": _M,
                  "l_extendedprice": _M, "l_discount": _M, "l_tax": _M, "l_returnflag": _T, "l_linestatus": _T,
                  "l_shipdate": _I},
-    "events": {"event_id": _T, "ts": _I, "user_id": _T, "event_type": _T, "value": _M, "props": _T},
-    "documents": {"doc_id": _T, "text": _T, "lang": _T, "source": _T, "n_chars": _T},
-    "pages": {"page_id": _T, "url": _T, "html": _T},
-    "benchmark": {"item_id": _T, "text": _T},
-    "labels": {"doc_id": _T, "quality": _T, "toxic": _T},
-    "conversations": {"conv_id": _T, "turn": _T, "role": _T, "text": _T},
+    "events": {"event_id": _N, "ts": _I, "user_id": _N, "event_type": _T, "value": _M, "props": _T},
+    "documents": {"doc_id": _N, "text": _T, "lang": _T, "source": _T, "n_chars": _N},
+    "pages": {"page_id": _N, "url": _T, "html": _T},
+    "benchmark": {"item_id": _N, "text": _T},
+    "labels": {"doc_id": _N, "quality": _N, "toxic": _N},
+    "conversations": {"conv_id": _N, "turn": _N, "role": _T, "text": _T},
 }
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 from salvor.functions.text import canonical_json, json_array, json_number, json_object, json_string
 
-# Hex positions of the four 60-bit lanes cut from one SHA-256.
-LANES = (1, 16, 31, 46)
+# Hex positions of the 60-bit lanes cut from one SHA-256.
+LANES = (1, 16)
+# A lane is summed in pieces of 20 bits, which stay inside a bigint for 8e12 rows.
+PIECE_BITS, PIECES = 20, 3
 # The canonical form puts a whole table into one string, so it is for small tables.
 CANONICAL_ROWS = 100_000
 
@@ -25,20 +27,26 @@ def sha_prefix(text: Column, length: int) -> Column:
 
 
 def cents(value: Column) -> Column:
-    return F.round(value * 100).cast("bigint")
+    """Whole hundredths, ties to even."""
+    return F.rint(value * 100).cast("bigint")
 
 
-def field_text(value: Column, kind: str = "text") -> Column:
-    """``N`` for null, else ``length:value``; money as cents, time as epoch microseconds."""
+def field_text(value: Column, kind: str) -> Column:
+    """A field as text that cannot be confused with its neighbours.
+
+    Numbers as they are, money as cents, time as epoch microseconds, anything else
+    with its length in bytes in front; ``N`` for null.
+    """
     if kind == "money":
         text = cents(value).cast("string")
     elif kind == "time":
         text = F.unix_micros(value.cast("timestamp")).cast("string")
+    elif kind == "number":
+        text = value.cast("string")
     else:
         text = value.cast("string")
-    return F.when(text.isNull(), F.lit("N")).otherwise(
-        F.concat(F.length(text).cast("string"), F.lit(":"), text)
-    )
+        text = F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+    return F.coalesce(text, F.lit("N"))
 
 
 def default_kinds(df: DataFrame) -> dict[str, str]:
@@ -46,6 +54,8 @@ def default_kinds(df: DataFrame) -> dict[str, str]:
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             kinds[field.name] = "money"
+        elif isinstance(field.dataType, T.IntegralType):
+            kinds[field.name] = "number"
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             kinds[field.name] = "time"
         else:
@@ -54,28 +64,43 @@ def default_kinds(df: DataFrame) -> dict[str, str]:
 
 
 def row_hash(columns: Mapping[str, str]) -> Column:
-    return F.sha2(F.concat(*[field_text(F.col(c), k) for c, k in columns.items()]), 256)
+    parts: list[Column] = []
+    for name, kind in columns.items():
+        if parts:
+            parts.append(F.lit("|"))
+        parts.append(field_text(F.col(name), kind))
+    return F.sha2(F.concat(*parts), 256)
+
+
+def with_lanes(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """Add the lanes of each row's hash as numbers; every step is computed once per row."""
+    lanes = {
+        f"_lane{i}": F.conv(F.substring("_hash", at, 15), 16, 10).cast("bigint")
+        for i, at in enumerate(LANES, start=1)
+    }
+    return df.withColumn("_hash", row_hash(kinds)).withColumns(lanes).drop("_hash")
 
 
-def lane_sums(hash_col: Column) -> list[Column]:
-    return [
-        F.coalesce(
-            F.sum(F.conv(F.substring(hash_col, at, 15), 16, 10).cast("decimal(38,0)")),
-            F.lit(0).cast("decimal(38,0)"),
-        ).alias(f"lane{i}")
-        for i, at in enumerate(LANES, start=1)
-    ]
+def lane_sums() -> list[Column]:
+    """Sums of all pieces of all lanes, as plain bigint aggregates."""
+    out = []
+    for i in range(1, len(LANES) + 1):
+        for piece in range(PIECES):
+            part = F.shiftright(f"_lane{i}", PIECE_BITS * piece).bitwiseAND(F.lit(2**PIECE_BITS - 1))
+            out.append(F.coalesce(F.sum(part), F.lit(0)).alias(f"lane{i}_{piece}"))
+    return out
 
 
 def combine_lanes(columns: list[str]) -> Column:
+    lanes = []
+    for i in range(1, len(LANES) + 1):
+        total = F.lit(0).cast("decimal(38,0)")
+        for piece in range(PIECES):
+            weight = F.lit(2 ** (PIECE_BITS * piece)).cast("decimal(14,0)")
+            total = total + F.col(f"lane{i}_{piece}").cast("decimal(19,0)") * weight
+        lanes.append(total.cast("decimal(38,0)").cast("string"))
     return F.sha2(
-        F.concat_ws(
-            "|",
-            F.lit(",".join(columns)),
-            F.col("row_count").cast("string"),
-            *[F.col(f"lane{i}").cast("string") for i in range(1, len(LANES) + 1)],
-        ),
-        256,
+        F.concat_ws("|", F.lit(",".join(columns)), F.col("row_count").cast("string"), *lanes), 256
     )
 
 
@@ -88,9 +113,8 @@ def multiset_digest(
     gather of rows is needed. ``by`` gives one digest per group.
     """
     kinds = dict(kinds or {c: k for c, k in default_kinds(df).items() if c not in (by or [])})
-    hashed = df.select(*(by or []), row_hash(kinds).alias("_h"))
-    grouped = hashed.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("row_count"), *lane_sums(F.col("_h"))
+    grouped = with_lanes(df, kinds).groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("row_count"), *lane_sums()
     )
     return grouped.select(*(by or []), "row_count", combine_lanes(list(kinds)).alias("digest"))
 

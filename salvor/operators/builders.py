@@ -160,8 +160,8 @@ class Estate:
         return self.store.spark
 
     def _revenue(self) -> tuple[DataFrame, str]:
-        revenue = self.store.read("analytics.customer_revenue")
-        return revenue, self.store.digest_of(revenue)[0]
+        name = "analytics.customer_revenue"
+        return self.store.read(name), self.store.digest(name)
 
     def restore_orders(self) -> Materialized:
         return self.store.materialize("raw.orders", self.orders)
@@ -184,9 +184,9 @@ class Estate:
         return self.store.write_document("features.customer_value", document)
 
     def build_churn_model(self) -> Materialized:
-        feature = self.store.document("features.customer_value")
-        fingerprint = feature.select(F.sha2("value", 256)).first()[0]
+        fingerprint = self.store.digest("features.customer_value")
         if self.store.canonical:
+            feature = self.store.document("features.customer_value")
             schema = "records array<struct<customer_id:string>>"
             parsed = feature.select(F.from_json("value", schema).alias("f"))
             records = parsed.select(F.explode("f.records"))

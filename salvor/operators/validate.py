@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salvor.functions.digests import combine_lanes, default_kinds, lane_sums, row_hash
+from salvor.functions.digests import combine_lanes, default_kinds, lane_sums, with_lanes
 from salvor.sources.documents import is_json_object, object_keys
 
 # Name of a business rule -> a predicate every row must meet, as SQL over the table.
@@ -46,8 +46,8 @@ def table_facts(
     aggs = [F.count(F.lit(1)).alias("row_count")]
     source = df
     if digest:
-        source = df.withColumn("_h", row_hash(kinds))
-        aggs += lane_sums(F.col("_h"))
+        source = with_lanes(df, kinds)
+        aggs += lane_sums()
     if measure:
         aggs.append(F.min(F.col(measure).cast("double")).alias("least"))
     broken = ~F.coalesce(F.expr(rules[rule]), F.lit(False)) if rule else F.lit(False)

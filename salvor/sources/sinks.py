@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from salvor.functions.digests import canonical_table_digest, default_kinds, multiset_digest
@@ -13,6 +14,7 @@ from salvor.functions.digests import canonical_table_digest, default_kinds, mult
 POINTERS = (
     "table_name string, version string, path string, digest string, row_count bigint, seq bigint"
 )
+POINTER_FIELDS = [f.split(" ")[0] for f in POINTERS.split(", ")]
 
 
 def write_snapshot(df: DataFrame, path: str, order: list[str]) -> None:
@@ -39,6 +41,7 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str, canonical: bool = False) -> None:
         self.spark, self.root, self.canonical = spark, root.rstrip("/"), canonical
         self._log = f"{self.root}/_pointers"
+        self._known: dict[str, Row | None] = {}
         spark.createDataFrame([], POINTERS).write.mode("append").parquet(self._log)
 
     def pointers(self) -> DataFrame:
@@ -47,13 +50,17 @@ class TableStore:
         newest = F.max_by(F.struct(*[F.col(c) for c in log.columns]), "seq").alias("p")
         return log.groupBy("table_name").agg(newest).select("p.*")
 
-    def _pointer(self, table: str):
-        return self.pointers().filter(F.col("table_name") == table).first()
+    def _pointer(self, table: str) -> Row | None:
+        """The pointer row of one table, read once; this store is its only writer."""
+        if table not in self._known:
+            self._known[table] = self.pointers().filter(F.col("table_name") == table).first()
+        return self._known[table]
 
-    def _point(self, table: str, version: str, path: str, digest: str | None, rows: int) -> None:
-        last = self.spark.read.schema(POINTERS).parquet(self._log).agg(F.max("seq")).first()[0]
-        row = [(table, version, path, digest, rows, (last or 0) + 1)]
-        self.spark.createDataFrame(row, POINTERS).coalesce(1).write.mode("append").parquet(self._log)
+    def _point(self, table: str, version: str, path: str | None, digest: str | None, rows: int) -> None:
+        row = [(table, version, path, digest, rows, time.time_ns() // 1000)]
+        df = self.spark.createDataFrame(row, POINTERS).coalesce(1)
+        df.write.mode("append").parquet(self._log)
+        self._known[table] = Row(*POINTER_FIELDS)(*row[0])
 
     def exists(self, table: str) -> bool:
         row = self._pointer(table)
@@ -65,6 +72,13 @@ class TableStore:
             raise KeyError(table)
         return self.spark.read.parquet(row["path"])
 
+    def digest(self, table: str) -> str:
+        """The digest recorded for the current version; versions never change."""
+        row = self._pointer(table)
+        if row is None or row["path"] is None:
+            raise KeyError(table)
+        return row["digest"]
+
     def digest_of(self, df: DataFrame, kinds: dict[str, str] | None = None) -> tuple[str, int]:
         one = canonical_table_digest(df) if self.canonical else multiset_digest(df, kinds)
         row = one.first()
