@@ -43,13 +43,16 @@ def customer_revenue(customers: DataFrame, staged: DataFrame) -> DataFrame:
     """Revenue per customer, zero for customers without orders.
 
     Orders are summed per customer before the join, so one heavy customer becomes
-    one row per map task and never a heavy join key.
+    one row per map task and never a heavy join key. The final grouping keeps the
+    join's partitioning, so each side is shuffled once.
     """
     sums = staged.groupBy("customer_id").agg(F.sum(F.col("amount").cast(EXACT)).alias("amount"))
-    people = customers.groupBy("customer_id", "customer_name").agg(F.count(F.lit(1)).alias("copies"))
-    total = F.coalesce(F.col("amount") * F.col("copies"), F.lit(0).cast(EXACT))
-    return people.join(sums, "customer_id", "left").select(
-        "customer_id", "customer_name", F.round(total, 2).cast("double").alias("total_revenue")
+    total = F.coalesce(F.sum("amount"), F.lit(0).cast(EXACT))
+    return (
+        customers.select("customer_id", "customer_name")
+        .join(sums, "customer_id", "left")
+        .groupBy("customer_id", "customer_name")
+        .agg(F.round(total, 2).cast("double").alias("total_revenue"))
     )
 
 

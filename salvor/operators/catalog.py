@@ -11,8 +11,9 @@ from salvor.functions.digests import multiset_digest
 from salvor.functions.scope import Scope, in_namespace, safe_run_name
 from salvor.functions.text import json_array, json_bool, json_object, json_string
 from salvor.operators.ledger import SLICE_OPERATION
-from salvor.operators.skew import first_per_group
+from salvor.operators.skew import HUB_ROWS, find_hubs, first_per_group
 from salvor.plans.identity import asset_json, validations_json
+from salvor.runtime import cut_counted
 
 # Fixed value: results per root that a lineage read-back returns at most.
 PAGE_LIMIT = 100
@@ -225,15 +226,25 @@ def read_page(edges: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
     )
 
 
-def unproven_edges(edges: DataFrame, observed: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
-    """Expected edges without an observation; ``truncated`` roots filled their page."""
-    full = observed.groupBy("upstream_urn").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
-    missing = (
-        edges.select("upstream_urn", "downstream_urn").distinct()
-        .join(observed.select("upstream_urn", "downstream_urn"), ["upstream_urn", "downstream_urn"], "left_anti")
+def unproven_edges(
+    edges: DataFrame, observed: DataFrame, limit: int = PAGE_LIMIT, hub_rows: int = HUB_ROWS
+) -> DataFrame:
+    """Expected edges without an observation; ``truncated`` roots filled their page.
+
+    A root with very many unproven edges is split into slots before the flag is joined.
+    """
+    pairs = ["upstream_urn", "downstream_urn"]
+    missing, n = cut_counted(
+        edges.select(*pairs).distinct().join(observed.select(*pairs), pairs, "left_anti"),
+        "unproven",
+        all=F.lit(True),
     )
-    return missing.join(full.select("upstream_urn", F.lit(True).alias("truncated")), "upstream_urn", "left").select(
-        "upstream_urn", "downstream_urn", F.coalesce("truncated", F.lit(False)).alias("truncated")
+    (hubs,) = find_hubs(missing, ["upstream_urn"], n["all"], hub_rows)
+    full = observed.groupBy("upstream_urn").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
+    flags = hubs.spread(full.select("upstream_urn", F.lit(True).alias("truncated")), "upstream_urn", "slot")
+    slotted = hubs.slot_of(missing, "upstream_urn", "downstream_urn", "slot")
+    return slotted.join(flags, ["upstream_urn", "slot"], "left").select(
+        *pairs, F.coalesce("truncated", F.lit(False)).alias("truncated")
     )
 
 
@@ -346,7 +357,7 @@ _JSON_STRING = r'("[^"\\]*(?:\\.[^"\\]*)*"\s*:?)'
 
 def secret_screen(payloads: DataFrame, body: str, token: str | None = None) -> DataFrame:
     """Payloads with a forbidden key, or with the token inside a string value."""
-    strings = F.regexp_extract_all(F.col(body), F.lit(_JSON_STRING), F.lit(1))
+    strings = F.col("_strings")
     words = F.transform(
         F.filter(strings, lambda s: s.endswith(":")),
         lambda s: F.regexp_replace(F.lower(s), "[^a-z]", ""),
@@ -358,9 +369,14 @@ def secret_screen(payloads: DataFrame, body: str, token: str | None = None) -> D
         needle = F.substring(literal, F.lit(2), F.length(literal) - 2)
         leaked = F.exists(strings, lambda s: ~s.endswith(":") & s.contains(needle))
     keep = [c for c in payloads.columns if c != body]
+    found = F.struct(F.array_join(bad, ",").alias("forbidden_keys"), leaked.alias("token_found"))
+    # A filter over the finding would be pushed below it and scan every text twice;
+    # a generator that gives no row for a clean payload scans it once.
+    hits = F.filter(F.array(found), lambda f: (f["forbidden_keys"] != "") | f["token_found"])
     return (
-        payloads.select(*keep, F.array_join(bad, ",").alias("forbidden_keys"), leaked.alias("token_found"))
-        .filter((F.col("forbidden_keys") != "") | F.col("token_found"))
+        payloads.withColumn("_strings", F.regexp_extract_all(F.col(body), F.lit(_JSON_STRING), F.lit(1)))
+        .select(*keep, F.explode(hits).alias("f"))
+        .select(*keep, "f.forbidden_keys", "f.token_found")
     )
 
 

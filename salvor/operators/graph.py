@@ -248,8 +248,10 @@ def _peel(
             (F.col("order_key") if with_key else empty_key).alias("order_key"),
         )
         sent = hubs.spread(sent, "src", "slot")
+        # A key made in wave k has at most k labels.
+        labels = sizes["ready"] * hubs.widest * len(layers)
         got = (
-            arcs.join(small(sent, sizes["ready"] * hubs.widest, 100_000), ["request_id", "src", "slot"])
+            arcs.join(small(sent, labels), ["request_id", "src", "slot"])
             .groupBy("request_id", F.col("dst").alias("urn"))
             .agg(F.count(F.lit(1)).alias("done"), F.max("order_key").alias("key"))
         )

@@ -312,9 +312,8 @@ def global_rate(
     windows they belong to.
     """
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    per_slide = events.select(
-        (F.floor(us / (slide_seconds * 1_000_000)) * slide_seconds).cast("bigint").alias("slide")
-    ).groupBy("slide").agg(F.count(F.lit(1)).alias("n"))
+    start = (us - F.pmod(us, F.lit(slide_seconds * 1_000_000))) / 1_000_000
+    per_slide = events.select(start.cast("bigint").alias("slide")).groupBy("slide").agg(F.count(F.lit(1)).alias("n"))
     starts = F.sequence(
         F.col("slide") - (window_seconds - slide_seconds), F.col("slide"), F.lit(slide_seconds).cast("bigint")
     )

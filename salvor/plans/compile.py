@@ -16,7 +16,7 @@ from salvor.functions.scope import Scope, scope_violations
 from salvor.operators import graph as G
 from salvor.operators.skew import number_rows
 from salvor.plans import identity
-from salvor.runtime import cut
+from salvor.runtime import cut, cut_counted, small
 from salvor.schemas import normalize_requests
 
 # Refusal codes in order of precedence; ``ok`` comes last.
@@ -125,16 +125,19 @@ class PlanBook:
     cycles: DataFrame
     missing: DataFrame
     plans: DataFrame
+    plan_count: int
     assets: DataFrame
 
     @cached_property
     def steps(self) -> DataFrame:
         """The ordered steps of accepted plans."""
-        return _steps(self.plans, self.waves, self.parents, self.assets)
+        return _steps(self.ok, self.waves, self.parents, self.assets)
 
     @property
     def ok(self) -> DataFrame:
-        return self.plans.filter(F.col("verdict") == "ok").select("request_id", "plan_id")
+        """Accepted plans; broadcast only when the counted number of plans is small."""
+        accepted = self.plans.filter(F.col("verdict") == "ok").select("request_id", "plan_id")
+        return small(accepted, self.plan_count)
 
     @property
     def selections(self) -> DataFrame:
@@ -243,7 +246,7 @@ def compile_plans(
             ),
         )
     )
-    plans = cut(
+    plans, n = cut_counted(
         plans.select(
             "request_id", "plan_id", F.lit(identity.COMPILER_VERSION).alias("compiler_version"),
             F.lit(fingerprint).alias("graph_fingerprint"), verdict.alias("verdict"),
@@ -251,12 +254,14 @@ def compile_plans(
             F.coalesce("wave_count", F.lit(0)).alias("wave_count"),
         ),
         "plans",
+        all=F.lit(True),
+    )
+    return PlanBook(
+        requests, fingerprint, targets, parents, waves, cycles, missing, plans, n["all"], assets
     )
-    return PlanBook(requests, fingerprint, targets, parents, waves, cycles, missing, plans, assets)
 
 
-def _steps(plans: DataFrame, waves: DataFrame, parents: DataFrame, assets: DataFrame) -> DataFrame:
-    ok = plans.filter(F.col("verdict") == "ok").select("request_id", "plan_id")
+def _steps(ok: DataFrame, waves: DataFrame, parents: DataFrame, assets: DataFrame) -> DataFrame:
     ordered = number_rows(waves.join(ok, "request_id"), ["plan_id"], ["order_key"], "position")
     fan_in = parents.groupBy("request_id", "urn").agg(
         F.count_if(F.col("role") == "dependency").alias("dependency_count"),
