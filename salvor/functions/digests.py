@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -104,6 +105,16 @@ def combine_lanes(columns: list[str]) -> Column:
     )
 
 
+def digest_from_sums(columns: list[str], sums: Mapping[str, int]) -> str:
+    """``combine_lanes`` for one row of sums that is already on the driver."""
+    lanes = [
+        str(sum(int(sums[f"lane{i}_{piece}"] or 0) << (PIECE_BITS * piece) for piece in range(PIECES)))
+        for i in range(1, len(LANES) + 1)
+    ]
+    text = "|".join([",".join(columns), str(int(sums["row_count"] or 0)), *lanes])
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
 def multiset_digest(
     df: DataFrame, kinds: Mapping[str, str] | None = None, by: list[str] | None = None
 ) -> DataFrame:

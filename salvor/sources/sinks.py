@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
-
-from salvor.functions.digests import canonical_table_digest, default_kinds, multiset_digest
+from pyspark.sql.types import StructType
+
+from salvor.functions.digests import (
+    canonical_table_digest,
+    default_kinds,
+    digest_from_sums,
+    lane_sums,
+    with_lanes,
+)
 
 POINTERS = (
-    "table_name string, version string, path string, digest string, row_count bigint, seq bigint"
+    "table_name string, version string, path string, digest string, row_count bigint, "
+    "schema string, seq bigint"
 )
 POINTER_FIELDS = [f.split(" ")[0] for f in POINTERS.split(", ")]
 
@@ -41,7 +50,7 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str, canonical: bool = False) -> None:
         self.spark, self.root, self.canonical = spark, root.rstrip("/"), canonical
         self._log = f"{self.root}/_pointers"
-        self._known: dict[str, Row | None] = {}
+        self._known: dict[str, Row] | None = None
         spark.createDataFrame([], POINTERS).write.mode("append").parquet(self._log)
 
     def pointers(self) -> DataFrame:
@@ -51,57 +60,67 @@ class TableStore:
         return log.groupBy("table_name").agg(newest).select("p.*")
 
     def _pointer(self, table: str) -> Row | None:
-        """The pointer row of one table, read once; this store is its only writer."""
-        if table not in self._known:
-            self._known[table] = self.pointers().filter(F.col("table_name") == table).first()
-        return self._known[table]
-
-    def _point(self, table: str, version: str, path: str | None, digest: str | None, rows: int) -> None:
-        row = [(table, version, path, digest, rows, time.time_ns() // 1000)]
-        df = self.spark.createDataFrame(row, POINTERS).coalesce(1)
+        """The pointer of a table. This store is the only writer of its log, so the
+        pointers (one short row per table) are read once and kept up to date here."""
+        if self._known is None:
+            self._known = {r["table_name"]: r for r in self.pointers().collect()}
+        return self._known.get(table)
+
+    def _current(self, table: str) -> Row:
+        row = self._pointer(table)
+        if row is None or row["path"] is None:
+            raise KeyError(table)
+        return row
+
+    def _point(
+        self, table: str, version: str, path: str | None, digest: str | None, rows: int, schema: str | None
+    ) -> None:
+        row = (table, version, path, digest, rows, schema, time.time_ns() // 1000)
+        df = self.spark.createDataFrame([row], POINTERS).coalesce(1)
         df.write.mode("append").parquet(self._log)
-        self._known[table] = Row(*POINTER_FIELDS)(*row[0])
+        if self._known is not None:
+            self._known[table] = Row(*POINTER_FIELDS)(*row)
 
     def exists(self, table: str) -> bool:
         row = self._pointer(table)
         return row is not None and row["path"] is not None
 
     def read(self, table: str) -> DataFrame:
-        row = self._pointer(table)
-        if row is None or row["path"] is None:
-            raise KeyError(table)
-        return self.spark.read.parquet(row["path"])
+        row = self._current(table)
+        schema = StructType.fromJson(json.loads(row["schema"]))
+        return self.spark.read.schema(schema).parquet(row["path"])
 
     def digest(self, table: str) -> str:
         """The digest recorded for the current version; versions never change."""
-        row = self._pointer(table)
-        if row is None or row["path"] is None:
-            raise KeyError(table)
-        return row["digest"]
-
-    def digest_of(self, df: DataFrame, kinds: dict[str, str] | None = None) -> tuple[str, int]:
-        one = canonical_table_digest(df) if self.canonical else multiset_digest(df, kinds)
-        row = one.first()
-        return row["digest"], row["row_count"]
+        return self._current(table)["digest"]
+
+    def _stage(self, df: DataFrame, path: str, kinds: dict[str, str]) -> tuple[str, int]:
+        """Write ``df`` and hash its rows while they are written."""
+        writer = lambda d: d.write.option("compression", "zstd").parquet(path)
+        if self.canonical:
+            writer(df)
+            row = canonical_table_digest(self.spark.read.schema(df.schema).parquet(path)).first()
+            return row["digest"], row["row_count"]
+        seen = Observation()
+        lanes = with_lanes(df, kinds).observe(seen, F.count(F.lit(1)).alias("row_count"), *lane_sums())
+        writer(lanes.select(*df.columns))
+        return digest_from_sums(list(kinds), seen.get), int(seen.get["row_count"] or 0)
 
     def materialize(
         self, table: str, df: DataFrame, kinds: dict[str, str] | None = None
     ) -> Materialized:
         """Make ``df`` the content of ``table`` unless it already is.
 
-        The query runs once: its result is staged as the next version, hashed from
-        the staged files, and only becomes current when the digest is new.
+        The query runs once: its result is staged as the next version and hashed in
+        the same pass, and only becomes current when the digest is new.
         """
-        kinds = kinds or default_kinds(df)
         version = uuid.uuid4().hex
         path = f"{self.root}/{table}/{version}"
-        df.write.option("compression", "zstd").parquet(path)
-        staged = self.spark.read.schema(df.schema).parquet(path)
-        digest, rows = self.digest_of(staged, kinds)
+        digest, rows = self._stage(df, path, kinds or default_kinds(df))
         current = self._pointer(table)
         if current is not None and current["path"] is not None and current["digest"] == digest:
             return Materialized(table, digest, False, rows, current["path"])
-        self._point(table, version, path, digest, rows)
+        self._point(table, version, path, digest, rows, df.schema.json())
         return Materialized(table, digest, True, rows, path)
 
     def write_document(self, name: str, document: DataFrame) -> Materialized:
@@ -114,20 +133,17 @@ class TableStore:
         version = uuid.uuid4().hex
         path = f"{self.root}/{name}/{version}"
         text.coalesce(1).write.text(path)
-        self._point(name, version, path, digest, 1)
+        self._point(name, version, path, digest, 1, None)
         return Materialized(name, digest, True, 1, path)
 
     def document(self, name: str) -> DataFrame:
-        row = self._pointer(name)
-        if row is None or row["path"] is None:
-            raise KeyError(name)
-        return self.spark.read.text(row["path"], wholetext=True)
+        return self.spark.read.text(self._current(name)["path"], wholetext=True)
 
     def drop(self, tables: list[str]) -> list[str]:
         """Remove tables from the inventory; returns the ones that were there."""
         gone = [t for t in sorted(tables) if self.exists(t)]
         for table in gone:
-            self._point(table, "dropped", None, None, 0)
+            self._point(table, "dropped", None, None, 0, None)
         return gone
 
     def inventory(self) -> DataFrame:
