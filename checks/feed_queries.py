@@ -8,7 +8,7 @@ from checks.run_queries import key_of
 from salvor.functions.scope import scope_violations
 from salvor.operators import catalog as CT
 from salvor.operators.graph import cycle_core as core_of
-from salvor.operators.graph import build_graph, recovery_waves, target_parents
+from salvor.operators.graph import build_graph, one_cycle, recovery_waves, target_parents
 from salvor.operators.ledger import SLICE_OPERATION
 from salvor.plans.workload import SCOPE, SOURCE, asset_urn, assets, catalog, edges, table
 
@@ -218,9 +218,9 @@ def dangling_edges(spark, folder):
     )
 
 
-def cycle_core(spark, folder):
+def _closed_lineage(spark, folder):
     """Customer, nation and region lineage closed by an edge from each region back to
-    its poorest customer; one request per region covers all of these assets."""
+    its poorest customer; one request covers all of these assets."""
     customer, nation = table(spark, folder, "customer"), table(spark, folder, "nation")
     c = catalog(spark, folder)
     upper = c.assets.filter(F.col("platform").isin("customer", "nation", "region"))
@@ -242,7 +242,15 @@ def cycle_core(spark, folder):
     targets = upper.select(F.lit("all").alias("request_id"), "urn")
     parents = target_parents(targets, graph)
     _, stuck, _ = recovery_waves(targets, parents, graph)
-    return core_of(stuck, parents, graph)
+    return core_of(stuck, parents, graph), parents, graph
+
+
+def cycle_core(spark, folder):
+    return _closed_lineage(spark, folder)[0]
+
+
+def cycle_path(spark, folder):
+    return one_cycle(*_closed_lineage(spark, folder))
 
 
 QUERIES = {
@@ -251,6 +259,6 @@ QUERIES = {
         aspect_feed, aspect_counts, lineage_items, aspect_latest, active_assets, writeback_verify,
         writeback_refusals, entity_evidence, lineage_page, lineage_evidence, context_receipt,
         slice_receipts, operation_state, slice_evidence, readiness, fixture_check, secret_screen,
-        graph_diff, dangling_edges, cycle_core,
+        graph_diff, dangling_edges, cycle_core, cycle_path,
     )
 }

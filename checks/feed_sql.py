@@ -71,16 +71,19 @@ def _fixture(mixed: bool) -> str:
     )
 
 
-_ORDERS_OLD = "(SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-30') orders"
-_ORDERS_NEW = "(SELECT * FROM orders WHERE o_orderdate > TIMESTAMP '1996-06-30') orders"
-
-
 def _span(sql: str, where: str) -> str:
     """Restrict order rows and order edges of an asset or edge query to a date span."""
     lines = f"(SELECT lineitem.* FROM lineitem SEMI JOIN (SELECT o_orderkey FROM orders WHERE {where}) ON l_orderkey = o_orderkey)"
     return sql.replace("FROM orders", f"FROM (SELECT * FROM orders WHERE {where})").replace("FROM lineitem", f"FROM {lines}")
 
 
+CLOSED = (
+    "back AS (SELECT " + urn("region", "n_regionkey") + " AS up, " + urn("customer", "c_custkey")
+    + " AS down FROM (SELECT n_regionkey, c_custkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal, c_custkey) AS rn "
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE rn = 1), e AS (SELECT "
+    + urn("customer", "c_custkey") + " AS up, " + urn("nation", "c_nationkey") + " AS down FROM customer UNION SELECT "
+    + urn("nation", "n_nationkey") + ", " + urn("region", "n_regionkey") + " FROM nation UNION SELECT * FROM back)"
+)
 _OLD, _NEW = "o_orderdate <= TIMESTAMP '1998-06-30'", "o_orderdate > TIMESTAMP '1996-06-30'"
 
 SQL = {
@@ -130,11 +133,11 @@ SQL = {
     "SELECT up AS upstream_urn, down AS downstream_urn, array_to_string(list_filter([CASE WHEN u.urn IS NULL THEN up END, "
     "CASE WHEN d.urn IS NULL THEN down END], lambda x: x IS NOT NULL), ',') AS missing_urns FROM e LEFT JOIN a u ON u.urn = up "
     "LEFT JOIN a d ON d.urn = down WHERE u.urn IS NULL OR d.urn IS NULL",
-    "cycle_core": "WITH RECURSIVE back AS (SELECT " + urn("region", "n_regionkey") + " AS up, " + urn("customer", "c_custkey")
-    + " AS down FROM (SELECT n_regionkey, c_custkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal, c_custkey) AS rn "
-    "FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE rn = 1), e AS (SELECT "
-    + urn("customer", "c_custkey") + " AS up, " + urn("nation", "c_nationkey") + " AS down FROM customer UNION SELECT "
-    + urn("nation", "n_nationkey") + ", " + urn("region", "n_regionkey") + " FROM nation UNION SELECT * FROM back), "
-    "walk(src, urn) AS (SELECT up, down FROM e UNION SELECT w.src, e.down FROM walk w JOIN e ON e.up = w.urn) "
-    "SELECT 'all' AS request_id, urn FROM walk WHERE src = urn",
+    "cycle_core": "WITH RECURSIVE " + CLOSED + ", walk(src, urn) AS (SELECT up, down FROM e UNION "
+    "SELECT w.src, e.down FROM walk w JOIN e ON e.up = w.urn) SELECT 'all' AS request_id, urn FROM walk WHERE src = urn",
+    "cycle_path": "WITH RECURSIVE " + CLOSED + ", walk(src, urn) AS (SELECT up, down FROM e UNION "
+    "SELECT w.src, e.down FROM walk w JOIN e ON e.up = w.urn), core AS (SELECT urn FROM walk WHERE src = urn), "
+    "f AS (SELECT up, min(down) AS next FROM e WHERE up IN (SELECT urn FROM core) AND down IN (SELECT urn FROM core) GROUP BY 1), "
+    "p(pos, urn) AS (SELECT CAST(0 AS BIGINT), min(urn) FROM core UNION ALL SELECT pos + 1, next FROM p JOIN f ON up = urn "
+    "WHERE next <> (SELECT min(urn) FROM core)) SELECT 'all' AS request_id, pos, urn FROM p",
 }

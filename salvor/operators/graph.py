@@ -314,3 +314,65 @@ def cycle_core(stuck: DataFrame, parents: DataFrame, graph: LineageGraph) -> Dat
         "backwards",
     )
     return _peel(stuck, backwards, graph.down_hubs, with_key=False)[1]
+
+
+def one_cycle(core: DataFrame, parents: DataFrame, graph: LineageGraph) -> DataFrame:
+    """One cycle of every request with a cyclic core, as rows ``request_id, pos, urn``.
+
+    Every core node points to its least child in the core. Following the pointers
+    ends in a cycle; pointer doubling finds its nodes, its least node (position 0)
+    and each node's place in a logarithmic number of rounds.
+    """
+    deps = parents.filter(F.col("role") == "dependency").select(
+        "request_id", "upstream_urn", "urn", "up_slot"
+    )
+    members, n = cut_counted(core.select("request_id", "urn"), "core", all=F.lit(True))
+    heads = graph.up_hubs.spread(
+        members.withColumnRenamed("urn", "upstream_urn"), "upstream_urn", "up_slot"
+    )
+    step = (
+        deps.join(heads, ["request_id", "upstream_urn", "up_slot"], "left_semi")
+        .join(members, ["request_id", "urn"], "left_semi")
+        .groupBy("request_id", F.col("upstream_urn").alias("urn"))
+        .agg(F.min("urn").alias("next"))
+    )
+    rounds = max(1, n["all"].bit_length())
+
+    def doubled(jump: DataFrame, value: str, combine) -> DataFrame:
+        """Square the pointers ``rounds`` times, folding ``value`` along the way."""
+        for _ in range(rounds):
+            far = jump.select(
+                "request_id", F.col("urn").alias("next"), F.col("next").alias("_next"),
+                F.col(value).alias("_value"),
+            )
+            jump = cut(
+                jump.join(far, ["request_id", "next"]).select(
+                    "request_id", "urn", F.col("_next").alias("next"),
+                    combine(F.col(value), F.col("_value")).alias(value),
+                ),
+                "jump",
+            )
+        return jump
+
+    step = cut(step, "step")
+    ends = doubled(step.withColumn("least", F.lit(0)), "least", lambda a, b: a)
+    # After at least as many steps as there are nodes only cycle nodes are reached.
+    on_cycle = ends.select("request_id", F.col("next").alias("urn")).distinct()
+    loops = cut(step.join(on_cycle, ["request_id", "urn"]), "loops")
+    led = doubled(loops.withColumn("least", F.col("urn")), "least", F.least)
+    chosen = led.groupBy("request_id").agg(F.min("least").alias("leader"))
+    mine = led.select("request_id", "urn", F.col("least").alias("leader")).join(
+        chosen, ["request_id", "leader"]
+    )
+    ring = cut(loops.join(mine, ["request_id", "urn"]), "ring")
+    # Cut the ring open at its leader and count the steps from each node to it.
+    is_leader = F.col("urn") == F.col("leader")
+    opened = ring.select(
+        "request_id", "urn", F.when(is_leader, F.col("urn")).otherwise(F.col("next")).alias("next"),
+        F.when(is_leader, 0).otherwise(1).cast("bigint").alias("steps"),
+    )
+    counted = doubled(opened, "steps", lambda a, b: a + b)
+    size = counted.groupBy("request_id").agg(F.count(F.lit(1)).alias("size"))
+    return counted.join(size, "request_id").select(
+        "request_id", ((F.col("size") - F.col("steps")) % F.col("size")).alias("pos"), "urn"
+    )

@@ -50,6 +50,10 @@ def test_walks_against_plain_python(spark, seed, cyclic, hub_rows):
     layers = {(r["request_id"], r["urn"]): (r["wave"], r["order_key"]) for r in waves.collect()}
     core = {(r["request_id"], r["urn"]) for r in G.cycle_core(stuck, parents, graph).collect()} if left else set()
     assert left == stuck.count()
+    ring = {r: {} for r in requests}
+    if left:
+        for row in G.one_cycle(G.cycle_core(stuck, parents, graph), parents, graph).collect():
+            ring[row["request_id"]][row["pos"]] = row["urn"]
     for r, (ss, depth) in requests.items():
         near = brute.reach(pairs, ss, depth)
         all_targets = brute.closure(pairs, near, state)
@@ -63,6 +67,10 @@ def test_walks_against_plain_python(spark, seed, cyclic, hub_rows):
         wave, rest = brute.waves(pairs, all_targets)
         assert {n: w for (q, n), (w, _) in layers.items() if q == r} == wave
         assert {n for q, n in core if q == r} == brute.cyclic_core(pairs, all_targets)
+        path = [ring[r][i] for i in range(len(ring[r]))]
+        assert bool(path) == bool(brute.cyclic_core(pairs, all_targets))
+        assert all((u, v) in pairs for u, v in zip(path, path[1:] + path[:1]))
+        assert len(set(path)) == len(path) and (not path or path[0] == min(path))
         if not rest:
             ordered = sorted((k, n) for (q, n), (_, k) in layers.items() if q == r)
             assert [n for _, n in ordered] == brute.least_first_order(pairs, all_targets)
