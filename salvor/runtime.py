@@ -27,6 +27,10 @@ def build_session(app: str = "salvor", master: str | None = None, **conf) -> Spa
     return builder.getOrCreate()
 
 
+# Folders made for local sessions without a configured one, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
@@ -39,9 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if sc.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _LOCAL_FOLDERS[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -10,7 +10,7 @@ from salvor.runtime import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = build_session(
         "salvor-tests",
         master="local[8]",
@@ -19,6 +19,4 @@ def spark(tmp_path_factory):
         spark__driver__memory="8g",
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     return session
