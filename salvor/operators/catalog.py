@@ -23,6 +23,7 @@ SECRET_KEYS = [
     "token", "accesstoken",
 ]
 INVALIDATED = "datahub_vertical_slice_invalidated"
+RESET = "datahub_fixture_reset"
 # The texts of the evidence check, by verdict.
 EVIDENCE_TEXT = {
     "missing": "verified DataHub vertical-slice receipt is missing",
@@ -288,6 +289,30 @@ def operation_state(receipts: DataFrame) -> DataFrame:
     ).select("project", "operation", "r.*")
 
 
+def reset_receipts(resets: DataFrame) -> DataFrame:
+    """Receipts of a catalog reset, in the order they are written.
+
+    ``resets``: project, seq, error_type (null when the reset went through). The
+    project's slice evidence is invalidated before anything changes, then the
+    reset is started, then it completes or fails; a failed one may be half done.
+    """
+    failed = F.col("error_type").isNotNull()
+    row = lambda n, operation, status: F.struct(
+        (F.col("seq") + n).alias("seq"), F.lit(operation).alias("operation"), status.alias("status")
+    )
+    end = F.when(failed, "failed").otherwise("completed")
+    rows = F.array(
+        row(0, INVALIDATED, F.lit("invalidated")),
+        row(1, RESET, F.lit("started")),
+        row(2, RESET, end),
+    )
+    return resets.select("project", "error_type", F.explode(rows).alias("r")).select(
+        "project", "r.seq", "r.operation", "r.status", (F.col("r.status") == "completed").alias("completed"),
+        ((F.col("r.status") == "failed") & failed).alias("partial_mutation_possible"),
+        F.when(F.col("r.status") == "failed", F.col("error_type")).alias("error_type"),
+    )
+
+
 def slice_evidence(receipts: DataFrame, projects: DataFrame, components: DataFrame) -> DataFrame:
     """Evidence check per project, by the first rule its newest slice receipt breaks.
 
@@ -351,8 +376,9 @@ def readiness(checks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-# A JSON string, and the colon behind it when it is a key.
-_JSON_STRING = r'("[^"\\]*(?:\\.[^"\\]*)*"\s*:?)'
+# A JSON string, and the colon behind it when it is a key. Possessive, so that a
+# text with very many escapes is matched in a loop and not by recursion.
+_JSON_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?)'
 
 
 def secret_screen(payloads: DataFrame, body: str, token: str | None = None) -> DataFrame:

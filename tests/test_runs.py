@@ -219,6 +219,21 @@ def test_slice_and_readiness(spark):
     assert CT.operation_state(resets).first()["status"] == "completed"
 
 
+def test_secret_screen_reads_texts_with_very_many_escapes(spark):
+    body = '{"note":"' + "line\\\\n" * 200_000 + '","token":"x"}'
+    rows = CT.secret_screen(spark.createDataFrame([("p", body)], "id string, body string"), "body", "sk-1").collect()
+    assert [(r["forbidden_keys"], r["token_found"]) for r in rows] == [("token", False)]
+
+
+def test_reset_invalidates_evidence_first(spark):
+    resets = spark.createDataFrame([("p", 10, None), ("q", 20, "IOError")], "project string, seq bigint, error_type string")
+    receipts = CT.reset_receipts(resets)
+    order = [(r["operation"], r["status"]) for r in sorted(receipts.filter("project = 'p'").collect(), key=lambda r: r["seq"])]
+    assert order == [(CT.INVALIDATED, "invalidated"), (CT.RESET, "started"), (CT.RESET, "completed")]
+    last = CT.operation_state(receipts).filter("project = 'q' AND operation = 'datahub_fixture_reset'").first()
+    assert (last["status"], last["partial_mutation_possible"], last["error_type"]) == ("failed", True, "IOError")
+
+
 def test_graph_diff(spark, tmp_path):
     read = lambda name, doc: read_snapshots(spark, X.write(tmp_path / name, doc))[1:]
     old = read("a.json", X.document())
