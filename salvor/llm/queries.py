@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salvor.llm import chat, exact_dedup, mixing
+from salvor.llm import chat, exact_dedup, language, mixing, toxicity
+from salvor.llm.words import fold_of
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id")) == 0
+    model = language.fit_languages(docs.where(~held_out))
+    found = language.predict_languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     items = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
@@ -41,6 +50,15 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels")
+    held_out = fold_of(F.col("doc_id")) == 0
+    model = toxicity.fit_toxicity(toxicity.labelled(docs, labels.where(~held_out)))
+    found = toxicity.score_toxicity(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     groups = exact_dedup.exact_groups(docs).drop("digest")
@@ -50,7 +68,9 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_mix_sources": op2_mix_sources,
     "op3_chat_format": op3_chat_format,
+    "op5_toxicity": op5_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
 }
