@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salvor.llm import chat, exact_dedup, language, mixing, toxicity
+from salvor.llm import chat, exact_dedup, jaccard, language, mixing, toxicity
 from salvor.llm.words import fold_of
 
 
@@ -59,6 +59,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, folder, "documents"), k=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     groups = exact_dedup.exact_groups(docs).drop("digest")
@@ -72,5 +77,6 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_chat_format": op3_chat_format,
     "op5_toxicity": op5_toxicity,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
 }
