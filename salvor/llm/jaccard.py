@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salvor.llm.components import components
-from salvor.llm.words import list_array, mix, pieces, shingle_sets, signed, unsigned, words_of
+from salvor.llm.words import list_array, mix, pieces, shingle_sets, signed, words_of
 from salvor.runtime import cut, cut_counted, small
 
 SKETCH_BITS = 18

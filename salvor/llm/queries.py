@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salvor.llm import chat, exact_dedup, jaccard, language, mixing, toxicity
+from salvor.llm import chat, exact_dedup, jaccard, language, mixing, substrings, toxicity
 from salvor.llm.words import fold_of
 
 
@@ -64,6 +64,12 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = substrings.remove_repeats(docs, substrings.repeated_passages(docs))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     groups = exact_dedup.exact_groups(docs).drop("digest")
@@ -78,5 +84,6 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
