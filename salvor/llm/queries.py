@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salvor.llm import chat, exact_dedup, jaccard, language, mixing, substrings, toxicity
+from salvor.llm import chat, exact_dedup, jaccard, language, mixing, substrings, suffix_tree, toxicity
 from salvor.llm.words import fold_of
 
 
@@ -50,6 +50,16 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id")) == 1
+    training = docs.where(~held_out).select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = suffix_tree.count_words(training)
+    tree = suffix_tree.fit_tree(training, suffix_tree.alphabet_of(counts))
+    found = suffix_tree.score_texts(docs, tree, counts)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels")
@@ -82,6 +92,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_mix_sources": op2_mix_sources,
     "op3_chat_format": op3_chat_format,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
