@@ -67,39 +67,48 @@ def _prefix_length(n: int, num: int, den: int) -> int:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, digest and the prefixes p0, p1, p2 of each text's shingle set."""
+    """doc_id, n, digest and the prefix p0 of each text's shingle set in the order by frequency."""
     shift = np.uint64(64 - int(len(sketch)).bit_length() + 1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, prefixes = [], [], [[] for _ in range(ORDERS + 1)]
+            sizes, digests, prefixes = [], [], []
             for found in _sets(batch.column("text"), k):
                 n = len(found)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                most = _prefix_length(n, num, den) if n else 0
                 order = np.lexsort((found, sketch[(found >> shift).astype(np.int64)]))
-                prefixes[0].append(signed(found[order[:most]]))
+                prefixes.append(signed(found[order[: _prefix_length(n, num, den) if n else 0]]))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "p0"])
+
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, p0 array<long>")
+
+
+def other_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """node and its prefixes p1, p2 in the orders of scrambled hashes."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+            for found in _sets(batch.column("text"), k):
+                n = len(found)
+                most = _prefix_length(n, num, den) if n else 0
                 for i in range(ORDERS):
-                    keys = mix(found, 31 + i)
-                    low = np.argpartition(keys, most - 1)[:most] if 0 < most < n else np.arange(most)
-                    prefixes[i + 1].append(signed(found[low]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(list_array(p) for p in prefixes)],
-                ["doc_id", "n", "digest", *(f"p{i}" for i in range(ORDERS + 1))],
-            )
+                    low = np.argpartition(mix(found, 31 + i), most - 1)[:most] if 0 < most < n else np.arange(most)
+                    prefixes[i].append(signed(found[low]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(list_array, prefixes)], ["node", *(f"p{i + 1}" for i in range(ORDERS))])
 
-    lists = ", ".join(f"p{i} array<long>" for i in range(ORDERS + 1))
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id long, n long, digest binary, {lists}")
+    return docs.mapInArrow(sign, "node long, " + ", ".join(f"p{i + 1} array<long>" for i in range(ORDERS)))
 
 
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, set_a, set_b) whose sets really are that similar."""
+    """The pairs (a, b, grams_a, grams_b) whose sets really are that similar."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for one, two in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            for one, two in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
                 x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
@@ -108,16 +117,23 @@ def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    return pairs.mapInArrow(verify, "a long, b long")
+    return pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long").distinct()
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """(token, node, n) of prefix ``name`` for tokens that several nodes have."""
-    lists = rows.select("node", "n", F.explode(name).alias("token"))
+    """(token, node) of prefix ``name`` for tokens that several nodes have."""
+    spark = rows.sparkSession
+    # Dealt by token once, for the count and for the join.
+    lists = rows.select(F.explode(name).alias("token"), "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
     several = lists.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("token")
     return lists.join(several, "token", "left_semi")
 
 
+def _of(table: DataFrame, ids: DataFrame, rows: int, column: str = "node") -> DataFrame:
+    """The rows of ``table`` whose id is among the (counted, distinct) ids."""
+    return table.join(small(ids.select(F.col("node").alias(column)), rows), column, "left_semi")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
 
@@ -144,18 +160,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     doc_id counts in no component (component_id null). Rows that repeat a doc_id
     are one node. Other columns are not read. An empty table gives no rows.
     """
-    signed_docs = cut(signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, num, den, frequency_sketch(docs, k)), "signatures")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed_docs = cut(signatures(texts, k, num, den, frequency_sketch(docs, k)), "signatures")
     classes = signed_docs.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     classes = cut(classes, "classes")
-    first = signed_docs.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    first = first.select(F.col("doc_id").alias("node"), "n", *(f"p{i}" for i in range(ORDERS + 1)))
-    lists = cut(_shared(first, "p0"), "lists")
-    second = first.join(lists.select("node").distinct(), "node", "left_semi")
-    alive = cut(_shared(second, "p1").select("node").distinct(), "alive")
-    lists, found = cut_counted(lists.join(alive, "node", "left_semi"), "lists", rows=F.lit(True))
-    signs = cut(first.join(alive, "node", "left_semi").select("node", *(f"p{i}" for i in range(1, ORDERS + 1))), "prefixes")
-    wanted = alive.select(F.col("node").alias("doc_id"))
-    sets = cut(_stored_sets(docs, wanted, alive.count(), k), "sets")
+    first = signed_docs.select(F.col("doc_id").alias("node"), "n", "digest", "p0").join(classes, ["digest", "node"], "left_semi")
+    lists = cut(_shared(first.select("node", "p0"), "p0"), "lists")
+    alive, found = cut_counted(lists.select("node").distinct(), "alive", rows=F.lit(True))
+    signs = cut(other_prefixes(_of(texts, alive, found["rows"], "doc_id"), k, num, den), "prefixes")
+    alive, found = cut_counted(_shared(signs, "p1").select("node").distinct(), "alive", rows=F.lit(True))
+    sets = cut(_stored_sets(_of(texts, alive, found["rows"], "doc_id"), k), "sets")
+    sizes = signed_docs.select(F.col("doc_id").alias("node"), "n").join(alive, "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"))
+    lists, found = cut_counted(lists.join(sizes, "node"), "lists", rows=F.lit(True))
 
     links, labels, pivots = None, None, 1
     while found["rows"]:
@@ -167,14 +183,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         chosen = cut(chosen.select("token", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.label").alias("pivot_label")), "pivots")
         near = (F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num) & (F.col("label") != F.col("pivot_label")) & (F.col("node") != F.col("pivot"))
         pairs = current.join(chosen, "token").where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        one = signs.select(F.col("node").alias("a"), *(F.col(f"p{i}").alias(f"a{i}") for i in range(1, ORDERS + 1)))
-        two = signs.select(F.col("node").alias("b"), *(F.col(f"p{i}").alias(f"b{i}") for i in range(1, ORDERS + 1)))
-        pairs = pairs.join(one, "a").join(two, "b")
-        for i in range(1, ORDERS + 1):
-            pairs = pairs.where(F.arrays_overlap(f"a{i}", f"b{i}"))
-        pairs = cut(pairs.select("a", "b"), "pairs")
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("set_b")), "b")
-        new = cut(_linked(full.select("a", "b", "set_a", "set_b"), num, den).distinct(), "links")
+        pairs, found = cut_counted(pairs, "pairs", rows=F.lit(True))
+        pairs, found = cut_counted(_overlapping(pairs, signs, found["rows"]), "pairs", rows=F.lit(True))
+        new = cut(_linked(_with_both(pairs, sets, found["rows"], ["grams"]), num, den), "links")
         links = new if links is None else links.unionByName(new)
         labels = cut(components(links).withColumnRenamed("id", "node"), "labels")
         rest = current.drop("label").join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti")
@@ -185,13 +196,29 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     return _results(signed_docs, classes, links, labels)
 
 
-def _stored_sets(docs: DataFrame, wanted: DataFrame, rows: int, k: int) -> DataFrame:
+def _with_both(pairs: DataFrame, table: DataFrame, rows: int, names: list[str]) -> DataFrame:
+    """Pairs (a, b) with columns of both; ``table`` is first cut down to the pairs' ids."""
+    for side in ("a", "b"):
+        ids = pairs.select(F.col(side).alias("node")).distinct()
+        own = _of(table, ids, rows).select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in names))
+        pairs = pairs.join(own, side)
+    return pairs
+
+
+def _overlapping(pairs: DataFrame, signs: DataFrame, rows: int) -> DataFrame:
+    """The pairs that share prefix tokens under all other orders."""
+    joined = _with_both(pairs, signs, rows, [f"p{i + 1}" for i in range(ORDERS)])
+    for i in range(ORDERS):
+        joined = joined.where(F.arrays_overlap(f"p{i + 1}_a", f"p{i + 1}_b"))
+    return joined.select("a", "b").distinct()
+
+
+def _stored_sets(texts: DataFrame, k: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.tobytes() for s in _sets(batch.column("text"), k)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["node", "grams"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, rows), "doc_id", "left_semi")
     return texts.mapInArrow(make, "node long, grams binary")
 
 
