@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salvor.llm import chat, exact_dedup, jaccard, language, mixing, substrings, suffix_tree, toxicity
+from salvor.llm import chat, decontamination, exact_dedup, jaccard, language, licenses, mixing, substrings, suffix_tree, toxicity
 from salvor.llm.words import fold_of
 
 
@@ -88,6 +88,14 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.join(digests, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_mix_sources": op2_mix_sources,
@@ -97,4 +105,6 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_license_scan": op9_license_scan,
+    "op10_decontamination": op10_decontamination,
 }
