@@ -151,7 +151,8 @@ def _single_windows(segments: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["digest", "start", "one", "two", "copies"])
 
     rows = segments.mapInArrow(make, "digest binary, start int, one long, two long, copies long")
-    several = rows.groupBy("one", "two").agg(F.sum("copies").alias("copies")).where("copies > 1").select("one", "two")
+    # Written, so that the join has exchanges of its own and a very frequent window can be split.
+    several = cut(rows.groupBy("one", "two").agg(F.sum("copies").alias("copies")).where("copies > 1").select("one", "two"), "windows")
     found = rows.where("copies = 1").join(several, ["one", "two"], "left_semi")
     return found.groupBy("digest").agg(F.collect_list("start").alias("starts"))
 
