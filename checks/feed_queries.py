@@ -193,7 +193,14 @@ def secret_screen(spark, folder):
         F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("payload_id"),
         F.to_json(F.create_map(F.col("role"), F.col("text"))).alias("body"),
     )
-    return CT.secret_screen(events.unionByName(docs).unionByName(turns), "body", 'token = "')
+    # The same screen over bodies whose keys and values hold escapes.
+    escaped = table(spark, folder, "customer").select(
+        F.concat(F.lit("escaped-"), F.col("c_custkey").cast("string")).alias("payload_id"),
+        F.when(F.col("c_custkey") % 3 == 0, F.lit('{"\\u0074oken":"x"}'))
+        .when(F.col("c_custkey") % 3 == 1, F.lit('{"to\\u00e9ken":"x"}'))
+        .otherwise(F.concat(F.lit('{"note":"a \\u0074oken = \\" of '), F.col("c_name"), F.lit('"}'))).alias("body"),
+    )
+    return CT.secret_screen(events.unionByName(docs).unionByName(turns).unionByName(escaped), "body", 'token = "')
 
 
 def graph_diff(spark, folder):
@@ -219,11 +226,10 @@ def dangling_edges(spark, folder):
 
 
 def _closed_lineage(spark, folder):
-    """Customer, nation and region lineage closed by an edge from each region back to
-    its poorest customer; one request covers all of these assets."""
+    """The whole lineage closed by an edge from each region back to its poorest
+    customer; one request covers all assets."""
     customer, nation = table(spark, folder, "customer"), table(spark, folder, "nation")
     c = catalog(spark, folder)
-    upper = c.assets.filter(F.col("platform").isin("customer", "nation", "region"))
     back = (
         customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy("n_regionkey").agg(F.min(F.struct("c_acctbal", "c_custkey")).alias("c"))
@@ -232,14 +238,9 @@ def _closed_lineage(spark, folder):
             asset_urn("customer", F.col("c.c_custkey")).alias("downstream_urn"),
         )
     )
-    names = upper.select("urn")
-    inner = (
-        c.edges.join(names.withColumnRenamed("urn", "upstream_urn"), "upstream_urn", "left_semi")
-        .select("upstream_urn", "downstream_urn")
-        .unionByName(back)
-    )
-    graph = build_graph(upper, inner)
-    targets = upper.select(F.lit("all").alias("request_id"), "urn")
+    inner = c.edges.select("upstream_urn", "downstream_urn").unionByName(back)
+    graph = build_graph(c.assets, inner)
+    targets = c.assets.select(F.lit("all").alias("request_id"), "urn")
     parents = target_parents(targets, graph)
     _, stuck, _ = recovery_waves(targets, parents, graph)
     return core_of(stuck, parents, graph), parents, graph

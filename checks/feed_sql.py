@@ -121,7 +121,8 @@ SQL = {
     "SELECT 'event-' || event_id AS payload_id, CASE event_type WHEN 'purchase' THEN 'authorization' WHEN 'error' THEN 'setcookie' "
     "WHEN 'view' THEN 'apikey' ELSE '' END AS word, contains(props, 'token = \"') AS token_found FROM events UNION ALL "
     "SELECT 'doc-' || doc_id, CASE WHEN lang = 'es' THEN 'token' ELSE '' END, contains(text, 'token = \"') FROM documents UNION ALL "
-    "SELECT 'turn-' || conv_id || '-' || turn, '', contains(text, 'token = \"') FROM conversations) WHERE word <> '' OR token_found",
+    "SELECT 'turn-' || conv_id || '-' || turn, '', contains(text, 'token = \"') FROM conversations UNION ALL "
+    "SELECT 'escaped-' || c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'token' ELSE '' END, c_custkey % 3 = 2 FROM customer) WHERE word <> '' OR token_found",
     "graph_diff": "WITH oa AS (SELECT urn, sha256(" + ASSET_DOC + ") AS h FROM (SELECT * REPLACE ('low' AS risk) FROM ("
     + _span(assets(), _OLD) + "))), na AS (SELECT urn, sha256(" + ASSET_DOC + ") AS h FROM (" + _span(assets(), _NEW) + ")), "
     "oe AS (SELECT DISTINCT up, down FROM (" + _span(EDGES, _OLD) + ")), ne AS (SELECT DISTINCT up, down FROM (" + _span(EDGES, _NEW) + ")) "

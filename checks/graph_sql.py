@@ -165,6 +165,29 @@ def money(expr: str) -> str:
     return number(f"CAST(round_even(({expr}) * 100, 0) AS BIGINT)")
 
 
+def real_text(x: str) -> str:
+    """A double by its exact value: cents where it is a whole number of them, else digits and exponent."""
+    raw = f"upper(CAST(abs({x}) AS VARCHAR))"
+    mantissa = f"split_part({raw}, 'E', 1)"
+    power = f"CASE WHEN contains({raw}, 'E') THEN CAST(split_part({raw}, 'E', 2) AS INTEGER) ELSE 0 END"
+    after = f"CASE WHEN contains({mantissa}, '.') THEN length({mantissa}) - strpos({mantissa}, '.') ELSE 0 END"
+    digits = f"ltrim(replace({mantissa}, '.', ''), '0')"
+    kept = f"rtrim({digits}, '0')"
+    return (
+        f"CASE WHEN isnan({x}) THEN 'NaN' WHEN isinf({x}) THEN CASE WHEN {x} < 0 THEN '-Inf' ELSE 'Inf' END "
+        f"WHEN abs({x}) < 1e13 AND round_even({x} * 100, 0) / 100 = {x} THEN CAST(CAST(round_even({x} * 100, 0) AS BIGINT) AS VARCHAR) || 'c' "
+        f"ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END || {kept} || 'e' || (({power}) - ({after}) + length({digits}) - length({kept})) END"
+    )
+
+
+def real(expr: str) -> str:
+    return f"coalesce({real_text(f'CAST({expr} AS DOUBLE)')}, 'N')"
+
+
+def reals(expr: str) -> str:
+    return f"coalesce('[' || array_to_string(list_transform({expr}, lambda x: coalesce({real_text('CAST(x AS DOUBLE)')}, 'N')), ',') || ']', 'N')"
+
+
 def moment(expr: str) -> str:
     return number(f"epoch_us({expr})")
 
@@ -174,12 +197,12 @@ def digest(source: str, columns: dict[str, str]) -> str:
     row = " || '|' || ".join(columns.values())
     lanes = ", ".join(
         f"CAST(coalesce(sum(CAST(('0x' || substr(h, {at}, 15)) AS BIGINT)), 0) AS VARCHAR) AS lane{i}"
-        for i, at in enumerate((1, 16))
+        for i, at in enumerate((1, 16, 31, 46))
     )
     names = ",".join(columns)
     return (
         f"SELECT row_count, sha256('{names}' || '|' || row_count || '|' || "
-        f"concat_ws('|', lane0, lane1)) AS digest FROM ("
+        f"concat_ws('|', lane0, lane1, lane2, lane3)) AS digest FROM ("
         f"SELECT count(*) AS row_count, {lanes} FROM (SELECT sha256({row}) AS h FROM {source}))"
     )
 

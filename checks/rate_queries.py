@@ -34,7 +34,12 @@ def attempt_rate(spark, folder):
 
 
 def cooldown_gap(spark, folder):
-    return R.cooldown(table(spark, folder, "events"), "user_id", "ts", "event_id", 3600)
+    """An operation lasts as many minutes as its value; a day of rest follows."""
+    events = table(spark, folder, "events")
+    end = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.floor(F.col("value") * 60))
+    return R.cooldown(events.withColumn("finished", end), "user_id", "ts", "event_id", DAY, "finished").select(
+        F.col("user_id").cast("bigint").alias("user_id"), "event_id", "allowed", "retry_after"
+    )
 
 
 def token_events(events):
@@ -78,14 +83,14 @@ def stream_admission(spark, folder):
 
 
 def stream_confirmations(spark, folder):
-    """Uses that come before any issue of their token are unknown to the stream."""
     return guard.run_available(
         guard.stream_confirmations(token_events(_stream(spark, folder)), 10 * DAY), "stream-confirmations"
     )
 
 
 def stream_global_rate(spark, folder):
-    return guard.run_available(guard.stream_global_rate(_stream(spark, folder), "ts", limit=3), "stream-rate")
+    windows = guard.stream_global_rate(_stream(spark, folder), "ts", limit=3)
+    return guard.run_updates(windows, "stream-rate", ["window_start"])
 
 
 QUERIES = {

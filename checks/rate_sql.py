@@ -34,16 +34,13 @@ TOKENS = (
 )
 
 
-def confirmations(before: str) -> str:
-    """``before`` is the verdict of a use that precedes the issue of its token."""
-    return (
-        "WITH " + TOKENS + f", u AS (SELECT t.*, i.client AS ic, i.operation AS io, i.us AS ius, "
-        f"coalesce(t.us >= i.us AND t.us < i.us + {10 * DAY_US}, false) AS alive FROM t LEFT JOIN i USING (token) WHERE NOT issue), "
-        "f AS (SELECT *, row_number() OVER (PARTITION BY token, alive ORDER BY us, event_id) AS rn FROM u) "
-        "SELECT event_id AS use_id, token, CASE WHEN ius IS NULL THEN 'unknown_token' "
-        f"WHEN us < ius THEN '{before}' WHEN NOT alive THEN 'expired' WHEN rn > 1 THEN 'replayed' "
-        "WHEN client <> ic OR operation <> io THEN 'mismatch' ELSE 'valid' END AS verdict FROM f"
-    )
+CONFIRMATIONS = (
+    "WITH " + TOKENS + ", u AS (SELECT t.*, i.client AS ic, i.operation AS io, i.us AS ius, "
+    f"coalesce(t.us >= i.us AND t.us < i.us + {10 * DAY_US}, false) AS alive FROM t LEFT JOIN i USING (token) WHERE NOT issue), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY token, alive ORDER BY us, event_id) AS rn FROM u) "
+    "SELECT event_id AS use_id, token, CASE WHEN NOT alive THEN 'unknown_token' WHEN rn > 1 THEN 'replayed' "
+    "WHEN client <> ic OR operation <> io THEN 'mismatch' ELSE 'valid' END AS verdict FROM f"
+)
 
 
 RATE = (
@@ -60,12 +57,12 @@ SQL = {
     ) + "SELECT CAST(user_id AS VARCHAR) AS key, event_id AS tie, admitted FROM r WHERE rn > 0",
     "attempt_rate": "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN "
     f"{DAY_US - 1} PRECEDING AND CURRENT ROW) AS attempts FROM events",
-    "cooldown_gap": "SELECT user_id, event_id, gap AS gap_us, gap IS NULL OR gap >= 3600000000 AS allowed, CASE WHEN gap < 3600000000 "
-    "THEN CAST(ceil((3600000000 - gap) / 1000000.0) AS BIGINT) END AS retry_after FROM (SELECT user_id, event_id, epoch_us(ts) - "
-    "lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)",
-    "confirmation_match": confirmations("expired"),
-    "stream_confirmations": confirmations("unknown_token"),
+    "cooldown_gap": admission(1, "epoch_us(ts) + CAST(floor(value * 60) AS BIGINT) * 1000000 + 86400000000") + (
+        "SELECT user_id, event_id, admitted AS allowed, CASE WHEN NOT admitted THEN "
+        "greatest(1, CAST(ceil(wait / 1000000.0) AS BIGINT)) END AS retry_after FROM r WHERE rn > 0"
+    ),
+    "confirmation_match": CONFIRMATIONS,
+    "stream_confirmations": CONFIRMATIONS,
     "global_rate": RATE,
-    # A stream gives out a window once the watermark, ten minutes behind, has passed its end.
-    "stream_global_rate": RATE + " HAVING window_start + 600 <= (SELECT max(epoch_us(ts)) FROM events) / 1000000.0 - 600",
+    "stream_global_rate": RATE,
 }

@@ -101,15 +101,17 @@ SQL = {
     "WHEN absent THEN 'compiled from the canonical captured DataHub graph; live receipt is unavailable in this local run' "
     "ELSE 'live receipt is missing, invalidated, or stale for this graph' END AS detail FROM j",
     "writeback_outcomes": "WITH " + LEDGER + ", w AS (SELECT run_id, attempts AS n, verified_steps >= 2 OR status = 'completed' AS done FROM summary) "
-    "SELECT run_id, CASE WHEN NOT done THEN CASE WHEN n % 7 <> 0 THEN 'pending' ELSE 'not_configured' END WHEN n % 3 = 0 THEN 'verified' "
+    "SELECT run_id, CASE WHEN NOT done THEN CASE WHEN n % 3 = 0 THEN 'verified' WHEN n % 7 <> 0 THEN 'pending' ELSE 'not_configured' END WHEN n % 3 = 0 THEN 'verified' "
     "WHEN n % 7 = 0 THEN 'not_configured' WHEN n % 5 = 0 THEN 'failed' WHEN n % 2 = 0 THEN 'verified' ELSE 'failed' END AS outcome, "
-    f"CASE WHEN NOT done THEN CASE WHEN n % 7 <> 0 THEN 'supported writeback will run after local verification' ELSE '{ABSENT}' END "
+    f"CASE WHEN NOT done THEN CASE WHEN n % 3 = 0 THEN 'outcome so far: verified' WHEN n % 7 <> 0 THEN 'supported writeback will run after local verification' ELSE '{ABSENT}' END "
     f"WHEN n % 3 = 0 THEN '{VERIFIED}' WHEN n % 7 = 0 THEN 'local recovery verified; DATAHUB_TOKEN is absent so no live writeback was attempted' "
-    f"WHEN n % 5 = 0 THEN 'writeback failed closed: DataHubIntegrationError' WHEN n % 2 = 0 THEN '{VERIFIED}' "
+    f"WHEN n % 5 = 0 THEN 'writeback failed closed: CatalogError' WHEN n % 2 = 0 THEN '{VERIFIED}' "
     "ELSE 'writeback failed closed: WritebackVerificationError' END AS detail FROM w",
     "report_lines": REPORT,
-    "receipt_conflicts": "WITH i AS (SELECT 'conv-' || conv_id AS run_id, arg_max(text, turn) AS body FROM conversations GROUP BY 1), "
+    "receipt_conflicts": "WITH b AS (SELECT 'conv-' || conv_id AS run_id, arg_max(text, turn) AS body FROM conversations GROUP BY 1 UNION "
+    "SELECT 'conv-' || conv_id, arg_min(text, turn) FROM conversations WHERE conv_id % 4 = 0 GROUP BY 1), "
+    "i AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS bodies FROM b), "
     "s AS (SELECT 'conv-' || conv_id AS run_id, arg_max(text, turn) AS body FROM conversations WHERE role = 'assistant' GROUP BY 1) "
-    "SELECT i.run_id, sha256(i.body) AS receipt_sha256, CASE WHEN s.body IS NULL THEN 'new' WHEN s.body = i.body THEN 'identical' "
+    "SELECT i.run_id, sha256(i.body) AS receipt_sha256, CASE WHEN s.body IS NULL AND bodies > 1 THEN 'conflict' WHEN s.body IS NULL THEN 'new' WHEN s.body = i.body THEN 'identical' "
     "ELSE 'conflict' END AS verdict FROM i LEFT JOIN s USING (run_id)",
 }

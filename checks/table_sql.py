@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from checks.graph_sql import assets, digest, field, moment, money, number
+from checks.graph_sql import assets, digest, field, moment, number, real, reals
 
 AS_OF = "TIMESTAMP '1995-06-30'"
-RESTORED = f"SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS amount FROM orders WHERE o_orderdate <= {AS_OF}"
+STAGED = "SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS amount FROM orders"
+RESTORED = f"{STAGED} WHERE o_orderdate <= {AS_OF}"
 REVENUE = (
     "SELECT c_custkey AS customer_id, c_name AS customer_name, "
     "CAST(round(coalesce(sum(CAST(amount AS DECIMAL(28,6))), 0), 2) AS DOUBLE) AS total_revenue "
-    f"FROM customer LEFT JOIN ({RESTORED}) ON c_custkey = customer_id GROUP BY 1, 2"
+    f"FROM customer LEFT JOIN ({STAGED}) ON c_custkey = customer_id GROUP BY 1, 2"
 )
 REVENUE_COLS = {
     "customer_id": number("customer_id"), "customer_name": field("customer_name"),
-    "total_revenue": money("total_revenue"),
+    "total_revenue": real("total_revenue"),
 }
-ORDER_COLS = {"order_id": number("order_id"), "customer_id": number("customer_id"), "amount": money("amount")}
+ORDER_COLS = {"order_id": number("order_id"), "customer_id": number("customer_id"), "amount": real("amount")}
 FEATURE = (
     "SELECT customer_id, round(total_revenue, 2) AS lifetime_value, "
     f"CASE WHEN total_revenue >= 100 THEN 'high' ELSE 'standard' END AS value_band FROM ({REVENUE})"
 )
 FEATURE_COLS = {
-    "customer_id": number("customer_id"), "lifetime_value": money("lifetime_value"),
+    "customer_id": number("customer_id"), "lifetime_value": real("lifetime_value"),
     "value_band": field("value_band"),
 }
 
-_T, _M, _I, _N = field, money, moment, number
+_T, _M, _I, _N = field, real, moment, number
 COLUMNS = {
     "region": {"r_regionkey": _N, "r_name": _T},
     "nation": {"n_nationkey": _N, "n_name": _T, "n_regionkey": _N},
@@ -39,6 +40,7 @@ COLUMNS = {
                  "l_shipdate": _I},
     "events": {"event_id": _N, "ts": _I, "user_id": _N, "event_type": _T, "value": _M, "props": _T},
     "documents": {"doc_id": _N, "text": _T, "lang": _T, "source": _T, "n_chars": _N},
+    "embeddings": {"vec_id": _N, "embedding": reals, "label": _N},
     "pages": {"page_id": _N, "url": _T, "html": _T},
     "benchmark": {"item_id": _N, "text": _T},
     "labels": {"doc_id": _N, "quality": _N, "toxic": _N},
@@ -55,8 +57,8 @@ def _digest_of(name: str) -> str:
 
 
 _MADE = [
-    ("raw.orders", "restored_snapshot", digest(f"({RESTORED})", ORDER_COLS)),
-    ("analytics.stg_orders", "executed_sql_transform", digest(f"({RESTORED})", ORDER_COLS)),
+    ("raw.orders", "restored_snapshot", digest(f"({STAGED})", ORDER_COLS)),
+    ("analytics.stg_orders", "executed_sql_transform", digest(f"({STAGED})", ORDER_COLS)),
     ("analytics.customer_revenue", "executed_sql_transform", digest(f"({REVENUE})", REVENUE_COLS)),
 ]
 MATERIALIZE = " UNION ALL ".join(
@@ -82,35 +84,40 @@ def _table_fact(name: str) -> str:
     actual = f"(SELECT list(column_name) FROM (DESCRIBE SELECT * FROM {name}))"
     return (
         f"SELECT '{name}' AS target_urn, row_count, digest, CAST(NULL AS DOUBLE) AS least, "
-        f"{actual} = {EXPECTED[name]} AS same_schema, CAST(NULL AS VARCHAR) AS rule FROM ({_digest_of(name)})"
+        f"{actual} = {EXPECTED[name]} AS same_schema, CAST(NULL AS BIGINT) AS negative, CAST(NULL AS BIGINT) AS million FROM ({_digest_of(name)})"
     )
 
 
 VALIDATE_TABLES = (
     "WITH facts AS (" + " UNION ALL ".join(_table_fact(n) for n in EXPECTED)
     + f" UNION ALL SELECT 'revenue', row_count, digest, (SELECT min(total_revenue) FROM ({REVENUE})), NULL, "
-    f"'revenue_nonnegative' FROM ({digest(f'({REVENUE})', REVENUE_COLS)})), "
+    f"(SELECT count(*) FROM ({REVENUE}) WHERE NOT total_revenue >= 0), "
+    f"(SELECT count(*) FROM ({REVENUE}) WHERE NOT total_revenue < 1000000) FROM ({digest(f'({REVENUE})', REVENUE_COLS)})), "
     "claims AS (SELECT f.*, CASE WHEN target_urn = 'orders' THEN "
     f"(SELECT digest FROM ({digest(f'({RESTORED})', ORDER_COLS)})) ELSE digest END AS claimed FROM facts f), "
     "names AS (SELECT unnest(['orders','customer','part','events','documents','revenue','warehouse']) AS target_urn), "
     "specs AS (SELECT * FROM (VALUES (0,'exists',NULL,NULL,true),(1,'schema',NULL,NULL,true),(2,'row_count','1500',NULL,true),"
     "(3,'row_count','many',NULL,false),(4,'checksum',NULL,NULL,true),(5,'business_rule',NULL,'revenue_nonnegative',false),"
-    "(6,'business_rule',NULL,'other',false),(7,'tidiness',NULL,NULL,false)) s(pos, kind, minimum, rule_name, required)), "
+    "(6,'business_rule',NULL,'other',false),(7,'business_rule',NULL,'revenue_below_a_million',false),"
+    "(8,'tidiness',NULL,NULL,false)) s(pos, kind, minimum, rule_name, required)), "
     "j AS (SELECT n.target_urn, s.pos, s.kind, s.required, s.minimum, s.rule_name, c.row_count, c.digest, c.claimed, "
-    "c.least, c.same_schema, c.rule FROM names n CROSS JOIN specs s LEFT JOIN claims c USING (target_urn)), "
+    "c.least, c.same_schema, CASE rule_name WHEN 'revenue_nonnegative' THEN negative "
+    "WHEN 'revenue_below_a_million' THEN million END AS broken FROM names n CROSS JOIN specs s LEFT JOIN claims c USING (target_urn)), "
     "e AS (SELECT *, CASE WHEN kind = 'schema' AND same_schema IS NULL THEN 'KeyError' "
     "WHEN kind IN ('row_count','checksum') AND row_count IS NULL THEN 'KeyError' "
     "WHEN kind = 'row_count' AND minimum = 'many' THEN 'ValueError' "
-    "WHEN kind = 'business_rule' AND (row_count IS NULL OR rule IS DISTINCT FROM rule_name) THEN 'DemoEstateError' END AS err FROM j) "
+    "WHEN kind = 'business_rule' AND (row_count IS NULL OR broken IS NULL) THEN 'RuleNotRegistered' END AS err FROM j) "
     "SELECT target_urn, CAST(pos AS INTEGER) AS pos, kind, required, "
     "err IS NULL AND coalesce(CASE kind WHEN 'exists' THEN row_count IS NOT NULL WHEN 'schema' THEN same_schema "
     "WHEN 'row_count' THEN row_count >= TRY_CAST(minimum AS BIGINT) WHEN 'checksum' THEN digest = claimed "
-    "WHEN 'business_rule' THEN least >= 0 ELSE false END, false) AS passed, "
+    "WHEN 'business_rule' THEN broken = 0 ELSE false END, false) AS passed, "
     "CASE WHEN err IS NOT NULL THEN 'validation error: ' || err WHEN kind = 'exists' THEN "
     "CASE WHEN row_count IS NOT NULL THEN 'target exists' ELSE 'target is missing' END WHEN kind = 'schema' THEN "
     "CASE WHEN same_schema THEN 'schema matches' ELSE 'schema mismatch' END WHEN kind = 'row_count' THEN "
     "'row count ' || row_count || ' >= ' || minimum WHEN kind = 'checksum' THEN 'output checksum matches adapter evidence' "
-    "WHEN kind = 'business_rule' THEN 'all customer revenue values are nonnegative' "
+    "WHEN kind = 'business_rule' THEN CASE WHEN broken = 0 AND rule_name = 'revenue_nonnegative' THEN "
+    "'all customer revenue values are nonnegative' WHEN broken = 0 THEN 'no row breaks total_revenue < 1000000' "
+    "ELSE broken || ' rows break ' || rule_name END "
     "ELSE 'unsupported validation kind: ' || kind END AS detail FROM e"
 )
 
@@ -146,7 +153,8 @@ SQL = {
     "inline_values": "SELECT o_orderpriority AS priority, count(*) AS orders, CAST(count(*) * any_value(units) AS BIGINT) "
     "AS forecast_units FROM orders JOIN (VALUES ('1-URGENT', 42), ('2-HIGH', 17), ('3-MEDIUM', 11), "
     "('4-NOT SPECIFIED', 5), ('5-LOW', 3)) f(priority, units) ON o_orderpriority = f.priority GROUP BY 1",
-    "stg_orders": RESTORED,
+    "stg_orders": STAGED,
+    "restore_as_of": RESTORED,
     "customer_revenue": REVENUE,
     "customer_value_feature": f"SELECT f.*, d.digest AS input_fingerprint FROM ({FEATURE}) f, "
     f"({digest(f'({REVENUE})', REVENUE_COLS)}) d",
@@ -155,7 +163,8 @@ SQL = {
     f"CAST(round(sum(CAST(total_revenue AS DECIMAL(28,6))), 2) AS DOUBLE) AS total FROM ({REVENUE})) r, "
     f"({digest(f'({REVENUE})', REVENUE_COLS)}) d",
     "model_record": "SELECT 'models.churn_model' AS artifact, 'deterministic_demo_threshold' AS algorithm, "
-    "digest AS input_fingerprint, row_count AS trained_records, CAST(0.83 AS DOUBLE) AS accuracy "
+    "digest AS input_fingerprint, row_count AS trained_records, (SELECT avg(CAST((value_band = 'high') = (c_acctbal >= 0) AS INTEGER)) "
+    f"FROM ({FEATURE}) JOIN customer ON c_custkey = customer_id) AS accuracy "
     f"FROM ({digest(f'({FEATURE})', FEATURE_COLS)})",
     "table_fingerprint": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, row_count, digest FROM ({_digest_of(name)})" for name in COLUMNS

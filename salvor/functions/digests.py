@@ -1,4 +1,4 @@
-"""Content digests: a canonical form for small tables, an order-free form for large ones."""
+"""Content digests of tables, free of row order."""
 
 from __future__ import annotations
 
@@ -9,19 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salvor.functions.text import canonical_json, json_array, json_number, json_object, json_string
 
 # Hex positions of the 60-bit lanes cut from one SHA-256.
-LANES = (1, 16)
+LANES = (1, 16, 31, 46)
 # A lane is summed in pieces of 20 bits, which stay inside a bigint for 8e12 rows.
 PIECE_BITS, PIECES = 20, 3
-# The canonical form puts a whole table into one string, so it is for small tables.
-CANONICAL_ROWS = 100_000
-
-
-class TableTooLarge(ValueError):
-    """The canonical digest was asked for a table beyond its row limit."""
-
 
 def sha_prefix(text: Column, length: int) -> Column:
     return F.substring(F.sha2(text, 256), 1, length)
@@ -32,14 +24,46 @@ def cents(value: Column) -> Column:
     return F.rint(value * 100).cast("bigint")
 
 
+def real_text(value: Column) -> Column:
+    """A double as text, another one for every value; NaN is one value, -0.0 is 0.0.
+
+    A whole number of cents below 1e13 is written as such. Any other value is
+    written by its shortest decimal digits without zeros at the ends, and the
+    exponent of the last digit.
+    """
+    value = value.cast("double") + F.lit(0.0)
+    whole = F.rint(value * 100)
+    short = (F.abs(value) < 1e13) & (whole / 100 == value)
+    raw = F.upper(F.abs(value).cast("string"))
+    mantissa, power = F.substring_index(raw, "E", 1), F.when(raw.contains("E"), F.substring_index(raw, "E", -1)).otherwise("0")
+    point = F.instr(mantissa, ".")
+    after = F.when(point > 0, F.length(mantissa) - point).otherwise(0)
+    digits = F.ltrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0"))
+    kept = F.rtrim(digits, F.lit("0"))
+    exponent = power.try_cast("int") - after + F.length(digits) - F.length(kept)
+    long = F.concat(F.when(value < 0, "-").otherwise(""), kept, F.lit("e"), exponent.cast("string"))
+    return (
+        F.when(F.isnan(value), "NaN")
+        .when(F.abs(value) == float("inf"), F.when(value < 0, "-Inf").otherwise("Inf"))
+        .when(short, F.concat(whole.try_cast("bigint").cast("string"), F.lit("c")))
+        .otherwise(long)
+    )
+
+
 def field_text(value: Column, kind: str) -> Column:
     """A field as text that cannot be confused with its neighbours.
 
-    Numbers as they are, money as cents, time as epoch microseconds, anything else
-    with its length in bytes in front; ``N`` for null.
+    Whole numbers and decimals as they are, doubles by their exact value, time as
+    epoch microseconds, anything else with its length in bytes in front; ``N`` for
+    null. ``money`` rounds to cents, for columns that the caller names so.
     """
     if kind == "money":
         text = cents(value).cast("string")
+    elif kind == "real":
+        text = real_text(value)
+    elif kind == "reals":
+        items = F.transform(value, lambda x: F.coalesce(real_text(x), F.lit("N")))
+        text = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
     elif kind == "time":
         text = F.unix_micros(value.cast("timestamp")).cast("string")
     elif kind == "number":
@@ -53,9 +77,11 @@ def field_text(value: Column, kind: str) -> Column:
 def default_kinds(df: DataFrame) -> dict[str, str]:
     kinds = {}
     for field in df.schema.fields:
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            kinds[field.name] = "money"
-        elif isinstance(field.dataType, T.IntegralType):
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            kinds[field.name] = "real"
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, (T.DoubleType, T.FloatType)):
+            kinds[field.name] = "reals"
+        elif isinstance(field.dataType, (T.IntegralType, T.DecimalType)):
             kinds[field.name] = "number"
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             kinds[field.name] = "time"
@@ -130,51 +156,5 @@ def multiset_digest(
     return grouped.select(*(by or []), "row_count", combine_lanes(list(kinds)).alias("digest"))
 
 
-def canonical_table_digest(df: DataFrame, limit: int = CANONICAL_ROWS) -> DataFrame:
-    """SHA-256 over the table as one JSON document (sorted rows, UTF-8, final newline).
-
-    Raises ``TableTooLarge`` past ``limit`` rows; use ``multiset_digest`` there.
-    """
-    if df.limit(limit + 1).count() > limit:
-        raise TableTooLarge(f"canonical digest is limited to {limit} rows")
-    values = {}
-    for field in df.schema.fields:
-        col = F.col(f"r.{field.name}")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            values[field.name] = json_number(col)
-        elif isinstance(field.dataType, T.StringType):
-            values[field.name] = json_string(col)
-        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            stamp = col.cast("timestamp")
-            micros = F.date_format(stamp, ".SSSSSS")
-            values[field.name] = F.concat(
-                F.lit('"'),
-                F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"),
-                F.when(micros != ".000000", micros).otherwise(""),
-                F.lit('+00:00"'),
-            )
-        else:
-            values[field.name] = F.coalesce(col.cast("string"), F.lit("null"))
-    ordered = F.struct(
-        *[
-            part
-            for i, c in enumerate(df.columns)
-            for part in (F.col(c).isNull().alias(f"_n{i}"), F.col(c).alias(c))
-        ]
-    )
-    rows = df.select(ordered.alias("r")).select("r", json_object(values).alias("j"))
-    rows = rows.select("r", canonical_json(F.col("j"), False).alias("j"))
-    whole = rows.agg(F.sort_array(F.collect_list(F.struct("r", "j"))).alias("rows"))
-    schema = ",".join(f'"{c}"' for c in df.columns)
-    body = F.concat(
-        F.lit('{"rows":'),
-        json_array(F.transform("rows", lambda x: x["j"])),
-        F.lit(f',"schema":[{schema}]}}\n'),
-    )
-    return whole.select(
-        F.size("rows").cast("bigint").alias("row_count"), F.sha2(body, 256).alias("digest")
-    )
-
-
 def bytes_digest(content: Column) -> Column:
     return F.sha2(content, 256)

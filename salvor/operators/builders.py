@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salvor.functions.digests import CANONICAL_ROWS, TableTooLarge
-from salvor.functions.text import canonical_json, json_array, json_number, json_object, json_string
+from salvor.functions.text import json_number, json_object, json_string
 from salvor.sources.sinks import Materialized, TableStore
 
 # The constants written into the derived records.
 MODEL_ALGORITHM = "deterministic_demo_threshold"
-MODEL_ACCURACY = 0.83
 HIGH_VALUE = 100
 REUSED = "reused_verified_output"
 ACTIONS = {
@@ -73,43 +71,20 @@ def executive_revenue(revenue: DataFrame, fingerprint: str) -> DataFrame:
     )
 
 
-def churn_model(records: DataFrame, fingerprint: str) -> DataFrame:
+def churn_model(records: DataFrame, fingerprint: str, accuracy: Column) -> DataFrame:
+    """The record of a model; ``accuracy`` is what was measured, an aggregate over the
+    records or a literal."""
     return records.agg(
         F.lit("models.churn_model").alias("artifact"),
         F.lit(MODEL_ALGORITHM).alias("algorithm"),
         F.lit(fingerprint).alias("input_fingerprint"),
-        F.create_map(F.lit("accuracy"), F.lit(MODEL_ACCURACY)).alias("metrics"),
+        F.create_map(F.lit("accuracy"), accuracy.cast("double")).alias("metrics"),
         F.count(F.lit(1)).alias("trained_records"),
     )
 
 
-def feature_document(records: DataFrame, fingerprint: str, limit: int = CANONICAL_ROWS) -> DataFrame:
-    """All feature records as one JSON document; only for small tables."""
-    if records.limit(limit + 1).count() > limit:
-        raise TableTooLarge(f"a feature document is limited to {limit} records")
-    one = json_object(
-        {
-            "customer_id": json_string(F.col("customer_id")),
-            "lifetime_value": json_number(F.col("lifetime_value")),
-            "value_band": json_string(F.col("value_band")),
-        }
-    )
-    written = records.select("customer_id", one.alias("j"))
-    written = written.select("customer_id", canonical_json(F.col("j"), False).alias("j"))
-    ordered = F.sort_array(F.collect_list(F.struct("customer_id", "j")))
-    return written.agg(ordered.alias("rows")).select(
-        json_object(
-            {
-                "artifact": F.lit('"features.customer_value"'),
-                "input_fingerprint": json_string(F.lit(fingerprint)),
-                "records": json_array(F.transform("rows", lambda r: r["j"])),
-            }
-        ).alias("document")
-    )
-
-
 def feature_header(records: DataFrame, fingerprint: str, digest: str) -> DataFrame:
-    """The document of a large feature table: its records stay a table of their own."""
+    """The document of a feature table: its records stay a table of their own."""
     return records.agg(F.count(F.lit(1)).alias("n")).select(
         json_object(
             {
@@ -157,6 +132,8 @@ class Estate:
     store: TableStore
     orders: DataFrame
     customers: DataFrame
+    # Accuracy measured for the model; null where none was.
+    accuracy: float | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -179,24 +156,15 @@ class Estate:
     def build_customer_value(self) -> Materialized:
         revenue, fingerprint = self._revenue()
         records = customer_value(revenue)
-        if self.store.canonical:
-            document = feature_document(records, fingerprint)
-        else:
-            table = self.store.materialize("features.customer_value.records", records)
-            document = feature_header(self.store.read(table.table_name), fingerprint, table.digest)
+        table = self.store.materialize("features.customer_value.records", records)
+        document = feature_header(self.store.read(table.table_name), fingerprint, table.digest)
         return self.store.write_document("features.customer_value", document)
 
     def build_churn_model(self) -> Materialized:
         fingerprint = self.store.digest("features.customer_value")
-        if self.store.canonical:
-            feature = self.store.document("features.customer_value")
-            schema = "records array<struct<customer_id:string>>"
-            parsed = feature.select(F.from_json("value", schema).alias("f"))
-            records = parsed.select(F.explode("f.records"))
-        else:
-            records = self.store.read("features.customer_value.records")
+        records = self.store.read("features.customer_value.records")
         return self.store.write_document(
-            "models.churn_model", model_document(churn_model(records, fingerprint))
+            "models.churn_model", model_document(churn_model(records, fingerprint, F.lit(self.accuracy)))
         )
 
     def build_executive_revenue(self) -> Materialized:

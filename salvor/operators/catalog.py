@@ -381,19 +381,27 @@ def readiness(checks: DataFrame, keys: list[str]) -> DataFrame:
 _JSON_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?)'
 
 
+def _decoded(literal: Column) -> Column:
+    """The text of a JSON string literal; one without an escape is not parsed."""
+    plain = F.substr(literal, F.lit(2), F.length(literal) - 2)
+    parsed = F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>")
+    return F.when(literal.contains("\\"), F.coalesce(F.get(parsed, 0), plain)).otherwise(plain)
+
+
 def secret_screen(payloads: DataFrame, body: str, token: str | None = None) -> DataFrame:
-    """Payloads with a forbidden key, or with the token inside a string value."""
+    """Payloads with a forbidden key, or with the token inside a string value.
+
+    Keys and values are compared as decoded text, however they are escaped.
+    """
     strings = F.col("_strings")
     words = F.transform(
         F.filter(strings, lambda s: s.endswith(":")),
-        lambda s: F.regexp_replace(F.lower(s), "[^a-z]", ""),
+        lambda s: F.regexp_replace(F.lower(_decoded(F.regexp_replace(s, r"\s*:$", ""))), "[^a-z]", ""),
     )
     bad = F.array_sort(F.array_intersect(words, F.array(*[F.lit(k) for k in SECRET_KEYS])))
     leaked = F.lit(False)
     if token:
-        literal = json_string(F.lit(token))
-        needle = F.substring(literal, F.lit(2), F.length(literal) - 2)
-        leaked = F.exists(strings, lambda s: ~s.endswith(":") & s.contains(needle))
+        leaked = F.exists(strings, lambda s: ~s.endswith(":") & _decoded(s).contains(F.lit(token)))
     keep = [c for c in payloads.columns if c != body]
     found = F.struct(F.array_join(bad, ",").alias("forbidden_keys"), leaked.alias("token_found"))
     # A filter over the finding would be pushed below it and scan every text twice;

@@ -157,12 +157,14 @@ def writeback_outcomes(runs: DataFrame) -> DataFrame:
     """Outcome of the catalog write-back of every run.
 
     ``runs``: run_id, status, has_credential, previous (outcome so far),
-    marker_seen (null when nothing was written), failure (error type or null).
+    marker_seen (null when nothing was written), failure (error type or null). A run
+    that is not completed keeps the outcome it has.
     """
     done = F.col("status") == "completed"
+    stored = F.concat(F.lit("outcome so far: "), F.col("previous"))
     kept = F.col("previous") == "verified"
     outcome = (
-        F.when(~done, F.when(F.col("has_credential"), "pending").otherwise("not_configured"))
+        F.when(~done, F.coalesce("previous", F.when(F.col("has_credential"), "pending").otherwise("not_configured")))
         .when(F.coalesce(kept, F.lit(False)), "verified")
         .when(~F.col("has_credential"), "not_configured")
         .when(F.col("failure").isNotNull(), "failed")
@@ -170,7 +172,8 @@ def writeback_outcomes(runs: DataFrame) -> DataFrame:
         .otherwise("failed")
     )
     detail = (
-        F.when(~done, F.when(F.col("has_credential"), OUTCOME_TEXT["pending"]).otherwise(OUTCOME_TEXT["absent"]))
+        F.when(~done & F.col("previous").isNotNull(), stored)
+        .when(~done, F.when(F.col("has_credential"), OUTCOME_TEXT["pending"]).otherwise(OUTCOME_TEXT["absent"]))
         .when(F.coalesce(kept, F.lit(False)), OUTCOME_TEXT["verified"])
         .when(~F.col("has_credential"), OUTCOME_TEXT["not_configured"])
         .when(F.col("failure").isNotNull(), F.concat(F.lit("writeback failed closed: "), F.col("failure")))

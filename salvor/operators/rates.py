@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salvor.operators.skew import previous_in_key, running_sum
+from salvor.operators.skew import running_sum
 from salvor.runtime import cut
 
 # The default limits.
@@ -252,17 +252,22 @@ def attempt_rate(
 
 
 def cooldown(
-    events: DataFrame, key: str, at: str, tie: str, seconds: int = COOLDOWN_SECONDS
+    events: DataFrame, key: str, at: str, tie: str, seconds: int = COOLDOWN_SECONDS, finished: str | None = None
 ) -> DataFrame:
-    """Gap since the key's previous event and whether the cooldown had passed."""
-    rows = events.select(key, micros(F.col(at)).alias("at_us"), tie)
-    seen = previous_in_key(rows, key, "at_us", tie, "previous_us")
-    gap = F.col("at_us") - F.col("previous_us")
-    left = seconds * 1_000_000 - gap
-    return seen.select(
-        key, tie, gap.alias("gap_us"),
-        (F.col("previous_us").isNull() | (left <= 0)).alias("allowed"),
-        F.when(left > 0, F.ceil(left / 1_000_000)).alias("retry_after"),
+    """Whether each operation starts ``seconds`` or more after the last admitted one finished.
+
+    An operation that is refused holds nothing back. ``finished`` names the column
+    with the end of an operation (its start, where it is not given); so this is
+    admission with one place that is held until the end of the cooldown.
+    """
+    end = F.greatest(micros(F.col(finished)), micros(F.col(at))) if finished else micros(F.col(at))
+    rows = events.select(
+        F.col(key).cast("string").alias("key"), micros(F.col(at)).alias("at"), F.col(tie).alias("tie"), (end + seconds * 1_000_000).alias("until")
+    )
+    done = admit(rows, 1)
+    return done.select(
+        F.col("key").alias(key), F.col("tie").alias(tie), F.col("admitted").alias("allowed"),
+        F.when(~F.col("admitted"), retry_after(F.col("wait"))).alias("retry_after"),
     )
 
 
@@ -274,7 +279,8 @@ def match_confirmations(
     ``issues``: token (unique), client, operation, at; ``uses``: use_id, token,
     client, operation, at. A use is valid when it is the first one while the token
     lives (``issue <= use < issue + ttl``) and names the same client and operation;
-    the first use consumes the token even when it names others.
+    the first use consumes the token even when it names others. A token that is not
+    issued yet, or whose life is over, is as unknown as one that never was.
     """
     lives = issues.select(
         "token", F.col("client").alias("_client"), F.col("operation").alias("_operation"),
@@ -293,8 +299,7 @@ def match_confirmations(
     )
     same = (F.col("client") == F.col("_client")) & (F.col("operation") == F.col("_operation"))
     verdict = (
-        F.when(F.col("_issued").isNull(), "unknown_token")
-        .when(~F.col("_alive"), "expired")
+        F.when(~F.col("_alive"), "unknown_token")
         .when(F.col("_first").isNull(), "replayed")
         .when(~same, "mismatch")
         .otherwise("valid")

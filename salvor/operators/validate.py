@@ -16,6 +16,8 @@ from salvor.sources.documents import is_json_object, object_keys
 
 # Name of a business rule -> a predicate every row must meet, as SQL over the table.
 RULES: dict[str, str] = {"revenue_nonnegative": "total_revenue >= 0"}
+# What a check says about a rule; a rule without a text is described by its predicate.
+RULE_TEXTS: dict[str, str] = {"revenue_nonnegative": "all customer revenue values are nonnegative"}
 
 SPECS = (
     "target_urn string, kind string, parameters map<string,string>, required boolean"
@@ -35,13 +37,17 @@ def table_facts(
     df: DataFrame,
     target: str,
     expected_columns: list[str] | None = None,
-    rule: str | None = None,
+    rule: str | list[str] | None = None,
     measure: str | None = None,
     kinds: Mapping[str, str] | None = None,
     digest: bool = True,
     rules: Mapping[str, str] = RULES,
 ) -> DataFrame:
-    """All facts of one table from one pass: count, digest, least measure, rule breaks."""
+    """All facts of one table from one pass: count, digest, least measure, breaks of each rule.
+
+    ``rule_breaks`` maps each declared rule to the rows that break it or give null.
+    """
+    named = [rule] if isinstance(rule, str) else list(rule or [])
     kinds = dict(kinds or default_kinds(df))
     aggs = [F.count(F.lit(1)).alias("row_count")]
     source = df
@@ -50,8 +56,7 @@ def table_facts(
         aggs += lane_sums()
     if measure:
         aggs.append(F.min(F.col(measure).cast("double")).alias("least"))
-    broken = ~F.coalesce(F.expr(rules[rule]), F.lit(False)) if rule else F.lit(False)
-    aggs.append(F.count_if(broken).alias("rule_breaks"))
+    aggs += [F.count_if(~F.coalesce(F.expr(rules[name]), F.lit(False))).alias(f"_rule{i}") for i, name in enumerate(named)]
     one = source.agg(*aggs)
     expected = F.array(*[F.lit(c) for c in expected_columns]) if expected_columns else None
     return one.select(
@@ -62,11 +67,16 @@ def table_facts(
         "row_count",
         (combine_lanes(list(kinds)) if digest else F.lit(None).cast("string")).alias("digest"),
         (F.col("least") if measure else F.lit(None).cast("double")).alias("least"),
-        "rule_breaks",
-        F.lit(rule).cast("string").alias("rule"),
+        _text_map({name: F.col(f"_rule{i}") for i, name in enumerate(named)}, "bigint").alias("rule_breaks"),
+        _text_map({name: F.lit(RULE_TEXTS.get(name, f"no row breaks {rules[name]}")) for name in named}, "string").alias("rule_texts"),
     )
 
 
+def _text_map(items: Mapping[str, Column], kind: str) -> Column:
+    pairs = [x for name, value in items.items() for x in (F.lit(name), value)]
+    return F.create_map(*pairs).cast(f"map<string,{kind}>")
+
+
 def text_number(value: Column, places: int) -> Column:
     """Fixed notation, rounded half to even on the exact binary value."""
     return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
@@ -76,13 +86,15 @@ def evaluate(specs: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
     """Judge every check. Missing facts fail the check and never the job.
 
     ``facts`` has one row per ``target_urn`` with any of: present, columns,
-    expected_columns, row_count, digest, claimed_digest, rule, least, document,
-    modified_at, input_digest. Specs keep their other columns.
+    expected_columns, row_count, digest, claimed_digest, rule_breaks, rule_texts,
+    least, document, modified_at, input_digest. A business rule passes when the
+    table has rows and none of them breaks it. Specs keep their other columns.
     """
     have = set(facts.columns)
     types = {
         "present": "boolean", "columns": "array<string>", "expected_columns": "array<string>",
-        "row_count": "bigint", "digest": "string", "claimed_digest": "string", "rule": "string",
+        "row_count": "bigint", "digest": "string", "claimed_digest": "string",
+        "rule_breaks": "map<string,bigint>", "rule_texts": "map<string,string>",
         "least": "double", "document": "string", "modified_at": "timestamp", "input_digest": "string",
     }
     full = facts.select(
@@ -104,14 +116,16 @@ def evaluate(specs: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
     stored_input = F.get_json_object("document", "$.input_fingerprint")
     is_object = is_json_object(F.col("document"))
 
+    breaks = F.try_element_at("rule_breaks", p("rule"))
+
     # kind -> (error or null, passed, detail, evidence)
     table = F.col("row_count").isNull()
     error = (
         F.when((kind == "schema") & F.col("expected_columns").isNull(), "KeyError")
         .when(kind.isin("row_count", "checksum") & table, "KeyError")
         .when((kind == "row_count") & p("minimum").isNotNull() & p("minimum").try_cast("bigint").isNull(), "ValueError")
-        .when((kind == "business_rule") & (F.col("row_count").isNull() | ~p("rule").eqNullSafe(F.col("rule"))), "DemoEstateError")
-        .when((kind == "business_rule") & F.col("least").isNull(), "ValueError")
+        .when((kind == "business_rule") & (F.col("row_count").isNull() | breaks.isNull()), "RuleNotRegistered")
+        .when((kind == "business_rule") & (F.col("row_count") == 0), "ValueError")
         .when((kind == "freshness") & F.col("modified_at").isNull(), "FileNotFoundError")
         .when((kind == "freshness") & p("maximum_age_seconds").isNull(), "KeyError")
         .when((kind == "freshness") & max_age.isNull(), "ValueError")
@@ -127,7 +141,7 @@ def evaluate(specs: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
         .when(kind == "schema", F.col("columns") == F.col("expected_columns"))
         .when(kind == "row_count", F.col("row_count") >= least_rows)
         .when(kind == "checksum", F.col("digest") == F.col("claimed_digest"))
-        .when(kind == "business_rule", F.col("least") >= 0)
+        .when(kind == "business_rule", breaks == 0)
         .when(kind == "freshness", age <= max_age)
         .when(kind == "artifact_load", F.size(F.json_object_keys("document")) > 0)
         .when(kind == "metric_threshold", metric_value >= metric_floor)
@@ -139,7 +153,11 @@ def evaluate(specs: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
         .when(kind == "schema", F.when(passed, "schema matches").otherwise("schema mismatch"))
         .when(kind == "row_count", F.concat(F.lit("row count "), F.col("row_count").cast("string"), F.lit(" >= "), least_rows.cast("string")))
         .when(kind == "checksum", F.lit("output checksum matches adapter evidence"))
-        .when(kind == "business_rule", F.lit("all customer revenue values are nonnegative"))
+        .when(
+            kind == "business_rule",
+            F.when(passed, F.try_element_at("rule_texts", p("rule")))
+            .otherwise(F.concat(breaks.cast("string"), F.lit(" rows break "), p("rule"))),
+        )
         .when(kind == "freshness", F.concat(F.lit("artifact age "), text_number(age, 3), F.lit("s <= "), text_number(max_age, 3), F.lit("s")))
         .when(kind == "artifact_load", F.lit("artifact loaded as JSON object"))
         .when(kind == "metric_threshold", F.concat(p("metric"), F.lit(" "), text_number(metric_value, 2), F.lit(" >= "), text_number(metric_floor, 2)))
@@ -151,7 +169,7 @@ def evaluate(specs: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
         .when(kind == "schema", F.create_map(F.lit("actual"), F.array_join("columns", ","), F.lit("expected"), F.array_join("expected_columns", ",")))
         .when(kind == "row_count", F.create_map(F.lit("actual"), F.col("row_count").cast("string"), F.lit("minimum"), least_rows.cast("string")))
         .when(kind == "checksum", F.create_map(F.lit("actual_sha256"), F.col("digest"), F.lit("adapter_sha256"), F.col("claimed_digest")))
-        .when(kind == "business_rule", F.create_map(F.lit("minimum_revenue"), F.col("least").cast("string"), F.lit("rule"), p("rule")))
+        .when(kind == "business_rule", F.create_map(F.lit("minimum_revenue"), F.col("least").cast("string"), F.lit("rows_broken"), breaks.cast("string"), F.lit("rule"), p("rule")))
         .when(kind == "freshness", F.create_map(F.lit("age_seconds"), age.cast("string"), F.lit("maximum_age_seconds"), max_age.cast("string")))
         .when(kind == "artifact_load", F.create_map(F.lit("keys"), F.array_join(object_keys(F.col("document")), ",")))
         .when(kind == "metric_threshold", F.create_map(F.lit("metric"), p("metric"), F.lit("actual"), metric_value.cast("string"), F.lit("minimum"), metric_floor.cast("string")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salvor.functions.digests import CANONICAL_ROWS, TableTooLarge, multiset_digest, sha_prefix
+from salvor.functions.digests import multiset_digest, sha_prefix
 from salvor.functions.text import canonical_json, json_array, json_bool, json_object, json_string
 
 # Fixed value: part of every plan identifier.
@@ -56,29 +56,6 @@ def edge_json() -> Column:
     )
 
 
-def canonical_graph_digest(
-    assets: DataFrame, edges: DataFrame, source_instance: str, limit: int = CANONICAL_ROWS
-) -> DataFrame:
-    """SHA-256 over the whole catalog as one JSON document; small catalogs only."""
-    n_assets, n_edges = assets.limit(limit + 1).count(), edges.limit(limit + 1).count()
-    if max(n_assets, n_edges) > limit:
-        raise TableTooLarge(f"canonical catalog digest is limited to {limit} assets or edges")
-    a = assets.select("urn", asset_json().alias("j")).select("urn", canonical_json(F.col("j"), True).alias("j"))
-    a = a.agg(F.sort_array(F.collect_list(F.struct("urn", "j"))).alias("a"))
-    pairs = ["upstream_urn", "downstream_urn"]
-    e = edges.select(*pairs, edge_json().alias("j")).select(*pairs, canonical_json(F.col("j"), True).alias("j"))
-    e = e.agg(F.sort_array(F.collect_list(F.struct(*pairs, "j"))).alias("e"))
-    body = json_object(
-        {
-            "assets": json_array(F.transform("a", lambda r: r["j"])),
-            "edges": json_array(F.transform("e", lambda r: r["j"])),
-            "source_instance": canonical_json(json_string(F.lit(source_instance)), True),
-        }
-    )
-    # One row on either side.
-    return a.join(F.broadcast(e), F.lit(True)).select(F.sha2(body, 256).alias("fingerprint"))
-
-
 def graph_digest(assets: DataFrame, edges: DataFrame, source_instance: str) -> DataFrame:
     """Order-free catalog digest: one aggregation over assets and one over edges."""
     a = assets.select(

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from salvor.functions.digests import (
-    canonical_table_digest,
     default_kinds,
     digest_from_sums,
     lane_sums,
+    multiset_digest,
     with_lanes,
 )
 
@@ -47,8 +47,8 @@ class TableStore:
     never see half a table and a failed job leaves the old version in place.
     """
 
-    def __init__(self, spark: SparkSession, root: str, canonical: bool = False) -> None:
-        self.spark, self.root, self.canonical = spark, root.rstrip("/"), canonical
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
         self._log = f"{self.root}/_pointers"
         self._known: dict[str, Row] | None = None
         spark.createDataFrame([], POINTERS).write.mode("append").parquet(self._log)
@@ -97,10 +97,6 @@ class TableStore:
     def _stage(self, df: DataFrame, path: str, kinds: dict[str, str]) -> tuple[str, int]:
         """Write ``df`` and hash its rows while they are written."""
         writer = lambda d: d.write.option("compression", "zstd").parquet(path)
-        if self.canonical:
-            writer(df)
-            row = canonical_table_digest(self.spark.read.schema(df.schema).parquet(path)).first()
-            return row["digest"], row["row_count"]
         seen = Observation()
         lanes = with_lanes(df, kinds).observe(seen, F.count(F.lit(1)).alias("row_count"), *lane_sums())
         writer(lanes.select(*df.columns))
@@ -111,15 +107,19 @@ class TableStore:
     ) -> Materialized:
         """Make ``df`` the content of ``table`` unless it already is.
 
-        The query runs once: its result is staged as the next version and hashed in
-        the same pass, and only becomes current when the digest is new.
+        Where there is a current version, the digest is taken first and nothing is
+        written if it is the same. Else the result is staged as the next version and
+        hashed in the same pass.
         """
+        kinds = kinds or default_kinds(df)
+        current = self._pointer(table)
+        if current is not None and current["path"] is not None:
+            row = multiset_digest(df, kinds).first()
+            if row["digest"] == current["digest"]:
+                return Materialized(table, row["digest"], False, row["row_count"], current["path"])
         version = uuid.uuid4().hex
         path = f"{self.root}/{table}/{version}"
-        digest, rows = self._stage(df, path, kinds or default_kinds(df))
-        current = self._pointer(table)
-        if current is not None and current["path"] is not None and current["digest"] == digest:
-            return Materialized(table, digest, False, rows, current["path"])
+        digest, rows = self._stage(df, path, kinds)
         self._point(table, version, path, digest, rows, df.schema.json())
         return Materialized(table, digest, True, rows, path)
 
@@ -154,13 +154,18 @@ def receipt_verdicts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Compare receipts with stored ones by run: ``new``, ``identical`` or ``conflict``.
 
     Both sides have ``run_id`` and ``body``; ``stored`` holds one row per run.
+    Receipts of one run with equal bodies are one receipt; different bodies for a
+    run that has none stored are all in conflict, as none of them was first.
     """
     seen = stored.select("run_id", F.sha2("body", 256).alias("stored_sha256"))
-    digest = F.sha2("body", 256)
-    return incoming.join(seen, "run_id", "left").select(
+    digest = F.col("receipt_sha256")
+    once = incoming.select("run_id", F.sha2("body", 256).alias("receipt_sha256")).distinct()
+    bodies = once.groupBy("run_id").agg(F.count(F.lit(1)).alias("bodies"))
+    return once.join(bodies, "run_id").join(seen, "run_id", "left").select(
         "run_id",
-        digest.alias("receipt_sha256"),
-        F.when(F.col("stored_sha256").isNull(), "new")
+        "receipt_sha256",
+        F.when(F.col("stored_sha256").isNull() & (F.col("bodies") > 1), "conflict")
+        .when(F.col("stored_sha256").isNull(), "new")
         .when(F.col("stored_sha256") == digest, "identical")
         .otherwise("conflict")
         .alias("verdict"),
@@ -171,6 +176,7 @@ def append_new_receipts(incoming: DataFrame, stored: DataFrame, path: str) -> Da
     """Append receipts of runs that have none yet; returns all verdicts."""
     verdicts = receipt_verdicts(incoming, stored)
     fresh = incoming.join(verdicts.filter("verdict = 'new'").select("run_id"), "run_id", "left_semi")
+    fresh = fresh.groupBy("run_id").agg(*[F.first(c).alias(c) for c in incoming.columns if c != "run_id"]).select(incoming.columns)
     fresh.write.mode("append").parquet(path)
     return verdicts
 

@@ -105,10 +105,8 @@ def stream_confirmations(
                 if issued is None:
                     issued, client, operation = int(row.at), row.client, row.operation
                 continue
-            if issued is None:
+            if issued is None or not issued <= row.at < issued + span:
                 verdict = "unknown_token"
-            elif not issued <= row.at < issued + span:
-                verdict = "expired"
             elif used:
                 verdict = "replayed"
             else:
@@ -140,16 +138,15 @@ def stream_global_rate(
     events: DataFrame, at: str, limit: int = GLOBAL_LIMIT, window_seconds: int = WINDOW_SECONDS,
     slide_seconds: int = 60, late: str = "10 minutes",
 ) -> DataFrame:
-    """Events per sliding window with a watermark.
+    """Events per sliding window with a watermark, to be run in update mode.
 
-    Rows are counted per slide and only the counts are copied into windows, in two
-    chained aggregations.
+    Every trigger gives the counts that changed (``run_updates`` keeps the last
+    of each window), so windows that are still open when the input ends are there.
     """
     stamped = events.select(F.col(at).cast("timestamp").alias("ts")).withWatermark("ts", late)
-    slides = stamped.groupBy(F.window("ts", f"{slide_seconds} seconds")).agg(F.count(F.lit(1)).alias("n"))
-    windows = slides.groupBy(
-        F.window(F.window_time("window"), f"{window_seconds} seconds", f"{slide_seconds} seconds")
-    ).agg(F.sum("n").alias("events"))
+    windows = stamped.groupBy(F.window("ts", f"{window_seconds} seconds", f"{slide_seconds} seconds")).agg(
+        F.count(F.lit(1)).alias("events")
+    )
     return windows.select(
         F.unix_seconds("window.start").alias("window_start"), "events",
         (F.col("events") > limit).alias("over_limit"),
@@ -170,3 +167,26 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Run a stream in update mode over all input that is there now; the last row of each key."""
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+
+    def append(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(out)
+
+    query = (
+        stream.writeStream.foreachBatch(append)
+        .outputMode("update")
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    found = spark.read.schema(f"{schema}, _batch bigint").parquet(out)
+    values = [c for c in stream.columns if c not in keys]
+    last = F.max_by(F.struct(*values), "_batch").alias("v")
+    return found.groupBy(*keys).agg(last).select(*keys, "v.*")
