@@ -24,21 +24,21 @@ def results(spark, specs, facts, schema):
 
 
 def test_table_checks(spark):
-    schema = "target_urn string, present boolean, columns array<string>, expected_columns array<string>, row_count bigint, digest string, claimed_digest string, rule string, least double"
-    rule = {"rule": "revenue_nonnegative"}
-    ok = (True, ["a"], ["a"], 3, "d", "d", "revenue_nonnegative", 0.0)
+    schema = "target_urn string, present boolean, columns array<string>, expected_columns array<string>, row_count bigint, digest string, claimed_digest string, rule_breaks map<string,bigint>, rule_texts map<string,string>"
+    rule = {"rule": "cheap"}
+    ok = (True, ["a"], ["a"], 3, "d", "d", {"cheap": 0}, {"cheap": "all is cheap"})
     got = results(
         spark,
         [("exists", {}), ("exists", {}), ("schema", {}), ("schema", {}), ("row_count", {}), ("row_count", {"minimum": "4"}),
          ("checksum", {}), ("business_rule", rule), ("business_rule", rule)],
         [ok, (False, *ok[1:]), ok, (True, ["a", "b"], ["b", "a"], *ok[3:]), ok[:3] + (0, *ok[4:]), ok, ok[:5] + ("e", *ok[6:]),
-         ok, ok[:7] + (None,)],
+         ok, (*ok[:6], {"cheap": 2, "other": 0}, ok[7])],
         schema,
     )
     assert got == [
         (True, "target exists"), (False, "target is missing"), (True, "schema matches"), (False, "schema mismatch"),
         (True, "row count 0 >= 0"), (False, "row count 3 >= 4"), (False, "output checksum matches adapter evidence"),
-        (True, "all customer revenue values are nonnegative"), (False, "validation error: ValueError"),
+        (True, "all is cheap"), (False, "2 rows break cheap"),
     ]
 
 
@@ -68,15 +68,15 @@ def test_checks_follow_plan_steps_and_gate(spark, tmp_path):
     _, assets, _ = read_snapshots(spark, X.write(tmp_path / "s.json", X.document()))
     steps = assets.select(F.lit("p").alias("plan_id"), F.col("urn").alias("step_id"), F.col("urn").alias("target_urn"), "validations")
     specs = V.step_specs(steps)
-    assert specs.count() == 3
-    table = spark.createDataFrame([(1, 2.0)], "k int, total_revenue double")
-    facts = V.table_facts(table, X.urn("raw.sales"), ["k", "total_revenue"], "revenue_nonnegative", "total_revenue")
+    assert specs.count() == 4
+    table = spark.createDataFrame([(1, 2.0), (2, 9.0), (3, 0.5)], "k int, total_revenue double")
+    facts = V.table_facts(table, X.urn("feed.tides"), ["k"], "revenue_nonnegative", "total_revenue")
     judged = V.evaluate(specs, facts, F.lit(NOW))
     gate = {r["step_id"]: (r["passed"], r["failed_required"]) for r in V.gate(judged, ["step_id"]).collect()}
-    assert gate[X.urn("raw.sales")] == (True, "")
-    assert gate[X.urn("mart.sales")] == (True, "")  # its only check failed, but is not required
+    assert gate[X.urn("feed.tides")] == (True, "")  # its schema differs, but that is not required
+    assert gate[X.urn("slot.plan")] == (True, "")
     report = V.rule_report(table, {"positive": "total_revenue > 5", "any": "k IS NOT NULL"})
-    assert {r["rule"]: (r["rows_broken"], r["passed"]) for r in report.collect()} == {"positive": (1, False), "any": (0, True)}
+    assert {r["rule"]: (r["rows_broken"], r["passed"]) for r in report.collect()} == {"positive": (2, False), "any": (0, True)}
 
 
 def events(spark, rows):
@@ -152,32 +152,32 @@ def test_aspect_feed_and_upserts(spark, tmp_path):
     _, assets, edges = read_snapshots(spark, X.write(tmp_path / "s.json", X.document()))
     feed = CT.aspect_feed(assets, edges, NAMES)
     controls = CT.control_aspects(spark, NAMES, "Shop", "shop-managed", "shop-verified")
-    # 3 controls, 4 per asset, 1 owner, 5 assets with upstreams
-    assert feed.unionByName(controls).count() == 3 + 4 * 8 + 1 + 5
-    props = feed.filter((F.col("aspect_name") == "datasetProperties") & (F.col("entity_urn") == X.urn("raw.sales")))
+    # 3 controls, 4 per asset, 2 owners, 7 assets with upstreams
+    assert feed.unionByName(controls).count() == 3 + 4 * 12 + 2 + 7
+    props = feed.filter((F.col("aspect_name") == "datasetProperties") & (F.col("entity_urn") == X.urn("feed.tides")))
     doc = props.select(F.from_json("document", "customProperties map<string,string>, name string").alias("d")).first()["d"]
-    assert doc["customProperties"]["shop.adapter_parameters"] == '{"ratio":0.5,"table":"raw.sales"}'
-    assert doc["customProperties"]["shop.requires_approval"] == "true" and doc["name"] == "raw.sales"
-    assert CT.lineage_items(edges).count() == 6
+    assert doc["customProperties"]["shop.adapter_parameters"] == '{"share":0.25,"table":"feed.tides"}'
+    assert doc["customProperties"]["shop.requires_approval"] == "true" and doc["name"] == "feed.tides"
+    assert CT.lineage_items(edges).count() == 12
 
     seeded = feed.withColumn("seq", F.lit(1).cast("bigint"))
     gone = CT.soft_delete(assets, F.lit(2).cast("bigint"))
     assert CT.active_assets(CT.latest_aspects(seeded.unionByName(gone))).count() == 0
     back = feed.withColumn("seq", F.lit(3).cast("bigint"))
-    assert CT.active_assets(CT.latest_aspects(seeded.unionByName(gone).unionByName(back))).count() == 8
+    assert CT.active_assets(CT.latest_aspects(seeded.unionByName(gone).unionByName(back))).count() == 12
 
-    target = spark.createDataFrame([(X.urn("mart.totals"), "run-1", 4)], "target_urn string, run_id string, seq bigint")
+    target = spark.createDataFrame([(X.urn("yard.load"), "run-1", 4)], "target_urn string, run_id string, seq bigint")
     marked = CT.latest_aspects(seeded.unionByName(CT.writeback(target, NAMES)))
     assert CT.verify_writeback(target, marked, NAMES).first()["verified"] is True
     overwritten = marked.unionByName(feed.withColumn("seq", F.lit(9).cast("bigint")))
     assert CT.verify_writeback(target, CT.latest_aspects(overwritten), NAMES).first()["verified"] is False
 
     wrong = spark.createDataFrame(
-        [(X.urn("mart.totals"), "r", 1), (X.urn("nowhere"), "r", 1), ("urn:x", "r", 1), (X.urn("mart.totals"), "a b", 1)],
+        [(X.urn("yard.load"), "r", 1), (X.urn("nowhere"), "r", 1), ("urn:x", "r", 1), (X.urn("yard.load"), "a b", 1)],
         "target_urn string, run_id string, seq bigint",
     )
     refused = {(r["target_urn"], r["reason"]) for r in CT.writeback_refusals(wrong, assets, Scope(X.PREFIX, X.DOMAIN, X.TAG)).collect()}
-    assert refused == {(X.urn("nowhere"), "absent_from_catalog"), ("urn:x", "outside_namespace"), (X.urn("mart.totals"), "invalid_run_id")}
+    assert refused == {(X.urn("nowhere"), "absent_from_catalog"), ("urn:x", "outside_namespace"), (X.urn("yard.load"), "invalid_run_id")}
 
 
 def test_lineage_proof_reports_the_missing_edge(spark):
@@ -237,9 +237,9 @@ def test_reset_invalidates_evidence_first(spark):
 def test_graph_diff(spark, tmp_path):
     read = lambda name, doc: read_snapshots(spark, X.write(tmp_path / name, doc))[1:]
     old = read("a.json", X.document())
-    changed = [a | {"risk": "high"} if a["display_name"] == "stock.plan" else a for a in X.base_assets()][1:]
+    changed = [a | {"risk": "high"} if a["display_name"] == "crew.rota" else a for a in X.base_assets()][1:]
     new = read("b.json", X.document(changed, X.base_edges()[1:]))
     got = {(r["item"], r["urn"], r["change"]) for r in CT.graph_diff(old[0], new[0], old[1], new[1]).collect()}
     assert got == {
-        ("asset", X.urn("raw.sales"), "removed"), ("asset", X.urn("stock.plan"), "changed"), ("edge", X.urn("raw.sales"), "removed"),
+        ("asset", X.urn("feed.tides"), "removed"), ("asset", X.urn("crew.rota"), "changed"), ("edge", X.urn("feed.tides"), "removed"),
     }
