@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salvor.operators.skew import HUB_ROWS, MAX_HUBS, Hubs, find_hubs
-from salvor.runtime import cut, cut_counted, small, union_all
+from salvor.runtime import Pile, cut, cut_bucketed, cut_counted, small, union_all
 
 
 @dataclass(frozen=True)
 class LineageGraph:
     assets: DataFrame
-    # upstream_urn, downstream_urn, up_slot, down_slot, up_availability, down_known
+    # upstream_urn, downstream_urn, up_slot, down_slot, up_availability, down_known;
+    # dealt by the upstream end, and once more by the downstream end
     links: DataFrame
+    links_by_child: DataFrame
     up_hubs: Hubs
     down_hubs: Hubs
 
@@ -29,6 +31,10 @@ class LineageGraph:
         """Links whose two ends are both assets."""
         return self.links.filter(F.col("up_availability").isNotNull() & F.col("down_known"))
 
+    @property
+    def known_by_child(self) -> DataFrame:
+        return self.links_by_child.filter(F.col("up_availability").isNotNull() & F.col("down_known"))
+
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """One row per (upstream, downstream); duplicates collapse."""
@@ -62,7 +68,9 @@ def build_graph(
         .join(tails, ["downstream_urn", "down_slot"], "left")
         .withColumn("down_known", F.coalesce("down_known", F.lit(False)))
     )
-    return LineageGraph(assets, cut(links, "links"), up, down)
+    links = cut_bucketed(links, "links", ["upstream_urn", "up_slot"], n["all"])
+    by_child = cut_bucketed(links, "links_by_child", ["downstream_urn", "down_slot"], n["all"])
+    return LineageGraph(assets, links, by_child, up, down)
 
 
 def dangling_edges(graph: LineageGraph) -> DataFrame:
@@ -115,7 +123,8 @@ def blast_radius(seeds: DataFrame, graph: LineageGraph) -> DataFrame:
         all=F.lit(True),
         going=going,
     )
-    levels, total = [level], n["all"]
+    seen, distance = Pile("reach"), 0
+    seen.add(level, n["all"])
     while n["going"]:
         step = graph.up_hubs.spread(level.filter(going).drop("distance"), "urn", "slot")
         reached = (
@@ -123,18 +132,16 @@ def blast_radius(seeds: DataFrame, graph: LineageGraph) -> DataFrame:
             .groupBy("request_id", F.col("downstream_urn").alias("urn"))
             .agg(F.max("max_depth").alias("max_depth"))
         )
-        seen = small(union_all(levels).select("request_id", "urn"), total)
+        distance += 1
+        known = small(seen.all().select("request_id", "urn"), seen.rows)
         level, n = cut_counted(
-            reached.join(seen, ["request_id", "urn"], "left_anti").withColumn(
-                "distance", F.lit(len(levels))
-            ),
+            reached.join(known, ["request_id", "urn"], "left_anti").withColumn("distance", F.lit(distance)),
             "reach",
             all=F.lit(True),
             going=going,
         )
-        levels.append(level)
-        total += n["all"]
-    return _gather(levels, "reach").select("request_id", "urn", "distance")
+        seen.add(level, n["all"])
+    return seen.all().select("request_id", "urn", "distance")
 
 
 def prerequisite_closure(targets: DataFrame, graph: LineageGraph) -> DataFrame:
@@ -142,14 +149,12 @@ def prerequisite_closure(targets: DataFrame, graph: LineageGraph) -> DataFrame:
 
     Added rows have no distance and do not expand downstream again.
     """
-    lost = cut(
-        graph.known.filter(F.col("up_availability") == "unavailable").select(
-            F.col("downstream_urn").alias("urn"), F.col("down_slot").alias("slot"), "upstream_urn"
-        ),
-        "lost",
+    lost = graph.known_by_child.filter(F.col("up_availability") == "unavailable").select(
+        F.col("downstream_urn").alias("urn"), F.col("down_slot").alias("slot"), "upstream_urn"
     )
     frontier, n = cut_counted(targets.select("request_id", "urn", "distance"), "closure", all=F.lit(True))
-    parts, total = [frontier], n["all"]
+    found = Pile("closure")
+    found.add(frontier, n["all"])
     while n["all"]:
         step = graph.down_hubs.spread(frontier.select("request_id", "urn"), "urn", "slot")
         pulled = (
@@ -157,13 +162,13 @@ def prerequisite_closure(targets: DataFrame, graph: LineageGraph) -> DataFrame:
             .groupBy("request_id", F.col("upstream_urn").alias("urn"))
             .agg(F.lit(None).cast("int").alias("distance"))
         )
-        seen = small(union_all(parts).select("request_id", "urn"), total)
+        known = small(found.all().select("request_id", "urn"), found.rows)
         frontier, n = cut_counted(
-            pulled.join(seen, ["request_id", "urn"], "left_anti"), "closure", all=F.lit(True)
+            pulled.join(known, ["request_id", "urn"], "left_anti"), "closure", all=F.lit(True)
         )
-        parts.append(frontier)
-        total += n["all"]
-    return _gather(parts, "targets")
+        if n["all"]:
+            found.add(frontier, n["all"])
+    return found.all()
 
 
 def target_parents(targets: DataFrame, graph: LineageGraph) -> DataFrame:
@@ -174,7 +179,7 @@ def target_parents(targets: DataFrame, graph: LineageGraph) -> DataFrame:
     """
     at_child = graph.down_hubs.spread(targets.select("request_id", "urn"), "urn", "slot")
     parents = (
-        graph.known.withColumnRenamed("downstream_urn", "urn")
+        graph.known_by_child.withColumnRenamed("downstream_urn", "urn")
         .withColumnRenamed("down_slot", "slot")
         .join(at_child, ["urn", "slot"])
         .select("request_id", "urn", "upstream_urn", "up_slot", "up_availability")

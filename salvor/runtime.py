@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # A broadcast side is at most this many narrow rows (about 100 bytes each).
 BROADCAST_ROWS = 500_000
+# Rows of a bucket, about.
+BUCKET_ROWS = 2_000_000
 
 
 def build_session(app: str = "salvor", master: str | None = None, **conf) -> SparkSession:
@@ -65,6 +67,45 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_bucketed(df: DataFrame, label: str, columns: list[str], rows: int) -> DataFrame:
+    """``cut`` into files dealt by ``columns``.
+
+    A join on these columns reads the table as it lies and shuffles only the other
+    side. The table's files are in the shared folder; its name is for this session.
+    """
+    spark = df.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+    name = f"{label}_{uuid.uuid4().hex}"
+    # One task per bucket, so that a bucket is one file and not one per task.
+    dealt = df.repartition(buckets, *columns).write.option("compression", "zstd")
+    dealt.bucketBy(buckets, *columns).sortBy(*columns).option("path", scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
+class Pile:
+    """Tables that are added one at a time and read together.
+
+    Two neighbours are rewritten as one when the later has as many rows, so a pile
+    of n tables is read from a logarithmic number of them and each row is rewritten
+    a logarithmic number of times.
+    """
+
+    def __init__(self, label: str) -> None:
+        self.label, self.parts, self.rows = label, [], 0
+
+    def add(self, df: DataFrame, rows: int) -> None:
+        self.rows += rows
+        self.parts.append((df, rows))
+        whole, total, taken = df, rows, 1
+        while taken < len(self.parts) and total >= self.parts[-taken - 1][1]:
+            whole, total, taken = self.parts[-taken - 1][0].unionByName(whole), self.parts[-taken - 1][1] + total, taken + 1
+        if taken > 1:
+            self.parts[-taken:] = [(cut(whole, self.label), total)]
+
+    def all(self) -> DataFrame:
+        return union_all([df for df, _ in self.parts])
+
+
 def cut_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """``cut`` that also counts rows while they are written, without another job.
 
