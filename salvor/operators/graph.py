@@ -68,8 +68,11 @@ def build_graph(
         .join(tails, ["downstream_urn", "down_slot"], "left")
         .withColumn("down_known", F.coalesce("down_known", F.lit(False)))
     )
-    links = cut_bucketed(links, "links", ["upstream_urn", "up_slot"], n["all"])
-    by_child = cut_bucketed(links, "links_by_child", ["downstream_urn", "down_slot"], n["all"])
+    # Without hubs all slots are 0 and joins use the name alone.
+    by_up = ["upstream_urn", "up_slot"] if up.widest > 1 else ["upstream_urn"]
+    by_down = ["downstream_urn", "down_slot"] if down.widest > 1 else ["downstream_urn"]
+    links = cut_bucketed(links, "links", by_up, n["all"])
+    by_child = cut_bucketed(links, "links_by_child", by_down, n["all"])
     return LineageGraph(assets, links, by_child, up, down)
 
 
