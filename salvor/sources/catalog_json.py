@@ -1,9 +1,10 @@
-"""Catalog snapshots stored as nested JSON documents."""
+"""Catalog snapshots as nested JSON documents, or as lines of assets and edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 _VALIDATION = "struct<kind:string,parameters:variant,required:boolean>"
 _ASSET = (
@@ -45,9 +46,14 @@ def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         .withColumn("snapshot_id", F.col("_metadata.file_path"))
     )
     snapshots = docs.select("snapshot_id", "source_instance", "captured_at")
-    a = docs.select("snapshot_id", F.explode("assets").alias("a"))
-    assets = a.select(
-        "snapshot_id", "a.urn", "a.display_name", "a.artifact_type", "a.platform", "a.domain",
+    assets = _assets(docs.select("snapshot_id", F.explode("assets").alias("a")), "snapshot_id")
+    edges = _edges(docs.select("snapshot_id", F.explode("edges").alias("e")), "snapshot_id")
+    return snapshots, assets, edges
+
+
+def _assets(a: DataFrame, *keys: str) -> DataFrame:
+    return a.select(
+        *keys, "a.urn", "a.display_name", "a.artifact_type", "a.platform", "a.domain",
         "a.tags", F.coalesce("a.availability", F.lit("unknown")).alias("availability"),
         "a.owner", "a.adapter",
         F.from_json(_text(F.col("a.adapter_parameters")), "map<string,string>").alias("adapter_parameters"),
@@ -64,9 +70,11 @@ def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         F.coalesce("a.risk", F.lit("low")).alias("risk"),
         F.coalesce("a.requires_approval", F.lit(False)).alias("requires_approval"),
     )
-    e = docs.select("snapshot_id", F.explode("edges").alias("e"))
-    edges = e.select(
-        "snapshot_id", "e.upstream_urn", "e.downstream_urn",
+
+
+def _edges(e: DataFrame, *keys: str) -> DataFrame:
+    return e.select(
+        *keys, "e.upstream_urn", "e.downstream_urn",
         F.struct(
             F.coalesce("e.evidence.source", F.lit("datahub_mcp")).alias("source"),
             F.coalesce("e.evidence.tool", F.lit("get_lineage")).alias("tool"),
@@ -74,7 +82,26 @@ def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
             F.col("e.evidence.downstream_urn").alias("downstream_urn"),
         ).alias("evidence"),
     )
-    return snapshots, assets, edges
+
+
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(DataType.fromDDL(schema)).option("mode", "FAILFAST").json(path)
+
+
+def read_asset_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Assets stored as one JSON object per line; files of any size are read in splits."""
+    rows = _lines(spark, path, _ASSET)
+    return _assets(rows.select(F.struct(*rows.columns).alias("a")))
+
+
+def read_edge_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Edges stored as one JSON object per line."""
+    rows = _lines(spark, path, _EDGE)
+    return _edges(rows.select(F.struct(*rows.columns).alias("e")))
+
+
+def write_edge_rows(edges: DataFrame, path: str) -> None:
+    edges.select("upstream_urn", "downstream_urn", "evidence").write.mode("append").json(path)
 
 
 def extra_keys(spark: SparkSession, path: str) -> DataFrame:
