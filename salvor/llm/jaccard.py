@@ -86,20 +86,23 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray)
 
 
 def other_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """node and its prefixes p1, p2 in the orders of scrambled hashes."""
+    """node, n and its prefixes p1, p2 in the orders of scrambled hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+            sizes, prefixes = [], [[] for _ in range(ORDERS)]
             for found in _sets(batch.column("text"), k):
                 n = len(found)
                 most = _prefix_length(n, num, den) if n else 0
+                sizes.append(n)
                 for i in range(ORDERS):
-                    low = np.argpartition(mix(found, 31 + i), most - 1)[:most] if 0 < most < n else np.arange(most)
-                    prefixes[i].append(signed(found[low]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(list_array, prefixes)], ["node", *(f"p{i + 1}" for i in range(ORDERS))])
+                    keys = mix(found, 31 + i)
+                    low = np.argpartition(keys, most - 1)[:most] if 0 < most < n else np.arange(most)
+                    prefixes[i].append(signed(found[low[np.argsort(keys[low])]]))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), *map(list_array, prefixes)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", *(f"p{i + 1}" for i in range(ORDERS))])
 
-    return docs.mapInArrow(sign, "node long, " + ", ".join(f"p{i + 1} array<long>" for i in range(ORDERS)))
+    return docs.mapInArrow(sign, "node long, n long, " + ", ".join(f"p{i + 1} array<long>" for i in range(ORDERS)))
 
 
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -117,16 +120,25 @@ def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    return pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long").distinct()
+    return pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long")
+
 
+def _shared(rows: DataFrame, name: str, num: int, den: int) -> DataFrame:
+    """(token, node, n, pos) of prefix ``name`` for tokens that several nodes have.
 
-def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """(token, node) of prefix ``name`` for tokens that several nodes have."""
+    What two sets have in common cannot come before their first shared token, so
+    a row at place ``pos`` of n tokens leads to an overlap of n - pos at most. Rows
+    that could not link even with the smallest set of the token's list are left out.
+    """
     spark = rows.sparkSession
-    # Dealt by token once, for the count and for the join.
-    lists = rows.select(F.explode(name).alias("token"), "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-    several = lists.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("token")
-    return lists.join(several, "token", "left_semi")
+    # Dealt by token once, for the sums and for the join.
+    lists = rows.select("node", "n", F.posexplode(name).alias("pos", "token")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+    several = lists.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min("n").alias("least_n")).where("least < most")
+    other = F.greatest(F.col("least_n") * den, F.col("n") * num)
+    enough = (F.col("n") - F.col("pos")) * (num + den) * den >= num * (F.col("n") * den + other)
+    kept = cut(lists.join(several.select("token", "least_n"), "token").where(enough).select("token", "node", "n", "pos"), "lists")
+    several = kept.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("token")
+    return kept.join(several, "token", "left_semi")
 
 
 def _of(table: DataFrame, ids: DataFrame, rows: int, column: str = "node") -> DataFrame:
@@ -143,17 +155,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     1. Texts with equal sets form a class; only one of each goes on.
     2. Under each of three global orders (by a frequency sketch, and two
-       scrambled hashes) linked sets share one of their first tokens. A class
-       goes on only if it shares tokens with others under the first order, and
-       then under the second.
+       scrambled hashes) linked sets share one of their first tokens, early
+       enough to leave room for the overlap. A class goes on only if it shares
+       tokens with others under the first order, and then under the second.
     3. For every token of the first order, pivots are compared with the token's
-       other classes that are of similar size and not yet in the same component;
+       other classes that are of similar size, can still have the overlap behind
+       the token, and are not yet in the same component;
        pairs must also share prefix tokens under the other orders, and then
-       their whole sets are compared. Each round has four times as many pivots
+       their whole sets are compared. Each round has sixteen times as many pivots
        in a list (chosen per hash bucket), all pivots leave their list, and
        lists within one component end. So every pair of a list is either
        compared or already connected, and a large group of copies costs a few
-       comparisons per copy, not one per pair.
+       comparisons per copy, not one per pair. Between rounds components are
+       known by one step of labels; they are worked out once at the end.
 
     Null and empty texts have an empty set and link with nothing; a text of
     fewer than k words has one shingle, its whole sequence. A row with a null
@@ -165,44 +179,54 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     classes = signed_docs.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     classes = cut(classes, "classes")
     first = signed_docs.select(F.col("doc_id").alias("node"), "n", "digest", "p0").join(classes, ["digest", "node"], "left_semi")
-    lists = cut(_shared(first.select("node", "p0"), "p0"), "lists")
+    lists = cut(_shared(first, "p0", num, den), "lists")
     alive, found = cut_counted(lists.select("node").distinct(), "alive", rows=F.lit(True))
     signs = cut(other_prefixes(_of(texts, alive, found["rows"], "doc_id"), k, num, den), "prefixes")
-    alive, found = cut_counted(_shared(signs, "p1").select("node").distinct(), "alive", rows=F.lit(True))
+    alive, found = cut_counted(_shared(signs, "p1", num, den).select("node").distinct(), "alive", rows=F.lit(True))
     sets = cut(_stored_sets(_of(texts, alive, found["rows"], "doc_id"), k), "sets")
-    sizes = signed_docs.select(F.col("doc_id").alias("node"), "n").join(alive, "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"))
-    lists, found = cut_counted(lists.join(sizes, "node"), "lists", rows=F.lit(True))
+    lists, found = cut_counted(_of(lists, alive, found["rows"]), "lists", rows=F.lit(True))
 
-    links, labels, pivots = None, None, 1
+    links, pivots = None, 4
+    lists = lists.withColumn("label", F.col("node"))
     while found["rows"]:
-        # A pivot is the least of the nodes of its list that share a hash bucket.
+        # A pivot is the first of the nodes of its list that share a hash bucket.
         bucket = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        current = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        current = cut(current, "current")
-        chosen = current.groupBy("token", bucket.alias("bucket")).agg(F.min_by(F.struct("node", "n", "label"), F.struct(F.xxhash64("node"), "node")).alias("pivot"))
-        chosen = cut(chosen.select("token", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.label").alias("pivot_label")), "pivots")
-        near = (F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num) & (F.col("label") != F.col("pivot_label")) & (F.col("node") != F.col("pivot"))
-        pairs = current.join(chosen, "token").where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        chosen = lists.groupBy("token", bucket.alias("bucket")).agg(F.min_by(F.struct("node", "n", "pos", "label"), F.struct(F.xxhash64("node"), "node")).alias("pivot"))
+        chosen = cut(chosen.select("token", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.pos").alias("pivot_pos"), F.col("pivot.label").alias("pivot_label")), "pivots")
+        overlap = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos"))
+        near = (overlap * (num + den) >= (F.col("n") + F.col("pivot_n")) * num) & (F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num)
+        near = near & (F.col("label") != F.col("pivot_label")) & (F.col("node") != F.col("pivot"))
+        pairs = lists.join(chosen, "token").where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs, found = cut_counted(pairs, "pairs", rows=F.lit(True))
         pairs, found = cut_counted(_overlapping(pairs, signs, found["rows"]), "pairs", rows=F.lit(True))
         new = cut(_linked(_with_both(pairs, sets, found["rows"], ["grams"]), num, den), "links")
         links = new if links is None else links.unionByName(new)
-        labels = cut(components(links).withColumnRenamed("id", "node"), "labels")
-        rest = current.drop("label").join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti")
-        tagged = rest.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        mixed = tagged.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
-        lists, found = cut_counted(tagged.select("token", "node", "n").join(mixed, "token", "left_semi"), "lists", rows=F.lit(True))
-        pivots *= 4
-    return _results(signed_docs, classes, links, labels)
+        labels, named = cut_counted(_labels(links), "labels", rows=F.lit(True))
+        rest = lists.drop("label").join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti")
+        rest = rest.join(small(labels, named["rows"]), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = rest.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
+        lists, found = cut_counted(rest.select("token", "node", "n", "pos", "label").join(mixed, "token", "left_semi"), "lists", rows=F.lit(True))
+        pivots *= 16
+    return _results(signed_docs, classes, links)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the first in hash order of a node and the nodes it is linked with.
+
+    Equal labels mean one component. Nodes of one component may still differ; that
+    costs a comparison and changes no result.
+    """
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = ends.select(F.col("a").alias("node"), F.explode(F.array("a", "b")).alias("other"))
+    return ends.groupBy("node").agg(F.min_by("other", F.struct(F.xxhash64("other"), "other")).alias("label"))
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, rows: int, names: list[str]) -> DataFrame:
-    """Pairs (a, b) with columns of both; ``table`` is first cut down to the pairs' ids."""
-    for side in ("a", "b"):
-        ids = pairs.select(F.col(side).alias("node")).distinct()
-        own = _of(table, ids, rows).select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in names))
-        pairs = pairs.join(own, side)
-    return pairs
+    """Pairs (a, b) with columns of both; of ``table`` only the pairs' ids are moved."""
+    one = table.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in names)).join(small(pairs, rows), "a")
+    two = table.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in names))
+    two = two.join(small(pairs.select("b"), rows), "b", "left_semi")
+    return one.join(two, "b")
 
 
 def _overlapping(pairs: DataFrame, signs: DataFrame, rows: int) -> DataFrame:
@@ -222,15 +246,18 @@ def _stored_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(make, "node long, grams binary")
 
 
-def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> DataFrame:
+def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None) -> DataFrame:
     rows = signed_docs.select("doc_id", F.col("n").alias("n_shingles"), "digest")
     if links is None:
         classes = classes.select("digest", "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("n_links"))
     else:
+        links = cut(links.distinct(), "links")
+        roots = components(links).withColumnRenamed("id", "node")
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         degrees = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-        classes = classes.join(labels, "node", "left").join(degrees, "node", "left")
+        classes = classes.join(roots, "node", "left").join(degrees, "node", "left")
         classes = classes.select("digest", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = cut(classes, "classes")
     linked = F.col("n_shingles") > 0
     alone = rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     found = rows.where(linked).join(classes, "digest", "left")
