@@ -18,10 +18,11 @@ from salvor.runtime import cut, cut_counted, small
 
 # Labelled rows that the classifier is fitted on, at most (expected number).
 SAMPLE = 16_000
-# Shares of the sample: the first learns the lexicon, the second the trees, the rest the calibration.
-LEXICON_SHARE, TREE_SHARE = 0.45, 0.4
+# Share of the sample that the trees are fitted on; the rest is for the calibration.
+TREE_SHARE = 0.85
 PREFIXES = (4, 5, 6, 8)
-LEXICON_SIZE, LEAST_TOXIC_TEXTS = 4096, 4
+# A term of the lexicon occurs in so many toxic texts, and in this share of them, at least.
+LEXICON_SIZE, LEAST_TOXIC_TEXTS, LEAST_TOXIC_SHARE = 4096, 3, 0.005
 NEAR = 4
 # Words that insult, and words that address the reader.
 INSULTS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "dumb", "fool", "jerk", "garbage", "imbecile", "hate", "kill", "shut", "ugly", "freak")
@@ -153,9 +154,12 @@ class Scorer:
         self.known, self.weights, self.trees, self.curve, self.rate = known, weights, trees, curve, rate
 
 
-def _lexicon(texts: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
+def _lexicon(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The terms with the greatest log odds between toxic and clean texts."""
-    found = _presences(texts.where("label = 1"), None).where(F.col("texts") >= LEAST_TOXIC_TEXTS)
+    rows = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = rows.get(1, 0), rows.get(0, 0)
+    least = max(LEAST_TOXIC_TEXTS, int(toxic * LEAST_TOXIC_SHARE))
+    found = _presences(texts.where("label = 1"), None).where(F.col("texts") >= least)
     found = found.orderBy(F.desc("texts"), "term").limit(LEXICON_SIZE * 16).collect()
     terms = np.array([r["term"] for r in found], np.int64).view(np.uint64)
     counts = {r["term"]: r["texts"] for r in _presences(texts.where("label = 0"), np.sort(terms)).collect()}
@@ -176,8 +180,9 @@ def fit_toxicity(rows: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Scorer
     """Fit on rows of (doc_id, text, label 0 or 1); null labels are left out.
 
     At most about ``sample`` rows are used, those with the smallest id hashes;
-    this bounds the lexicon, the trees and the calibration. Without rows of
-    both labels the scorer is the rate of label 1.
+    this bounds the lexicon, the trees and the calibration. The trees see each
+    half of the sample with the lexicon of the other half; the scorer has that of
+    both. Without rows of both labels the scorer is the rate of label 1.
     """
     rows = rows.where("label in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     total = rows.count()
@@ -187,16 +192,18 @@ def fit_toxicity(rows: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Scorer
     none = np.zeros(0, np.uint64), np.zeros(0)
     if not found["toxic"] or not found["clean"]:
         return Scorer(*none, rate=float(found["toxic"] > 0))
-    known, weights = _lexicon(drawn.where(F.col("part") < LEXICON_SHARE), found["toxic"], found["clean"])
-    made = features(drawn.where(F.col("part") >= LEXICON_SHARE), known, weights)
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    one, two = drawn.where(half == 0), drawn.where(half == 1)
+    made = features(one, *_lexicon(two)).unionByName(features(two, *_lexicon(one)))
+    known, weights = _lexicon(drawn)
     made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(made)
     made = cut(made.select("features", F.col("label").cast("double").alias("label"), "part", "doc_id"), "features")
-    fitted = made.where(F.col("part") < LEXICON_SHARE + TREE_SHARE)
+    fitted = made.where(F.col("part") < TREE_SHARE)
     kinds = {r["label"] for r in fitted.select("label").distinct().collect()}
     if len(kinds) < 2:
         return Scorer(known, weights, rate=found["toxic"] / (found["toxic"] + found["clean"]))
     trees = GBTClassifier(maxIter=25, maxDepth=4, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=seed).fit(fitted.coalesce(4))
-    rest = made.where(F.col("part") >= LEXICON_SHARE + TREE_SHARE)
+    rest = made.where(F.col("part") >= TREE_SHARE)
     rest = _raw(trees.transform(rest)).select("raw", "label")
     curve = None
     if len(rest.select("label").distinct().collect()) == 2:
