@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salvor.llm.words import lower_ascii, pieces
-from salvor.runtime import cut
+from salvor.runtime import cut, cut_counted, small
 
 BUCKETS = 4096
 CENTROIDS = 3
@@ -97,9 +97,9 @@ def fit_languages(rows: DataFrame, sample: int = SAMPLE_A_LANGUAGE, k: int = CEN
     if not seen[-1]:
         return None
     idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1).astype(np.float32)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes, found = cut_counted(rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("n")), "languages", rows=F.lit(True))
     share = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id"), 11) / F.lit(float(1 << 53))
-    drawn = rows.join(sizes.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang")).where(share < F.lit(float(sample)) / F.col("n"))
+    drawn = rows.join(small(sizes, found["rows"]), F.col("lang") == F.col("_lang")).where(share < F.lit(float(sample)) / F.col("n"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
