@@ -127,7 +127,9 @@ def test_pipeline_stages(spark, tmp_path):
     kept = stages["decontamination"](spark, kept, str(tmp_path))
     gone = set(left) - {r.doc_id for r in kept.collect()}
     assert kept.columns == docs.columns
-    assert all(rows[3][1] in left[i] for i in gone) and {i for i, t in left.items() if t == rows[3][1]} <= gone
+    item = set(brute.words(rows[3][1]))
+    alike = {i for i, t in left.items() if len(item & set(brute.words(t))) >= 0.6 * len(item)}
+    assert {i for i, t in left.items() if rows[3][1] in t} <= gone <= alike
     mixed = stages["mixing"](spark, kept, str(tmp_path)).collect()
     assert {r.doc_id for r in mixed} == set(left) - gone
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mixed)
