@@ -216,11 +216,11 @@ def graph_diff(spark, folder):
 
 def dangling_edges(spark, folder):
     """The lineage still names orders that a point-in-time catalog does not have."""
-    from salvor.operators.graph import dangling_edges as dangling
+    from salvor.operators.graph import dangling_pairs
 
     old = F.col("o_orderdate") <= F.lit("1998-06-30").cast("timestamp_ntz")
-    graph = build_graph(assets(spark, folder, orders_where=old), catalog(spark, folder).edges)
-    return dangling(graph).select(
+    found = dangling_pairs(assets(spark, folder, orders_where=old), catalog(spark, folder).edges)
+    return found.select(
         "upstream_urn", "downstream_urn", F.array_join("missing_urns", ",").alias("missing_urns")
     )
 

@@ -91,6 +91,18 @@ def dangling_edges(graph: LineageGraph) -> DataFrame:
     )
 
 
+def dangling_pairs(assets: DataFrame, edges: DataFrame) -> DataFrame:
+    """``dangling_edges`` straight from edges and assets, by an anti join for either end."""
+    pairs = edges.select("upstream_urn", "downstream_urn").distinct()
+    lost = None
+    for side, end in enumerate(("upstream_urn", "downstream_urn")):
+        one = pairs.join(assets.select(F.col("urn").alias(end)), end, "left_anti")
+        one = one.select("upstream_urn", "downstream_urn", F.struct(F.lit(side).alias("side"), F.col(end).alias("urn")).alias("missing"))
+        lost = one if lost is None else lost.unionByName(one)
+    both = lost.groupBy("upstream_urn", "downstream_urn").agg(F.sort_array(F.collect_list("missing")).alias("missing"))
+    return both.select("upstream_urn", "downstream_urn", F.transform("missing", lambda m: m["urn"]).alias("missing_urns"))
+
+
 def lineage_roots(edges: DataFrame) -> DataFrame:
     return edges.select("upstream_urn").distinct()
 

@@ -256,6 +256,6 @@ def report_lines(
 
 
 def write_report(lines: DataFrame, path: str, parts: int) -> None:
-    """Text of all runs, range-partitioned so that a long report spans several files."""
+    """Text of all runs with its order, range-partitioned so that a long report spans several files."""
     order = ["run_id", "section", "pos", "sub"]
-    lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("run_id", "line").write.parquet(path)
+    lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order, "line").write.parquet(path)

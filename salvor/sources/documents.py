@@ -39,11 +39,12 @@ def artifact_payload(artifacts: DataFrame, path_suffix: str, schema: str) -> Dat
 
 
 def newest_change(spark: SparkSession, path: str) -> DataFrame:
-    """The latest file change time below a Parquet path."""
-    files = spark.read.parquet(path).select(
-        F.col("_metadata.file_modification_time").alias("modified_at")
-    )
-    return files.agg(F.max("modified_at").alias("modified_at"))
+    """The latest file change time below a Parquet path, from the list of its files.
+
+    One row per file; contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg(F.max("modificationTime").alias("modified_at"))
 
 
 def read_receipts(spark: SparkSession, path: str, schema: str = RECEIPTS) -> DataFrame:
