@@ -106,21 +106,13 @@ def other_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, grams_a, grams_b) whose sets really are that similar."""
+    """The pairs (a, b, grams_a, grams_b) whose sets really are that similar.
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum()) if len(y) else 0
-                keep.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-    return pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long")
+    A column expression, so that long sets go through one pair at a time.
+    """
+    both = F.size(F.array_intersect("grams_a", "grams_b"))
+    sized = pairs.select("a", "b", both.alias("both"), (F.size("grams_a") + F.size("grams_b")).alias("all"))
+    return sized.where((F.col("both") > 0) & (F.col("both") * (den + num) >= F.col("all") * num)).select("a", "b")
 
 
 def _shared(rows: DataFrame, name: str, num: int, den: int) -> DataFrame:
@@ -240,10 +232,10 @@ def _overlapping(pairs: DataFrame, signs: DataFrame, rows: int) -> DataFrame:
 def _stored_sets(texts: DataFrame, k: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for s in _sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["node", "grams"])
+            found = [signed(s) for s in _sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(found)], ["node", "grams"])
 
-    return texts.mapInArrow(make, "node long, grams binary")
+    return texts.mapInArrow(make, "node long, grams array<long>")
 
 
 def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None) -> DataFrame:
