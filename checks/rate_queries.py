@@ -72,7 +72,8 @@ def global_rate(spark, folder):
 
 
 def _stream(spark, folder):
-    return guard.read_files(spark, folder, EVENTS, "events.parquet")
+    # A glob may be one file or a folder of part files; a plain path must be a folder.
+    return guard.read_files(spark, f"{folder}/events.parque[t]", EVENTS)
 
 
 def stream_admission(spark, folder):

@@ -1,9 +1,11 @@
 import datetime as dt
 import random
+import shutil
 
 import brute
 import pytest
 
+from checks import rate_queries
 from salvor.operators import rates as R
 from salvor.streaming import guard
 
@@ -124,3 +126,22 @@ def test_streams_equal_their_batch_forms_over_many_triggers(spark, tmp_path):
     full = R.global_rate(whole, "ts", 5).collect()
     row = lambda r: (r["window_start"], r["events"], r["over_limit"])
     assert sorted(map(row, rates.collect())) == sorted(map(row, full))
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_streams_read_events_as_one_file_or_as_part_files(spark, tmp_path, parts):
+    rows = [(i, at(i * 977), i % 5, ["view", "click", "buy"][i % 3], i / 10, f'{{"k": {i % 7}}}') for i in range(90)]
+    events = spark.createDataFrame([(i, ts, *rest) for i, ts, *rest in rows], rate_queries.EVENTS)
+    events.coalesce(1).write.parquet(str(tmp_path / "one"))
+    target = tmp_path / "data" / "events.parquet"
+    target.parent.mkdir()
+    if parts:
+        events.repartition(parts).write.parquet(str(target))
+    else:
+        shutil.copy(next((tmp_path / "one").glob("part-*.parquet")), target)
+    folder = str(tmp_path / "data")
+    assert rate_queries._stream(spark, folder).isStreaming
+    rows_of = lambda df: sorted(map(repr, df.collect()))
+    for stream, batch in (("stream_admission", "admission_sliding"), ("stream_confirmations", "confirmation_match"), ("stream_global_rate", "global_rate")):
+        expected = rows_of(rate_queries.QUERIES[batch](spark, folder))
+        assert expected and rows_of(rate_queries.QUERIES[stream](spark, folder)) == expected
