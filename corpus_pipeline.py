@@ -37,7 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.8 or more over five-word shingles the smallest doc_id."""
-    found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
+    found = jaccard.jaccard_components(docs, k=5, num=80, den=100, count=False)
     return _without(docs, found.where("doc_id <> component_id"))
 
 

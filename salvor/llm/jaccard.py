@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ SKETCH_BITS = 18
 SLICES = 64
 # The further orders are those of two scrambled hashes; the first is by frequency.
 ORDERS = 2
+# Longer lists are compared in pairs of blocks of about so many nodes, as products
+# of so many columns at a time.
+LONG, COLUMNS = 256, 4096
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -138,12 +142,13 @@ def _of(table: DataFrame, ids: DataFrame, rows: int, column: str = "node") -> Da
     return table.join(small(ids.select(F.col("node").alias(column)), rows), column, "left_semi")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, count: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
 
     Two texts link when the Jaccard similarity of their sets of k-word shingles
     is num/den or more. component_id is the smallest doc_id reachable by links.
-    n_links counts the other classes that the row's class was found linked with.
+    n_links counts the other classes that the row's class links with, all of them;
+    without ``count`` the column is left out.
 
     1. Texts with equal sets form a class; only one of each goes on.
     2. Under each of three global orders (by a frequency sketch, and two
@@ -160,6 +165,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
        compared or already connected, and a large group of copies costs a few
        comparisons per copy, not one per pair. Between rounds components are
        known by one step of labels; they are worked out once at the end.
+    4. Links are counted apart from that, over all pairs of a list (see
+       ``_degrees``): their number grows with the square of a group of different
+       near copies, and so does the work, but only sums per class are written.
 
     Null and empty texts have an empty set and link with nothing; a text of
     fewer than k words has one shingle, its whole sequence. A row with a null
@@ -178,6 +186,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     sets = cut(_stored_sets(_of(texts, alive, found["rows"], "doc_id"), k), "sets")
     lists, found = cut_counted(_of(lists, alive, found["rows"]), "lists", rows=F.lit(True))
 
+    degrees = _degrees(lists, signs, sets, num, den) if count else None
     links, pivots = None, 4
     lists = lists.withColumn("label", F.col("node"))
     while found["rows"]:
@@ -199,7 +208,86 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         mixed = rest.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
         lists, found = cut_counted(rest.select("token", "node", "n", "pos", "label").join(mixed, "token", "left_semi"), "lists", rows=F.lit(True))
         pivots *= 16
-    return _results(signed_docs, classes, links)
+    return _results(signed_docs, classes, links, degrees)
+
+
+def _degrees(lists: DataFrame, signs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n_links): how many others each node is really linked with.
+
+    Linked nodes stand together in the list of the first token they share, so all
+    pairs of all lists are compared, each pair once: pairs that share a short list
+    are written, made distinct and compared as in the rounds. The other pairs are
+    compared in the long list of the least token they share, in pairs of blocks
+    dealt by the hash of the node, and only their sums per node are written.
+    """
+    sizes = lists.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > LONG)
+    sizes, found = cut_counted(sizes, "long", rows=F.lit(True))
+    short = lists.join(small(sizes.select("token"), found["rows"]), "token", "left_anti").select("token", "node", "n")
+    other = short.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    near = (F.col("node") < F.col("b")) & (F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num)
+    pairs = short.join(other, "token").where(near).select(F.col("node").alias("a"), "b").distinct()
+    pairs, seen = cut_counted(pairs, "pairs", rows=F.lit(True))
+    pairs, seen = cut_counted(_overlapping(pairs, signs, seen["rows"]), "pairs", rows=F.lit(True))
+    links = cut(_linked(_with_both(pairs, sets, seen["rows"], ["grams"]), num, den), "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n_links"))
+    if found["rows"]:
+        ends = ends.unionByName(_long_degrees(lists, sizes, found["rows"], sets, num, den))
+    return cut(ends.groupBy("node").agg(F.sum("n_links").alias("n_links")), "degrees")
+
+
+def _long_degrees(lists: DataFrame, sizes: DataFrame, rows: int, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n_links) rows of the pairs that share long lists only."""
+    long = lists.join(small(sizes, rows), "token").select("token", "node", "size")
+    inside, seen = cut_counted(long.select("node").distinct(), "inside", rows=F.lit(True))
+    kind = F.struct(F.col("size").isNotNull().alias("long"), "token")
+    own = _of(lists, inside, seen["rows"]).join(small(sizes, rows), "token", "left").groupBy("node").agg(F.collect_list(kind).alias("own"))
+    blocks = F.ceil(F.col("size") / LONG).cast("int")
+    placed = long.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int"))
+    before = F.transform(F.filter("own", lambda x: ~x["long"] | (x["token"] < F.col("token"))), lambda x: x["token"])
+    placed = placed.join(own, "node").withColumn("before", before).join(_of(sets, inside, seen["rows"]), "node")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "before", "grams")
+
+    def compare(group: pa.Table) -> pa.Table:
+        block = group.column("block").to_numpy()
+        same = group.column("i")[0] == group.column("j")[0]
+        left = np.flatnonzero(block == group.column("i")[0].as_py())
+        right = left if same else np.flatnonzero(block == group.column("j")[0].as_py())
+        linked = _common(group.column("before"), left, right) == 0
+        if same:
+            np.fill_diagonal(linked, False)
+        if linked.any():
+            both, n = _common(group.column("grams"), left, right), _lengths(group.column("grams"))
+            linked &= (both > 0) & (both * (den + num) >= (n[left][:, None] + n[right]) * num)
+        sums = np.zeros(len(block), np.int64)
+        sums[left] = linked.sum(axis=1)
+        if not same:
+            sums[right] = linked.sum(axis=0)
+        some = np.flatnonzero(sums)
+        return pa.table({"node": group.column("node").take(pa.array(some)), "n_links": pa.array(sums[some])})
+
+    return placed.groupBy("token", "i", "j").applyInArrow(compare, "node long, n_links long")
+
+
+def _lengths(lists: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
+def _common(lists: pa.ChunkedArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each list of the left has in common with each of the right; values of a list are distinct."""
+    owner = np.repeat(np.arange(len(lists)), _lengths(lists))
+    values = pc.list_flatten(lists).to_numpy()
+    _, which, uses = np.unique(values, return_inverse=True, return_counts=True)
+    owner, which = owner[uses[which] > 1], which[uses[which] > 1]
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], np.unique(which[order], return_inverse=True)[1]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, int(which[-1]) + 1 if len(which) else 0, COLUMNS):
+        part = slice(*np.searchsorted(which, [low, low + COLUMNS]))
+        there = np.zeros((len(lists), COLUMNS), np.float32)
+        there[owner[part], which[part] - low] = 1
+        out += (there[left] @ there[right].T).astype(np.int64)
+    return out
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -238,20 +326,19 @@ def _stored_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(make, "node long, grams array<long>")
 
 
-def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None) -> DataFrame:
+def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None, degrees: DataFrame | None) -> DataFrame:
     rows = signed_docs.select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    counts = [] if degrees is None else ["n_links"]
     if links is None:
-        classes = classes.select("digest", "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("n_links"))
+        classes = classes.select("digest", "node", F.col("node").alias("root"))
     else:
-        links = cut(links.distinct(), "links")
-        roots = components(links).withColumnRenamed("id", "node")
-        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-        degrees = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-        classes = classes.join(roots, "node", "left").join(degrees, "node", "left")
-        classes = classes.select("digest", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        roots = components(cut(links.distinct(), "links")).withColumnRenamed("id", "node")
+        classes = classes.join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
+    if degrees is not None:
+        classes = classes.join(degrees, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     classes = cut(classes, "classes")
     linked = F.col("n_shingles") > 0
-    alone = rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = rows.where(~linked).withColumn("n_links", F.lit(0).cast("long")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *counts)
     found = rows.where(linked).join(classes, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.col("root"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), "n_links").unionByName(alone)
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), *counts).unionByName(alone)

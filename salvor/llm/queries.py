@@ -71,7 +71,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, folder, "documents"), k=3, num=90, den=100)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -121,3 +121,36 @@ def test_null_ids_count_in_no_component(spark):
     got = sorted((r.doc_id or 0, r.component_id) for r in jaccard.jaccard_components(docs).collect())
     assert got == [(0, None), (2, 2), (4, 2)]
     assert docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+def _link_counts(rows, k, num, den):
+    """Per doc_id, with how many different texts its text links."""
+    sets = {i: frozenset(brute.shingles(t or "", k)) for i, t in rows}
+    kinds = [s for s in set(sets.values()) if s]
+    counts = {a: sum(a is not b and len(a & b) * den >= len(a | b) * num for b in kinds) for a in kinds}
+    return {i: counts.get(s, 0) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("long", [3, 12, 256])
+def test_jaccard_counts_all_links(spark, docs, rows, monkeypatch, long):
+    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs, 3, 80, 100).collect()}
+    assert got == _link_counts(rows, 3, 80, 100)
+    rng = random.Random(8)
+    base = brute.prose(rng, 80).split()
+    near = [(i, " ".join(f"new{rng.randrange(9)}x{i}" if rng.random() < 0.01 else w for w in base[: 80 - i % 5])) for i in range(60)]
+    near += [(100 + i, near[i][1]) for i in range(0, 60, 7)] + [(200 + i, brute.prose(rng, 50)) for i in range(20)]
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_components(brute.table(spark, near), 3, 80, 100).collect()}
+    want = _link_counts(near, 3, 80, 100)
+    assert got == want and max(want.values()) >= 30
+
+
+def test_jaccard_query_returns_links(spark, tmp_path):
+    from salvor.llm.queries import op6_jaccard_join
+
+    text = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*text, f"own{i}"])) for i in range(40)]
+    brute.table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op6_jaccard_join(spark, str(tmp_path)).collect()
+    assert {(r.component_id, r.n_links) for r in got} == {(0, 39)}
