@@ -198,3 +198,21 @@ def test_decontamination_recall_on_given_tables(spark):
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, benchmark).collect()}
     assert len(got & want) >= 0.9 * len(want)
     assert len(got - want) <= 0.05 * len(want)
+
+
+def test_decontamination_finds_copies_beside_repeated_words(spark):
+    """Copies whose window's vector is that of the words around them, and short items."""
+    rng = random.Random(3)
+    rows = [(i, brute.prose(rng, 120, 3000)) for i in range(300)]
+    pool = sorted({w for _, text in rows for w in text.split()})
+    items = [(i, " ".join(rng.sample(pool, n))) for i, n in enumerate([24, 40, 8, 5, 3, 60])]
+    want = set()
+    for i, text in items:
+        for j, word in enumerate(rng.sample(pool, 5)):
+            around = f"{word} " * 60
+            rows += [(1000 + 10 * i + j, f"{text} {around}"), (1000 + 10 * i + j + 5, f"{around}{text} {around}")]
+            want |= {(1000 + 10 * i + j, i), (1000 + 10 * i + j + 5, i)}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contaminated(brute.table(spark, rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} >= want
+    assert all(r.share == 1 for r in found if (r.doc_id, r.item_id) in want)
