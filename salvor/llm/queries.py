@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salvor.llm import chat, decontamination, exact_dedup, jaccard, language, licenses, mixing, substrings, suffix_tree, toxicity
+from salvor.llm import alignment, chat, clusters, decontamination, exact_dedup, jaccard, language, licenses, mixing, quality, substrings, suffix_tree, toxicity
 from salvor.llm.words import fold_of
 
 
@@ -96,6 +96,24 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels")
+    held_out = fold_of(F.col("doc_id")) == 0
+    net = quality.fit_quality(quality.labelled(docs, labels.where(~held_out)))
+    found = quality.score_quality(docs, net)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    members, centroids, _ = clusters.cluster_vectors(table(spark, folder, "embeddings"))
+    return clusters.with_inertia(members, centroids)
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_mix_sources": op2_mix_sources,
@@ -107,4 +125,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_quality": op11_quality,
+    "op12_clusters": op12_clusters,
+    "op13_alignment": op13_alignment,
 }

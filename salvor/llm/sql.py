@@ -1,5 +1,53 @@
 """SQL twins of the queries that SQL can express."""
 
+
+
+def _cluster_sql(rounds: int) -> str:
+    """Rounds of assignment (a0, a1, ...) and of means (c1, c2, ...) as named tables."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT id, c, d FROM (
+                SELECT id, c, d, row_number() OVER (PARTITION BY id ORDER BY d, c) AS place FROM (
+                    SELECT v.id, m.c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d FROM v JOIN c{r} m USING (i) GROUP BY v.id, m.c
+                )
+            ) WHERE place = 1
+        )""")
+        if r < rounds:
+            steps.append(f"""
+        c{r + 1} AS MATERIALIZED (
+            SELECT m.c, m.i, CASE WHEN s.n IS NULL THEN m.x ELSE ((s.total - ((s.total % s.n) + s.n) % s.n) // s.n)::BIGINT END AS x
+            FROM c{r} m LEFT JOIN (
+                SELECT a.c, v.i, sum(v.x)::BIGINT AS total, count(*)::BIGINT AS n FROM a{r} a JOIN v USING (id) GROUP BY a.c, v.i
+            ) s ON m.c = s.c AND m.i = s.i
+        )""")
+    return f"""
+        WITH numbered AS MATERIALIZED (
+            SELECT row_number() OVER () AS id, vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+        ), flat AS (
+            SELECT id, vec_id, unnest(range(1, 65)) AS i, unnest(embedding) AS e FROM numbered
+        ), whole AS (
+            SELECT id FROM flat GROUP BY id HAVING count(e) = 64 AND bool_and(isfinite(e))
+        ), v AS MATERIALIZED (
+            SELECT id, vec_id, i, floor(64 * e::DOUBLE)::BIGINT AS x FROM flat SEMI JOIN whole USING (id)
+        ), ids AS MATERIALIZED (
+            SELECT DISTINCT id, vec_id FROM v
+        ), seeds AS (
+            SELECT id, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, id) - 1 AS c FROM ids
+        ), c0 AS MATERIALIZED (
+            SELECT s.c, v.i, v.x FROM seeds s JOIN v USING (id) WHERE s.c < 16
+        ), {", ".join(steps)}, sums AS (
+            SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY c
+        ), names AS (
+            SELECT c, sha256(string_agg(x, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c
+        )
+        SELECT ids.vec_id, a.c::INTEGER AS cluster, a.d AS distance, s.cluster_inertia,
+               (SELECT sum(cluster_inertia) FROM sums)::BIGINT AS inertia, n.centroid_sha256
+        FROM a{rounds} a JOIN ids USING (id) JOIN sums s USING (c) JOIN names n USING (c)
+    """
+
+
 SQL = {
     "op2_mix_sources": r"""
         WITH sized AS (
@@ -55,4 +103,5 @@ SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_clusters": _cluster_sql(3),
 }
