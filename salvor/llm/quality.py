@@ -108,7 +108,7 @@ def gradients(net: Net, texts: list[np.ndarray], labels: np.ndarray) -> tuple[fl
     """Log loss of some texts (chunk codes of each) and its gradient by all parts of the net."""
     codes, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
     owner, first = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
-    top, place = np.empty((len(codes), FILTERS), np.float32), np.empty((len(codes), FILTERS), np.int64)
+    top, place = np.empty((len(codes), FILTERS), net.table.dtype), np.empty((len(codes), FILTERS), np.int64)
     for low in range(0, len(codes), CHUNKS_AT_ONCE):
         found = responses(net, codes[low : low + CHUNKS_AT_ONCE])
         place[low : low + CHUNKS_AT_ONCE] = found.argmax(axis=1)
@@ -118,7 +118,7 @@ def gradients(net: Net, texts: list[np.ndarray], labels: np.ndarray) -> tuple[fl
     pooled = np.concatenate([most, mean], axis=1)
     chance = _chance(pooled @ net.weights + net.bias)
     loss = float(-np.where(labels > 0, np.log(chance + 1e-9), np.log(1 - chance + 1e-9)).mean())
-    error = ((chance - labels) / len(labels)).astype(np.float32)
+    error = ((chance - labels) / len(labels)).astype(net.table.dtype)
     by_pool = error[:, None] * net.weights
     by_top = (by_pool[:, FILTERS:] / sizes[:, None])[owner]
     for i, (low, size) in enumerate(zip(first, sizes, strict=True)):
