@@ -25,7 +25,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Fixed value: how the byte-level tokenizer divides a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Text that is worked on together, and encoded parts that a worker keeps, if they are short.
-PIECE, KEPT, KEPT_CHARS = 1 << 22, 1 << 18, 32
+PIECE, KEPT, KEPT_CHARS = 1 << 21, 1 << 17, 32
 # A single space between two signs that are no white space. Tokens of both sides end
 # before it: neither has an entry with a space behind another sign.
 _BETWEEN, _SIGN_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\S ")

@@ -81,11 +81,8 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    groups = exact_dedup.exact_groups(docs).drop("digest")
-    # The refinement hashes whole texts of surviving rows only; the result wants the digest of all.
-    digests = docs.select(F.col("doc_id").alias("_id"), exact_dedup.full_digest(F.coalesce("text", F.lit(""))).alias("text_sha256"))
-    return groups.join(digests, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    groups = exact_dedup.exact_groups(table(spark, folder, "documents"), all_digests=True)
+    return groups.withColumnRenamed("digest", "text_sha256")
 
 
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -53,7 +53,7 @@ def _documents(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _outlines(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, n_words, digest of the words, and the keys of the runs of windows."""
+    """one, two, doc_id, n_words, digest of the words, and the keys of the runs of windows."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,34 +71,37 @@ def _outlines(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 grams.sort()
                 twice = grams[1:][grams[1:] == grams[:-1]]
                 keys.append(signed(np.concatenate([own, own[np.isin(own, twice)]]) if len(twice) else own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), list_array(keys)], ["doc_id", "n_words", "digest", "keys"])
+            names = ["one", "two", "doc_id"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), list_array(keys)], [*names, "n_words", "digest", "keys"])
 
-    return docs.mapInArrow(make, "doc_id long, n_words long, digest binary, keys array<long>")
+    return docs.mapInArrow(make, "one long, two long, doc_id long, n_words long, digest binary, keys array<long>")
 
 
 def _segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, first, key, words and digest of the runs of windows whose key is wanted."""
+    """one, two, first, key, words and digest of the runs of windows whose key is wanted."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wanted, copies = batch.column("doc_id"), batch.column("wanted"), batch.column("copies").to_pylist()
-            out: dict[str, list] = {name: [] for name in ("doc_id", "first", "key", "words", "digest", "copies")}
+            one, two, copies = (batch.column(name).to_pylist() for name in ("one", "two", "copies"))
+            wanted = batch.column("wanted")
+            out: dict[str, list] = {name: [] for name in ("one", "two", "first", "key", "words", "digest", "copies")}
             for i, words in enumerate(_documents(batch.column("text"))):
                 own = window_keys(gram_hashes(words, gram), window - gram + 1)
                 first, end = _runs(own)
                 keep = np.isin(signed(own[first]), np.array(wanted[i].values))
                 for low, high in zip(first[keep], end[keep], strict=True):
                     part = words[low : high + window - 1]
-                    out["doc_id"].append(ids[i].as_py())
+                    out["one"].append(one[i])
+                    out["two"].append(two[i])
                     out["first"].append(int(low))
                     out["key"].append(int(signed(own[low : low + 1])[0]))
                     out["words"].append(part.tobytes())
                     out["digest"].append(_digest(part))
                     out["copies"].append(copies[i])
-            kinds = {"doc_id": pa.int64(), "first": pa.int32(), "key": pa.int64(), "words": pa.binary(), "digest": pa.binary(), "copies": pa.int64()}
+            kinds = {"one": pa.int64(), "two": pa.int64(), "first": pa.int32(), "key": pa.int64(), "words": pa.binary(), "digest": pa.binary(), "copies": pa.int64()}
             yield pa.RecordBatch.from_pydict({name: pa.array(out[name], kind) for name, kind in kinds.items()})
 
-    return texts.mapInArrow(make, "doc_id long, first int, key long, words binary, digest binary, copies long")
+    return texts.mapInArrow(make, "one long, two long, first int, key long, words binary, digest binary, copies long")
 
 
 def _search(shards: DataFrame, window: int) -> DataFrame:
@@ -157,9 +160,17 @@ def _single_windows(segments: DataFrame, window: int) -> DataFrame:
     return found.groupBy("digest").agg(F.collect_list("start").alias("starts"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """one, two, doc_id, text: two hashes of doc_id and text that name a row (and its repetitions)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.struct("doc_id", F.xxhash64("text"), F.xxhash64(F.lit("second"), "text"))
+    return rows.select(F.xxhash64(key).alias("one"), F.xxhash64(F.lit("second"), key).alias("two"), "doc_id", "text")
+
+
 def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, n_words, all_repeated, starts for every doc_id: what repeats.
+    """one, two, doc_id, n_words, all_repeated, starts for every doc_id and text: what repeats.
 
+    ``one`` and ``two`` name a row by hashes of its doc_id and text.
     ``starts`` are the first words of the windows of ``window`` words whose word
     sequence starts at another place too, in this text or any other.
     ``all_repeated`` says that the whole text does, because another row has the
@@ -175,51 +186,50 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, s
        FM-index and each is streamed against it, which gives the longest match
        that ends at each word. Matches of ``window`` words that occur twice are
        reported.
-    4. A key whose segments would fill a quarter of a shard, as around a passage
+    4. A key whose segments fill a quarter of ``shard_words``, as around a passage
        that very many texts share, has its windows counted one by one instead.
 
     Null and empty texts have no words; texts of fewer words than the window
-    have no windows. Repeated rows are equal texts. Rows with a null doc_id or a
-    repeated doc_id are judged by all rows of that id together. Other columns
-    are not read. An empty table gives no rows.
+    have no windows. Repeated rows are equal texts. Rows are told apart by doc_id
+    and text, so a null or repeated doc_id changes nothing. Other columns are not
+    read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = _keyed(docs)
     outlines = cut(_outlines(docs, window, gram), "outlines")
-    classes = outlines.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    classes = cut(classes, "classes")
-    firsts = outlines.join(classes, ["digest", "doc_id"])
-    keys = firsts.select("doc_id", "copies", F.explode("keys").alias("key"))
+    # A class is represented by one of its rows; rows that repeat it wholly only count its keys again.
+    classes = outlines.where(F.col("n_words") >= window).groupBy("digest").agg(F.min(F.struct("one", "two")).alias("row"), F.count("*").alias("copies"))
+    classes = cut(classes.select("digest", "row.one", "row.two", "copies"), "classes")
+    firsts = outlines.join(classes, ["digest", "one", "two"])
+    keys = firsts.select("one", "two", "copies", F.explode("keys").alias("key"))
     several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = keys.join(several, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("wanted"), F.first("copies").alias("copies"))
-    segments = cut(_segments(docs.join(wanted, "doc_id"), window, gram), "segments")
+    wanted = keys.join(several, "key", "left_semi").groupBy("one", "two").agg(F.collect_set("key").alias("wanted"), F.first("copies").alias("copies"))
+    segments = cut(_segments(docs.drop("doc_id").join(wanted, ["one", "two"]), window, gram), "segments")
     distinct = segments.groupBy("digest").agg(F.first("key").alias("key"), F.first("words").alias("words"), F.sum("copies").alias("copies"))
     distinct = cut(distinct, "distinct")
     length = (F.octet_length("words") / 8).cast("long")
     total = distinct.agg(F.sum(length)).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / shard_words))
-    frequent = distinct.groupBy("key").agg(F.sum(length).alias("n")).where(F.col("n") > max(4 * window, total / shards / 4)).select("key")
+    frequent = distinct.groupBy("key").agg(F.sum(length).alias("n")).where(F.col("n") > max(4 * window, shard_words // 4)).select("key")
     frequent = cut(frequent, "frequent")
     rare = distinct.join(frequent, "key", "left_anti").repartition(shards, "key")
     found = _search(rare.select("digest", "copies", "words"), window)
     found = found.unionByName(_single_windows(distinct.join(frequent, "key", "left_semi").select("digest", "copies", "words"), window))
     whole = distinct.where("copies > 1").select("digest", F.sequence(F.lit(0), (F.octet_length("words") / 8).cast("int") - window).alias("starts"))
     found = cut(found.unionByName(whole), "found")
-    spans = segments.where("copies = 1").select("doc_id", "first", "digest").join(found, "digest")
-    spans = spans.select("doc_id", F.transform("starts", lambda s: s + F.col("first")).alias("starts"))
-    spans = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    spans = segments.where("copies = 1").select("one", "two", "first", "digest").join(found, "digest")
+    spans = spans.select("one", "two", F.transform("starts", lambda s: s + F.col("first")).alias("starts"))
+    spans = spans.groupBy("one", "two").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     copies = classes.where("copies > 1").select("digest", F.lit(True).alias("again"))
-    sizes = outlines.select("doc_id", "n_words", "digest").join(copies, "digest", "left")
-    sizes = sizes.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max(F.coalesce("again", F.lit(False))).alias("all_repeated"))
-    joined = sizes.join(spans, "doc_id", "left")
-    return joined.select("doc_id", "n_words", "all_repeated", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    sizes = outlines.select("one", "two", "doc_id", "n_words", "digest").join(copies, "digest", "left")
+    sizes = sizes.groupBy("one", "two", "doc_id").agg(F.max("n_words").alias("n_words"), F.max(F.coalesce("again", F.lit(False))).alias("all_repeated"))
+    joined = sizes.join(spans, ["one", "two"], "left")
+    return joined.select("one", "two", "doc_id", "n_words", "all_repeated", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, passages: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by a space) for every row."""
-    passages = passages.select(F.col("doc_id").alias("_id"), "all_repeated", "starts")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(passages, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    rows = _keyed(docs).join(passages.select("one", "two", "all_repeated", "starts"), ["one", "two"], "left").drop("one", "two")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

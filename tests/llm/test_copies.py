@@ -41,6 +41,17 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.exact_dedup(docs).collect()) == [(0, "lone"), (0, "twice"), (3, "other"), (3, "same")]
 
 
+def test_exact_query_on_repeated_and_null_ids(spark, tmp_path):
+    from salvor.llm.queries import op8_exact_dedup
+
+    rows = [(2, "same"), (2, "same"), (1, "one"), (1, "other"), (None, "lone"), (None, "same"), (3, None)]
+    brute.table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id or 0, r.text_sha256, r.keep_id or 0, r.group_size, r.kept) for r in op8_exact_dedup(spark, str(tmp_path)).collect()))
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [(2, "same", 2, 3, True), (2, "same", 2, 3, True), (1, "one", 1, 1, True), (1, "other", 1, 1, True), (0, "lone", 0, 1, True), (0, "same", 2, 3, False), (3, None, 3, 1, True)]
+    assert got == sorted((i, digest(t), *rest) for i, t, *rest in want)
+
+
 def test_exact_by_joins_that_shuffle(docs, rows, monkeypatch):
     monkeypatch.setattr(exact_dedup, "small", lambda df, n: df)
     assert exact_dedup.exact_dedup(docs).count() == len({t or "" for _, t in rows})
@@ -71,6 +82,20 @@ def test_repeats(docs, rows):
         assert got == brute.repeats(rows, window)
 
 
+@pytest.mark.parametrize("shard_words", [256, 1 << 20])
+def test_repeats_with_null_and_repeated_ids(spark, shard_words):
+    """Rows are judged one by one, whatever ids they share or lack."""
+    rng = random.Random(12)
+    passage = brute.prose(rng, 40, 10**6)
+    own = [brute.prose(rng, n, 10**6) for n in (5, 10, 60, 30, 45)]
+    texts = [(None, f"{own[0]} {passage}"), (1, f"{passage} {own[1]}"), (1, own[2]), (None, own[3]), (7, own[4]), (7, own[4]), (None, None), (1, f"{own[3]} {passage}")]
+    found = substrings.remove_repeats(brute.table(spark, texts), substrings.repeated_passages(brute.table(spark, texts), shard_words=shard_words))
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in found.collect())
+    want = brute.repeats(list(enumerate(t for _, t in texts)), 35)
+    assert got == sorted((i or 0, *want[place]) for place, (i, _) in enumerate(texts))
+    assert sum(n for _, _, n, _ in got) == 3 * 40 + 2 * 45
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert exact_dedup.exact_groups(none).count() == 0
