@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salvor.runtime import cut, cut_counted
+from salvor.runtime import cut, cut_counted, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     edges, found = cut_counted(edges, "edges", rows=F.lit(True))
     while found["rows"]:
         # Large star: every larger neighbour of a centre links to the centre's least neighbour.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         large = cut(large.where("u <> v").distinct(), "edges")
@@ -32,8 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         kept = least.select("u", F.col("least").alias("v"), F.lit(False).alias("moved"))
         new = small_star.unionByName(kept).groupBy("u", "v").agg(F.min("moved").alias("moved"))
         new, moved = cut_counted(new, "edges", moved=F.col("moved"))
-        changed = moved["moved"] or new.select("u", "v").exceptAll(edges).limit(1).count()
-        edges = new.select("u", "v")
+        changed = moved["moved"] or new.select("u", "v").exceptAll(edges.select("u", "v")).limit(1).count()
+        release(large, edges)
+        edges = new
         if not changed:
             break
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))

@@ -8,20 +8,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salvor.llm.components import components
 from salvor.llm.words import list_array, mix, pieces, shingle_sets, signed, words_of
-from salvor.runtime import cut, cut_counted, small
+from salvor.runtime import cut, cut_counted, release, small
 
 SKETCH_BITS = 18
 SLICES = 64
 # The further orders are those of two scrambled hashes; the first is by frequency.
 ORDERS = 2
-# Longer lists are compared in pairs of blocks of about so many nodes, as products
-# of so many columns at a time.
-LONG, COLUMNS = 256, 4096
+# Pivots of a list in the first round, how many times more in each next one, and after how
+# many rounds the lists longer than LONG are compared block against block.
+PIVOTS, MORE, ROUNDS, LONG = 4, 16, 1, 64
+# Nodes and shingles of a block, about, and columns of a product at a time.
+BLOCK_NODES, BLOCK_GRAMS, COLUMNS = 1024, 1 << 20, 4096
+# Components of so many classes or fewer are compared as rows of pairs when links are counted.
+FEW = 8
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -160,14 +164,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
        the token, and are not yet in the same component;
        pairs must also share prefix tokens under the other orders, and then
        their whole sets are compared. Each round has sixteen times as many pivots
-       in a list (chosen per hash bucket), all pivots leave their list, and
-       lists within one component end. So every pair of a list is either
-       compared or already connected, and a large group of copies costs a few
-       comparisons per copy, not one per pair. Between rounds components are
-       known by one step of labels; they are worked out once at the end.
-    4. Links are counted apart from that, over all pairs of a list (see
-       ``_degrees``): their number grows with the square of a group of different
-       near copies, and so does the work, but only sums per class are written.
+       in a list (chosen per hash bucket) and all pivots leave their list.
+       After a round the components of all links found so far are worked out, and
+       lists within one component end. So a large group of copies costs a few
+       comparisons per copy, not one per pair.
+    4. Lists that are still long after ``ROUNDS`` rounds hold many texts that do
+       not link though they share much. They are compared in pairs of blocks, with
+       the same filters, as products of incidence matrices: no row is made per
+       pair, and of the links of a block pair only those that join components.
+    5. Links are counted in the end, inside the components, in the same way; only
+       sums per class are written.
 
     Null and empty texts have an empty set and link with nothing; a text of
     fewer than k words has one shingle, its whole sequence. A row with a null
@@ -186,8 +192,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     sets = cut(_stored_sets(_of(texts, alive, found["rows"], "doc_id"), k), "sets")
     lists, found = cut_counted(_of(lists, alive, found["rows"]), "lists", rows=F.lit(True))
 
-    degrees = _degrees(lists, signs, sets, num, den) if count else None
-    links, pivots = None, 4
+    links, pivots, turn = None, PIVOTS, 0
     lists = lists.withColumn("label", F.col("node"))
     while found["rows"]:
         # A pivot is the first of the nodes of its list that share a hash bucket.
@@ -198,75 +203,136 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         near = (overlap * (num + den) >= (F.col("n") + F.col("pivot_n")) * num) & (F.least("n", "pivot_n") * den >= F.greatest("n", "pivot_n") * num)
         near = near & (F.col("label") != F.col("pivot_label")) & (F.col("node") != F.col("pivot"))
         pairs = lists.join(chosen, "token").where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        pairs, found = cut_counted(pairs, "pairs", rows=F.lit(True))
-        pairs, found = cut_counted(_overlapping(pairs, signs, found["rows"]), "pairs", rows=F.lit(True))
-        new = cut(_linked(_with_both(pairs, sets, found["rows"], ["grams"]), num, den), "links")
-        links = new if links is None else links.unionByName(new)
-        labels, named = cut_counted(_labels(links), "labels", rows=F.lit(True))
-        rest = lists.drop("label").join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti")
-        rest = rest.join(small(labels, named["rows"]), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = rest.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
-        lists, found = cut_counted(rest.select("token", "node", "n", "pos", "label").join(mixed, "token", "left_semi"), "lists", rows=F.lit(True))
-        pivots *= 16
-    return _results(signed_docs, classes, links, degrees)
-
-
-def _degrees(lists: DataFrame, signs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, n_links): how many others each node is really linked with.
-
-    Linked nodes stand together in the list of the first token they share, so all
-    pairs of all lists are compared, each pair once: pairs that share a short list
-    are written, made distinct and compared as in the rounds. The other pairs are
-    compared in the long list of the least token they share, in pairs of blocks
-    dealt by the hash of the node, and only their sums per node are written.
+        pairs, seen = cut_counted(pairs, "pairs", rows=F.lit(True))
+        close, seen = cut_counted(_overlapping(pairs, signs, seen["rows"]), "pairs", rows=F.lit(True))
+        new = _linked(_with_both(close, sets, seen["rows"], ["grams"]), num, den)
+        links, roots, named = _joined(links, new)
+        rest = lists.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti")
+        old, (lists, found) = lists, _unsettled(rest, roots, named)
+        release(old, chosen, pairs, close)
+        pivots, turn = pivots * MORE, turn + 1
+        if turn == ROUNDS and found["rows"]:
+            sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where(F.col("size") > LONG)
+            sizes, long = cut_counted(sizes, "long", rows=F.lit(True))
+            if long["rows"]:
+                links, roots, named = _joined(links, _long_links(lists, sizes, long["rows"], signs, sets, num, den))
+                rest = lists.join(small(sizes.select("token"), long["rows"]), "token", "left_anti")
+                old, (lists, found) = lists, _unsettled(rest, roots, named)
+                release(old)
+    return _results(signed_docs, classes, links, sets if count else None, num, den)
+
+
+def _joined(links: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Links that hold all components found so far together, the components, and the number of their nodes.
+
+    Of links inside a component only one from each node to the root is kept.
     """
-    sizes = lists.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > LONG)
-    sizes, found = cut_counted(sizes, "long", rows=F.lit(True))
-    short = lists.join(small(sizes.select("token"), found["rows"]), "token", "left_anti").select("token", "node", "n")
-    other = short.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"))
-    near = (F.col("node") < F.col("b")) & (F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num)
-    pairs = short.join(other, "token").where(near).select(F.col("node").alias("a"), "b").distinct()
-    pairs, seen = cut_counted(pairs, "pairs", rows=F.lit(True))
-    pairs, seen = cut_counted(_overlapping(pairs, signs, seen["rows"]), "pairs", rows=F.lit(True))
-    links = cut(_linked(_with_both(pairs, sets, seen["rows"], ["grams"]), num, den), "links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n_links"))
-    if found["rows"]:
-        ends = ends.unionByName(_long_degrees(lists, sizes, found["rows"], sets, num, den))
-    return cut(ends.groupBy("node").agg(F.sum("n_links").alias("n_links")), "degrees")
+    roots, named = cut_counted(components(cut(new if links is None else links.unionByName(new), "links")), "roots", rows=F.lit(True))
+    return roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")), roots, named["rows"]
+
+
+def _unsettled(lists: DataFrame, roots: DataFrame, rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """The lists with new labels, without those inside one component."""
+    named = roots.select(F.col("id").alias("node"), F.col("root").alias("label"))
+    lists = lists.drop("label").join(small(named, rows), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = lists.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
+    return cut_counted(lists.select("token", "node", "n", "pos", "label").join(mixed, "token", "left_semi"), "lists", rows=F.lit(True))
+
 
+def _blocks(size: Column, grams: Column) -> Column:
+    return F.ceil(F.greatest(size / BLOCK_NODES, grams / BLOCK_GRAMS, F.lit(1))).cast("int")
 
-def _long_degrees(lists: DataFrame, sizes: DataFrame, rows: int, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, n_links) rows of the pairs that share long lists only."""
-    long = lists.join(small(sizes, rows), "token").select("token", "node", "size")
-    inside, seen = cut_counted(long.select("node").distinct(), "inside", rows=F.lit(True))
-    kind = F.struct(F.col("size").isNotNull().alias("long"), "token")
-    own = _of(lists, inside, seen["rows"]).join(small(sizes, rows), "token", "left").groupBy("node").agg(F.collect_list(kind).alias("own"))
-    blocks = F.ceil(F.col("size") / LONG).cast("int")
-    placed = long.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int"))
-    before = F.transform(F.filter("own", lambda x: ~x["long"] | (x["token"] < F.col("token"))), lambda x: x["token"])
-    placed = placed.join(own, "node").withColumn("before", before).join(_of(sets, inside, seen["rows"]), "node")
+
+def _in_blocks(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Rows of (group, node, blocks) once for each pair (i, j) of the group's blocks that theirs is in."""
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("node", group), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "before", "grams")
+    return placed.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *columns)
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of block i and those of block j; the same ones in a block with itself."""
+    block = group.column("block").to_numpy()
+    return np.flatnonzero(block == group.column("i")[0].as_py()), np.flatnonzero(block == group.column("j")[0].as_py())
+
+
+def _similar(group: pa.Table, left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    both, n = _common(group.column("grams"), left, right), _lengths(group.column("grams"))
+    return (both > 0) & (both * (den + num) >= (n[left][:, None] + n[right]) * num)
+
+
+def _long_links(lists: DataFrame, sizes: DataFrame, rows: int, signs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between nodes of long lists that connect what all links of the lists connect."""
+    long = lists.join(small(sizes, rows), "token").withColumn("blocks", _blocks(F.col("size"), F.col("grams")))
+    long = long.select("token", "node", "label", "blocks").join(sets, "node").join(signs.drop("n"), "node")
+    names = [f"p{i + 1}" for i in range(ORDERS)]
 
     def compare(group: pa.Table) -> pa.Table:
-        block = group.column("block").to_numpy()
-        same = group.column("i")[0] == group.column("j")[0]
-        left = np.flatnonzero(block == group.column("i")[0].as_py())
-        right = left if same else np.flatnonzero(block == group.column("j")[0].as_py())
-        linked = _common(group.column("before"), left, right) == 0
-        if same:
-            np.fill_diagonal(linked, False)
+        left, right = _sides(group)
+        label, node = group.column("label").to_numpy(), group.column("node").to_numpy()
+        linked = label[left][:, None] != label[right]
+        for name in names:
+            if linked.any():
+                linked &= _common(group.column(name), left, right) > 0
         if linked.any():
-            both, n = _common(group.column("grams"), left, right), _lengths(group.column("grams"))
-            linked &= (both > 0) & (both * (den + num) >= (n[left][:, None] + n[right]) * num)
-        sums = np.zeros(len(block), np.int64)
-        sums[left] = linked.sum(axis=1)
-        if not same:
-            sums[right] = linked.sum(axis=0)
+            linked &= _similar(group, left, right, num, den)
+        one, two = np.nonzero(linked)
+        tied = _spanning(label[left][one], label[right][two])
+        return pa.table({"a": node[left][one[tied]], "b": node[right][two[tied]]})
+
+    return _in_blocks(long, "token", ["label", "grams", *names]).groupBy("token", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _spanning(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Places of edges (one, two) that connect whatever all the edges connect, without a cycle."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    first = np.unique(np.stack([one, two]), axis=1, return_index=True)[1] if len(one) else np.zeros(0, np.int64)
+    kept = []
+    for place in np.sort(first).tolist():
+        a, b = find(int(one[place])), find(int(two[place]))
+        if a != b:
+            root[a] = b
+            kept.append(place)
+    return np.array(kept, np.int64)
+
+
+def _degrees(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n_links) of members (node, root): how many others a node is really linked with.
+
+    Links lie inside components only. Those of few classes are compared as rows of
+    pairs, larger ones block against block, and only sums per node are written.
+    """
+    rows = members.join(sets, "node").withColumn("n", F.size("grams"))
+    sizes = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
+    sizes, found = cut_counted(sizes, "sizes", rows=F.lit(True), large=F.col("size") > FEW)
+    rows = rows.join(small(sizes, found["rows"]), "root")
+    few = rows.where(F.col("size") <= FEW)
+    pairs = few.select("root", F.col("node").alias("a"), F.col("grams").alias("grams_a")).join(few.select("root", F.col("node").alias("b"), F.col("grams").alias("grams_b")), "root").where("a < b")
+    ends = _linked(pairs, num, den).select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n_links"))
+
+    def count(group: pa.Table) -> pa.Table:
+        left, right = _sides(group)
+        linked = _similar(group, left, right, num, den)
+        sums = np.zeros(group.num_rows, np.int64)
+        if group.column("i")[0] == group.column("j")[0]:
+            np.fill_diagonal(linked, False)
+            sums[left] = linked.sum(axis=1)
+        else:
+            sums[left], sums[right] = linked.sum(axis=1), linked.sum(axis=0)
         some = np.flatnonzero(sums)
         return pa.table({"node": group.column("node").take(pa.array(some)), "n_links": pa.array(sums[some])})
 
-    return placed.groupBy("token", "i", "j").applyInArrow(compare, "node long, n_links long")
+    if found["large"]:
+        large = rows.where(F.col("size") > FEW).withColumn("blocks", _blocks(F.col("size"), F.col("total")))
+        ends = ends.unionByName(_in_blocks(large.select("root", "node", "blocks", "grams"), "root", ["grams"]).groupBy("root", "i", "j").applyInArrow(count, "node long, n_links long"))
+    return cut(ends.groupBy("node").agg(F.sum("n_links").alias("n_links")), "degrees")
 
 
 def _lengths(lists: pa.ChunkedArray) -> np.ndarray:
@@ -290,17 +356,6 @@ def _common(lists: pa.ChunkedArray, left: np.ndarray, right: np.ndarray) -> np.n
     return out
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, label): the first in hash order of a node and the nodes it is linked with.
-
-    Equal labels mean one component. Nodes of one component may still differ; that
-    costs a comparison and changes no result.
-    """
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ends = ends.select(F.col("a").alias("node"), F.explode(F.array("a", "b")).alias("other"))
-    return ends.groupBy("node").agg(F.min_by("other", F.struct(F.xxhash64("other"), "other")).alias("label"))
-
-
 def _with_both(pairs: DataFrame, table: DataFrame, rows: int, names: list[str]) -> DataFrame:
     """Pairs (a, b) with columns of both; of ``table`` only the pairs' ids are moved."""
     one = table.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in names)).join(small(pairs, rows), "a")
@@ -326,19 +381,23 @@ def _stored_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(make, "node long, grams array<long>")
 
 
-def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None, degrees: DataFrame | None) -> DataFrame:
+def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None, sets: DataFrame | None, num: int, den: int) -> DataFrame:
+    """Every row with its component, and with its number of links where ``sets`` are given."""
     rows = signed_docs.select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    counts = [] if degrees is None else ["n_links"]
+    counts = [] if sets is None else ["n_links"]
+    none = F.lit(0).cast("long").alias("n_links")
     if links is None:
-        classes = classes.select("digest", "node", F.col("node").alias("root"))
+        classes = classes.select("digest", "node", F.col("node").alias("root"), none)
     else:
-        roots = components(cut(links.distinct(), "links")).withColumnRenamed("id", "node")
+        roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         classes = classes.join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
-    if degrees is not None:
-        classes = classes.join(degrees, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    classes = cut(classes, "classes")
+        if sets is not None:
+            degrees = _degrees(roots, sets, num, den)
+            classes = classes.join(degrees, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    classes, found = cut_counted(classes.drop("node"), "classes", rows=F.lit(True))
     linked = F.col("n_shingles") > 0
-    alone = rows.where(~linked).withColumn("n_links", F.lit(0).cast("long")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *counts)
-    found = rows.where(linked).join(classes, "digest", "left")
+    alone = rows.where(~linked).withColumn("n_links", none).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *counts)
+    found = rows.where(linked).join(small(classes, found["rows"]), "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.col("root"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"), *counts).unionByName(alone)

@@ -156,9 +156,57 @@ def _link_counts(rows, k, num, den):
     return {i: counts.get(s, 0) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("long", [3, 12, 256])
-def test_jaccard_counts_all_links(spark, docs, rows, monkeypatch, long):
-    monkeypatch.setattr(jaccard, "LONG", long)
+def _near_copies(n, changed):
+    """Copies of one text that differ in words of their own, so that few of them link."""
+    rng = random.Random(n)
+    base, rows = brute.prose(rng, 150, 10**6).split(), []
+    for i in range(n):
+        own = list(base)
+        for place in rng.sample(range(150), changed):
+            own[place] = f"own{i}x{place}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [1024, 20])
+def test_jaccard_of_copies_that_do_not_link(spark, monkeypatch, blocks):
+    """A row is made for a pair only while pivots are compared; the rest goes block against block."""
+    for name, value in (("BLOCK_NODES", blocks), ("LONG", 8), ("ROUNDS", 1), ("COLUMNS", 64)):
+        monkeypatch.setattr(jaccard, name, value)
+    pairs, plain = [], jaccard._overlapping
+    monkeypatch.setattr(jaccard, "_overlapping", lambda p, s, n: pairs.append(n) or plain(p, s, n))
+    seen = {}
+    for n in (40, 120):
+        rows = _near_copies(n, 3)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(brute.table(spark, rows), 5, 80, 100).collect()}
+        links = _link_counts(rows, 5, 80, 100)
+        assert got == {i: (*found, links[i]) for i, found in brute.jaccard(rows, 5, 80, 100).items()}
+        seen[n] = sum(pairs)
+        pairs.clear()
+    assert seen[120] <= 4 * seen[40]
+
+
+def test_spanning_links():
+    rng = np.random.default_rng(4)
+    one, two = rng.integers(0, 30, 200), rng.integers(0, 30, 200)
+    kept = jaccard._spanning(one, two)
+    parts = [set(p) for p in zip(one.tolist(), two.tolist(), strict=True)]
+
+    def joined(pairs):
+        out = []
+        for pair in pairs:
+            touched = [p for p in out if p & pair]
+            out = [p for p in out if not p & pair] + [set.union(pair, *touched)]
+        return sorted(map(sorted, (p for p in out if len(p) > 1)))
+
+    assert joined(parts) == joined([parts[i] for i in kept])
+    assert len(jaccard._spanning(one[:0], two[:0])) == 0
+
+
+@pytest.mark.parametrize(("few", "block"), [(1, 4), (8, 1024), (100, 1024)])
+def test_jaccard_counts_all_links(spark, docs, rows, monkeypatch, few, block):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
     got = {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs, 3, 80, 100).collect()}
     assert got == _link_counts(rows, 3, 80, 100)
