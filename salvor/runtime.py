@@ -64,7 +64,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more; others are left alone.
+
+    Only for tables whose readers have been written themselves: what is still lazy
+    would find its files gone.
+    """
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_bucketed(df: DataFrame, label: str, columns: list[str], rows: int) -> DataFrame:
