@@ -7,14 +7,21 @@ shared folder; only row counts reach the driver.
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salvor.operators.skew import HUB_ROWS, MAX_HUBS, Hubs, find_hubs
+from salvor.operators.skew import HUB_ROWS, MAX_HUBS, Hubs, find_hubs, number_rows
 from salvor.runtime import Pile, cut, cut_bucketed, cut_counted, small, union_all
 
+# Targets and dependencies of a request that one task may order, about 100 MB.
+ONE_TASK_ROWS = 200_000
+
 
 @dataclass(frozen=True)
 class LineageGraph:
@@ -121,69 +128,119 @@ def unknown_seeds(requests: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(ids: DataFrame) -> tuple[DataFrame, int]:
+    """request_id, word, bit: every request's place in 64-bit words."""
+    place = number_rows(ids.select("request_id").distinct(), [], ["request_id"], "_n")
+    # Written per bit, since a shift wants a plain number on its left.
+    bit = F.expr("shiftleft(1L, cast(pmod(_n - 1, 64) AS int))")
+    numbered, n = cut_counted(
+        place.select("request_id", F.floor((F.col("_n") - 1) / 64).alias("word"), bit.alias("bit")),
+        "numbered",
+        all=F.lit(True),
+    )
+    return numbered, n["all"]
+
+
+def _in_words(rows: DataFrame, numbered: DataFrame, n: int) -> DataFrame:
+    """urn, word, bits: one row for up to 64 requests that share a node."""
+    return (
+        rows.select("request_id", "urn").join(small(numbered, n), "request_id")
+        .groupBy("urn", "word").agg(F.bit_or("bit").alias("bits"))
+    )
+
+
+def _out_of_words(rows: DataFrame, numbered: DataFrame, n: int) -> DataFrame:
+    """One row per request again."""
+    return (
+        rows.join(small(numbered, n), "word")
+        .filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        .drop("word", "bits", "bit")
+    )
+
+
+def _unseen(reached: DataFrame, seen: Pile) -> DataFrame:
+    """The bits of ``reached`` that are in no row of ``seen``."""
+    known = seen.all().groupBy("urn", "word").agg(F.bit_or("bits").alias("known"))
+    left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("bigint"))))
+    return (
+        reached.join(small(known, seen.rows), ["urn", "word"], "left")
+        .select("urn", "word", left.alias("bits"))
+        .filter(F.col("bits") != 0)
+    )
+
+
 def blast_radius(seeds: DataFrame, graph: LineageGraph) -> DataFrame:
     """Downstream reach of each request's seeds with the least distance.
 
-    ``seeds`` has ``request_id, urn, max_depth``; the result adds ``distance``.
+    ``seeds`` has ``request_id, urn, max_depth``; the result adds ``distance``. A
+    request's depth is the greatest of its rows. Requests are bits of words, so
+    a round moves an edge once for up to 64 requests that share it.
     """
     links = graph.known.select(
         F.col("upstream_urn").alias("urn"), F.col("up_slot").alias("slot"), "downstream_urn"
     )
-    going = F.col("max_depth") > F.col("distance")
-    level, n = cut_counted(
-        seeds.groupBy("request_id", "urn")
-        .agg(F.max("max_depth").alias("max_depth"))
-        .withColumn("distance", F.lit(0)),
-        "reach",
-        all=F.lit(True),
-        going=going,
+    numbered, requests = _numbered(seeds)
+    depths = cut(
+        seeds.groupBy("request_id").agg(F.max("max_depth").alias("max_depth"))
+        .join(small(numbered, requests), "request_id").select("word", "bit", "max_depth"),
+        "depths",
     )
+
+    def placed(rows: DataFrame, distance: int) -> tuple[DataFrame, dict[str, int]]:
+        """Rows of one distance with the bits of the requests that go on from there."""
+        further = depths.filter(F.col("max_depth") > distance).groupBy("word").agg(F.bit_or("bit").alias("further"))
+        going = F.col("bits").bitwiseAND(F.coalesce("further", F.lit(0).cast("bigint")))
+        rows = rows.join(small(further, requests), "word", "left").select(
+            "urn", "word", "bits", going.alias("going"), F.lit(distance).alias("distance")
+        )
+        return cut_counted(rows, "reach", all=F.lit(True), going=F.col("going") != 0)
+
+    level, n = placed(_in_words(seeds, numbered, requests), 0)
     seen, distance = Pile("reach"), 0
     seen.add(level, n["all"])
     while n["going"]:
-        step = graph.up_hubs.spread(level.filter(going).drop("distance"), "urn", "slot")
+        step = level.filter("going <> 0").select("urn", "word", F.col("going").alias("bits"))
+        step = graph.up_hubs.spread(step, "urn", "slot")
         reached = (
             links.join(small(step, n["going"] * graph.up_hubs.widest), ["urn", "slot"])
-            .groupBy("request_id", F.col("downstream_urn").alias("urn"))
-            .agg(F.max("max_depth").alias("max_depth"))
+            .groupBy(F.col("downstream_urn").alias("urn"), "word")
+            .agg(F.bit_or("bits").alias("bits"))
         )
         distance += 1
-        known = small(seen.all().select("request_id", "urn"), seen.rows)
-        level, n = cut_counted(
-            reached.join(known, ["request_id", "urn"], "left_anti").withColumn("distance", F.lit(distance)),
-            "reach",
-            all=F.lit(True),
-            going=going,
-        )
+        level, n = placed(_unseen(reached, seen), distance)
         seen.add(level, n["all"])
-    return seen.all().select("request_id", "urn", "distance")
+    return _out_of_words(seen.all().drop("going"), numbered, requests).select("request_id", "urn", "distance")
 
 
 def prerequisite_closure(targets: DataFrame, graph: LineageGraph) -> DataFrame:
     """Add unavailable upstream assets until nothing changes.
 
-    Added rows have no distance and do not expand downstream again.
+    Added rows have no distance and do not expand downstream again. Requests are
+    bits of words, as in ``blast_radius``.
     """
     lost = graph.known_by_child.filter(F.col("up_availability") == "unavailable").select(
         F.col("downstream_urn").alias("urn"), F.col("down_slot").alias("slot"), "upstream_urn"
     )
-    frontier, n = cut_counted(targets.select("request_id", "urn", "distance"), "closure", all=F.lit(True))
-    found = Pile("closure")
+    targets = cut(targets.select("request_id", "urn", "distance"), "closure")
+    numbered, requests = _numbered(targets)
+    frontier, n = cut_counted(_in_words(targets, numbered, requests), "closure", all=F.lit(True))
+    found, added = Pile("closure"), Pile("added")
     found.add(frontier, n["all"])
     while n["all"]:
-        step = graph.down_hubs.spread(frontier.select("request_id", "urn"), "urn", "slot")
+        step = graph.down_hubs.spread(frontier, "urn", "slot")
         pulled = (
             lost.join(small(step, n["all"] * graph.down_hubs.widest), ["urn", "slot"])
-            .groupBy("request_id", F.col("upstream_urn").alias("urn"))
-            .agg(F.lit(None).cast("int").alias("distance"))
-        )
-        known = small(found.all().select("request_id", "urn"), found.rows)
-        frontier, n = cut_counted(
-            pulled.join(known, ["request_id", "urn"], "left_anti"), "closure", all=F.lit(True)
+            .groupBy(F.col("upstream_urn").alias("urn"), "word")
+            .agg(F.bit_or("bits").alias("bits"))
         )
+        frontier, n = cut_counted(_unseen(pulled, found), "closure", all=F.lit(True))
         if n["all"]:
             found.add(frontier, n["all"])
-    return found.all()
+            added.add(frontier, n["all"])
+    if not added.parts:
+        return targets
+    more = _out_of_words(added.all(), numbered, requests)
+    return targets.unionByName(more.select("request_id", "urn", F.lit(None).cast("int").alias("distance")))
 
 
 def target_parents(targets: DataFrame, graph: LineageGraph) -> DataFrame:
@@ -295,17 +352,85 @@ def _arcs(parents: DataFrame, up: str, down: str, slot: Column) -> DataFrame:
     )
 
 
+def _orderer() -> Callable[[pa.Table], pa.Table]:
+    """Made here, so that it goes to the workers with the job."""
+
+    def ordered(group: pa.Table) -> pa.Table:
+        """Wave and place of every node of one request; both null for those that never get ready.
+
+        Rows are nodes (``src`` null) and arcs. The least ready node is taken each time.
+        """
+        waiting, children, wave = {}, defaultdict(list), {}
+        for src, dst in zip(group.column("src").to_pylist(), group.column("urn").to_pylist(), strict=True):
+            waiting.setdefault(dst, 0)
+            if src is not None:
+                waiting[dst] += 1
+                children[src].append(dst)
+        ready = [urn for urn, n in waiting.items() if not n]
+        heapq.heapify(ready)
+        place = {}
+        while ready:
+            urn = heapq.heappop(ready)
+            place[urn] = f"{len(place):010d}"
+            wave.setdefault(urn, 1)
+            for child in children[urn]:
+                waiting[child] -= 1
+                wave[child] = max(wave.get(child, 1), wave[urn] + 1)
+                if not waiting[child]:
+                    heapq.heappush(ready, child)
+        urns = list(waiting)
+        return pa.table(
+            {
+                "request_id": pa.array([group.column("request_id")[0].as_py()] * len(urns), pa.string()),
+                "urn": pa.array(urns, pa.string()),
+                "wave": pa.array([wave[u] if u in place else None for u in urns], pa.int32()),
+                "order_key": pa.array([[place[u]] if u in place else None for u in urns], pa.list_(pa.string())),
+            }
+        )
+
+    return ordered
+
+
 def recovery_waves(
-    targets: DataFrame, parents: DataFrame, graph: LineageGraph
+    targets: DataFrame, parents: DataFrame, graph: LineageGraph, limit: int = ONE_TASK_ROWS
 ) -> tuple[DataFrame, DataFrame, int]:
     """Waves (from 1) and exact order keys of acyclic targets, the stuck rest and its size.
 
     Sorting a request's targets by ``order_key`` gives the order a worker would
-    take that always picks the ready asset with the least URN. A key is the
-    greatest, over all paths to the asset, of the labels on the path that exceed
-    everything after them; it is built from the parents' keys while peeling.
+    take that always picks the ready asset with the least URN.
+
+    A request with at most ``limit`` targets and dependencies, counted before, is
+    ordered as a whole in one task, however deep it is; all such requests together
+    are one job. Larger ones are peeled by layers, a round each: there a key is
+    the greatest, over all paths to the asset, of the labels on the path that
+    exceed everything after them, built from the parents' keys while peeling.
     """
     arcs = _arcs(parents, "upstream_urn", "urn", F.col("up_slot"))
+    rows = targets.select("request_id", F.lit(None).cast("string").alias("src"), "urn").unionByName(
+        arcs.select("request_id", "src", F.col("dst").alias("urn"))
+    )
+    large = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    large, n = cut_counted(large.select("request_id"), "large", all=F.lit(True))
+    whole = rows.join(small(large, n["all"]), "request_id", "left_anti") if n["all"] else rows
+    made, found = cut_counted(
+        whole.groupBy("request_id").applyInArrow(
+            _orderer(), "request_id string, urn string, wave int, order_key array<string>"
+        ),
+        "ordered",
+        stuck=F.col("wave").isNull(),
+    )
+    waves, stuck, left = made.filter("wave IS NOT NULL"), made.filter("wave IS NULL").select("request_id", "urn"), found["stuck"]
+    if not n["all"]:
+        return waves, stuck, left
+    deep_waves, deep_stuck, deep_left = _layered(
+        targets.join(small(large, n["all"]), "request_id", "left_semi"),
+        arcs.join(small(large, n["all"]), "request_id", "left_semi"),
+        graph,
+    )
+    return waves.unionByName(deep_waves), stuck.unionByName(deep_stuck), left + deep_left
+
+
+def _layered(targets: DataFrame, arcs: DataFrame, graph: LineageGraph) -> tuple[DataFrame, DataFrame, int]:
     waves, stuck, left = _peel(targets, arcs, graph.up_hubs, with_key=True)
     if waves is None:
         waves = targets.limit(0).select(

@@ -73,8 +73,11 @@ def release(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing reads any more; others are left alone.
 
     Only for tables whose readers have been written themselves: what is still lazy
-    would find its files gone.
+    would find its files gone. The driver's garbage is collected too, since Spark
+    lets go of shuffle files with the plans that made them.
     """
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
     for table in tables:
         path = getattr(table, "_scratch_path", None)
         if path:

@@ -29,8 +29,8 @@ def make(spark, rng, nodes, edges, cyclic):
     return names, pairs, state, assets, edge_rows
 
 
-@pytest.mark.parametrize("seed,cyclic,hub_rows", [(1, False, 1000), (2, False, 3), (3, True, 3), (4, True, 1000)])
-def test_walks_against_plain_python(spark, seed, cyclic, hub_rows):
+@pytest.mark.parametrize("seed,cyclic,hub_rows,limit", [(1, False, 1000, 10**6), (2, False, 3, 0), (3, True, 3, 12), (4, True, 1000, 10**6)])
+def test_walks_against_plain_python(spark, seed, cyclic, hub_rows, limit):
     rng = random.Random(seed)
     names, pairs, state, assets, edges = make(spark, rng, 18, 24, cyclic)
     graph = G.build_graph(assets, edges, hub_rows=hub_rows)
@@ -42,7 +42,7 @@ def test_walks_against_plain_python(spark, seed, cyclic, hub_rows):
     reach = G.blast_radius(seeds, graph)
     targets = G.prerequisite_closure(reach, graph)
     parents = G.target_parents(targets, graph)
-    waves, stuck, left = G.recovery_waves(targets, parents, graph)
+    waves, stuck, left = G.recovery_waves(targets, parents, graph, limit)
     found = {r: {} for r in requests}
     for row in targets.collect():
         found[row["request_id"]][row["urn"]] = row["distance"]
@@ -76,6 +76,47 @@ def test_walks_against_plain_python(spark, seed, cyclic, hub_rows):
             assert [n for _, n in ordered] == brute.least_first_order(pairs, all_targets)
 
 
+def test_many_requests_share_words(spark):
+    """More requests than a word has bits, with depths of their own."""
+    rng = random.Random(11)
+    names, pairs, state, assets, edges = make(spark, rng, 14, 20, True)
+    graph = G.build_graph(assets, edges)
+    requests = {f"r{i:03d}": (rng.sample(names, rng.randrange(1, 3)), rng.randrange(4)) for i in range(150)}
+    seeds = spark.createDataFrame(
+        [(r, s, d) for r, (ss, d) in requests.items() for s in ss], "request_id string, urn string, max_depth int"
+    )
+    reach = G.blast_radius(seeds, graph)
+    rows = G.prerequisite_closure(reach, graph).collect()
+    assert len(rows) == len({(r["request_id"], r["urn"]) for r in rows})
+    found = {r: {} for r in requests}
+    for row in rows:
+        found[row["request_id"]][row["urn"]] = row["distance"]
+    for r, (ss, depth) in requests.items():
+        near = brute.reach(pairs, ss, depth)
+        assert found[r] == {n: near.get(n) for n in brute.closure(pairs, near, state)}
+    none = seeds.limit(0)
+    assert G.prerequisite_closure(G.blast_radius(none, graph), graph).count() == 0
+
+
+def test_deep_chain_is_one_job(spark):
+    """A chain of 1,000 assets and a node beside it: waves and order without a round per link."""
+    chain = [f"c{i:04d}" for i in range(1000)]
+    targets = spark.createDataFrame([("r", n) for n in [*chain, "a"]], "request_id string, urn string")
+    parents = spark.createDataFrame(
+        [("r", v, u, 0, "unavailable", "dependency") for u, v in zip(chain, chain[1:])],
+        "request_id string, urn string, upstream_urn string, up_slot int, up_availability string, role string",
+    )
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("deep", "deep")
+    waves, _, left = G.recovery_waves(targets, parents, None)
+    jobs = len(tracker.getJobIdsForGroup("deep"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert left == 0 and 0 < jobs <= 25
+    rows = sorted(waves.collect(), key=lambda r: r["order_key"])
+    assert [r["urn"] for r in rows] == ["a", *chain]
+    assert {r["urn"]: r["wave"] for r in rows} == {"a": 1} | {n: i + 1 for i, n in enumerate(chain)}
+
+
 def test_order_differs_from_waves(spark):
     """With a -> b and c alone, a and b come first although c is in wave 1."""
     assets = spark.createDataFrame([(n, "unavailable") for n in "abc"], "urn string, availability string")
@@ -95,7 +136,7 @@ def test_long_chain_and_self_loop(spark):
     graph = G.build_graph(assets, edges)
     targets = spark.createDataFrame([("r", n) for n in names], "request_id string, urn string")
     parents = G.target_parents(targets, graph)
-    waves, stuck, left = G.recovery_waves(targets, parents, graph)
+    waves, stuck, left = G.recovery_waves(targets, parents, graph, limit=0)
     assert {r["urn"]: r["wave"] for r in waves.collect()} == {n: i + 1 for i, n in enumerate(chain)}
     assert left == 1 and [r["urn"] for r in stuck.collect()] == ["loop"]
     assert [r["urn"] for r in G.cycle_core(stuck, parents, graph).collect()] == ["loop"]
