@@ -138,7 +138,9 @@ def _shared(rows: DataFrame, name: str, num: int, den: int) -> DataFrame:
     enough = (F.col("n") - F.col("pos")) * (num + den) * den >= num * (F.col("n") * den + other)
     kept = cut(lists.join(several.select("token", "least_n"), "token").where(enough).select("token", "node", "n", "pos"), "lists")
     several = kept.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("token")
-    return kept.join(several, "token", "left_semi")
+    shared = cut(kept.join(several, "token", "left_semi"), "lists")
+    release(kept)
+    return shared
 
 
 def _of(table: DataFrame, ids: DataFrame, rows: int, column: str = "node") -> DataFrame:
@@ -181,16 +183,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     are one node. Other columns are not read. An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed_docs = cut(signatures(texts, k, num, den, frequency_sketch(docs, k)), "signatures")
+    made = cut(signatures(texts, k, num, den, frequency_sketch(docs, k)), "signatures")
+    signed_docs = cut(made.select("doc_id", "n", "digest"), "signatures")
     classes = signed_docs.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     classes = cut(classes, "classes")
-    first = signed_docs.select(F.col("doc_id").alias("node"), "n", "digest", "p0").join(classes, ["digest", "node"], "left_semi")
-    lists = cut(_shared(first, "p0", num, den), "lists")
+    first = made.select(F.col("doc_id").alias("node"), "n", "digest", "p0").join(classes, ["digest", "node"], "left_semi")
+    lists = _shared(first, "p0", num, den)
+    release(made)
     alive, found = cut_counted(lists.select("node").distinct(), "alive", rows=F.lit(True))
     signs = cut(other_prefixes(_of(texts, alive, found["rows"], "doc_id"), k, num, den), "prefixes")
-    alive, found = cut_counted(_shared(signs, "p1", num, den).select("node").distinct(), "alive", rows=F.lit(True))
+    shared = _shared(signs, "p1", num, den)
+    alive, found = cut_counted(shared.select("node").distinct(), "alive", rows=F.lit(True))
+    release(shared)
     sets = cut(_stored_sets(_of(texts, alive, found["rows"], "doc_id"), k), "sets")
-    lists, found = cut_counted(_of(lists, alive, found["rows"]), "lists", rows=F.lit(True))
+    old, (lists, found) = lists, cut_counted(_of(lists, alive, found["rows"]), "lists", rows=F.lit(True))
+    release(old)
 
     links, pivots, turn = None, PIVOTS, 0
     lists = lists.withColumn("label", F.col("node"))
