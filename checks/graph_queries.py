@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from salvor.operators import graph as G
 from salvor.operators.skew import number_rows
 from salvor.plans import compile as C
 from salvor.plans import identity
-from salvor.plans.workload import SOURCE, catalog
+from salvor.plans.workload import REGISTRY, SCOPE, SOURCE, asset_urn, catalog, table
 
 
 def graph_fingerprint(spark, folder):
@@ -98,6 +100,33 @@ def plan_verdicts(spark, folder):
     )
 
 
+def plan_details(spark, folder):
+    """What each refused plan was refused for."""
+    return catalog(spark, folder).book.plans.select("request_id", "verdict", "detail")
+
+
+def scope_refusals(spark, folder):
+    """The same plans under a scope that only takes suppliers."""
+    c = catalog(spark, folder)
+    narrow = replace(SCOPE, prefix=f"{SCOPE.prefix}s")
+    book = C.compile_plans(c.requests, c.assets, c.edges, REGISTRY, narrow, c.fingerprint, c.graph)
+    return book.plans.select("request_id", "verdict", "detail", "target_count")
+
+
+def lineage_refusals(spark, folder):
+    """The same plans when every region also feeds an asset that the catalog lacks."""
+    c = catalog(spark, folder)
+    region = table(spark, folder, "region")
+    lost = region.select(
+        asset_urn("region", F.col("r_regionkey")).alias("upstream_urn"),
+        asset_urn("ghost", F.col("r_regionkey")).alias("downstream_urn"),
+    )
+    ends = ["upstream_urn", "downstream_urn"]
+    dangling = G.dangling_pairs(c.assets, c.edges.select(ends).unionByName(lost))
+    book = C.compile_plans(c.requests, c.assets, c.edges, REGISTRY, SCOPE, c.fingerprint, c.graph, dangling)
+    return book.plans.select("request_id", "verdict", "detail", "target_count")
+
+
 def step_ids(spark, folder):
     return catalog(spark, folder).book.steps.select("plan_id", "target_urn", "step_id", "idempotency_key")
 
@@ -122,7 +151,8 @@ QUERIES = {
     for f in (
         graph_fingerprint, lineage_edges, lineage_roots, upstream_groups, unknown_seeds, blast_radius,
         prerequisite_closure, target_parents, recovery_waves, recovery_order, unresolved_prerequisites,
-        missing_adapters, selection_evidence, plan_selection, beyond_depth, plan_verdicts, step_ids,
+        missing_adapters, selection_evidence, plan_selection, beyond_depth, plan_verdicts, plan_details,
+        scope_refusals, lineage_refusals, step_ids,
         plan_steps, step_dependencies, healthy_preconditions,
     )
 }

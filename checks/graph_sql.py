@@ -308,6 +308,20 @@ SQL = {
     + "SELECT v.request_id, v.plan_id, v.verdict, coalesce(t.n, 0) AS target_count, coalesce(w.n, 0) AS wave_count "
     "FROM verdicts v LEFT JOIN (SELECT request_id, count(*) AS n FROM targets GROUP BY 1) t USING (request_id) "
     "LEFT JOIN (SELECT request_id, max(wave) AS n FROM waves GROUP BY 1) w USING (request_id)",
+    "plan_details": with_(*TO_PLANS, WAVES, KEYS)
+    + "SELECT v.request_id, v.verdict, CASE v.verdict WHEN 'unknown_asset' THEN u.detail WHEN 'missing_adapter' THEN m.detail "
+    "WHEN 'unresolved_prerequisite' THEN o.detail END AS detail FROM verdicts v "
+    "LEFT JOIN (SELECT request_id, string_agg(urn, ', ' ORDER BY urn) AS detail FROM unknown GROUP BY 1) u USING (request_id) "
+    "LEFT JOIN (SELECT request_id, min(urn) AS detail FROM missing GROUP BY 1) m USING (request_id) "
+    "LEFT JOIN (SELECT request_id, urn || ' requires ' || upstream_urn || ' with state ' || availability AS detail "
+    "FROM parents JOIN keys USING (request_id, urn) WHERE role = 'unresolved' QUALIFY row_number() OVER "
+    "(PARTITION BY request_id ORDER BY order_key, upstream_urn) = 1) o USING (request_id)",
+    "scope_refusals": with_()
+    + "SELECT request_id, 'out_of_scope' AS verdict, (SELECT min(urn) FROM assets WHERE NOT "
+    "starts_with(split_part(urn, ',', 2), 'estate.s')) AS detail, 0::BIGINT AS target_count FROM requests",
+    "lineage_refusals": with_()
+    + "SELECT request_id, 'invalid_lineage' AS verdict, (SELECT min('urn:li:dataset:(urn:li:dataPlatform:region,estate.region.' "
+    "|| r_regionkey || ',PROD)') FROM region) AS detail, 0::BIGINT AS target_count FROM requests",
     "step_ids": with_(*TO_PLANS) + f"SELECT plan_id, urn AS target_urn, {step('urn')} AS step_id, "
     f"plan_id || ':' || {step('urn')} AS idempotency_key FROM targets JOIN ok USING (request_id)",
     "plan_steps": with_(*TO_PLANS, WAVES, KEYS)

@@ -185,11 +185,21 @@ def compile_plans(
     scope: Scope,
     fingerprint: str,
     graph: G.LineageGraph | None = None,
+    dangling_edges: DataFrame | None = None,
 ) -> PlanBook:
+    """Verdicts, targets and order of all requests.
+
+    ``dangling_edges`` are edges with an end that is no asset, where the caller
+    knows them already, as from a check of the next catalog; otherwise the
+    graph's own are looked up. One such edge, or one asset out of scope, refuses
+    every plan.
+    """
     requests = normalize_requests(requests)
     graph = graph or G.build_graph(assets, edges)
     outside = _first(scope_violations(assets, scope), "urn")
-    dangling = _first(G.dangling_edges(graph), "upstream_urn", "downstream_urn")
+    if dangling_edges is None:
+        dangling_edges = G.dangling_edges(graph)
+    dangling = _first(dangling_edges, "upstream_urn", "downstream_urn")
     refused_all = outside is not None or dangling is not None
 
     unknown = G.unknown_seeds(requests, assets).groupBy("request_id").agg(
