@@ -30,6 +30,7 @@ EVIDENCE_TEXT = {
     "unreadable": "DataHub vertical-slice receipt is unreadable or invalid",
     "invalidated": "DataHub vertical-slice evidence was invalidated by reset; run a fresh complete vertical slice",
     "unproven": "DataHub vertical-slice receipt does not prove this project",
+    "unbound": "current fixture cannot be fingerprinted for evidence binding",
     "stale": "DataHub vertical-slice receipt is stale for the current fixture",
     "bad_paths": "DataHub vertical-slice receipt has invalid component paths",
     "component": "DataHub evidence component is missing: ",
@@ -317,8 +318,8 @@ def slice_evidence(receipts: DataFrame, projects: DataFrame, components: DataFra
     """Evidence check per project, by the first rule its newest slice receipt breaks.
 
     ``receipts``: project, named_project, operation, verified, fingerprint,
-    readable, paths map<string,string>, seq; ``projects``: project, fingerprint,
-    folder; ``components``: project, file_name (the files that exist).
+    readable, paths map<string,string>, seq; ``projects``: project, fingerprint
+    (null for a catalog that has none), folder; ``components``: project, file_name (the files that exist).
     """
     newest = receipts.groupBy("project").agg(
         F.max_by(
@@ -347,6 +348,7 @@ def slice_evidence(receipts: DataFrame, projects: DataFrame, components: DataFra
             ),
             EVIDENCE_TEXT["unproven"],
         )
+        .when(F.col("fingerprint").isNull(), EVIDENCE_TEXT["unbound"])
         .when(~F.col("r.fingerprint").eqNullSafe(F.col("fingerprint")), EVIDENCE_TEXT["stale"])
     )
     for key, name in COMPONENTS.items():

@@ -219,6 +219,21 @@ def test_slice_and_readiness(spark):
     assert CT.operation_state(resets).first()["status"] == "completed"
 
 
+def test_evidence_of_a_catalog_without_fingerprint(spark):
+    """A catalog that cannot be fingerprinted is judged after the receipt itself and before its age."""
+    receipts = spark.createDataFrame(
+        [(p, p, CT.SLICE_OPERATION, p != "unproven", f, True, {}, 1) for p, f in (("none", None), ("lost", "x"), ("stale", "x"), ("unproven", "x"))],
+        "project string, named_project string, operation string, verified boolean, fingerprint string, readable boolean, paths map<string,string>, seq bigint",
+    )
+    projects = spark.createDataFrame(
+        [("none", None, "/a"), ("lost", None, "/a"), ("stale", "y", "/a"), ("unproven", None, "/a")], "project string, fingerprint string, folder string"
+    )
+    files = spark.createDataFrame([], "project string, file_name string")
+    got = {r["project"]: (r["ready"], r["detail"]) for r in CT.slice_evidence(receipts, projects, files).collect()}
+    want = {"none": "unbound", "lost": "unbound", "stale": "stale", "unproven": "unproven"}
+    assert got == {p: (False, CT.EVIDENCE_TEXT[code]) for p, code in want.items()}
+
+
 def test_secret_screen_reads_texts_with_very_many_escapes(spark):
     body = '{"note":"' + "line\\\\n" * 200_000 + '","token":"x"}'
     rows = CT.secret_screen(spark.createDataFrame([("p", body)], "id string, body string"), "body", "sk-1").collect()
