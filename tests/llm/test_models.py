@@ -153,6 +153,25 @@ def test_licenses(spark):
     assert licenses.scan_licenses(brute.table(spark, rows), ()).count() == 0
 
 
+def test_license_with_words_inserted_at_every_offset(spark):
+    rng = random.Random(16)
+    notice = dict(licenses.TEMPLATES)["gpl-3.0-notice"].split()
+    rows = []
+    for n in (7, 10, 15):
+        edited = notice[:15] + ["extra"] * n + notice[15:]
+        rows += [(64 * n + at, " ".join([brute.prose(rng, at), *edited, brute.prose(rng, 70)])) for at in range(64)]
+    got = {r.doc_id for r in licenses.scan_licenses(brute.table(spark, rows)).where("license = 'gpl-3.0-notice'").collect()}
+    assert got == {i for i, _ in rows}
+
+
+def test_license_templates_of_few_words(spark):
+    rng = random.Random(17)
+    templates = (("short", "All rights Reserved"), ("one", "copyleft"), ("none", " .,"), ("four", "use as you like"), licenses.TEMPLATES[2])
+    rows = [(1, brute.prose(rng, 60) + " all rights reserved."), (2, "copyleft"), (3, "Use as you like, ALL RIGHTS"), (4, "rights reserved"), (5, "."), (6, None), (7, "Released under the MIT License. copyleft")]
+    got = {(r.doc_id, r.license, r.containment) for r in licenses.scan_licenses(brute.table(spark, rows), templates).collect()}
+    assert got == {(1, "short", 1.0), (2, "one", 1.0), (3, "four", 1.0), (7, "mit", 1.0), (7, "one", 1.0)}
+
+
 def test_common_length():
     rng = random.Random(8)
     for _ in range(50):
