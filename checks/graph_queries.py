@@ -11,6 +11,7 @@ from salvor.operators.skew import number_rows
 from salvor.plans import compile as C
 from salvor.plans import identity
 from salvor.plans.workload import REGISTRY, SCOPE, SOURCE, asset_urn, catalog, table
+from salvor.runtime import cut
 
 
 def graph_fingerprint(spark, folder):
@@ -18,6 +19,22 @@ def graph_fingerprint(spark, folder):
     return identity.graph_digest(c.assets, c.edges, SOURCE)
 
 
+def fingerprint_upkeep(spark, folder):
+    """The fingerprint of the catalog from that of an earlier one, in which all assets were there and the
+    edges into those that are not were still missing; only what changed since is hashed anew."""
+    c = catalog(spark, folder)
+    gone = F.col("availability") != "available"
+    changed = c.assets.where(gone)
+    ends = changed.select(F.col("urn").alias("downstream_urn")).distinct()
+    before = identity.graph_state(c.assets.withColumn("availability", F.lit("available")), c.edges.join(ends, "downstream_urn", "left_anti"))
+    stored = identity.GraphState(cut(before.assets, "lanes"), cut(before.edges, "lanes"))
+    after = identity.moved_graph(
+        stored, changed, changed.withColumn("availability", F.lit("available")),
+        c.edges.join(ends, "downstream_urn", "left_semi"), c.edges.where(F.lit(False)),
+    )
+    return identity.graph_state_digest(after, SOURCE)
+
+
 def lineage_edges(spark, folder):
     return G.distinct_edges(catalog(spark, folder).edges).select("upstream_urn", "downstream_urn")
 
@@ -149,7 +166,7 @@ def healthy_preconditions(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_fingerprint, lineage_edges, lineage_roots, upstream_groups, unknown_seeds, blast_radius,
+        graph_fingerprint, fingerprint_upkeep, lineage_edges, lineage_roots, upstream_groups, unknown_seeds, blast_radius,
         prerequisite_closure, target_parents, recovery_waves, recovery_order, unresolved_prerequisites,
         missing_adapters, selection_evidence, plan_selection, beyond_depth, plan_verdicts, plan_details,
         scope_refusals, lineage_refusals, step_ids,

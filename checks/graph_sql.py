@@ -192,8 +192,10 @@ def moment(expr: str) -> str:
     return number(f"epoch_us({expr})")
 
 
-def digest(source: str, columns: dict[str, str]) -> str:
-    """A one-row subquery with ``row_count`` and ``digest`` of ``source``."""
+def digest(source: str, columns: dict[str, str], by: str = "") -> str:
+    """A subquery with ``row_count`` and ``digest`` of ``source``, one row or one by group."""
+    own = f"{by}, " if by else ""
+    grouped = f" GROUP BY {by}" if by else ""
     row = " || '|' || ".join(columns.values())
     lanes = ", ".join(
         f"CAST(coalesce(sum(CAST(('0x' || substr(h, {at}, 15)) AS BIGINT)), 0) AS VARCHAR) AS lane{i}"
@@ -201,9 +203,9 @@ def digest(source: str, columns: dict[str, str]) -> str:
     )
     names = ",".join(columns)
     return (
-        f"SELECT row_count, sha256('{names}' || '|' || row_count || '|' || "
+        f"SELECT {own}row_count, sha256('{names}' || '|' || row_count || '|' || "
         f"concat_ws('|', lane0, lane1, lane2, lane3)) AS digest FROM ("
-        f"SELECT count(*) AS row_count, {lanes} FROM (SELECT sha256({row}) AS h FROM {source}))"
+        f"SELECT {own}count(*) AS row_count, {lanes} FROM (SELECT {own}sha256({row}) AS h FROM {source}){grouped})"
     )
 
 
@@ -274,6 +276,7 @@ TO_PLANS = (*TO_PARENTS, FINGERPRINT, PLAN_IDS, MISSING, VERDICTS)
 
 SQL = {
     "graph_fingerprint": with_(FINGERPRINT) + "SELECT fp AS fingerprint FROM fingerprint",
+    "fingerprint_upkeep": with_(FINGERPRINT) + "SELECT fp AS fingerprint FROM fingerprint",
     "lineage_edges": with_() + "SELECT up AS upstream_urn, down AS downstream_urn FROM edges",
     "lineage_roots": with_() + "SELECT DISTINCT up AS upstream_urn FROM edges",
     "upstream_groups": with_() + "SELECT down AS downstream_urn, count(*) AS upstream_count, min(up) AS first_upstream, "

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from salvor import schemas
-from salvor.functions.digests import multiset_digest
+from salvor.functions.digests import default_kinds, lane_state, moved_state, multiset_digest, state_digest
 from salvor.functions.scope import safe_run_name, scope_violations, urn_parts
 from salvor.operators import builders as B
 from salvor.operators import validate as V
 from salvor.plans.workload import AS_OF, SCOPE, assets, table
-from salvor.runtime import scratch_path
+from salvor.runtime import cut, scratch_path
 from salvor.sources import documents, sinks, tables
 
 TABLES = [
@@ -114,6 +114,18 @@ def table_fingerprint(spark, folder):
     return out
 
 
+def digest_upkeep(spark, folder):
+    """Digests of orders by priority, kept up to date while orders arrive and open ones of old date are closed."""
+    orders, by = table(spark, folder, "orders"), ["o_orderpriority"]
+    late = F.col("o_orderdate") > F.lit(AS_OF).cast("timestamp_ntz")
+    kinds = {c: k for c, k in default_kinds(orders).items() if c not in by}
+    state = cut(lane_state(orders.where(~late), kinds, by), "lanes")
+    state = cut(moved_state(state, orders.where(late), orders.where(F.lit(False)), kinds, by), "lanes")
+    closed = orders.where((F.col("o_orderstatus") == "O") & ~late)
+    state = moved_state(state, closed.withColumn("o_orderstatus", F.lit("F")), closed, kinds, by)
+    return state_digest(state, list(kinds), by)
+
+
 def idempotent_materialize(spark, folder):
     store = sinks.TableStore(spark, scratch_path(spark, "store"))
     rows = []
@@ -317,7 +329,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_scan, csv_scan, snapshot_sink, inline_values, stg_orders, restore_as_of, customer_revenue,
-        customer_value_feature, executive_dashboard, model_record, table_fingerprint,
+        customer_value_feature, executive_dashboard, model_record, table_fingerprint, digest_upkeep,
         idempotent_materialize, scope_check, urn_parse, run_names, request_contract, duplicate_assets,
         validate_tables, rule_report, artifact_checks, validation_gate, artifact_keys, event_freshness,
         file_freshness, estate_state, estate_counts,

@@ -169,6 +169,11 @@ SQL = {
     "table_fingerprint": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, row_count, digest FROM ({_digest_of(name)})" for name in COLUMNS
     ),
+    "digest_upkeep": digest(
+        f"(SELECT * REPLACE (CASE WHEN o_orderstatus = 'O' AND o_orderdate <= {AS_OF} THEN 'F' ELSE o_orderstatus END "
+        "AS o_orderstatus) FROM orders)",
+        {c: kind for c, kind in _cols("orders").items() if c != "o_orderpriority"}, "o_orderpriority",
+    ),
     "idempotent_materialize": MATERIALIZE,
     "scope_check": "SELECT urn, reason FROM (SELECT urn, CASE WHEN NOT (starts_with("
     f"regexp_extract(urn, '{URN_RULE}', 2), 'estate.') AND regexp_extract(urn, '{URN_RULE}', 2) <> 'estate.') "

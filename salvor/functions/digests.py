@@ -141,19 +141,59 @@ def digest_from_sums(columns: list[str], sums: Mapping[str, int]) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
+def lane_state(
+    df: DataFrame, kinds: Mapping[str, str] | None = None, by: list[str] | None = None
+) -> DataFrame:
+    """Row count and lane sums of a table (or of each group): all that its digest needs.
+
+    Sums commute, so partial aggregates combine on the map side and no sort or
+    gather of rows is needed.
+    """
+    kinds = dict(kinds or {c: k for c, k in default_kinds(df).items() if c not in (by or [])})
+    return with_lanes(df, kinds).groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("row_count"), *lane_sums())
+
+
+def moved_state(
+    state: DataFrame, added: DataFrame, removed: DataFrame,
+    kinds: Mapping[str, str] | None = None, by: list[str] | None = None,
+) -> DataFrame:
+    """The state after rows were added and removed, of which alone the rows are hashed.
+
+    A changed row is removed as it was and added as it is; a row that is in both
+    changes nothing, and a row that is there twice counts twice. Groups without rows
+    are left out, as ``lane_state`` does. The order of changes does not matter.
+    """
+    by = by or []
+    kinds = dict(kinds or {c: k for c, k in default_kinds(added).items() if c not in by})
+    sums = [c for c in state.columns if c not in by]
+    less = lane_state(removed, kinds, by).select(*by, *[(-F.col(c)).alias(c) for c in sums])
+    parts = state.unionByName(lane_state(added, kinds, by)).unionByName(less)
+    total = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+    return total.where(F.greatest(*[F.abs(c) for c in sums]) > 0) if by else total
+
+
+def state_digest(state: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """row_count and digest (by group) of a state over ``columns``.
+
+    The digest is null where a sum is below zero: rows were removed that the table
+    never had.
+    """
+    by = by or []
+    sums = [F.col(c) for c in state.columns if c not in by]
+    digest = F.when(F.least(*sums) >= 0, combine_lanes(columns))
+    return state.select(*by, "row_count", digest.alias("digest"))
+
+
 def multiset_digest(
     df: DataFrame, kinds: Mapping[str, str] | None = None, by: list[str] | None = None
 ) -> DataFrame:
     """Order-free, duplicate-sensitive digest in one aggregation.
 
-    Sums commute, so partial aggregates combine on the map side and no sort or
-    gather of rows is needed. ``by`` gives one digest per group.
+    ``by`` gives one digest per group. ``moved_state`` keeps a digest up to date
+    from changed rows alone.
     """
     kinds = dict(kinds or {c: k for c, k in default_kinds(df).items() if c not in (by or [])})
-    grouped = with_lanes(df, kinds).groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("row_count"), *lane_sums()
-    )
-    return grouped.select(*(by or []), "row_count", combine_lanes(list(kinds)).alias("digest"))
+    return state_digest(lane_state(df, kinds, by), list(kinds), by)
 
 
 def bytes_digest(content: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salvor.functions.digests import multiset_digest, sha_prefix
+from salvor.functions.digests import lane_state, moved_state, sha_prefix, state_digest
 from salvor.functions.text import canonical_json, json_array, json_bool, json_object, json_string
 
 # Fixed value: part of every plan identifier.
@@ -56,27 +58,55 @@ def edge_json() -> Column:
     )
 
 
-def graph_digest(assets: DataFrame, edges: DataFrame, source_instance: str) -> DataFrame:
-    """Order-free catalog digest: one aggregation over assets and one over edges."""
-    a = assets.select(
-        F.col("urn"),
-        asset_json().alias("document"),
-    )
-    e = edges.select("upstream_urn", "downstream_urn", "evidence.source", "evidence.tool")
-    parts = multiset_digest(a).select(F.lit("assets").alias("part"), "digest").unionByName(
-        multiset_digest(e).select(F.lit("edges").alias("part"), "digest")
+ASSET_KINDS = {"urn": "text", "document": "text"}
+EDGE_KINDS = {c: "text" for c in ("upstream_urn", "downstream_urn", "source", "tool")}
+
+
+def _asset_rows(assets: DataFrame) -> DataFrame:
+    return assets.select(F.col("urn"), asset_json().alias("document"))
+
+
+def _edge_rows(edges: DataFrame) -> DataFrame:
+    return edges.select("upstream_urn", "downstream_urn", "evidence.source", "evidence.tool")
+
+
+class GraphState(NamedTuple):
+    """Row counts and lane sums of a catalog's assets and of its edges, a row each."""
+
+    assets: DataFrame
+    edges: DataFrame
+
+
+def graph_state(assets: DataFrame, edges: DataFrame) -> GraphState:
+    return GraphState(lane_state(_asset_rows(assets), ASSET_KINDS), lane_state(_edge_rows(edges), EDGE_KINDS))
+
+
+def moved_graph(
+    state: GraphState, added_assets: DataFrame, removed_assets: DataFrame, added_edges: DataFrame, removed_edges: DataFrame
+) -> GraphState:
+    """The state after a difference of catalogs; only the difference is read and hashed.
+
+    A changed asset is removed as it was and added as it is.
+    """
+    return GraphState(
+        moved_state(state.assets, _asset_rows(added_assets), _asset_rows(removed_assets), ASSET_KINDS),
+        moved_state(state.edges, _edge_rows(added_edges), _edge_rows(removed_edges), EDGE_KINDS),
     )
-    return parts.agg(
-        F.sha2(
-            F.concat_ws(
-                "|",
-                F.lit(source_instance),
-                F.max(F.when(F.col("part") == "assets", F.col("digest"))),
-                F.max(F.when(F.col("part") == "edges", F.col("digest"))),
-            ),
-            256,
-        ).alias("fingerprint")
+
+
+def graph_state_digest(state: GraphState, source_instance: str) -> DataFrame:
+    """The catalog digest of a state; null where rows were removed that never were there."""
+    parts = state_digest(state.assets, list(ASSET_KINDS)).select(F.lit("assets").alias("part"), "digest").unionByName(
+        state_digest(state.edges, list(EDGE_KINDS)).select(F.lit("edges").alias("part"), "digest")
     )
+    of_assets, of_edges = (F.max(F.when(F.col("part") == part, F.col("digest"))) for part in ("assets", "edges"))
+    both = F.sha2(F.concat_ws("|", F.lit(source_instance), of_assets, of_edges), 256)
+    return parts.agg(F.when(of_assets.isNotNull() & of_edges.isNotNull(), both).alias("fingerprint"))
+
+
+def graph_digest(assets: DataFrame, edges: DataFrame, source_instance: str) -> DataFrame:
+    """Order-free catalog digest: one aggregation over assets and one over edges."""
+    return graph_state_digest(graph_state(assets, edges), source_instance)
 
 
 def request_json() -> Column:

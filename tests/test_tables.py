@@ -1,5 +1,6 @@
 import json
 import math
+import random
 from decimal import Decimal
 
 import brute
@@ -7,7 +8,7 @@ import pytest
 from canonical import canonical_table_digest
 from pyspark.sql import functions as F
 
-from salvor.functions.digests import multiset_digest
+from salvor.functions.digests import lane_state, moved_state, multiset_digest, state_digest
 from salvor.functions.text import canonical_json, json_number, json_string
 from salvor.operators import builders as B
 from salvor.sources import documents, sinks, tables
@@ -185,3 +186,41 @@ def test_restore_scan_pushes_its_filter_and_columns(spark, tmp_path):
     spark.createDataFrame([(1, "a", 2.0)], "k int, t string, v double").write.parquet(path)
     plan = tables.scan_parquet(spark, path, ["k"], F.col("v") > 1)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(v,1.0)" in plan and "ReadSchema: struct<k:int,v:double>" in plan
+
+
+KINDS = {"a": "number", "b": "text"}
+
+
+def _state_of(spark, rows):
+    return spark.createDataFrame(rows, "k string, a bigint, b string")
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_digest_from_changed_rows_alone(spark, by):
+    rng = random.Random(21)
+    rows = [(rng.choice("xyz"), rng.choice([None, *range(9)]), rng.choice([None, "", "p", "q"])) for _ in range(300)]
+    kinds = KINDS if by else {"k": "text", **KINDS}
+    full = lambda r: sorted(map(tuple, multiset_digest(_state_of(spark, r), kinds, by).collect()))
+    state = lane_state(_state_of(spark, rows), kinds, by)
+    for _ in range(4):
+        out = rng.sample(rows, 60)
+        new = [("w", 1, None), *[(rng.choice("xyzw"), rng.randrange(9), "r") for _ in range(40)]]
+        both = [("x", 5, "kept")]
+        for row in out:
+            rows.remove(row)
+        rows += new
+        state = moved_state(state, _state_of(spark, new + both), _state_of(spark, out + both), kinds, by)
+        state = spark.createDataFrame(state.collect(), state.schema)
+        assert sorted(map(tuple, state_digest(state, list(kinds), by).collect())) == full(rows)
+
+
+def test_digest_of_removed_groups_and_of_rows_that_never_were(spark):
+    rows = [("x", 1, "p"), ("x", 1, "p"), ("y", None, None)]
+    none, state = _state_of(spark, []), lane_state(_state_of(spark, rows), KINDS, ["k"])
+    left = moved_state(state, none, _state_of(spark, rows[:2]), KINDS, ["k"])
+    assert [tuple(r) for r in state_digest(left, list(KINDS), ["k"]).collect()] == [tuple(r) for r in multiset_digest(_state_of(spark, rows[2:]), KINDS, ["k"]).collect()]
+    assert moved_state(left, none, _state_of(spark, rows[2:]), KINDS, ["k"]).count() == 0
+    wrong = state_digest(moved_state(left, none, _state_of(spark, [("z", 7, "never")]), KINDS, ["k"]), list(KINDS), ["k"])
+    assert {r.k: (r.row_count, r.digest is None) for r in wrong.collect()} == {"y": (1, False), "z": (-1, True)}
+    empty = moved_state(lane_state(none), none, none)
+    assert state_digest(empty, ["k", "a", "b"]).first() == multiset_digest(none).first()
