@@ -214,6 +214,19 @@ def graph_diff(spark, folder):
     )
 
 
+def stale_plans(spark, folder):
+    """Plans made stale when the first orders leave the catalog and the last ones come in."""
+    from salvor.operators.graph import build_graph
+    from salvor.plans import staleness
+    from salvor.plans.compile import normalize_requests
+
+    date, graphs = F.col("o_orderdate"), []
+    for where in (date <= F.lit("2001-03-31").cast("timestamp_ntz"), date > F.lit("1995-03-31").cast("timestamp_ntz")):
+        graphs.append(build_graph(assets(spark, folder, orders_where=where), edges(spark, folder, orders_where=where)))
+    requests = normalize_requests(catalog(spark, folder).requests)
+    return staleness.stale_plans(requests, staleness.select(requests, graphs[0]), *graphs)[0]
+
+
 def dangling_edges(spark, folder):
     """The lineage still names orders that a point-in-time catalog does not have."""
     from salvor.operators.graph import dangling_pairs
@@ -260,6 +273,6 @@ QUERIES = {
         aspect_feed, aspect_counts, lineage_items, aspect_latest, active_assets, writeback_verify,
         writeback_refusals, entity_evidence, lineage_page, lineage_evidence, context_receipt,
         slice_receipts, operation_state, slice_evidence, readiness, fixture_check, secret_screen,
-        graph_diff, dangling_edges, cycle_core, cycle_path,
+        graph_diff, stale_plans, dangling_edges, cycle_core, cycle_path,
     )
 }

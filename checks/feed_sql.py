@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.graph_sql import ASSET_DOC, EDGES, assets, digest, field, urn, with_
+from checks.graph_sql import ASSET_DOC, CLOSURE, EDGES, PARENTS, REQUESTS, SEEDS, assets, digest, field, urn, with_
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
@@ -77,6 +77,32 @@ def _span(sql: str, where: str) -> str:
     return sql.replace("FROM orders", f"FROM (SELECT * FROM orders WHERE {where})").replace("FROM lineitem", f"FROM {lines}")
 
 
+def _selected(where: str, rows: str) -> str:
+    base = f"assets AS MATERIALIZED ({_span(assets(), where)}), edges AS MATERIALIZED ({_span(EDGES, where)}), requests AS MATERIALIZED ({REQUESTS})"
+    return "WITH RECURSIVE " + ", ".join([base, SEEDS, CLOSURE, PARENTS]) + " SELECT * FROM " + rows
+
+
+_WAS, _IS = "o_orderdate <= TIMESTAMP '2001-03-31'", "o_orderdate > TIMESTAMP '1995-03-31'"
+STALE = (
+    "WITH " + ", ".join(
+        f"{side}_{rows} AS MATERIALIZED ({_selected(where, rows)})"
+        for side, where in (("old", _WAS), ("new", _IS)) for rows in ("targets", "parents")
+    )
+    + ", d AS (SELECT coalesce(o.request_id, n.request_id) AS request_id, count(*) FILTER (o.urn IS NULL) AS targets_added, "
+    "count(*) FILTER (n.urn IS NULL) AS targets_removed, count(*) FILTER (o.urn = n.urn AND o.distance IS DISTINCT FROM n.distance) "
+    "AS distances_changed, 0 AS parents_added, 0 AS parents_removed, 0 AS roles_changed FROM old_targets o FULL JOIN new_targets n "
+    "ON o.request_id = n.request_id AND o.urn = n.urn GROUP BY 1 UNION ALL SELECT coalesce(o.request_id, n.request_id), 0, 0, 0, "
+    "count(*) FILTER (o.urn IS NULL), count(*) FILTER (n.urn IS NULL), "
+    "count(*) FILTER (o.urn = n.urn AND (o.availability <> n.availability OR o.role <> n.role)) FROM old_parents o "
+    "FULL JOIN new_parents n ON o.request_id = n.request_id AND o.urn = n.urn AND o.upstream_urn = n.upstream_urn GROUP BY 1) "
+    "SELECT request_id, " + ", ".join(
+        f"CAST(sum({c}) AS BIGINT) AS {c}"
+        for c in ("targets_added", "targets_removed", "distances_changed", "parents_added", "parents_removed", "roles_changed")
+    )
+    + " FROM d GROUP BY 1 HAVING greatest(sum(targets_added), sum(targets_removed), sum(distances_changed), sum(parents_added), "
+    "sum(parents_removed), sum(roles_changed)) > 0"
+)
+
 CLOSED = (
     "back AS (SELECT " + urn("region", "n_regionkey") + " AS up, " + urn("customer", "c_custkey")
     + " AS down FROM (SELECT n_regionkey, c_custkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal, c_custkey) AS rn "
@@ -130,6 +156,7 @@ SQL = {
     "WHEN n.urn IS NULL THEN 'removed' ELSE 'changed' END AS change FROM oa o FULL JOIN na n ON o.urn = n.urn "
     "WHERE o.h IS DISTINCT FROM n.h UNION ALL SELECT 'edge', up, down, 'added' FROM (SELECT * FROM ne EXCEPT SELECT * FROM oe) "
     "UNION ALL SELECT 'edge', up, down, 'removed' FROM (SELECT * FROM oe EXCEPT SELECT * FROM ne)",
+    "stale_plans": STALE,
     "dangling_edges": "WITH a AS (SELECT urn FROM (" + _span(assets(), _OLD) + ")), e AS (SELECT DISTINCT up, down FROM (" + EDGES + ")) "
     "SELECT up AS upstream_urn, down AS downstream_urn, array_to_string(list_filter([CASE WHEN u.urn IS NULL THEN up END, "
     "CASE WHEN d.urn IS NULL THEN down END], lambda x: x IS NOT NULL), ',') AS missing_urns FROM e LEFT JOIN a u ON u.urn = up "

@@ -23,13 +23,13 @@ def fingerprint_upkeep(spark, folder):
     """The fingerprint of the catalog from that of an earlier one, in which all assets were there and the
     edges into those that are not were still missing; only what changed since is hashed anew."""
     c = catalog(spark, folder)
-    gone = F.col("availability") != "available"
+    gone = F.col("availability") != "healthy"
     changed = c.assets.where(gone)
     ends = changed.select(F.col("urn").alias("downstream_urn")).distinct()
-    before = identity.graph_state(c.assets.withColumn("availability", F.lit("available")), c.edges.join(ends, "downstream_urn", "left_anti"))
+    before = identity.graph_state(c.assets.withColumn("availability", F.lit("healthy")), c.edges.join(ends, "downstream_urn", "left_anti"))
     stored = identity.GraphState(cut(before.assets, "lanes"), cut(before.edges, "lanes"))
     after = identity.moved_graph(
-        stored, changed, changed.withColumn("availability", F.lit("available")),
+        stored, changed, changed.withColumn("availability", F.lit("healthy")),
         c.edges.join(ends, "downstream_urn", "left_semi"), c.edges.where(F.lit(False)),
     )
     return identity.graph_state_digest(after, SOURCE)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salvor.operators import graph as G
 from salvor.operators.skew import number_rows, previous_in_key
+from salvor.plans import staleness
 
 
 def make(spark, rng, nodes, edges, cyclic):
@@ -167,3 +168,53 @@ def test_walk_plan_scans_only_needed_columns(spark):
     links = G.build_graph(assets, edges).known.select("upstream_urn", "downstream_urn")
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(up_availability)" in plan and "EqualTo(down_known,true)" in plan
+
+
+def _selected(pairs, state, seeds, depth):
+    """Targets with distances and parents with roles of one request, in plain Python."""
+    if not set(seeds) <= set(state):
+        return {}, {}
+    pairs = {(u, v) for u, v in pairs if u in state and v in state}
+    reached = brute.reach(pairs, seeds, depth)
+    targets = {n: reached.get(n) for n in brute.closure(pairs, reached, state)}
+    role = lambda u: "dependency" if u in targets else "precondition" if state[u] == "healthy" else "unresolved"
+    return targets, {(v, u): (state[u], role(u)) for u, v in pairs if v in targets}
+
+
+@pytest.mark.parametrize("seed,cyclic,hub_rows", [(31, False, 1000), (32, True, 3)])
+def test_stale_plans_against_two_full_selections(spark, seed, cyclic, hub_rows):
+    rng = random.Random(seed)
+    names, pairs, state, _, _ = make(spark, rng, 22, 22, cyclic)
+    after, new_state = set(pairs), dict(state)
+    after -= set(rng.sample(sorted(pairs), 2))
+    after |= {tuple(rng.sample(names, 2)), (names[0], "late")}
+    new_state["late"] = "unavailable"
+    new_state[names[1]] = {"healthy": "unavailable"}.get(state[names[1]], "healthy")
+    del new_state[names[2]]
+    wanted = {f"r{i}": (rng.sample([*names, "late"], 1 + i % 2), rng.choice([0, 1, 3])) for i in range(24)}
+    requests = spark.createDataFrame(
+        [(r, ss, d) for r, (ss, d) in wanted.items()], "request_id string, unavailable_asset_urns array<string>, max_blast_radius_depth int"
+    )
+    graphs = [
+        G.build_graph(
+            spark.createDataFrame(list(s.items()), "urn string, availability string"),
+            spark.createDataFrame(sorted(p), "upstream_urn string, downstream_urn string"), hub_rows=hub_rows,
+        )
+        for p, s in ((pairs, state), (after, new_state))
+    ]
+    stored = staleness.select(requests, graphs[0])
+    stale, again = staleness.stale_plans(requests, stored, *graphs)
+    want = {}
+    for r, (ss, d) in wanted.items():
+        counts = []
+        for old, new in zip(_selected(pairs, state, ss, d), _selected(after, new_state, ss, d), strict=True):
+            counts += [len(new.keys() - old.keys()), len(old.keys() - new.keys()), sum(old[k] != new[k] for k in old.keys() & new.keys())]
+        if any(counts):
+            want[r] = tuple(counts)
+    assert {x[0]: tuple(x[1:]) for x in stale.select("request_id", *staleness.COUNTS).collect()} == want
+    touched = {x[0] for x in staleness.touched_requests(requests, stored, *graphs).collect()}
+    assert want.keys() <= touched and 0 < len(want) and len(touched) < len(wanted)
+    for r in touched:
+        targets, _ = _selected(after, new_state, *wanted[r])
+        assert {x.urn: x.distance for x in again.targets.where(F.col("request_id") == r).collect()} == targets
+    assert staleness.stale_plans(requests, stored, graphs[0], graphs[0])[0].count() == 0
