@@ -34,15 +34,24 @@ KINDS = {
 }
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
+_SCHEMAS: dict[str, tuple[tuple, T.StructType]] = {}
+
+
+def _files_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Time of change, bytes and number of files of a table; other data under a path has another one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = store.getContentSummary(place)
+    return store.getFileStatus(place).getModificationTime(), summary.getLength(), summary.getFileCount()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table; its schema is read from the file once per process."""
+    """A test table; its schema is read once as long as its files stay the same."""
     path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    state = _files_state(spark, path)
+    if path not in _SCHEMAS or _SCHEMAS[path][0] != state:
+        _SCHEMAS[path] = state, spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path][1]).parquet(path)
 
 
 def asset_urn(kind: str, key: Column, space: Column | None = None) -> Column:
@@ -268,14 +277,17 @@ class Catalog:
         return self._book
 
 
-_CATALOGS: dict[tuple[str, str], Catalog] = {}
+_CATALOGS: dict[tuple[str, str], tuple[tuple, Catalog]] = {}
+_SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
 def catalog(spark: SparkSession, folder: str) -> Catalog:
+    """The catalog of a folder, made anew when one of its tables has changed."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _CATALOGS:
-        _CATALOGS[key] = Catalog(spark, folder)
-    return _CATALOGS[key]
+    state = tuple(_files_state(spark, f"{folder}/{name}.parquet") for name in _SOURCES)
+    if key not in _CATALOGS or _CATALOGS[key][0] != state:
+        _CATALOGS[key] = state, Catalog(spark, folder)
+    return _CATALOGS[key][1]
 
 
 def forget_catalogs() -> None:

@@ -6,10 +6,12 @@ import brute
 import fixtures as X
 import pytest
 from canonical import canonical_graph_digest
+from pyspark.sql import functions as F
 
 from salvor import schemas
 from salvor.functions.scope import Scope
 from salvor.plans import compile as C
+from salvor.plans import workload
 from salvor.sources.catalog_json import extra_keys, read_snapshots
 
 SCOPE = Scope(X.PREFIX, X.DOMAIN, X.TAG)
@@ -171,3 +173,17 @@ def test_names_outside_the_namespace(spark, name):
     rows = [(f"urn:li:dataset:(urn:li:dataPlatform:harbour.store,{name},PROD)",), (X.urn("feed.tides"),), (X.urn("feed.tides") + "\n",), (name,)]
     found = spark.createDataFrame(rows, "u string").select("u", in_namespace(F.col("u"), X.PREFIX).alias("inside")).collect()
     assert {r["u"] for r in found if r["inside"]} == {X.urn("feed.tides")}
+
+
+def test_catalog_follows_changed_tables(spark, tmp_path):
+    data = "/root/testdata/sf0.001"
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    first = workload.catalog(spark, str(tmp_path))
+    assert workload.catalog(spark, str(tmp_path)) is first
+    n = first.assets.count()
+    fewer = spark.read.parquet(f"{data}/orders.parquet").where("o_orderkey >= 100").withColumn("o_note", F.lit("x"))
+    lost = spark.read.parquet(f"{data}/orders.parquet").count() - fewer.count()
+    fewer.write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert "o_note" in workload.table(spark, str(tmp_path), "orders").columns
+    assert lost > 0 and workload.catalog(spark, str(tmp_path)).assets.count() == n - lost
