@@ -86,6 +86,16 @@ def writeback_refusals(spark, folder):
     return CT.writeback_refusals(targets, known, SCOPE)
 
 
+def writeback_gate(spark, folder):
+    """Every asset and every requested seed as a target, the whole catalog as known."""
+    c = catalog(spark, folder)
+    name = F.when(F.col("owner").isNull(), F.concat(F.lit("run "), F.col("display_name"))).otherwise(F.col("display_name"))
+    targets = assets(spark, folder, mixed=True).select(F.col("urn").alias("target_urn"), name.alias("run_id")).unionByName(
+        c.requests.select(F.explode("unavailable_asset_urns").alias("target_urn"), F.col("request_id").alias("run_id"))
+    )
+    return CT.writeback_refusals(targets, c.assets.select("urn"), SCOPE)
+
+
 def entity_evidence(spark, folder):
     c = catalog(spark, folder)
     seen = c.edges.select(F.col("downstream_urn").alias("urn")).distinct()
@@ -271,7 +281,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         aspect_feed, aspect_counts, lineage_items, aspect_latest, active_assets, writeback_verify,
-        writeback_refusals, entity_evidence, lineage_page, lineage_evidence, context_receipt,
+        writeback_refusals, writeback_gate, entity_evidence, lineage_page, lineage_evidence, context_receipt,
         slice_receipts, operation_state, slice_evidence, readiness, fixture_check, secret_screen,
         graph_diff, stale_plans, dangling_edges, cycle_core, cycle_path,
     )

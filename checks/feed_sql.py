@@ -127,6 +127,12 @@ SQL = {
     + " AS target_urn, CASE WHEN p_size % 10 = 0 THEN 'part.' || p_partkey ELSE 'run part.' || p_partkey END AS run_id, "
     "CASE WHEN p_size % 10 <> 0 THEN 'invalid_run_id' WHEN p_size = 1 THEN 'outside_namespace' WHEN p_partkey NOT IN "
     "(SELECT l_partkey FROM lineitem WHERE l_quantity = 50) THEN 'absent_from_catalog' END AS reason FROM part) WHERE reason IS NOT NULL",
+    "writeback_gate": with_(SEEDS) + "SELECT target_urn, run_id, reason FROM (SELECT target_urn, run_id, CASE "
+    "WHEN NOT regexp_full_match(run_id, '^[A-Za-z0-9][A-Za-z0-9._-]{0,79}$') THEN 'invalid_run_id' "
+    "WHEN NOT contains(target_urn, ',estate.') THEN 'outside_namespace' "
+    "WHEN target_urn NOT IN (SELECT urn FROM assets) THEN 'absent_from_catalog' END AS reason FROM (SELECT urn AS target_urn, "
+    "CASE WHEN owner IS NULL THEN 'run ' || display_name ELSE display_name END AS run_id FROM (" + assets(mixed=True)
+    + ") UNION ALL SELECT urn, request_id FROM seeds)) WHERE reason IS NOT NULL",
     "entity_evidence": with_() + "SELECT urn FROM assets WHERE urn NOT IN (SELECT down FROM edges)",
     "lineage_page": with_(PAGE) + "SELECT up AS upstream_urn, down AS downstream_urn, CAST(place AS INTEGER) AS place FROM page",
     "lineage_evidence": with_(PAGE) + "SELECT up AS upstream_urn, down AS downstream_urn, up IN (SELECT up FROM page GROUP BY 1 "

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import fixtures as X
 import pytest
@@ -10,6 +11,7 @@ from salvor.functions.scope import Scope
 from salvor.operators import catalog as CT
 from salvor.operators import ledger as L
 from salvor.operators import validate as V
+from salvor.sources import documents
 from salvor.sources.catalog_json import read_snapshots
 
 NOW = dt.datetime(2024, 1, 2)
@@ -258,3 +260,29 @@ def test_graph_diff(spark, tmp_path):
     assert got == {
         ("asset", X.urn("feed.tides"), "removed"), ("asset", X.urn("crew.rota"), "changed"), ("edge", X.urn("feed.tides"), "removed"),
     }
+
+
+def test_freshness_of_stored_files(spark, tmp_path):
+    """Files with known change times, from the listing to the verdict."""
+    ages = {"fresh": [4000, 120, 900], "edge": [300, 301], "stale": [300.5, 9000], "ahead": [-60, 5000], "gone": None}
+    rows = []
+    for name, seconds in ages.items():
+        if seconds is None:
+            rows.append((name, None))
+            continue
+        folder = str(tmp_path / name)
+        spark.range(60).repartition(len(seconds)).write.parquet(folder)
+        files = sorted(f for f in os.listdir(folder) if f.endswith(".parquet"))
+        assert len(files) == len(seconds)
+        for file, age in zip(files, seconds, strict=True):
+            os.utime(f"{folder}/{file}", (NOW.timestamp() - age,) * 2)
+        newest = documents.newest_change(spark, folder).select(F.unix_micros("modified_at")).first()[0]
+        assert newest == round((NOW.timestamp() - min(seconds)) * 1e6)
+        rows.append((name, dt.datetime.fromtimestamp(newest / 1e6)))
+    age = {"maximum_age_seconds": "300"}
+    got = results(spark, [("freshness", age)] * len(rows), [(at,) for _, at in rows], "target_urn string, modified_at timestamp")
+    assert got == [
+        (True, "artifact age 120.000s <= 300.000s"), (True, "artifact age 300.000s <= 300.000s"),
+        (False, "artifact age 300.500s <= 300.000s"), (True, "artifact age 0.000s <= 300.000s"),
+        (False, "validation error: FileNotFoundError"),
+    ]
