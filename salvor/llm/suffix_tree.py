@@ -7,22 +7,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salvor.llm.words import Words, pieces, range_hashes, signed, words_of
-from salvor.runtime import cut
-
-# The alphabet: the end of a text, the most frequent words, and a kind for every
-# other word by its last bytes.
-FREQUENT_WORDS, KINDS, ENDING_BYTES = 1023, 512, 3
-BITS = 11
-# The longest context in symbols, contexts of the model at most, and the least
-# gain in nats over the next shorter context for which a context is kept.
-DEPTH, STATES, LEAST_GAIN = 2, 4096, 40.0
-# A word with at least this share of all tokens is looked up on the mappers;
-# there can be no more such words than one over the share.
+from salvor.runtime import cut, cut_counted, release, small, union_all
+
+# The alphabet: the end of a text, every word with at least this share of all
+# tokens (no more than one over the share), a kind for every other word by its
+# last bytes, and the start of a text.
 LOOKED_UP = 1 / (1 << 17)
+KINDS, ENDING_BYTES = 512, 3
+# A run of symbols is one number: its length above 56 bits, then 18 bits a symbol.
+BITS, LENGTH_AT = 18, 56
+# The longest context in symbols (at most two fit), how often a next symbol must follow a context to
+# count, and the least gain in nats over the next shorter context.
+DEPTH, LEAST_SEEN, LEAST_GAIN = 2, 2, 10.0
+# A run with at least this share of all tokens is looked up on the mappers; there
+# are no more of one length than one over the share. Rarer ones are joined, those
+# that the tree lacks left out beforehand by a bit per hash, of so many bits.
+RUN_SHARE, MARK_BITS = 1 / (1 << 20), 27
 _HELD = 1 << 20
 
 
@@ -36,19 +40,29 @@ class Counts(NamedTuple):
 
 
 class Alphabet(NamedTuple):
-    """Hashes of the frequent words (sorted) and the mass of every symbol: 0 is the end,
-    then come the words, then the kinds."""
+    """Hashes and counts of the frequent words (sorted by hash), the least count of one,
+    and the mass of every symbol: 0 is the end, then come the words, then the kinds.
+    The number after the last one stands for the start of a text."""
 
     words: np.ndarray
+    counts: np.ndarray
+    least: int
     mass: np.ndarray
 
 
 class Tree(NamedTuple):
-    """States by number, 0 the empty context: next states and log10 chances by symbol."""
+    """Weights of runs of symbols, (run, weight, n) in a table; rows counts them.
+
+    A run's weight is what its last symbol gains after the rest of the run, and,
+    if the run is itself a context, what every next symbol loses by that.
+    ``contexts`` has (context, gain, total, seen) of all contexts of the tree.
+    """
 
     alphabet: Alphabet
-    child: np.ndarray
-    score: np.ndarray
+    depth: int
+    table: DataFrame
+    rows: int
+    contexts: DataFrame
 
 
 def _kinds(words: Words) -> np.ndarray:
@@ -92,130 +106,158 @@ def count_words(texts: DataFrame) -> Counts:
     return Counts(total["n"] + rows, total["v"] + (rows > 0), rows, table)
 
 
-def alphabet_of(counts: Counts, words: int = FREQUENT_WORDS) -> Alphabet:
-    """The most frequent words and, for all others, the kinds; masses as in the base score.
+def alphabet_of(counts: Counts, share: float = LOOKED_UP) -> Alphabet:
+    """All words with at least ``share`` of the tokens and, for all others, the kinds.
 
     A word has its count and one half; a kind has those of its words, and one
     half for all words that the training texts lack.
     """
-    top = counts.table.orderBy(F.desc("n"), "word").limit(words)
-    found = sorted((r["word"], r["n"]) for r in top.collect())
+    least = max(2, int(np.ceil(counts.tokens * share)))
+    found = counts.table.where(F.col("n") >= least).select("word", "n").orderBy("word").toArrow()
+    words, n = (found.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
     kinds = np.full(KINDS, 0.5)
-    rest = counts.table.join(F.broadcast(top.select("word")), "word", "left_anti")
-    for row in rest.groupBy("kind").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
+    for row in counts.table.where(F.col("n") < least).groupBy("kind").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
         kinds[row["kind"]] += row["mass"]
-    mass = np.concatenate([[counts.texts + 0.5], [n + 0.5 for _, n in found], kinds])
-    return Alphabet(np.array([w for w, _ in found], np.int64), mass)
+    return Alphabet(words, n, least, np.concatenate([[counts.texts + 0.5], n + 0.5, kinds]))
+
+
+def _numbers(alphabet: Alphabet, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its place among the frequent ones, and whether it is there."""
+    found, known = signed(words.hash), alphabet.words
+    if not len(known):
+        return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    return at, known[at] == found
 
 
-def symbols_of(alphabet: Alphabet, words: Words, n: int, pad: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The texts as symbols, and where each word is; the last of a text is its end.
+def symbols_of(alphabet: Alphabet, words: Words, n: int, pad: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as symbols, the text of each, and what is known of the words.
 
-    Every text begins with ``pad`` ends, the context of its first word.
+    Every text begins with ``pad`` starts, the context of its first word, and has its end last.
     """
     place = np.arange(len(words.owner)) + words.owner * (pad + 1) + pad
-    out = np.zeros(len(words.owner) + n * (pad + 1), np.int64)
-    found, known = signed(words.hash), alphabet.words
-    at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
-    frequent = known[at] == found if len(known) else np.zeros(len(found), bool)
-    out[place] = np.where(frequent, at + 1, len(known) + 1 + _kinds(words))
-    return out, place
+    size = np.bincount(words.owner, minlength=n) + pad + 1
+    out = np.full(len(words.owner) + n * (pad + 1), len(alphabet.mass), np.int64)
+    at, frequent = _numbers(alphabet, words)
+    out[place] = np.where(frequent, at + 1, len(alphabet.words) + 1 + _kinds(words))
+    out[np.cumsum(size) - 1] = 0
+    return out, np.repeat(np.arange(n), size), np.where(frequent, at, -1)
+
+
+def runs_of(out: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of so many symbols inside one text, and the place of the last symbol of each."""
+    last = np.arange(length - 1, len(out))
+    last = last[owner[last] == owner[last - length + 1]]
+    code = np.full(len(last), length << LENGTH_AT, np.int64)
+    for back in range(length):
+        code |= out[last - back] << (BITS * back)
+    return code, last
 
 
-def _ends(words: Words, n: int, pad: int) -> np.ndarray:
-    sizes = np.bincount(words.owner, minlength=n)
-    return np.cumsum(sizes + pad + 1) - 1
+def _context(run: Column) -> Column:
+    """The run without its last symbol."""
+    length = F.shiftright(run, LENGTH_AT) - 1
+    return F.shiftright(run.bitwiseAND(F.lit((1 << LENGTH_AT) - 1)), BITS).bitwiseOR(length * F.lit(1 << LENGTH_AT))
 
 
-def count_grams(texts: DataFrame, alphabet: Alphabet, depth: int = DEPTH) -> DataFrame:
-    """gram, n: the lowest bits are a symbol, the next ones its context, nearest first."""
+def _suffix(run: Column, length: int) -> Column:
+    """A run of this length without its first symbol."""
+    return run.bitwiseAND(F.lit((1 << BITS * (length - 1)) - 1)).bitwiseOR(F.lit((length - 1) << LENGTH_AT))
+
+
+def count_runs(texts: DataFrame, alphabet: Alphabet, depth: int = DEPTH) -> DataFrame:
+    """run, n: how often each symbol stands after each context of up to ``depth`` symbols."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for _, _, raw, at in pieces(batch.column("text")):
-                words = words_of(raw, at, lower=True)
-                out, place = symbols_of(alphabet, words, len(at) - 1, depth)
-                place = np.concatenate([place, _ends(words, len(at) - 1, depth)])
-                code = np.zeros(len(place), np.int64)
-                for back in range(depth + 1):
-                    code |= out[place - back] << (BITS * back)
-                yield (code,)
-
-    counted = texts.select("text").mapInArrow(lambda batches: _count_unique(found(batches), ["gram", "n"]), "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def fit_tree(texts: DataFrame, alphabet: Alphabet, depth: int = DEPTH, states: int = STATES, least_gain: float = LEAST_GAIN) -> Tree:
-    """The tree of all texts.
-
-    For each context length the distribution of the next symbol is compared with
-    that after the context without its first symbol. A context is kept if its
-    occurrences times the Kullback-Leibler divergence reach ``least_gain``; of
-    these the ``states`` with the greatest gain, and all their suffixes. Next
-    symbols are smoothed towards the shorter context by the number of distinct
-    ones seen (Witten-Bell); the empty context has the alphabet's masses.
+                out, owner, _ = symbols_of(alphabet, words_of(raw, at, lower=True), len(at) - 1, depth)
+                codes = [runs_of(out, owner, length)[0] for length in range(2, depth + 2)]
+                start = len(alphabet.mass)
+                yield (np.concatenate([c[(c & ((1 << BITS) - 1)) != start] for c in codes]),)
+
+    counted = texts.select("text").mapInArrow(lambda batches: _count_unique(found(batches), ["run", "n"]), "run long, n long")
+    return counted.groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def fit_tree(texts: DataFrame, alphabet: Alphabet, depth: int = DEPTH, least_gain: float = LEAST_GAIN) -> Tree:
+    """The tree of all texts, as a table.
+
+    After a context with ``seen`` distinct next symbols, of which those that follow
+    at least twice do so ``total`` times together, the chance of one that does so
+    c times is (c + seen * p) / (total + seen), and seen * p / (total + seen) for
+    all others; p is its chance after the context without its first symbol. With
+    no context the chances are the alphabet's masses.
+
+    The divergence of a context is the sum, over its occurrences, of the logarithm
+    of its own chance over p. Every context whose divergence reaches ``least_gain``
+    is kept, whatever their number. One that is not kept has its suffix's chances,
+    so the state of a place is its longest kept context.
+    """
+    if (depth + 1) * BITS > LENGTH_AT:
+        raise ValueError(f"a run of {depth + 1} symbols does not fit in {LENGTH_AT} bits")
+    spark = texts.sparkSession
+    counted = count_runs(texts, alphabet, depth)
+    counted = counted.withColumn("context", _context(F.col("run")))
+    often = F.col("n") >= LEAST_SEEN
+    sums = counted.groupBy("context").agg(
+        F.sum(F.when(often, F.col("n")).otherwise(0)).alias("total"),
+        F.count("*").alias("seen"),
+        F.sum(F.when(often, 0).otherwise(F.col("n"))).alias("others"),
+    )
+    grams = cut(counted.where(often).join(sums.where("total > 0"), "context"), "runs")
+    mass = pa.table({"suffix": np.arange(len(alphabet.mass)) + (1 << LENGTH_AT), "p": alphabet.mass / alphabet.mass.sum()})
+    # One row a symbol; the share in alphabet_of bounds them.
+    chances, bounded = spark.createDataFrame(mass), True
+    total, seen, p = F.col("total"), F.col("seen"), F.col("p")
+    own = (F.col("n") + seen * p) / (total + seen)
+    parts, contexts, gone = [], [], [grams]
+    for length in range(2, depth + 2):
+        rows = grams.where(F.shiftright("run", LENGTH_AT) == length).withColumn("suffix", _suffix(F.col("run"), length))
+        rows = cut(rows.join(F.broadcast(chances) if bounded else chances, "suffix").drop("suffix"), "chances")
+        gain = F.sum(F.col("n") * F.log(own / p)) + F.max("others") * F.log(F.max("seen") / (F.max("total") + F.max("seen")))
+        found = rows.groupBy("context").agg(gain.alias("gain"), F.max("total").alias("total"), F.max("seen").alias("seen"), F.max("others").alias("others"))
+        kept, n = cut_counted(found.where(F.col("gain") >= least_gain), "contexts", rows=F.lit(True))
+        marked = rows.join(small(kept.select("context", F.lit(True).alias("kept")), n["rows"]), "context", "left")
+        marked = cut(marked.select("run", "n", "p", F.coalesce("kept", F.lit(False)).alias("kept"), own.alias("own"), (seen * p / (total + seen)).alias("rest")), "marked")
+        chances, bounded = marked.select(F.col("run").alias("suffix"), F.when(F.col("kept"), F.col("own")).otherwise(F.col("p")).alias("p")), False
+        parts.append(marked.where("kept").select("run", F.log10(F.col("own") / F.col("rest")).alias("weight"), "n"))
+        parts.append(kept.select(F.col("context").alias("run"), F.log10(seen / (total + seen)).alias("weight"), (total + F.col("others")).alias("n")))
+        contexts.append(kept.select("context", "gain", "total", "seen"))
+        gone += [rows, marked]
+    weights = union_all(parts).groupBy("run").agg(F.sum("weight").alias("weight"), F.max("n").alias("n"))
+    table, n = cut_counted(weights, "weights", rows=F.lit(True))
+    release(*gone)
+    return Tree(alphabet, depth, table, n["rows"], union_all(contexts))
+
+
+def _place(values: np.ndarray) -> np.ndarray:
+    """The bit of each run."""
+    x = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def marks_of(runs: DataFrame) -> np.ndarray:
+    """A bit for each run, in 2**MARK_BITS bits whatever the number of runs.
+
+    A run without its bit is not in the table; one with a bit may or may not be.
     """
-    levels = {depth: cut(count_grams(texts, alphabet, depth), "grams")}
-    for k in range(depth - 1, 0, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1))
-        levels[k] = cut(levels[k + 1].groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n")), "grams")
-    symbol, context = F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftrightunsigned("gram", BITS)
-    levels[0] = levels[1].groupBy(symbol.alias("gram")).agg(F.sum("n").alias("n"))
-    gains = None
-    for k in range(1, depth + 1):
-        own = levels[k].select("gram", "n", context.alias("context"), F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("parent_gram"))
-        sums = own.groupBy("context").agg(F.sum("n").alias("total"))
-        parent = levels[k - 1].select(F.col("gram").alias("parent_gram"), F.col("n").alias("parent_n"), context.alias("parent"))
-        parent_sums = parent.groupBy("parent").agg(F.sum("parent_n").alias("parent_total"))
-        parent = parent.join(parent_sums, "parent").select("parent_gram", (F.col("parent_n") / F.col("parent_total")).alias("chance"))
-        rows = own.join(sums, "context").join(parent, "parent_gram")
-        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("chance")))
-        found = rows.groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= least_gain).select(F.lit(k).alias("k"), "context", "gain")
-        gains = found if gains is None else gains.unionByName(found)
-    best = gains.orderBy(F.desc("gain"), "k", "context").limit(states)
-    kept = best.select("context", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k"))
-    kept = cut(kept.select("k", F.expr(f"context & (shiftleft(1L, {BITS} * k) - 1)").alias("context")).distinct(), "contexts")
-    rows = None
-    for k in range(1, depth + 1):
-        own = levels[k].select(context.alias("context"), symbol.cast("int").alias("symbol"), "n")
-        own = own.join(F.broadcast(kept.where(F.col("k") == k)), "context").select("k", "context", "symbol", "n")
-        rows = own if rows is None else rows.unionByName(own)
-    found = rows.toArrow()
-    return _tree(alphabet, *(found.column(c).to_numpy().astype(np.int64) for c in ("k", "context", "symbol", "n")))
-
-
-def _tree(alphabet: Alphabet, ks: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray) -> Tree:
-    """Dense tables of the kept contexts; their number and the alphabet bound the size."""
-    order = np.lexsort((contexts, ks))
-    ks, contexts, symbols, counts = ks[order], contexts[order], symbols[order], counts[order]
-    new = np.ones(len(ks), bool)
-    new[1:] = (ks[1:] != ks[:-1]) | (contexts[1:] != contexts[:-1])
-    first = np.append(np.flatnonzero(new), len(ks))
-    width = len(alphabet.mass)
-    child = np.full((len(first), width), -1, np.int32)
-    score = np.zeros((len(first), width), np.float32)
-    score[0] = np.log10(alphabet.mass / alphabet.mass.sum())
-    number = {(0, 0): 0}
-    for i, (low, high) in enumerate(zip(first[:-1], first[1:], strict=True), start=1):
-        k, code = int(ks[low]), int(contexts[low])
-        parent = number[k - 1, code & ((1 << BITS * (k - 1)) - 1)]
-        number[k, code] = i
-        child[parent, code >> BITS * (k - 1)] = i
-        seen, total = high - low, counts[low:high].sum()
-        chance = seen * 10.0 ** score[parent].astype(float)
-        chance[symbols[low:high]] += counts[low:high]
-        score[i] = np.log10(chance / (total + seen))
-    return Tree(alphabet, child, score)
-
-
-def states_of(tree: Tree, out: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """The state of the longest known context before each place."""
-    state, lane = np.zeros(len(at), np.int32), np.arange(len(at))
-    for back in range(1, depth + 1):
-        step = tree.child[state[lane], out[at[lane] - back]]
-        lane, step = lane[step >= 0], step[step >= 0]
-        state[lane] = step
-    return state
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = _place(batch.column("run").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> 15).astype(np.int32)), pa.array(bit & 0x7FFF)], ["block", "bit"])
+
+    bits = runs.select("run").mapInArrow(make, "block int, bit long").repartition("block").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for row in bits.collect():
+        out[row["block"] << 12 : (row["block"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = _place(values)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def score_texts(docs: DataFrame, tree: Tree, counts: Counts) -> DataFrame:
@@ -225,73 +267,90 @@ def score_texts(docs: DataFrame, tree: Tree, counts: Counts) -> DataFrame:
     log10((c + 0.5) / (N + 0.5 * (V + 1))) from the training counts. score adds up
     log10 of the chance of each token's symbol after the longest context that the
     tree has, and for a word that is no symbol its share of its kind; words that
-    the training texts lack share one half of their kind's mass. Words that are
-    no symbols are looked up where the text is read if they are frequent; all
-    others are joined with the table of counts.
+    the training texts lack share one half of their kind's mass. Both are sums of
+    weights of words and runs: those with a large share of all tokens are looked
+    up where the text is read, all others are joined with their table.
 
     Null text counts as empty and has one token. Rows that repeat doc_id and text
     have the same scores. Only doc_id and text are read. An empty table gives no
     rows; without training texts N is 0 and only the kinds have mass.
     """
-    least = max(2, int(np.ceil(counts.tokens * LOOKED_UP)))
-    symbols = F.col("word").isin(tree.alphabet.words.tolist()) if len(tree.alphabet.words) else F.lit(False)
-    often = counts.table.where((F.col("n") >= least) | symbols).select("word", "n").collect()
-    word = np.array([r["word"] for r in often], np.int64)
-    order = np.argsort(word)
-    word, weight = word[order], np.log10(np.array([r["n"] for r in often], float) + 0.5)[order] if often else np.zeros(0)
+    alphabet, depth = tree.alphabet, tree.depth
+    least = max(LEAST_SEEN, int(np.ceil(counts.tokens * RUN_SHARE)))
+    single = F.shiftright("run", LENGTH_AT) == 1
+    # Runs of one symbol are bounded by the alphabet, the others by their share.
+    often = tree.table.where(single | (F.col("n") >= least)).select("run", "weight").orderBy("run").toArrow()
+    run, weight = often.column("run").to_numpy().astype(np.int64), often.column("weight").to_numpy().astype(float)
+    one = np.zeros(len(alphabet.mass) + 1)
+    alone = run >> LENGTH_AT == 1
+    one[run[alone] & ((1 << BITS) - 1)] = weight[alone]
+    run, weight = run[~alone], weight[~alone]
+    bits = marks_of(tree.table.where(~single))
+    log_counts = np.log10(alphabet.counts + 0.5)
     base = float(np.log10(counts.tokens + 0.5 * (counts.distinct + 1)))
-    end = float(np.log10(counts.texts + 0.5))
-    known_end, nothing = int(counts.texts > 0), float(np.log10(0.5))
+    shift = base - float(np.log10(alphabet.mass.sum()))
+    end, known_end, nothing = float(np.log10(counts.texts + 0.5)), int(counts.texts > 0), float(np.log10(0.5))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.struct("doc_id", F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")))
     rows = rows.select(F.xxhash64("key").alias("key"), F.xxhash64(F.lit("second"), "key").alias("key2"), "doc_id", "text")
 
-    def look_up(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(word):
-            return np.zeros(len(found), bool), np.zeros(len(found))
-        place = np.minimum(np.searchsorted(word, found), len(word) - 1)
-        return word[place] == found, weight[place]
+    def lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+        order = np.argsort(owner, kind="stable")
+        bounds = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order]))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, raw, at in pieces(batch.column("text")):
                 n = high - low
                 words = words_of(raw, at, lower=True)
-                out, place = symbols_of(tree.alphabet, words, n)
-                ends, score = _ends(words, n, DEPTH), np.zeros(n)
-                symbol = out[place]
-                score += tree.score[states_of(tree, out, ends), 0]
-                score += np.bincount(words.owner, weights=tree.score[states_of(tree, out, place), symbol], minlength=n)
-                other = symbol > len(tree.alphabet.words)
-                score += np.bincount(words.owner[other], weights=nothing - np.log10(tree.alphabet.mass[symbol[other]]), minlength=n)
-                known, value = look_up(signed(words.hash))
-                size = np.bincount(words.owner, minlength=n)
+                out, owner, number = symbols_of(alphabet, words, n, depth)
+                known, size = number >= 0, np.bincount(words.owner, minlength=n)
                 sure = np.bincount(words.owner[known], minlength=n)
                 # All words first count as unknown; what is known adds the difference.
-                extra = np.bincount(words.owner[known], weights=value[known] - nothing, minlength=n)
-                score += np.bincount(words.owner[known & other], weights=value[known & other] - nothing, minlength=n)
-                rest, owner = signed(words.hash[~known]), words.owner[~known]
-                bounds = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(rest))
+                extra = np.bincount(words.owner[known], weights=log_counts[number[known]] - nothing, minlength=n)
+                score = size * nothing + extra + end - (size + 1) * base
+                # Of the starts only the last one stands before a word.
+                weighs = np.ones(len(out), bool)
+                weighs[:-1] = (out[:-1] != len(alphabet.mass)) | (out[1:] != len(alphabet.mass))
+                gains, runs, owners = np.bincount(owner[weighs], weights=one[out[weighs]], minlength=n), [], []
+                for length in range(2, depth + 2):
+                    code, last = runs_of(out, owner, length)
+                    there = _marked(bits, code) & weighs[last]
+                    code, of = code[there], owner[last[there]]
+                    if len(run):
+                        place = np.minimum(np.searchsorted(run, code), len(run) - 1)
+                        hit = run[place] == code
+                        gains += np.bincount(of[hit], weights=weight[place[hit]], minlength=n)
+                        code, of = code[~hit], of[~hit]
+                    runs.append(code)
+                    owners.append(of)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(low, n) for c in ("key", "key2", "doc_id")), pa.array(size + 1), pa.array(sure + known_end), pa.array((size * nothing) + extra + end - (size + 1) * base), pa.array(score), lists],
-                    ["key", "key2", "doc_id", "n_tokens", "sure", "sure_score", "score", "rest"],
+                    [
+                        *(batch.column(c).slice(low, n) for c in ("key", "key2", "doc_id")),
+                        *(pa.array(x) for x in (size + 1, sure + known_end, score, score + gains + (size + 1) * shift)),
+                        lists(words.owner[~known], signed(words.hash[~known]), n),
+                        lists(np.concatenate(owners), np.concatenate(runs), n),
+                    ],
+                    ["key", "key2", "doc_id", "n_tokens", "sure", "sure_score", "score", "words", "runs"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = cut(rows.mapInArrow(make, f"key long, key2 long, doc_id {kind}, n_tokens long, sure long, sure_score double, score double, rest array<long>"), "scored")
-    rare = counts.table.where((F.col("n") < least) & ~symbols).select("word", "n")
-    tails = made.select("key", "key2", F.explode("rest").alias("word")).join(rare, "word")
-    gain = F.log10(F.col("n") + 0.5) - nothing
-    parts = tails.select("key", "key2", F.lit(1).cast("long").alias("found"), gain.alias("gain"), F.lit(0).cast("long").alias("copies"))
-    parts = parts.unionByName(made.select("key", "key2", F.lit(0).cast("long").alias("found"), F.lit(0.0).alias("gain"), F.lit(1).cast("long").alias("copies")))
-    sums = parts.groupBy("key", "key2").agg(F.sum("found").alias("found"), F.sum("gain").alias("gain"), F.sum("copies").alias("copies"))
-    joined = made.drop("rest").join(sums, ["key", "key2"])
+    made = cut(rows.mapInArrow(make, f"key long, key2 long, doc_id {kind}, n_tokens long, sure long, sure_score double, score double, words array<long>, runs array<long>"), "scored")
+    rare = counts.table.where(F.col("n") < alphabet.least).select("word", (F.log10(F.col("n") + 0.5) - nothing).alias("gain"))
+    none, zero = F.lit(0).cast("long"), F.lit(0.0)
+    parts = [
+        made.select("key", "key2", F.explode("words").alias("word")).join(rare, "word").select("key", "key2", F.lit(1).cast("long").alias("found"), "gain", zero.alias("weight"), none.alias("copies")),
+        made.select("key", "key2", F.explode("runs").alias("run")).join(tree.table.where(~single & (F.col("n") < least)), "run").select("key", "key2", none.alias("found"), zero.alias("gain"), "weight", none.alias("copies")),
+        made.select("key", "key2", none.alias("found"), zero.alias("gain"), zero.alias("weight"), F.lit(1).cast("long").alias("copies")),
+    ]
+    sums = union_all(parts).groupBy("key", "key2").agg(*(F.sum(c).alias(c) for c in ("found", "gain", "weight", "copies")))
+    joined = made.drop("words", "runs").join(sums, ["key", "key2"])
     return joined.select(
         "doc_id",
         "n_tokens",
         (F.col("sure") + (F.col("found") / F.col("copies")).cast("long")).alias("n_known"),
         F.lit(counts.tokens).cast("long").alias("train_tokens"),
         (F.col("sure_score") + F.col("gain") / F.col("copies")).alias("base_score"),
-        (F.col("score") + F.col("gain") / F.col("copies")).alias("score"),
+        (F.col("score") + (F.col("gain") + F.col("weight")) / F.col("copies")).alias("score"),
     )

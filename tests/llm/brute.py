@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -80,3 +81,65 @@ def repeats(rows, window):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out[d] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def suffix_tree_scores(training, rows, share, kind_of, depth, least_seen, least_gain):
+    """doc_id -> score by a plain suffix tree, and its contexts with their gain.
+
+    ``kind_of`` names the kind, one of 512, of a word that is no symbol.
+    """
+    split = [[w.encode() for w in words(t, True)] for t in training]
+    n = collections.Counter(w for t in split for w in t)
+    tokens = sum(n.values()) + len(split)
+    least = max(2, math.ceil(tokens * share))
+    mass = {("kind", k): 0.5 for k in range(512)} | {"end": len(split) + 0.5}
+    for w, c in n.items():
+        mass[symbol_of(w, n, least, kind_of)] = mass.get(symbol_of(w, n, least, kind_of), 0) + c + 0.5
+    everything = sum(mass.values())
+
+    def symbols(t):
+        return ["start"] * depth + [symbol_of(w, n, least, kind_of) for w in t] + ["end"]
+
+    after = collections.defaultdict(collections.Counter)
+    for t in split:
+        s = symbols(t)
+        for i in range(depth, len(s)):
+            for k in range(1, depth + 1):
+                after[tuple(s[i - k : i])][s[i]] += 1
+    kept = {}
+
+    def chance(context, x):
+        if not context:
+            return mass[x] / everything
+        p = chance(context[1:], x)
+        if context not in kept:
+            return p
+        return own(context, x, p)
+
+    def own(context, x, p):
+        seen, total = len(after[context]), sum(c for c in after[context].values() if c >= least_seen)
+        c = after[context][x]
+        return ((c if c >= least_seen else 0) + seen * p) / (total + seen)
+
+    for context in sorted(after, key=len):
+        gain = 0.0
+        if any(c >= least_seen for c in after[context].values()):
+            for x, c in after[context].items():
+                p = chance(context[1:], x)
+                gain += c * math.log(own(context, x, p) / p)
+        if gain >= least_gain:
+            kept[context] = gain
+    scores = {}
+    for i, t in rows:
+        ws = [w.encode() for w in words(t, True)]
+        s, score = symbols(ws), 0.0
+        for at in range(depth, len(s)):
+            score += math.log10(chance(tuple(s[at - depth : at]), s[at]))
+            if isinstance(s[at], tuple) and s[at][0] == "kind":
+                score += math.log10((n[ws[at - depth]] + 0.5) / mass[s[at]])
+        scores[i] = score
+    return scores, kept
+
+
+def symbol_of(word, n, least, kind_of):
+    return ("word", word) if n[word] >= least else ("kind", kind_of(word))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salvor.llm import decontamination, language, licenses, suffix_tree, toxicity
-from salvor.llm.words import fold_of
+from salvor.llm.words import fold_of, words_of
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.01"
@@ -86,27 +86,55 @@ def test_toxicity_features():
     assert made["exclaims"] == pytest.approx(2 / 17)
 
 
-def test_suffix_tree_base_scores(spark):
-    rows = brute.documents()
+def _kind(word):
+    raw = np.frombuffer(word, np.uint8)
+    return int(suffix_tree._kinds(words_of(raw, np.array([0, len(raw)])))[0])
+
+
+def _suffix_tree_inputs():
+    rng = np.random.default_rng(5)
+    common = [" ".join(f"w{x}" for x in rng.zipf(1.4, 30) % 60) for _ in range(60)]
+    passage = " ".join(f"rare{i}" for i in range(12))
+    twice = [f"{passage} {common[0]}", f"Other {passage}", "x y x y x y x y", "", None, "\t\n", "Ärger é 中"]
+    return brute.documents() + [(1000 + i, t) for i, t in enumerate(common + twice)]
+
+
+@pytest.mark.parametrize("share,depth,least_gain", [(1 / (1 << 17), 2, 10.0), (0.01, 2, 2.0), (1.0, 1, 0.5)])
+def test_suffix_tree_scores_as_a_plain_tree(spark, monkeypatch, share, depth, least_gain):
+    monkeypatch.setattr(suffix_tree, "RUN_SHARE", 0.01)
+    rows = _suffix_tree_inputs()
     docs = brute.table(spark, rows + [rows[0]])
     training = docs.where(fold_of(F.col("doc_id")) != 1)
     counts = suffix_tree.count_words(training)
-    tree = suffix_tree.fit_tree(training, suffix_tree.alphabet_of(counts, 20), least_gain=2.0)
+    tree = suffix_tree.fit_tree(training, suffix_tree.alphabet_of(counts, share), depth, least_gain)
     found = suffix_tree.score_texts(docs, tree, counts).collect()
     assert len(found) == len(rows) + 1
+    learned = [(i, t) for i, t in rows + [rows[0]] if zlib.crc32(str(i).encode()) % 5 != 1]
+    scores, kept = brute.suffix_tree_scores([t for _, t in learned], rows, share, _kind, depth, 2, least_gain)
+    assert sorted(r.gain for r in tree.contexts.collect()) == pytest.approx(sorted(kept.values()))
+    assert len(kept) > 1
     c = collections.Counter()
-    for i, t in rows + [rows[0]]:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            c.update([w.encode() for w in brute.words(t, True)])
-            c[None] += 1
+    for _, t in learned:
+        c.update([w.encode() for w in brute.words(t, True)])
+        c[None] += 1
     total, kinds, texts = sum(c.values()), len(c), dict(rows)
     for r in found:
         tokens = [w.encode() for w in brute.words(texts[r.doc_id], True)] + [None]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(c[t] > 0 for t in tokens), total)
         assert r.base_score == pytest.approx(sum(math.log10((c[t] + 0.5) / (total + 0.5 * (kinds + 1))) for t in tokens))
-        assert r.score < 0
-    assert len(tree.score) > 1
-    assert np.allclose((10.0 ** tree.score.astype(float)).sum(axis=1), 1, atol=1e-4)
+        assert r.score == pytest.approx(scores[r.doc_id])
+
+
+def test_suffix_tree_keeps_all_contexts_that_pass(spark):
+    """A model of more texts has more contexts; none is cut to a size."""
+    rng = np.random.default_rng(7)
+    lines = [" ".join(rng.permutation([f"t{i}x{j}" for j in range(8)])) for i in range(400)]
+    sizes = []
+    for n in (100, 400):
+        docs = brute.table(spark, [(i, f"{lines[i % n]} {lines[i % n]}") for i in range(2 * n)])
+        counts = suffix_tree.count_words(docs)
+        sizes.append(suffix_tree.fit_tree(docs, suffix_tree.alphabet_of(counts)).contexts.count())
+    assert sizes[1] > 3.5 * sizes[0] > 0
 
 
 def test_suffix_tree_uses_the_longest_context(spark):
