@@ -16,17 +16,19 @@ from salvor.runtime import cut, cut_counted, release, small, union_all
 # The alphabet: the end of a text, every word with at least this share of all
 # tokens (no more than one over the share), a kind for every other word by its
 # last bytes, and the start of a text.
-LOOKED_UP = 1 / (1 << 17)
+SYMBOL_SHARE = 1 / (1 << 17)
 KINDS, ENDING_BYTES = 512, 3
 # A run of symbols is one number: its length above 56 bits, then 18 bits a symbol.
 BITS, LENGTH_AT = 18, 56
-# The longest context in symbols (at most two fit), how often a next symbol must follow a context to
-# count, and the least gain in nats over the next shorter context.
-DEPTH, LEAST_SEEN, LEAST_GAIN = 2, 2, 10.0
-# A run with at least this share of all tokens is looked up on the mappers; there
-# are no more of one length than one over the share. Rarer ones are joined, those
+# The longest context in symbols (at most two fit), how often one must occur to be
+# tested, and the least gain in nats over the next shorter context.
+DEPTH, LEAST_CONTEXT, LEAST_GAIN = 2, 32, 10.0
+# How often a next symbol must follow a context of one symbol, or of two, to count.
+LEAST_SEEN = (2, 4)
+# A word or run with at least this share of all tokens is looked up on the mappers;
+# there are no more of one length than one over the share. Rarer ones are joined, runs
 # that the tree lacks left out beforehand by a bit per hash, of so many bits.
-RUN_SHARE, MARK_BITS = 1 / (1 << 20), 27
+WORD_SHARE, RUN_SHARE, MARK_BITS = 1 / (1 << 20), 1 / (1 << 21), 27
 _HELD = 1 << 20
 
 
@@ -40,18 +42,16 @@ class Counts(NamedTuple):
 
 
 class Alphabet(NamedTuple):
-    """Hashes and counts of the frequent words (sorted by hash), the least count of one,
-    and the mass of every symbol: 0 is the end, then come the words, then the kinds.
-    The number after the last one stands for the start of a text."""
+    """Hashes of the frequent words (sorted) and the mass of every symbol: 0 is the end,
+    then come the words, then the kinds. The number after the last one stands for the
+    start of a text."""
 
     words: np.ndarray
-    counts: np.ndarray
-    least: int
     mass: np.ndarray
 
 
 class Tree(NamedTuple):
-    """Weights of runs of symbols, (run, weight, n) in a table; rows counts them.
+    """Weights of runs of symbols, (run, weight, n) in a table.
 
     A run's weight is what its last symbol gains after the rest of the run, and,
     if the run is itself a context, what every next symbol loses by that.
@@ -61,7 +61,6 @@ class Tree(NamedTuple):
     alphabet: Alphabet
     depth: int
     table: DataFrame
-    rows: int
     contexts: DataFrame
 
 
@@ -106,7 +105,7 @@ def count_words(texts: DataFrame) -> Counts:
     return Counts(total["n"] + rows, total["v"] + (rows > 0), rows, table)
 
 
-def alphabet_of(counts: Counts, share: float = LOOKED_UP) -> Alphabet:
+def alphabet_of(counts: Counts, share: float = SYMBOL_SHARE) -> Alphabet:
     """All words with at least ``share`` of the tokens and, for all others, the kinds.
 
     A word has its count and one half; a kind has those of its words, and one
@@ -118,30 +117,29 @@ def alphabet_of(counts: Counts, share: float = LOOKED_UP) -> Alphabet:
     kinds = np.full(KINDS, 0.5)
     for row in counts.table.where(F.col("n") < least).groupBy("kind").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
         kinds[row["kind"]] += row["mass"]
-    return Alphabet(words, n, least, np.concatenate([[counts.texts + 0.5], n + 0.5, kinds]))
+    return Alphabet(words, np.concatenate([[counts.texts + 0.5], n + 0.5, kinds]))
 
 
-def _numbers(alphabet: Alphabet, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its place among the frequent ones, and whether it is there."""
-    found, known = signed(words.hash), alphabet.words
+def _look_up(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value its place among the known ones (sorted), and whether it is there."""
     if not len(known):
-        return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
-    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-    return at, known[at] == found
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return at, known[at] == values
 
 
-def symbols_of(alphabet: Alphabet, words: Words, n: int, pad: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts as symbols, the text of each, and what is known of the words.
+def symbols_of(alphabet: Alphabet, words: Words, n: int, pad: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as symbols, and the text of each.
 
     Every text begins with ``pad`` starts, the context of its first word, and has its end last.
     """
     place = np.arange(len(words.owner)) + words.owner * (pad + 1) + pad
     size = np.bincount(words.owner, minlength=n) + pad + 1
     out = np.full(len(words.owner) + n * (pad + 1), len(alphabet.mass), np.int64)
-    at, frequent = _numbers(alphabet, words)
+    at, frequent = _look_up(signed(words.hash), alphabet.words)
     out[place] = np.where(frequent, at + 1, len(alphabet.words) + 1 + _kinds(words))
     out[np.cumsum(size) - 1] = 0
-    return out, np.repeat(np.arange(n), size), np.where(frequent, at, -1)
+    return out, np.repeat(np.arange(n), size)
 
 
 def runs_of(out: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,70 +163,88 @@ def _suffix(run: Column, length: int) -> Column:
     return run.bitwiseAND(F.lit((1 << BITS * (length - 1)) - 1)).bitwiseOR(F.lit((length - 1) << LENGTH_AT))
 
 
-def count_runs(texts: DataFrame, alphabet: Alphabet, depth: int = DEPTH) -> DataFrame:
-    """run, n: how often each symbol stands after each context of up to ``depth`` symbols."""
+def count_runs(texts: DataFrame, alphabet: Alphabet, depth: int, length: int, contexts: np.ndarray | None = None) -> DataFrame:
+    """run, n: how often each symbol stands after each context, for runs of one length.
+
+    With ``contexts`` (of ``marks_of``), runs of which the context has no bit are left out.
+    """
+    start = len(alphabet.mass)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for _, _, raw, at in pieces(batch.column("text")):
-                out, owner, _ = symbols_of(alphabet, words_of(raw, at, lower=True), len(at) - 1, depth)
-                codes = [runs_of(out, owner, length)[0] for length in range(2, depth + 2)]
-                start = len(alphabet.mass)
-                yield (np.concatenate([c[(c & ((1 << BITS) - 1)) != start] for c in codes]),)
+                out, owner = symbols_of(alphabet, words_of(raw, at, lower=True), len(at) - 1, depth)
+                code, last = runs_of(out, owner, length)
+                taken = out[last] != start
+                if contexts is not None:
+                    before, end = runs_of(out, owner, length - 1)
+                    there = np.zeros(len(out), bool)
+                    there[end] = _marked(contexts, before)
+                    taken &= there[last - 1]
+                yield (code[taken],)
 
     counted = texts.select("text").mapInArrow(lambda batches: _count_unique(found(batches), ["run", "n"]), "run long, n long")
     return counted.groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def fit_tree(texts: DataFrame, alphabet: Alphabet, depth: int = DEPTH, least_gain: float = LEAST_GAIN) -> Tree:
+def fit_tree(
+    texts: DataFrame, alphabet: Alphabet, depth: int = DEPTH, least_gain: float = LEAST_GAIN, least_context: int = LEAST_CONTEXT
+) -> Tree:
     """The tree of all texts, as a table.
 
     After a context with ``seen`` distinct next symbols, of which those that follow
-    at least twice do so ``total`` times together, the chance of one that does so
-    c times is (c + seen * p) / (total + seen), and seen * p / (total + seen) for
-    all others; p is its chance after the context without its first symbol. With
-    no context the chances are the alphabet's masses.
+    it at least LEAST_SEEN times do so ``total`` times together, the chance of one
+    of these that does so c times is (c + seen * p) / (total + seen), and that of
+    any other seen * p / (total + seen); p is its chance after the context without
+    its first symbol. With no context the chances are the alphabet's masses.
 
     The divergence of a context is the sum, over its occurrences, of the logarithm
-    of its own chance over p. Every context whose divergence reaches ``least_gain``
-    is kept, whatever their number. One that is not kept has its suffix's chances,
-    so the state of a place is its longest kept context.
+    of its own chance over p. Every context that occurs ``least_context`` times and
+    whose divergence reaches ``least_gain`` is kept, whatever their number. One that
+    is not has its suffix's chances, so the state of a place is its longest kept
+    context. Both limits are the same for any number of texts, so the tree grows
+    with them.
     """
     if (depth + 1) * BITS > LENGTH_AT:
         raise ValueError(f"a run of {depth + 1} symbols does not fit in {LENGTH_AT} bits")
-    spark = texts.sparkSession
-    counted = count_runs(texts, alphabet, depth)
-    counted = counted.withColumn("context", _context(F.col("run")))
-    often = F.col("n") >= LEAST_SEEN
-    sums = counted.groupBy("context").agg(
-        F.sum(F.when(often, F.col("n")).otherwise(0)).alias("total"),
-        F.count("*").alias("seen"),
-        F.sum(F.when(often, 0).otherwise(F.col("n"))).alias("others"),
-    )
-    grams = cut(counted.where(often).join(sums.where("total > 0"), "context"), "runs")
     mass = pa.table({"suffix": np.arange(len(alphabet.mass)) + (1 << LENGTH_AT), "p": alphabet.mass / alphabet.mass.sum()})
     # One row a symbol; the share in alphabet_of bounds them.
-    chances, bounded = spark.createDataFrame(mass), True
-    total, seen, p = F.col("total"), F.col("seen"), F.col("p")
-    own = (F.col("n") + seen * p) / (total + seen)
-    parts, contexts, gone = [], [], [grams]
+    chances, marks = F.broadcast(texts.sparkSession.createDataFrame(mass)), None
+    n, total, seen, others, p = (F.col(c) for c in ("n", "total", "seen", "others", "p"))
+    own = (n + seen * p) / (total + seen)
+    parts, contexts, gone = [], [], []
     for length in range(2, depth + 2):
-        rows = grams.where(F.shiftright("run", LENGTH_AT) == length).withColumn("suffix", _suffix(F.col("run"), length))
-        rows = cut(rows.join(F.broadcast(chances) if bounded else chances, "suffix").drop("suffix"), "chances")
-        gain = F.sum(F.col("n") * F.log(own / p)) + F.max("others") * F.log(F.max("seen") / (F.max("total") + F.max("seen")))
-        found = rows.groupBy("context").agg(gain.alias("gain"), F.max("total").alias("total"), F.max("seen").alias("seen"), F.max("others").alias("others"))
-        kept, n = cut_counted(found.where(F.col("gain") >= least_gain), "contexts", rows=F.lit(True))
-        marked = rows.join(small(kept.select("context", F.lit(True).alias("kept")), n["rows"]), "context", "left")
-        marked = cut(marked.select("run", "n", "p", F.coalesce("kept", F.lit(False)).alias("kept"), own.alias("own"), (seen * p / (total + seen)).alias("rest")), "marked")
-        chances, bounded = marked.select(F.col("run").alias("suffix"), F.when(F.col("kept"), F.col("own")).otherwise(F.col("p")).alias("p")), False
-        parts.append(marked.where("kept").select("run", F.log10(F.col("own") / F.col("rest")).alias("weight"), "n"))
-        parts.append(kept.select(F.col("context").alias("run"), F.log10(seen / (total + seen)).alias("weight"), (total + F.col("others")).alias("n")))
+        counted = cut(count_runs(texts, alphabet, depth, length, marks), "runs")
+        often = n >= LEAST_SEEN[length - 2]
+        sums = counted.withColumn("context", _context(F.col("run"))).groupBy("context").agg(
+            F.sum(F.when(often, n).otherwise(0)).alias("total"),
+            F.count("*").alias("seen"),
+            F.sum(F.when(often, 0).otherwise(n)).alias("others"),
+        )
+        sums, size = cut_counted(sums.where((total > 0) & (total + others >= least_context)), "sums", rows=F.lit(True))
+        rows = counted.where(often).select("run", "n", _context(F.col("run")).alias("context"), _suffix(F.col("run"), length).alias("suffix"))
+        rows = rows.join(small(sums, size["rows"]), "context", "left").join(chances, "suffix").drop("suffix")
+        rows = cut(rows, "chances")
+        if length <= depth:
+            # The start before a first word is a context, but no symbol follows to make it a run.
+            start = sum(len(alphabet.mass) << (BITS * i) for i in range(length)) | (length << LENGTH_AT)
+            starts = texts.sparkSession.range(1).select(F.lit(start).cast("long").alias("run"))
+            marks = marks_of(counted.where(n >= least_context).select("run").unionByName(starts))
+        gain = F.sum(n * F.log(own / p)) + F.max(others) * F.log(F.max(seen) / (F.max(total) + F.max(seen)))
+        found = rows.where(total.isNotNull()).groupBy("context").agg(gain.alias("gain"), *(F.max(c).alias(c) for c in ("total", "seen", "others")))
+        kept, size = cut_counted(found.where(F.col("gain") >= least_gain), "contexts", rows=F.lit(True))
+        marked = rows.join(small(kept.select("context", F.lit(True).alias("kept")), size["rows"]), "context", "left")
+        marked = cut(marked.select("run", "n", F.when(F.col("kept"), own).otherwise(p).alias("p"), F.when(F.col("kept"), F.log10(own / (seen * p) * (total + seen))).alias("weight")), "marked")
+        release(rows, counted, sums)
+        chances = marked.select(F.col("run").alias("suffix"), "p")
+        parts.append(marked.where("weight is not null").select("run", "weight", "n"))
+        parts.append(kept.select(F.col("context").alias("run"), F.log10(seen / (total + seen)).alias("weight"), (total + others).alias("n")))
         contexts.append(kept.select("context", "gain", "total", "seen"))
-        gone += [rows, marked]
+        gone.append(marked)
     weights = union_all(parts).groupBy("run").agg(F.sum("weight").alias("weight"), F.max("n").alias("n"))
-    table, n = cut_counted(weights, "weights", rows=F.lit(True))
+    table = cut(weights, "weights")
     release(*gone)
-    return Tree(alphabet, depth, table, n["rows"], union_all(contexts))
+    return Tree(alphabet, depth, table, union_all(contexts))
 
 
 def _place(values: np.ndarray) -> np.ndarray:
@@ -276,7 +292,9 @@ def score_texts(docs: DataFrame, tree: Tree, counts: Counts) -> DataFrame:
     rows; without training texts N is 0 and only the kinds have mass.
     """
     alphabet, depth = tree.alphabet, tree.depth
-    least = max(LEAST_SEEN, int(np.ceil(counts.tokens * RUN_SHARE)))
+    least_word, least = (int(np.ceil(counts.tokens * share)) for share in (WORD_SHARE, RUN_SHARE))
+    looked_up = counts.table.where(F.col("n") >= least_word).select("word", "n").orderBy("word").toArrow()
+    word, log_counts = looked_up.column("word").to_numpy().astype(np.int64), np.log10(looked_up.column("n").to_numpy() + 0.5)
     single = F.shiftright("run", LENGTH_AT) == 1
     # Runs of one symbol are bounded by the alphabet, the others by their share.
     often = tree.table.where(single | (F.col("n") >= least)).select("run", "weight").orderBy("run").toArrow()
@@ -286,13 +304,11 @@ def score_texts(docs: DataFrame, tree: Tree, counts: Counts) -> DataFrame:
     one[run[alone] & ((1 << BITS) - 1)] = weight[alone]
     run, weight = run[~alone], weight[~alone]
     bits = marks_of(tree.table.where(~single))
-    log_counts = np.log10(alphabet.counts + 0.5)
     base = float(np.log10(counts.tokens + 0.5 * (counts.distinct + 1)))
     shift = base - float(np.log10(alphabet.mass.sum()))
     end, known_end, nothing = float(np.log10(counts.texts + 0.5)), int(counts.texts > 0), float(np.log10(0.5))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.struct("doc_id", F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")))
-    rows = rows.select(F.xxhash64("key").alias("key"), F.xxhash64(F.lit("second"), "key").alias("key2"), "doc_id", "text")
+    # The number tells rows apart that repeat; it counts only as it is written below.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
         order = np.argsort(owner, kind="stable")
@@ -304,8 +320,9 @@ def score_texts(docs: DataFrame, tree: Tree, counts: Counts) -> DataFrame:
             for low, high, raw, at in pieces(batch.column("text")):
                 n = high - low
                 words = words_of(raw, at, lower=True)
-                out, owner, number = symbols_of(alphabet, words, n, depth)
-                known, size = number >= 0, np.bincount(words.owner, minlength=n)
+                out, owner = symbols_of(alphabet, words, n, depth)
+                number, known = _look_up(signed(words.hash), word)
+                size = np.bincount(words.owner, minlength=n)
                 sure = np.bincount(words.owner[known], minlength=n)
                 # All words first count as unknown; what is known adds the difference.
                 extra = np.bincount(words.owner[known], weights=log_counts[number[known]] - nothing, minlength=n)
@@ -318,39 +335,35 @@ def score_texts(docs: DataFrame, tree: Tree, counts: Counts) -> DataFrame:
                     code, last = runs_of(out, owner, length)
                     there = _marked(bits, code) & weighs[last]
                     code, of = code[there], owner[last[there]]
-                    if len(run):
-                        place = np.minimum(np.searchsorted(run, code), len(run) - 1)
-                        hit = run[place] == code
-                        gains += np.bincount(of[hit], weights=weight[place[hit]], minlength=n)
-                        code, of = code[~hit], of[~hit]
-                    runs.append(code)
-                    owners.append(of)
+                    place, hit = _look_up(code, run)
+                    gains += np.bincount(of[hit], weights=weight[place[hit]], minlength=n)
+                    runs.append(code[~hit])
+                    owners.append(of[~hit])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(low, n) for c in ("key", "key2", "doc_id")),
+                        *(batch.column(c).slice(low, n) for c in ("row", "doc_id")),
                         *(pa.array(x) for x in (size + 1, sure + known_end, score, score + gains + (size + 1) * shift)),
                         lists(words.owner[~known], signed(words.hash[~known]), n),
                         lists(np.concatenate(owners), np.concatenate(runs), n),
                     ],
-                    ["key", "key2", "doc_id", "n_tokens", "sure", "sure_score", "score", "words", "runs"],
+                    ["row", "doc_id", "n_tokens", "sure", "sure_score", "score", "words", "runs"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = cut(rows.mapInArrow(make, f"key long, key2 long, doc_id {kind}, n_tokens long, sure long, sure_score double, score double, words array<long>, runs array<long>"), "scored")
-    rare = counts.table.where(F.col("n") < alphabet.least).select("word", (F.log10(F.col("n") + 0.5) - nothing).alias("gain"))
-    none, zero = F.lit(0).cast("long"), F.lit(0.0)
-    parts = [
-        made.select("key", "key2", F.explode("words").alias("word")).join(rare, "word").select("key", "key2", F.lit(1).cast("long").alias("found"), "gain", zero.alias("weight"), none.alias("copies")),
-        made.select("key", "key2", F.explode("runs").alias("run")).join(tree.table.where(~single & (F.col("n") < least)), "run").select("key", "key2", none.alias("found"), zero.alias("gain"), "weight", none.alias("copies")),
-        made.select("key", "key2", none.alias("found"), zero.alias("gain"), zero.alias("weight"), F.lit(1).cast("long").alias("copies")),
-    ]
-    sums = union_all(parts).groupBy("key", "key2").agg(*(F.sum(c).alias(c) for c in ("found", "gain", "weight", "copies")))
-    joined = made.drop("words", "runs").join(sums, ["key", "key2"])
+    made = cut(rows.mapInArrow(make, f"row long, doc_id {kind}, n_tokens long, sure long, sure_score double, score double, words array<long>, runs array<long>"), "scored")
+    rare_words = counts.table.where(F.col("n") < least_word).select("word", (F.log10(F.col("n") + 0.5) - nothing).alias("gain"))
+    rare_runs = tree.table.where(~single & (F.col("n") < least)).select("run", "weight")
+    found = made.select("row", F.explode("words").alias("word")).join(rare_words, "word")
+    found = found.groupBy("row").agg(F.count("*").alias("found"), F.sum("gain").alias("gain"), F.lit(0.0).alias("weight"))
+    gained = made.select("row", F.explode("runs").alias("run")).join(rare_runs, "run")
+    gained = gained.groupBy("row").agg(F.lit(0).cast("long").alias("found"), F.lit(0.0).alias("gain"), F.sum("weight").alias("weight"))
+    sums = found.unionByName(gained).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("found", "gain", "weight")))
+    joined = made.drop("words", "runs").join(sums, "row", "left").fillna(0, ["found", "gain", "weight"])
     return joined.select(
         "doc_id",
         "n_tokens",
-        (F.col("sure") + (F.col("found") / F.col("copies")).cast("long")).alias("n_known"),
+        (F.col("sure") + F.col("found")).alias("n_known"),
         F.lit(counts.tokens).cast("long").alias("train_tokens"),
-        (F.col("sure_score") + F.col("gain") / F.col("copies")).alias("base_score"),
-        (F.col("score") + (F.col("gain") + F.col("weight")) / F.col("copies")).alias("score"),
+        (F.col("sure_score") + F.col("gain")).alias("base_score"),
+        (F.col("score") + F.col("gain") + F.col("weight")).alias("score"),
     )

@@ -83,7 +83,7 @@ def repeats(rows, window):
     return out
 
 
-def suffix_tree_scores(training, rows, share, kind_of, depth, least_seen, least_gain):
+def suffix_tree_scores(training, rows, share, kind_of, depth, least_seen, least_gain, least_context):
     """doc_id -> score by a plain suffix tree, and its contexts with their gain.
 
     ``kind_of`` names the kind, one of 512, of a word that is no symbol.
@@ -117,13 +117,13 @@ def suffix_tree_scores(training, rows, share, kind_of, depth, least_seen, least_
         return own(context, x, p)
 
     def own(context, x, p):
-        seen, total = len(after[context]), sum(c for c in after[context].values() if c >= least_seen)
+        seen, total = len(after[context]), sum(c for c in after[context].values() if c >= least_seen[len(context) - 1])
         c = after[context][x]
-        return ((c if c >= least_seen else 0) + seen * p) / (total + seen)
+        return ((c if c >= least_seen[len(context) - 1] else 0) + seen * p) / (total + seen)
 
     for context in sorted(after, key=len):
         gain = 0.0
-        if any(c >= least_seen for c in after[context].values()):
+        if sum(after[context].values()) >= least_context and max(after[context].values()) >= least_seen[len(context) - 1]:
             for x, c in after[context].items():
                 p = chance(context[1:], x)
                 gain += c * math.log(own(context, x, p) / p)

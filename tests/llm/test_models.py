@@ -99,18 +99,19 @@ def _suffix_tree_inputs():
     return brute.documents() + [(1000 + i, t) for i, t in enumerate(common + twice)]
 
 
-@pytest.mark.parametrize("share,depth,least_gain", [(1 / (1 << 17), 2, 10.0), (0.01, 2, 2.0), (1.0, 1, 0.5)])
+@pytest.mark.parametrize("share,depth,least_gain", [(1 / (1 << 17), 2, 10.0), (0.01, 2, 0.5), (1.0, 1, 0.5)])
 def test_suffix_tree_scores_as_a_plain_tree(spark, monkeypatch, share, depth, least_gain):
-    monkeypatch.setattr(suffix_tree, "RUN_SHARE", 0.01)
+    monkeypatch.setattr(suffix_tree, "RUN_SHARE", 0.003)
+    monkeypatch.setattr(suffix_tree, "WORD_SHARE", 0.02)
     rows = _suffix_tree_inputs()
     docs = brute.table(spark, rows + [rows[0]])
     training = docs.where(fold_of(F.col("doc_id")) != 1)
     counts = suffix_tree.count_words(training)
-    tree = suffix_tree.fit_tree(training, suffix_tree.alphabet_of(counts, share), depth, least_gain)
+    tree = suffix_tree.fit_tree(training, suffix_tree.alphabet_of(counts, share), depth, least_gain, 3)
     found = suffix_tree.score_texts(docs, tree, counts).collect()
     assert len(found) == len(rows) + 1
     learned = [(i, t) for i, t in rows + [rows[0]] if zlib.crc32(str(i).encode()) % 5 != 1]
-    scores, kept = brute.suffix_tree_scores([t for _, t in learned], rows, share, _kind, depth, 2, least_gain)
+    scores, kept = brute.suffix_tree_scores([t for _, t in learned], rows, share, _kind, depth, suffix_tree.LEAST_SEEN, least_gain, 3)
     assert sorted(r.gain for r in tree.contexts.collect()) == pytest.approx(sorted(kept.values()))
     assert len(kept) > 1
     c = collections.Counter()
@@ -131,7 +132,7 @@ def test_suffix_tree_keeps_all_contexts_that_pass(spark):
     lines = [" ".join(rng.permutation([f"t{i}x{j}" for j in range(8)])) for i in range(400)]
     sizes = []
     for n in (100, 400):
-        docs = brute.table(spark, [(i, f"{lines[i % n]} {lines[i % n]}") for i in range(2 * n)])
+        docs = brute.table(spark, [(i, " ".join([lines[i]] * 40)) for i in range(n)])
         counts = suffix_tree.count_words(docs)
         sizes.append(suffix_tree.fit_tree(docs, suffix_tree.alphabet_of(counts)).contexts.count())
     assert sizes[1] > 3.5 * sizes[0] > 0
