@@ -90,8 +90,7 @@ def stream_confirmations(spark, folder):
 
 
 def stream_global_rate(spark, folder):
-    windows = guard.stream_global_rate(_stream(spark, folder), "ts", limit=3)
-    return guard.run_updates(windows, "stream-rate", ["window_start"])
+    return guard.run_global_rate(_stream(spark, folder), "ts", "stream-rate", limit=3)
 
 
 QUERIES = {

@@ -307,30 +307,41 @@ def match_confirmations(
     return j.join(first, "use_id", "left").select("use_id", "token", verdict.alias("verdict"))
 
 
-def global_rate(
-    events: DataFrame, at: str, limit: int = GLOBAL_LIMIT, window_seconds: int = WINDOW_SECONDS,
-    slide_seconds: int = 60,
-) -> DataFrame:
-    """Events in every sliding window, and whether they exceed the limit.
-
-    Rows are first counted per slide; only those few counts are copied into the
-    windows they belong to.
-    """
+def slide_counts(events: DataFrame, at: str, slide_seconds: int = 60) -> DataFrame:
+    """slide, n: events from every slide's start to the next one's; counts of parts add up."""
     us = F.unix_micros(F.col(at).cast("timestamp"))
     start = (us - F.pmod(us, F.lit(slide_seconds * 1_000_000))) / 1_000_000
-    per_slide = events.select(start.cast("bigint").alias("slide")).groupBy("slide").agg(F.count(F.lit(1)).alias("n"))
+    return events.select(start.cast("bigint").alias("slide")).groupBy("slide").agg(F.count(F.lit(1)).alias("n"))
+
+
+def window_load(
+    slides: DataFrame, limit: int = GLOBAL_LIMIT, window_seconds: int = WINDOW_SECONDS, slide_seconds: int = 60
+) -> DataFrame:
+    """Events in every sliding window from ``slide_counts``; a slide may have several rows."""
     starts = F.sequence(
         F.col("slide") - (window_seconds - slide_seconds), F.col("slide"), F.lit(slide_seconds).cast("bigint")
     )
     return (
-        per_slide.select(F.explode(starts).alias("window_start"), "n")
+        slides.select(F.explode(starts).alias("window_start"), "n")
         .groupBy("window_start")
         .agg(F.sum("n").alias("events"))
         .withColumn("over_limit", F.col("events") > limit)
     )
 
 
+def global_rate(
+    events: DataFrame, at: str, limit: int = GLOBAL_LIMIT, window_seconds: int = WINDOW_SECONDS,
+    slide_seconds: int = 60,
+) -> DataFrame:
+    """Events in every sliding window, and whether they exceed the limit.
+
+    Rows are first counted per slide; only those few counts are copied into the
+    windows they belong to.
+    """
+    return window_load(slide_counts(events, at, slide_seconds), limit, window_seconds, slide_seconds)
+
+
 __all__ = [
     "admit", "attempt_rate", "cooldown", "global_rate", "match_confirmations",
-    "pending_confirmations", "retry_after", "sliding_admission",
+    "pending_confirmations", "retry_after", "slide_counts", "sliding_admission", "window_load",
 ]

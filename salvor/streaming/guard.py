@@ -23,6 +23,8 @@ from salvor.operators.rates import (
     match_confirmations,
     micros,
     retry_after,
+    slide_counts,
+    window_load,
 )
 from salvor.runtime import scratch_path
 
@@ -122,27 +124,6 @@ def stream_confirmations(events: DataFrame, ttl_seconds: int = CONFIRMATION_TTL_
     return Judged(rows, judge, held, result)
 
 
-def stream_global_rate(
-    events: DataFrame, at: str, limit: int = GLOBAL_LIMIT, window_seconds: int = WINDOW_SECONDS,
-    slide_seconds: int = 60,
-) -> DataFrame:
-    """Events per sliding window, to be run in update mode.
-
-    Every trigger gives the counts that changed (``run_updates`` keeps the last
-    of each window), so windows that are still open when the input ends are there.
-    There is no watermark, so no row is late; the state has one count per window
-    of the whole time span.
-    """
-    stamped = events.select(F.col(at).cast("timestamp").alias("ts"))
-    windows = stamped.groupBy(F.window("ts", f"{window_seconds} seconds", f"{slide_seconds} seconds")).agg(
-        F.count(F.lit(1)).alias("events")
-    )
-    return windows.select(
-        F.unix_seconds("window.start").alias("window_start"), "events",
-        (F.col("events") > limit).alias("over_limit"),
-    )
-
-
 def run_available(stream: Judged, label: str) -> DataFrame:
     """Run a stream over all input that is there now and read back its verdicts.
 
@@ -200,27 +181,25 @@ def run_available(stream: Judged, label: str) -> DataFrame:
     return stream.result(_matched(judged, behind, "left_anti").unionByName(again))
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
+def run_global_rate(
+    events: DataFrame, at: str, label: str, limit: int = GLOBAL_LIMIT, window_seconds: int = WINDOW_SECONDS,
+    slide_seconds: int = 60,
+) -> DataFrame:
+    """Events per sliding window of a stream, over all input that is there now.
 
-def run_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
-    """Run a stream in update mode over all input that is there now; the last row of each key."""
-    spark = stream.sparkSession
+    A trigger counts its own rows by slide and writes the counts under its number,
+    so a repeated trigger replaces what it wrote. Counts add up, so nothing is
+    kept from one trigger to the next, no row is late whatever its time, and the
+    windows are made when the counts are read.
+    """
+    spark = events.sparkSession
     out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    spark.createDataFrame([], "slide bigint, n bigint").write.parquet(f"{out}/none")
 
-    def append(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(out)
+    def count(rows: DataFrame, batch: int) -> None:
+        slide_counts(rows, at, slide_seconds).write.mode("overwrite").parquet(f"{out}/{batch}")
 
-    query = (
-        stream.writeStream.foreachBatch(append)
-        .outputMode("update")
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = events.writeStream.foreachBatch(count).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    found = spark.read.schema(f"{_ddl(stream)}, _batch bigint").parquet(out)
-    values = [c for c in stream.columns if c not in keys]
-    last = F.max_by(F.struct(*values), "_batch").alias("v")
-    return found.groupBy(*keys).agg(last).select(*keys, "v.*")
+    found = spark.read.schema("slide bigint, n bigint").parquet(f"{out}/*")
+    return window_load(found, limit, window_seconds, slide_seconds)

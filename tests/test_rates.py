@@ -122,7 +122,7 @@ def test_streams_equal_their_batch_forms_over_many_triggers(spark, tmp_path):
             expected[tie] = "valid" if (client, operation) == first[token][:2] else "mismatch"
     assert {r["use_id"]: r["verdict"] for r in live.collect()} == expected
 
-    rates = guard.run_updates(guard.stream_global_rate(stream, "ts", 5), "t-rate", ["window_start"])
+    rates = guard.run_global_rate(stream, "ts", "t-rate", 5)
     full = R.global_rate(whole, "ts", 5).collect()
     row = lambda r: (r["window_start"], r["events"], r["over_limit"])
     assert sorted(map(row, rates.collect())) == sorted(map(row, full))
@@ -175,5 +175,22 @@ def test_streams_over_shuffled_files_judge_every_row(spark, tmp_path):
     expected = read(R.match_confirmations(lives, uses, 900))
     assert {"valid", "mismatch", "replayed", "unknown_token"} <= {x for r in R.match_confirmations(lives, uses, 900).collect() for x in r}
     assert read(live) == expected
-    rates = guard.run_updates(guard.stream_global_rate(stream, "ts", 5), "t-rate", ["window_start"])
+    rates = guard.run_global_rate(stream, "ts", "t-rate", 5)
     assert read(rates) == read(R.global_rate(whole, "ts", 5).select(*rates.columns))
+
+
+def test_global_rate_of_a_stream_keeps_nothing_between_triggers(spark, tmp_path):
+    """Rows that are a year late still count, and an input without files gives no windows."""
+    schema = "ts timestamp, tie bigint"
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    none = guard.run_global_rate(guard.read_files(spark, str(empty), schema), "ts", "t-none", 5)
+    assert none.count() == 0 and none.columns == ["window_start", "events", "over_limit"]
+    folder = str(tmp_path / "in")
+    rows = [(at((i // 20 % 3) * -(10**7) + i * 11), i) for i in range(80)] + [(None, 80)]
+    for lo in range(0, 81, 20):
+        spark.createDataFrame(rows[lo:lo + 20], schema).coalesce(1).write.mode("append").parquet(folder)
+    live = guard.run_global_rate(guard.read_files(spark, folder, schema, files_per_trigger=1), "ts", "t-late", 5)
+    whole = R.global_rate(spark.createDataFrame(rows, schema), "ts", 5)
+    read = lambda df: sorted((r["window_start"], r["events"], r["over_limit"]) for r in df.collect())
+    assert read(live) == read(whole) and len(read(live)) > 10
