@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salvor.llm.licenses import license_words
-from salvor.llm.words import Words, bounds_of, list_array, mix, pieces, signed, windows
-from salvor.runtime import cut
+from salvor.llm.words import Words, bounds_of, mix, pieces
+from salvor.runtime import cut, release
 
 BUCKETS, RANK, EXTRA, ROUNDS = 8192, 96, 8, 2
 # The leading singular vectors tell languages and common words apart; they are left out.
 SKIPPED = 8
-# Passages that the singular vectors are fitted on (expected number), of 64 words,
-# 32 at least at the end of a text.
-SAMPLE, PASSAGE, LEAST_PASSAGE = 16_000, 64, 32
-BLOCK, GRAM = 8, 5
+# Words of the passages that the singular vectors are fitted on, passages that are multiplied
+# at once, and rows of a matrix that stay in a core's cache, about.
+PASSAGE, AT_ONCE, CACHED = 64, 4096, 4096
+BLOCK = 8
 # Words of a run by which passages are found without their vector.
 RUN = 5
 LEAST_COSINE = 0.3
@@ -67,27 +67,48 @@ def _sliced(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "part": pa.array(parts, pa.binary())})
 
 
-def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many passages of 64 words each term bucket occurs, and all passages."""
+def passages(docs: DataFrame) -> DataFrame:
+    """terms and n of every different passage of 64 words that occurs n times; the last one of a text is as long as it is."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS + _SLICES, np.int64)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, at in pieces(batch.column("text")):
                 words = license_words(raw, at)
-                bounds = bounds_of(words.owner, len(at) - 1)
-                _, first = _starts(bounds, PASSAGE)
-                passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words.owner))))
+                _, first = _starts(bounds_of(words.owner, len(at) - 1), PASSAGE)
+                ends = pa.array(np.append(first, len(words.hash)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(_terms(words), pa.int16()))], ["terms"])
+
+    return docs.select("text").mapInArrow(make, "terms array<short>").groupBy("terms").agg(F.count("*").alias("n"))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Terms of some passages at a time, where each begins, and which passage each term is of."""
+    for low in range(0, len(batch), AT_ONCE):
+        lists = batch.column("terms").slice(low, AT_ONCE)
+        ends = np.asarray(lists.offsets).astype(np.int64)
+        yield lists.flatten().to_numpy(), ends[:-1] - ends[0], np.repeat(np.arange(len(lists)), np.diff(ends))
+
+
+def passage_frequencies(passages: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many passages each term bucket occurs, and all passages."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS + _SLICES, np.int64)
+        for batch in batches:
+            low, times = 0, batch.column("n").to_numpy()
+            for terms, first, whose in _parts(batch):
                 rows = np.full((len(first), PASSAGE), BUCKETS, np.int16)
-                rows[passage, np.arange(len(passage)) - first[passage]] = _terms(words)
+                rows[whose, np.arange(len(terms)) - first[whose]] = terms
                 rows.sort(axis=1)
-                new = np.ones(rows.shape, bool)
-                new[:, 1:] = rows[:, 1:] != rows[:, :-1]
-                seen[:BUCKETS] += np.bincount(rows[new], minlength=BUCKETS + 1)[:BUCKETS]
-                seen[BUCKETS] += len(first)
+                new = rows < BUCKETS
+                new[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+                own = times[low : low + len(first)]
+                seen[:BUCKETS] += np.bincount(rows[new], np.repeat(own, new.sum(axis=1)), BUCKETS).astype(np.int64)
+                low += len(first)
+            seen[BUCKETS] += times.sum()
         yield _sliced(seen)
 
-    total = _summed(docs.select("text").mapInArrow(count, "slice int, part binary"), BUCKETS + _SLICES, np.int64)
+    total = _summed(passages.mapInArrow(count, "slice int, part binary"), BUCKETS + _SLICES, np.int64)
     return total[:BUCKETS], int(total[BUCKETS])
 
 
@@ -102,81 +123,57 @@ class Space:
         return found / max(float(np.linalg.norm(found)), 1e-12)
 
 
-def _sample(docs: DataFrame, share: float) -> DataFrame:
-    """terms of distinct passages whose key lies in the given share of all keys.
+def _run_sums(table: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``table[index]`` over the runs that begin at ``first``, of so many rows at a time that they stay in the cache."""
+    out, ends = np.empty((len(first), table.shape[1]), table.dtype), np.append(first, len(index))
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(index), CACHED)), len(first)))
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        np.add.reduceat(table[index[ends[low] : ends[high]]], first[low:high] - ends[low], axis=0, out=out[low:high])
+    return out
 
-    The key is the least hash of a passage's 5-word grams: near copies mostly have
-    the same one, so a large group of copies does not rule the singular vectors.
-    """
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, parts = [], []
-            for _, _, raw, at in pieces(batch.column("text")):
-                words = license_words(raw, at)
-                grams, terms = windows(words.hash, GRAM), _terms(words)
-                _, first = _starts(bounds_of(words.owner, len(at) - 1), PASSAGE)
-                last = np.append(first[1:], len(terms))
-                first, last = first[last - first >= LEAST_PASSAGE], last[last - first >= LEAST_PASSAGE]
-                if not len(first):
-                    continue
-                ranges = np.stack([first, last - GRAM + 1], axis=1).ravel()
-                least = np.minimum.reduceat(np.append(grams, np.uint64(2**64 - 1)), ranges)[::2]
-                drawn = np.flatnonzero(least * np.uint64(0x9E3779B97F4A7C15) < share * 2.0**64)
-                keys.append(signed(least[drawn]))
-                parts += [terms[first[i] : last[i]] for i in drawn]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), list_array(parts, pa.int64())], ["key", "terms"])
-
-    rows = docs.select("text").mapInArrow(make, "key long, terms array<long>")
-    return rows.groupBy("key").agg(F.min("terms").alias("terms")).select("terms")
-
-
-def fit_space(docs: DataFrame, rank: int = RANK, skipped: int = SKIPPED, sample: int = SAMPLE, seed: int = 11) -> Space:
-    """Randomised SVD of the TF-IDF matrix of passages.
-
-    Inverse document frequencies cover all passages. The singular vectors come
-    from a sample of distinct passages (about ``sample``): a random matrix is
-    multiplied by A and by its transpose in tasks, only sums of terms times rank
-    leave them, and two rounds of orthonormalisation follow. The ``skipped``
-    leading directions are left out and coordinates are divided by the singular
-    values, so that no direction (a language, say) outweighs the others.
+def fit_space(docs: DataFrame, rank: int = RANK, skipped: int = SKIPPED, seed: int = 11) -> Space:
+    """Randomised SVD of the TF-IDF matrix A of all different passages.
+
+    Each is one row, so that copies of a text do not rule the singular vectors;
+    inverse document frequencies count it as often as it occurs. A random matrix is
+    multiplied by A and by its transpose in tasks, and only sums of terms times rank
+    leave them; after two rounds the products are those with an orthonormal basis,
+    from which the singular vectors follow (Nystrom). The ``skipped`` leading
+    directions are left out and coordinates are divided by the singular values, so
+    that no direction (a language, say) outweighs the others.
     """
-    seen, passages = passage_frequencies(docs)
-    idf = np.log((1.0 + passages) / (1.0 + seen)).astype(np.float32) + np.float32(0.1)
-    drawn = cut(_sample(docs, min(1.0, sample / max(passages, 1))), "sample")
+    kept = cut(passages(docs), "passages")
+    seen, total = passage_frequencies(kept)
+    idf = np.log((1.0 + total) / (1.0 + seen)).astype(np.float32) + np.float32(0.1)
     width = rank + skipped + EXTRA
 
-    def multiplied(basis: np.ndarray, narrow: bool):
+    def multiplied(basis: np.ndarray) -> np.ndarray:
+        scaled, squares = basis * idf[:, None], idf**2
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((width, width) if narrow else (BUCKETS, width))
+            total = np.zeros((BUCKETS, width))
             for batch in batches:
-                for low in range(0, len(batch), 1024):
-                    lists = batch.column("terms").slice(low, 1024)
-                    terms, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets)
-                    first = (ends[:-1] - ends[0]).astype(np.int64)
-                    rows = np.add.reduceat(basis[terms] * idf[terms][:, None], first, axis=0)
-                    norms = np.sqrt(np.add.reduceat(idf[terms] ** 2, first))[:, None]
-                    rows /= norms
-                    if narrow:
-                        total += rows.T @ rows
-                        continue
-                    of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
+                for terms, first, whose in _parts(batch):
+                    rows = _run_sums(scaled, terms, first) / np.add.reduceat(squares[terms], first)[:, None]
                     order = np.argsort(terms, kind="stable")
                     kinds, begin = np.unique(terms[order], return_index=True)
-                    weights = (idf[terms][:, None] / norms[of_word])[order]
-                    total[kinds] += np.add.reduceat(rows[of_word[order]] * weights, begin, axis=0)
-            yield _sliced(total.ravel())
+                    total[kinds] += _run_sums(rows, whose[order], begin)
+            yield _sliced((total * idf[:, None]).ravel())
 
-        size = width * width if narrow else BUCKETS * width
-        return _summed(drawn.mapInArrow(run, "slice int, part binary"), size, np.float64).reshape(-1, width)
+        return _summed(kept.select("terms").mapInArrow(run, "slice int, part binary"), BUCKETS * width, np.float64).reshape(-1, width)
 
     basis = np.random.default_rng(seed).standard_normal((BUCKETS, width)).astype(np.float32)
     for _ in range(ROUNDS):
-        basis = np.linalg.qr(multiplied(basis, False) + 1e-9 * basis)[0].astype(np.float32)
-    values, turn = np.linalg.eigh(multiplied(basis, True))
-    best = np.argsort(values)[::-1][skipped : skipped + rank]
-    scale = 1 / np.sqrt(np.maximum(values[best], max(float(values[best].max()), 1e-9) * 1e-2))
-    return Space(((basis @ turn[:, best]) * scale * idf[:, None]).astype(np.float32))
+        basis = np.linalg.qr(basis)[0].astype(np.float32)
+        last, basis = basis, multiplied(basis)
+    release(kept)
+    values, turn = np.linalg.eigh((last.T @ basis + basis.T @ last) / 2)
+    able = values > max(float(values[-1]), 1e-9) * 1e-6
+    vectors, values, _ = np.linalg.svd(basis @ (turn * np.where(able, np.where(able, values, 1) ** -0.5, 0)), full_matrices=False)
+    best = slice(skipped, skipped + rank)
+    scale = 1 / np.maximum(values[best], max(float(values[best].max()), 1e-9) * 1e-1)
+    return Space((vectors[:, best] * scale * idf[:, None]).astype(np.float32))
 
 
 def common_length(masks: dict[int, int], text: list[int]) -> int:

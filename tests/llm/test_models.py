@@ -264,3 +264,34 @@ def test_decontamination_finds_copies_beside_repeated_words(spark):
     found = decontamination.contaminated(brute.table(spark, rows), benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in found} >= want
     assert all(r.share == 1 for r in found if (r.doc_id, r.item_id) in want)
+
+
+def test_latent_space_is_that_of_all_different_passages(spark):
+    """Singular vectors as a plain decomposition of all passages has them, short and rare ones too."""
+    rng = random.Random(12)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(common, k=34) + rng.choices(rare, k=rng.randrange(2))) for _ in range(20_000)]
+    texts += [" ".join(rng.choices(rare, k=rng.randrange(1, 20))) for _ in range(300)] + [" ".join(rng.choices(common + rare, k=150)) for _ in range(50)]
+    texts += texts[:2000] + [None, "", " . "]
+    rank, skipped = 71, 1
+    got = decontamination.fit_space(brute.table(spark, enumerate(texts)).repartition(8), rank, skipped).vectors
+
+    given = [np.frombuffer(w.encode(), np.uint8) for w in common + rare]
+    bucket = {w: int(decontamination._terms(licenses.license_words(raw, np.array([0, len(raw)])))[0]) for w, raw in zip(common + rare, given, strict=True)}
+    assert len(set(bucket.values())) == len(bucket)
+    place = {w: i for i, w in enumerate(bucket)}
+    parts = [tuple(words[i : i + 64]) for words in ([w for w in (t or "").split() if w != "."] for t in texts) for i in range(0, len(words), 64)]
+    seen = np.zeros(len(place))
+    for part in parts:
+        seen[[place[w] for w in set(part)]] += 1
+    idf = np.log((1 + len(parts)) / (1 + seen)) + 0.1
+    matrix = np.zeros((len(set(parts)), len(place)))
+    for row, part in enumerate(sorted(set(parts))):
+        for w in part:
+            matrix[row, place[w]] += idf[place[w]]
+        matrix[row] /= np.sqrt(sum(idf[place[w]] ** 2 for w in part))
+    values, vectors = np.linalg.eigh(matrix.T @ matrix)
+    best = np.argsort(values)[::-1][skipped : skipped + rank]
+    want = vectors[:, best] / np.sqrt(np.maximum(values[best], values[best].max() * 1e-2)) * idf[:, None]
+    got = got[list(bucket.values())]
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-3 * np.abs(want @ want.T).max()
