@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salvor.llm.components import components
-from salvor.llm.words import list_array, mix, pieces, shingle_sets, signed, words_of
+from salvor.llm.words import list_array, mix, pieces, shingle_sets, signed, unsigned, words_of
 from salvor.runtime import cut, cut_counted, release, small
 
 SKETCH_BITS = 18
@@ -93,6 +93,13 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray)
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, p0 array<long>")
 
 
+def _scrambled_prefix(found: np.ndarray, most: int, order: int) -> np.ndarray:
+    """The first tokens of a set in one of the scrambled orders."""
+    keys = mix(found, 31 + order)
+    low = np.argpartition(keys, most - 1)[:most] if 0 < most < len(found) else np.arange(most)
+    return signed(found[low[np.argsort(keys[low])]])
+
+
 def other_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """node, n and its prefixes p1, p2 in the orders of scrambled hashes."""
 
@@ -104,9 +111,7 @@ def other_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 most = _prefix_length(n, num, den) if n else 0
                 sizes.append(n)
                 for i in range(ORDERS):
-                    keys = mix(found, 31 + i)
-                    low = np.argpartition(keys, most - 1)[:most] if 0 < most < n else np.arange(most)
-                    prefixes[i].append(signed(found[low[np.argsort(keys[low])]]))
+                    prefixes[i].append(_scrambled_prefix(found, most, i))
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), *map(list_array, prefixes)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "n", *(f"p{i + 1}" for i in range(ORDERS))])
 
@@ -195,7 +200,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     shared = _shared(signs, "p1", num, den)
     alive, found = cut_counted(shared.select("node").distinct(), "alive", rows=F.lit(True))
     release(shared)
-    sets = cut(_stored_sets(_of(texts, alive, found["rows"], "doc_id"), k), "sets")
     old, (lists, found) = lists, cut_counted(_of(lists, alive, found["rows"]), "lists", rows=F.lit(True))
     release(old)
 
@@ -212,21 +216,23 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         pairs = lists.join(chosen, "token").where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs, seen = cut_counted(pairs, "pairs", rows=F.lit(True))
         close, seen = cut_counted(_overlapping(pairs, signs, seen["rows"]), "pairs", rows=F.lit(True))
+        sets = _sets_of(texts, close.select(F.explode(F.array("a", "b")).alias("node")), k)
         new = _linked(_with_both(close, sets, seen["rows"], ["grams"]), num, den)
         links, roots, named = _joined(links, new)
         rest = lists.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti")
         old, (lists, found) = lists, _unsettled(rest, roots, named)
-        release(old, chosen, pairs, close)
+        release(old, chosen, pairs, close, sets)
         pivots, turn = pivots * MORE, turn + 1
         if turn == ROUNDS and found["rows"]:
             sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where(F.col("size") > LONG)
             sizes, long = cut_counted(sizes, "long", rows=F.lit(True))
             if long["rows"]:
-                links, roots, named = _joined(links, _long_links(lists, sizes, long["rows"], signs, sets, num, den))
+                links, roots, named = _joined(links, _long_links(lists, found["rows"], sizes, long["rows"], texts, k, num, den))
                 rest = lists.join(small(sizes.select("token"), long["rows"]), "token", "left_anti")
                 old, (lists, found) = lists, _unsettled(rest, roots, named)
                 release(old)
-    return _results(signed_docs, classes, links, sets if count else None, num, den)
+    release(signs)
+    return _results(signed_docs, classes, links, texts if count else None, k, num, den)
 
 
 def _joined(links: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -268,26 +274,31 @@ def _similar(group: pa.Table, left: np.ndarray, right: np.ndarray, num: int, den
     return (both > 0) & (both * (den + num) >= (n[left][:, None] + n[right]) * num)
 
 
-def _long_links(lists: DataFrame, sizes: DataFrame, rows: int, signs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _long_links(lists: DataFrame, places: int, sizes: DataFrame, rows: int, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between nodes of long lists that connect what all links of the lists connect."""
     long = lists.join(small(sizes, rows), "token").withColumn("blocks", _blocks(F.col("size"), F.col("grams")))
-    long = long.select("token", "node", "label", "blocks").join(sets, "node").join(signs.drop("n"), "node")
-    names = [f"p{i + 1}" for i in range(ORDERS)]
+    long = cut(long.select("token", "node", "label", "blocks"), "long")
+    sets = _sets_of(texts, long, k)
 
     def compare(group: pa.Table) -> pa.Table:
         left, right = _sides(group)
         label, node = group.column("label").to_numpy(), group.column("node").to_numpy()
         linked = label[left][:, None] != label[right]
-        for name in names:
+        found = [unsigned(np.asarray(x.values)) for x in group.column("grams")]
+        for i in range(ORDERS):
             if linked.any():
-                linked &= _common(group.column(name), left, right) > 0
+                prefixes = list_array([_scrambled_prefix(x, _prefix_length(len(x), num, den), i) for x in found])
+                linked &= _common(pa.chunked_array([prefixes]), left, right) > 0
         if linked.any():
             linked &= _similar(group, left, right, num, den)
         one, two = np.nonzero(linked)
         tied = _spanning(label[left][one], label[right][two])
         return pa.table({"a": node[left][one[tied]], "b": node[right][two[tied]]})
 
-    return _in_blocks(long, "token", ["label", "grams", *names]).groupBy("token", "i", "j").applyInArrow(compare, "a long, b long")
+    placed = _in_blocks(sets.join(small(long, places), "node"), "token", ["label", "grams"])
+    links = cut(placed.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+    release(long, sets)
+    return links
 
 
 def _spanning(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -310,13 +321,14 @@ def _spanning(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _degrees(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _degrees(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, n_links) of members (node, root): how many others a node is really linked with.
 
     Links lie inside components only. Those of few classes are compared as rows of
     pairs, larger ones block against block, and only sums per node are written.
     """
-    rows = members.join(sets, "node").withColumn("n", F.size("grams"))
+    members, found = cut_counted(members, "members", rows=F.lit(True))
+    rows = _sets_of(texts, members, k).join(small(members, found["rows"]), "node").withColumn("n", F.size("grams"))
     sizes = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
     sizes, found = cut_counted(sizes, "sizes", rows=F.lit(True), large=F.col("size") > FEW)
     rows = rows.join(small(sizes, found["rows"]), "root")
@@ -388,10 +400,18 @@ def _stored_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(make, "node long, grams array<long>")
 
 
-def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None, sets: DataFrame | None, num: int, den: int) -> DataFrame:
-    """Every row with its component, and with its number of links where ``sets`` are given."""
+def _sets_of(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node and its whole set, written for the given nodes only: all sets take more room than the texts."""
+    nodes, found = cut_counted(nodes.select("node").distinct(), "nodes", rows=F.lit(True))
+    sets = cut(_stored_sets(_of(texts, nodes, found["rows"], "doc_id"), k), "sets")
+    release(nodes)
+    return sets
+
+
+def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None, texts: DataFrame | None, k: int, num: int, den: int) -> DataFrame:
+    """Every row with its component, and with its number of links where ``texts`` are given."""
     rows = signed_docs.select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    counts = [] if sets is None else ["n_links"]
+    counts = [] if texts is None else ["n_links"]
     none = F.lit(0).cast("long").alias("n_links")
     if links is None:
         classes = classes.select("digest", "node", F.col("node").alias("root"), none)
@@ -399,8 +419,8 @@ def _results(signed_docs: DataFrame, classes: DataFrame, links: DataFrame | None
         roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
         roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         classes = classes.join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
-        if sets is not None:
-            degrees = _degrees(roots, sets, num, den)
+        if texts is not None:
+            degrees = _degrees(roots, texts, k, num, den)
             classes = classes.join(degrees, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     classes, found = cut_counted(classes.drop("node"), "classes", rows=F.lit(True))
     linked = F.col("n_shingles") > 0

@@ -227,3 +227,28 @@ def test_jaccard_query_returns_links(spark, tmp_path):
     brute.table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = op6_jaccard_join(spark, str(tmp_path)).collect()
     assert {(r.component_id, r.n_links) for r in got} == {(0, 39)}
+
+
+def test_jaccard_writes_whole_sets_of_candidates_only(spark, monkeypatch):
+    """Texts of 30 pieces, each shared with another text: most share prefix tokens, few need their whole sets."""
+    rng, n = random.Random(21), 400
+    texts = [[] for _ in range(n)]
+    for _ in range(30):
+        order = rng.sample(range(n), n)
+        for i in range(0, n, 2):
+            piece = brute.prose(rng, 3, 10**9)
+            texts[order[i]].append(piece)
+            texts[order[i + 1]].append(piece)
+    rows = [(i, " ".join(parts)) for i, parts in enumerate(texts)] + [(n, " ".join(texts[0]) + " more")]
+    written, cut = collections.Counter(), jaccard.cut
+
+    def counted(df, label):
+        table = cut(df, label)
+        written[label] += table.count()
+        return table
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(brute.table(spark, rows), k=1, count=False).collect()}
+    assert got == brute.jaccard(rows, 1, 90, 100)
+    assert written["prefixes"] > n / 2
+    assert 2 <= written["sets"] < n / 2
