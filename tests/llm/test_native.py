@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from salvor.llm import chat, mixing, queries
+from salvor.llm import chat, decontamination, mixing, queries
 from salvor.llm.sql import SQL
 from tests.llm import brute
 
@@ -140,3 +140,19 @@ def test_other_queries_return_every_document(spark, name):
     got = queries.QUERIES[name](spark, DATA)
     docs = spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert got.count() == docs if name.split("_")[0] in ("op1", "op4", "op5", "op6", "op7") else 0 < got.count() < docs
+
+
+def test_pipeline_fits_its_latent_space_on_all_passages(spark, tmp_path, monkeypatch):
+    texts = [f"{i} one two three" for i in range(50)] + [" ".join(f"w{i}" for i in range(130))] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.createDataFrame([(1, "a passage that is in no text of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows, cut = [], decontamination.cut
+
+    def counted(df, label):
+        table = cut(df, label)
+        rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(decontamination, "cut", counted)
+    assert dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).count() == len(texts)
+    assert rows == [53]
