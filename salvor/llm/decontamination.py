@@ -18,8 +18,10 @@ BUCKETS, RANK, EXTRA, ROUNDS = 8192, 96, 8, 2
 # The leading singular vectors tell languages and common words apart; they are left out.
 SKIPPED = 8
 # Words of the passages that the singular vectors are fitted on, passages that are multiplied
-# at once, and rows of a matrix that stay in a core's cache, about.
-PASSAGE, AT_ONCE, CACHED = 64, 4096, 4096
+# at once, and sums of rows that stay in a core's cache, about.
+PASSAGE, AT_ONCE, CACHED = 64, 8192, 512
+# Rows that are added up one by one in a run; so many sums are then added up at once.
+ADDED = 8
 BLOCK = 8
 # Words of a run by which passages are found without their vector.
 RUN = 5
@@ -123,13 +125,31 @@ class Space:
         return found / max(float(np.linalg.norm(found)), 1e-12)
 
 
+def _with_zero(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+
+
 def _run_sums(table: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of ``table[index]`` over the runs that begin at ``first``, of so many rows at a time that they stay in the cache."""
-    out, ends = np.empty((len(first), table.shape[1]), table.dtype), np.append(first, len(index))
-    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(index), CACHED)), len(first)))
-    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-        np.add.reduceat(table[index[ends[low] : ends[high]]], first[low:high] - ends[low], axis=0, out=out[low:high])
-    return out
+    """Sums of ``table[index]`` over the runs that begin at ``first``; the last row of ``table`` is zero.
+
+    Runs are cut into short pieces, whose rows are added place by place, for so many
+    pieces at a time that their sums stay in the cache; then the sums of each run likewise.
+    """
+    while True:
+        ends = np.append(first, len(index))
+        whose, begin = _starts(ends, ADDED)
+        place = begin + np.arange(min(ADDED, int(np.diff(ends).max(initial=1))))[:, None]
+        rows = np.where(place < ends[whose + 1], index[np.minimum(place, len(index) - 1)], len(table) - 1).astype(np.intp)
+        sums, row = np.zeros((len(begin) + 1, table.shape[1]), table.dtype), np.empty((CACHED, table.shape[1]), table.dtype)
+        for low in range(0, len(begin), CACHED):
+            high = min(low + CACHED, len(begin))
+            table.take(rows[0, low:high], axis=0, out=sums[low:high], mode="clip")
+            for own in rows[1:, low:high]:
+                table.take(own, axis=0, out=row[: high - low], mode="clip")
+                sums[low:high] += row[: high - low]
+        if len(begin) == len(first):
+            return sums[:-1]
+        table, index, first = sums, np.arange(len(begin)), np.searchsorted(begin, first)
 
 
 def fit_space(docs: DataFrame, rank: int = RANK, skipped: int = SKIPPED, seed: int = 11) -> Space:
@@ -149,7 +169,7 @@ def fit_space(docs: DataFrame, rank: int = RANK, skipped: int = SKIPPED, seed: i
     width = rank + skipped + EXTRA
 
     def multiplied(basis: np.ndarray) -> np.ndarray:
-        scaled, squares = basis * idf[:, None], idf**2
+        scaled, squares = _with_zero(basis * idf[:, None]), idf**2
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((BUCKETS, width))
@@ -158,7 +178,7 @@ def fit_space(docs: DataFrame, rank: int = RANK, skipped: int = SKIPPED, seed: i
                     rows = _run_sums(scaled, terms, first) / np.add.reduceat(squares[terms], first)[:, None]
                     order = np.argsort(terms, kind="stable")
                     kinds, begin = np.unique(terms[order], return_index=True)
-                    total[kinds] += _run_sums(rows, whose[order], begin)
+                    total[kinds] += _run_sums(_with_zero(rows), whose[order], begin)
             yield _sliced((total * idf[:, None]).ravel())
 
         return _summed(kept.select("terms").mapInArrow(run, "slice int, part binary"), BUCKETS * width, np.float64).reshape(-1, width)
@@ -322,17 +342,28 @@ def _window_signs(blocks: np.ndarray, owner: np.ndarray, begin: np.ndarray) -> n
 
 
 def _block_sums(vectors: np.ndarray, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the vectors of each block's terms; the last row of ``vectors`` is zero."""
-    size = np.diff(np.append(first, len(terms)))
-    padded = np.append(terms, len(vectors) - 1)
-    total = vectors[padded[first]]
+    """Sums of the vectors of each block's terms, and a row of zeros; the last row of ``vectors`` is zero."""
+    size = np.append(np.diff(np.append(first, len(terms))), 0)
+    first, padded = np.append(first, len(terms)), np.append(terms, len(vectors) - 1)
+    total, term = vectors[padded[first]], np.empty((len(first), vectors.shape[1]), vectors.dtype)
     for i in range(1, BLOCK):
-        total += vectors[np.where(i < size, padded[np.minimum(first + i, len(terms))], len(vectors) - 1)]
+        np.take(vectors, np.where(i < size, padded[np.minimum(first + i, len(terms))], len(vectors) - 1), axis=0, out=term, mode="clip")
+        total += term
+    return total
+
+
+def _run_of(sums: np.ndarray, begin: np.ndarray, end: np.ndarray, count: int) -> np.ndarray:
+    """Sums of the ``count`` rows from each beginning on that lie before its end; the last row of ``sums`` is zero."""
+    total, row = sums[begin], np.empty((len(begin), sums.shape[1]), sums.dtype)
+    for i in range(1, count):
+        at = begin + i
+        np.take(sums, np.where(at < end, at, len(sums) - 1), axis=0, out=row, mode="clip")
+        total += row
     return total
 
 
 def _search(docs: DataFrame, items: Items, space: Space, least: float, copy: float, paraphrase: float) -> DataFrame:
-    vectors = np.concatenate([space.vectors, np.zeros((1, space.vectors.shape[1]), np.float32)])
+    vectors = _with_zero(space.vectors)
     sizes = {w: np.array([i for i, own in enumerate(items.windows) if own == w]) for w in sorted(set(items.windows))}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,16 +397,14 @@ def _search(docs: DataFrame, items: Items, space: Space, least: float, copy: flo
                 signs[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words.hash)))), _sign_bits(words.hash)] = True
                 signs = _packed(signs)
                 blocks = _block_sums(vectors, _terms(words), first)
-                sums = np.zeros((len(blocks) + 1, blocks.shape[1]))
-                np.cumsum(blocks, axis=0, out=sums[1:])
                 block_end = np.searchsorted(owner, np.arange(len(at) - 1), side="right")
                 begin_of = np.searchsorted(owner, np.arange(len(at) - 1))
                 for window, group in sizes.items():
                     step = window // 4 // BLOCK
                     begin = np.flatnonzero((np.arange(len(owner)) - begin_of[owner]) % step == 0)
-                    end = np.minimum(begin + 4 * step, block_end[owner[begin]])
-                    rows = (sums[end] - sums[begin]).astype(np.float32)
-                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+                    steps = _with_zero(_run_of(blocks, begin, block_end[owner[begin]], step))
+                    rows = _run_of(steps, np.arange(len(begin)), np.searchsorted(owner[begin], owner[begin], side="right"), 4)
+                    rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None], 1e-12)
                     cosine = rows @ items.vectors[group].T
                     r, c = np.divmod(np.flatnonzero(cosine >= least), len(group))
                     able = items.may_stand(group[c], _window_signs(signs, owner, begin), r, min(copy, paraphrase))

@@ -7,6 +7,7 @@ n * n / 2**65.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -73,15 +74,26 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return raw + (((raw >= 65) & (raw <= 90)) * np.uint8(32))
 
 
+@functools.cache
+def _kept_powers(base: int) -> np.ndarray:
+    return _made_powers(base, PIECE)
+
+
+def _made_powers(base: int, n: int) -> np.ndarray:
+    powers = np.full(n + 1, base, np.uint64)
+    powers[0] = 1
+    return np.multiply.accumulate(powers, out=powers)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n at least, made once for pieces."""
+    return _kept_powers(base) if n <= PIECE else _made_powers(base, n)
+
+
 def range_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of byte ranges, from prefix sums of a polynomial modulo 2**64."""
     n = len(raw)
-    powers = np.full(n + 1, _BASE, np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    inverse = np.full(n + 1, _BASE_INVERSE, np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
+    powers, inverse = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
     letters = mix(np.arange(256, dtype=np.uint64), 77 + seed)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(letters[raw] * powers[:n], out=sums[1:])

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from salvor.llm import decontamination, language, licenses, suffix_tree, toxicity
+from salvor.llm import decontamination, language, licenses, suffix_tree, toxicity, words
 from salvor.llm.words import fold_of, words_of
 from tests.llm import brute
 
@@ -295,3 +295,23 @@ def test_latent_space_is_that_of_all_different_passages(spark):
     want = vectors[:, best] / np.sqrt(np.maximum(values[best], values[best].max() * 1e-2)) * idf[:, None]
     got = got[list(bucket.values())]
     assert np.abs(got @ got.T - want @ want.T).max() < 1e-3 * np.abs(want @ want.T).max()
+
+
+def test_sums_of_runs_and_windows():
+    rng = np.random.default_rng(3)
+    table = np.append(rng.integers(-9, 9, (50, 6)), np.zeros((1, 6), int), axis=0).astype(np.float32)
+    index = rng.integers(0, 50, 3000).astype(np.int16)
+    for first in ([0], [0, 1, 2], [0, 8, 16, 17, 600, 2999], range(3000)):
+        want = [table[own].sum(axis=0) for own in np.split(index, first)[1:]]
+        assert (decontamination._run_sums(table, index, np.array(first)) == want).all()
+    begin = np.arange(0, 50, 2)
+    end = np.minimum(begin + rng.integers(1, 9, len(begin)), 50)
+    for count in (1, 2, 4):
+        want = [table[b : min(b + count, e)].sum(axis=0) for b, e in zip(begin, end, strict=True)]
+        assert (decontamination._run_of(table, begin, end, count) == want).all()
+
+
+def test_powers_of_word_hashes_are_made_once():
+    made = words._powers(words._BASE, 1000)
+    assert made is words._powers(words._BASE, 99) and len(made) == words.PIECE + 1
+    assert (words._powers(words._BASE, words.PIECE + 5)[: len(made)] == made).all()
