@@ -128,20 +128,39 @@ def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return sized.where((F.col("both") > 0) & (F.col("both") * (den + num) >= F.col("all") * num)).select("a", "b")
 
 
+def _linked_texts(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, text_a, text_b) whose sets really are that similar; a text takes less room than its set."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for one, two in zip(_sets(batch.column("text_a"), k), _sets(batch.column("text_b"), k), strict=True):
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                linked.append(both > 0 and both * (den + num) >= (len(one) + len(two)) * num)
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+
+
 def _shared(rows: DataFrame, name: str, num: int, den: int) -> DataFrame:
     """(token, node, n, pos) of prefix ``name`` for tokens that several nodes have.
 
     What two sets have in common cannot come before their first shared token, so
     a row at place ``pos`` of n tokens leads to an overlap of n - pos at most. Rows
-    that could not link even with the smallest set of the token's list are left out.
+    that could not link even with the smallest set of the token's list are left out,
+    and those larger than any set that a row of the list could link with.
     """
     spark = rows.sparkSession
-    # Dealt by token once, for the sums and for the join.
-    lists = rows.select("node", "n", F.posexplode(name).alias("pos", "token")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-    several = lists.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min("n").alias("least_n")).where("least < most")
+    # Dealt by token once: Spark shuffles them again for the join unless the sums need the same columns
+    # of the same rows; the join alone would leave out nulls (there are none) before the shuffle.
+    lists = rows.where("node is not null and n is not null").select("node", "n", F.posexplode(name).alias("pos", "token"))
+    lists = lists.where("token is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+    reach = (F.col("n") - F.col("pos")) * (num + den) - F.col("n") * num
+    several = lists.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min("n").alias("least_n"), F.max(reach).alias("reach")).where("least < most")
     other = F.greatest(F.col("least_n") * den, F.col("n") * num)
     enough = (F.col("n") - F.col("pos")) * (num + den) * den >= num * (F.col("n") * den + other)
-    kept = cut(lists.join(several.select("token", "least_n"), "token").where(enough).select("token", "node", "n", "pos"), "lists")
+    enough = enough & (F.col("n") * num <= F.col("reach"))
+    kept = cut(lists.join(several.select("token", "least_n", "reach"), "token").where(enough).select("token", "node", "n", "pos"), "lists")
     several = kept.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("token")
     shared = cut(kept.join(several, "token", "left_semi"), "lists")
     release(kept)
@@ -216,12 +235,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         pairs = lists.join(chosen, "token").where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs, seen = cut_counted(pairs, "pairs", rows=F.lit(True))
         close, seen = cut_counted(_overlapping(pairs, signs, seen["rows"]), "pairs", rows=F.lit(True))
-        sets = _sets_of(texts, close.select(F.explode(F.array("a", "b")).alias("node")), k)
-        new = _linked(_with_both(close, sets, seen["rows"], ["grams"]), num, den)
+        whole = _texts_of(texts, close.select(F.explode(F.array("a", "b")).alias("node")))
+        new = _linked_texts(_with_both(close, whole, seen["rows"], ["text"]), k, num, den)
         links, roots, named = _joined(links, new)
         rest = lists.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti")
         old, (lists, found) = lists, _unsettled(rest, roots, named)
-        release(old, chosen, pairs, close, sets)
+        release(old, chosen, pairs, close, whole)
         pivots, turn = pivots * MORE, turn + 1
         if turn == ROUNDS and found["rows"]:
             sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where(F.col("size") > LONG)
@@ -240,7 +259,7 @@ def _joined(links: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFra
 
     Of links inside a component only one from each node to the root is kept.
     """
-    roots, named = cut_counted(components(cut(new if links is None else links.unionByName(new), "links")), "roots", rows=F.lit(True))
+    roots, named = cut_counted(components(new if links is None else links.unionByName(new)), "roots", rows=F.lit(True))
     return roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")), roots, named["rows"]
 
 
@@ -400,6 +419,14 @@ def _stored_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(make, "node long, grams array<long>")
 
 
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and the text that its whole set is made of, written for the given nodes only."""
+    nodes, found = cut_counted(nodes.distinct(), "nodes", rows=F.lit(True))
+    whole = cut(_of(texts, nodes, found["rows"], "doc_id").select(F.col("doc_id").alias("node"), "text"), "sets")
+    release(nodes)
+    return whole
+
+
 def _sets_of(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node and its whole set, written for the given nodes only: all sets take more room than the texts."""
     nodes, found = cut_counted(nodes.select("node").distinct(), "nodes", rows=F.lit(True))

@@ -252,3 +252,50 @@ def test_jaccard_writes_whole_sets_of_candidates_only(spark, monkeypatch):
     assert got == brute.jaccard(rows, 1, 90, 100)
     assert written["prefixes"] > n / 2
     assert 2 <= written["sets"] < n / 2
+
+
+def test_jaccard_deals_prefixes_by_token_once(spark, tmp_path, monkeypatch):
+    """The sums by token and the join with them read one exchange."""
+    rows = [(i, 20, [j * (i % 3) for j in range(3)]) for i in range(30)]
+    spark.createDataFrame(rows, "node long, n long, p0 array<long>").write.parquet(f"{tmp_path}/p0")
+    plans, cut = [], jaccard.cut
+
+    def explained(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, label)
+
+    monkeypatch.setattr(jaccard, "cut", explained)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        jaccard._shared(spark.read.parquet(f"{tmp_path}/p0"), "p0", 90, 100)
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert plans[0].count("ReusedExchange") == 1
+
+
+def test_jaccard_keeps_texts_of_pairs_not_their_sets(spark, monkeypatch):
+    """What is written for the comparison of pairs holds the texts, which are smaller."""
+    rng = random.Random(5)
+    text = brute.prose(rng, 100, 10**6)
+    rows = [(0, text), (1, text + " more"), (2, text + " more words"), (3, brute.prose(rng, 100, 10**6)), (4, None)]
+    columns, cut = {}, jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, label: columns.setdefault(label, df.columns) and cut(df, label))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(brute.table(spark, rows), count=False).collect()}
+    assert got == brute.jaccard(rows, 3, 90, 100)
+    assert columns["sets"] == ["node", "text"]
+
+
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    from salvor.llm import components as module
+
+    written, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, label: written.append(label) or cut(df, label))
+    stars = spark.createDataFrame([(1, 5), (6, 1), (2, 9), (3, 3)], "a long, b long")
+    assert sorted(map(tuple, components(stars).collect())) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)]
+    assert not written
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(41)}
+    assert 0 < len(written) <= 8
