@@ -91,8 +91,8 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield lists.flatten().to_numpy(), ends[:-1] - ends[0], np.repeat(np.arange(len(lists)), np.diff(ends))
 
 
-def passage_frequencies(passages: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many passages each term bucket occurs, and all passages."""
+def passage_frequencies(passages: DataFrame) -> tuple[np.ndarray, int, int]:
+    """In how many passages each term bucket occurs, all passages, and the terms of the different ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS + _SLICES, np.int64)
@@ -107,11 +107,12 @@ def passage_frequencies(passages: DataFrame) -> tuple[np.ndarray, int]:
                 own = times[low : low + len(first)]
                 seen[:BUCKETS] += np.bincount(rows[new], np.repeat(own, new.sum(axis=1)), BUCKETS).astype(np.int64)
                 low += len(first)
+                seen[BUCKETS + 1] += len(terms)
             seen[BUCKETS] += times.sum()
         yield _sliced(seen)
 
     total = _summed(passages.mapInArrow(count, "slice int, part binary"), BUCKETS + _SLICES, np.int64)
-    return total[:BUCKETS], int(total[BUCKETS])
+    return total[:BUCKETS], int(total[BUCKETS]), int(total[BUCKETS + 1])
 
 
 class Space:
@@ -162,11 +163,16 @@ def fit_space(docs: DataFrame, rank: int = RANK, skipped: int = SKIPPED, seed: i
     from which the singular vectors follow (Nystrom). The ``skipped`` leading
     directions are left out and coordinates are divided by the singular values, so
     that no direction (a language, say) outweighs the others.
+
+    A task's sums take 7 MB however few passages it has, so a table that lies in many
+    small parts is read by no more tasks than its terms take that room.
     """
     kept = cut(passages(docs), "passages")
-    seen, total = passage_frequencies(kept)
+    seen, total, size = passage_frequencies(kept)
     idf = np.log((1.0 + total) / (1.0 + seen)).astype(np.float32) + np.float32(0.1)
     width = rank + skipped + EXTRA
+    # Terms are shorts, sums doubles.
+    tasks = max(1, size * 2 // (BUCKETS * width * 8))
 
     def multiplied(basis: np.ndarray) -> np.ndarray:
         scaled, squares = _with_zero(basis * idf[:, None]), idf**2
@@ -181,7 +187,7 @@ def fit_space(docs: DataFrame, rank: int = RANK, skipped: int = SKIPPED, seed: i
                     total[kinds] += _run_sums(_with_zero(rows), whose[order], begin)
             yield _sliced((total * idf[:, None]).ravel())
 
-        return _summed(kept.select("terms").mapInArrow(run, "slice int, part binary"), BUCKETS * width, np.float64).reshape(-1, width)
+        return _summed(kept.select("terms").coalesce(tasks).mapInArrow(run, "slice int, part binary"), BUCKETS * width, np.float64).reshape(-1, width)
 
     basis = np.random.default_rng(seed).standard_normal((BUCKETS, width)).astype(np.float32)
     for _ in range(ROUNDS):

@@ -297,6 +297,24 @@ def test_latent_space_is_that_of_all_different_passages(spark):
     assert np.abs(got @ got.T - want @ want.T).max() < 1e-3 * np.abs(want @ want.T).max()
 
 
+def test_latent_space_sums_take_no_more_room_than_terms(spark, monkeypatch):
+    """A table of few passages in many parts is multiplied by few tasks, as each writes whole sums."""
+    parts, cut, summed = [], decontamination.cut, decontamination._summed
+
+    def told(frames, width, kind):
+        parts.append(frames.rdd.getNumPartitions())
+        return summed(frames, width, kind)
+
+    texts = [" ".join(f"w{i * j}" for j in range(64)) for i in range(1, 2001)]
+    docs = brute.table(spark, enumerate(texts))
+    whole = decontamination.fit_space(docs, 20, 1).vectors
+    monkeypatch.setattr(decontamination, "cut", lambda df, label: cut(df.repartition(40), label))
+    monkeypatch.setattr(decontamination, "_summed", told)
+    apart = decontamination.fit_space(docs, 20, 1).vectors
+    assert parts[0] > 1 and parts[1:] == [1] * decontamination.ROUNDS
+    assert np.abs(apart @ apart[:100].T - whole @ whole[:100].T).max() < 1e-3 * np.abs(whole @ whole[:100].T).max()
+
+
 def test_sums_of_runs_and_windows():
     rng = np.random.default_rng(3)
     table = np.append(rng.integers(-9, 9, (50, 6)), np.zeros((1, 6), int), axis=0).astype(np.float32)
