@@ -11,7 +11,7 @@ from salvor.operators.skew import number_rows
 from salvor.plans import compile as C
 from salvor.plans import identity
 from salvor.plans.workload import REGISTRY, SCOPE, SOURCE, asset_urn, catalog, table
-from salvor.runtime import cut
+from salvor.runtime import cut, shuffled
 
 
 def graph_fingerprint(spark, folder):
@@ -25,7 +25,7 @@ def fingerprint_upkeep(spark, folder):
     c = catalog(spark, folder)
     gone = F.col("availability") != "healthy"
     changed = c.assets.where(gone)
-    ends = changed.select(F.col("urn").alias("downstream_urn")).distinct()
+    ends = shuffled(changed.select(F.col("urn").alias("downstream_urn")).distinct())
     before = identity.graph_state(c.assets.withColumn("availability", F.lit("healthy")), c.edges.join(ends, "downstream_urn", "left_anti"))
     stored = identity.GraphState(cut(before.assets, "lanes"), cut(before.edges, "lanes"))
     after = identity.moved_graph(

@@ -8,6 +8,7 @@ from salvor.operators import catalog as CT
 from salvor.operators import ledger as L
 from salvor.operators.skew import number_rows
 from salvor.plans.workload import asset_urn, catalog, table
+from salvor.runtime import shuffled
 from salvor.sources.sinks import receipt_verdicts
 
 
@@ -58,7 +59,7 @@ def resume_frontier(spark, folder):
         F.when(F.col("availability") == "healthy", "verified")
         .when(F.col("availability") == "unavailable", "pending").otherwise("failed")
     )
-    steps = c.book.targets.join(c.assets.select("urn", "availability"), "urn").select(
+    steps = c.book.targets.join(shuffled(c.assets.select("urn", "availability")), "urn").select(
         "request_id", F.col("urn").alias("step"), status.alias("status")
     )
     deps = c.book.parents.filter(F.col("role") == "dependency").select(

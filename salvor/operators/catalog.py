@@ -13,7 +13,7 @@ from salvor.functions.text import json_array, json_bool, json_object, json_strin
 from salvor.operators.ledger import SLICE_OPERATION
 from salvor.operators.skew import HUB_ROWS, find_hubs, first_per_group
 from salvor.plans.identity import asset_json, validations_json
-from salvor.runtime import cut_counted
+from salvor.runtime import cut_counted, shuffled
 
 # Fixed value: results per root that a lineage read-back returns at most.
 PAGE_LIMIT = 100
@@ -129,7 +129,7 @@ def aspect_feed(assets: DataFrame, edges: DataFrame, names: CatalogNames) -> Dat
         F.count(F.lit(1)).alias("item_count")
     ).select("entity_urn", F.lit("upstreamLineage").alias("aspect_name"),
              F.lit('{"type":"TRANSFORMED"}').alias("document"), "item_count")
-    lineage = lineage.join(assets.select(c("urn").alias("entity_urn")), "entity_urn", "left_semi")
+    lineage = lineage.join(shuffled(assets.select(c("urn").alias("entity_urn"))), "entity_urn", "left_semi")
     return per_asset.filter(c("document").isNotNull()).unionByName(lineage)
 
 

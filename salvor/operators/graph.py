@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salvor.operators.skew import HUB_ROWS, MAX_HUBS, Hubs, find_hubs, number_rows
-from salvor.runtime import Pile, cut, cut_bucketed, cut_counted, small, union_all
+from salvor.runtime import Pile, cut, cut_bucketed, cut_counted, shuffled, sized, union_all
 
 # Targets and dependencies of a request that one task may order, about 100 MB.
 ONE_TASK_ROWS = 200_000
@@ -71,8 +71,8 @@ def build_graph(
         "down_slot",
     )
     links = (
-        links.join(heads, ["upstream_urn", "up_slot"], "left")
-        .join(tails, ["downstream_urn", "down_slot"], "left")
+        links.join(shuffled(heads), ["upstream_urn", "up_slot"], "left")
+        .join(shuffled(tails), ["downstream_urn", "down_slot"], "left")
         .withColumn("down_known", F.coalesce("down_known", F.lit(False)))
     )
     # Without hubs all slots are 0 and joins use the name alone.
@@ -103,7 +103,7 @@ def dangling_pairs(assets: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = edges.select("upstream_urn", "downstream_urn").distinct()
     lost = None
     for side, end in enumerate(("upstream_urn", "downstream_urn")):
-        one = pairs.join(assets.select(F.col("urn").alias(end)), end, "left_anti")
+        one = pairs.join(shuffled(assets.select(F.col("urn").alias(end))), end, "left_anti")
         one = one.select("upstream_urn", "downstream_urn", F.struct(F.lit(side).alias("side"), F.col(end).alias("urn")).alias("missing"))
         lost = one if lost is None else lost.unionByName(one)
     both = lost.groupBy("upstream_urn", "downstream_urn").agg(F.sort_array(F.collect_list("missing")).alias("missing"))
@@ -123,7 +123,7 @@ def request_seeds(requests: DataFrame) -> DataFrame:
 
 
 def unknown_seeds(requests: DataFrame, assets: DataFrame) -> DataFrame:
-    return request_seeds(requests).join(assets.select("urn"), "urn", "left_anti").select(
+    return request_seeds(requests).join(shuffled(assets.select("urn")), "urn", "left_anti").select(
         "request_id", "urn"
     )
 
@@ -144,7 +144,7 @@ def _numbered(ids: DataFrame) -> tuple[DataFrame, int]:
 def _in_words(rows: DataFrame, numbered: DataFrame, n: int) -> DataFrame:
     """urn, word, bits: one row for up to 64 requests that share a node."""
     return (
-        rows.select("request_id", "urn").join(small(numbered, n), "request_id")
+        rows.select("request_id", "urn").join(sized(numbered, n), "request_id")
         .groupBy("urn", "word").agg(F.bit_or("bit").alias("bits"))
     )
 
@@ -152,7 +152,7 @@ def _in_words(rows: DataFrame, numbered: DataFrame, n: int) -> DataFrame:
 def _out_of_words(rows: DataFrame, numbered: DataFrame, n: int) -> DataFrame:
     """One row per request again."""
     return (
-        rows.join(small(numbered, n), "word")
+        rows.join(sized(numbered, n), "word")
         .filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
         .drop("word", "bits", "bit")
     )
@@ -163,7 +163,7 @@ def _unseen(reached: DataFrame, seen: Pile) -> DataFrame:
     known = seen.all().groupBy("urn", "word").agg(F.bit_or("bits").alias("known"))
     left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("bigint"))))
     return (
-        reached.join(small(known, seen.rows), ["urn", "word"], "left")
+        reached.join(sized(known, seen.rows), ["urn", "word"], "left")
         .select("urn", "word", left.alias("bits"))
         .filter(F.col("bits") != 0)
     )
@@ -182,7 +182,7 @@ def blast_radius(seeds: DataFrame, graph: LineageGraph) -> DataFrame:
     numbered, requests = _numbered(seeds)
     depths = cut(
         seeds.groupBy("request_id").agg(F.max("max_depth").alias("max_depth"))
-        .join(small(numbered, requests), "request_id").select("word", "bit", "max_depth"),
+        .join(sized(numbered, requests), "request_id").select("word", "bit", "max_depth"),
         "depths",
     )
 
@@ -190,7 +190,7 @@ def blast_radius(seeds: DataFrame, graph: LineageGraph) -> DataFrame:
         """Rows of one distance with the bits of the requests that go on from there."""
         further = depths.filter(F.col("max_depth") > distance).groupBy("word").agg(F.bit_or("bit").alias("further"))
         going = F.col("bits").bitwiseAND(F.coalesce("further", F.lit(0).cast("bigint")))
-        rows = rows.join(small(further, requests), "word", "left").select(
+        rows = rows.join(sized(further, requests), "word", "left").select(
             "urn", "word", "bits", going.alias("going"), F.lit(distance).alias("distance")
         )
         return cut_counted(rows, "reach", all=F.lit(True), going=F.col("going") != 0)
@@ -202,7 +202,7 @@ def blast_radius(seeds: DataFrame, graph: LineageGraph) -> DataFrame:
         step = level.filter("going <> 0").select("urn", "word", F.col("going").alias("bits"))
         step = graph.up_hubs.spread(step, "urn", "slot")
         reached = (
-            links.join(small(step, n["going"] * graph.up_hubs.widest), ["urn", "slot"])
+            links.join(sized(step, n["going"] * graph.up_hubs.widest), ["urn", "slot"])
             .groupBy(F.col("downstream_urn").alias("urn"), "word")
             .agg(F.bit_or("bits").alias("bits"))
         )
@@ -229,7 +229,7 @@ def prerequisite_closure(targets: DataFrame, graph: LineageGraph) -> DataFrame:
     while n["all"]:
         step = graph.down_hubs.spread(frontier, "urn", "slot")
         pulled = (
-            lost.join(small(step, n["all"] * graph.down_hubs.widest), ["urn", "slot"])
+            lost.join(sized(step, n["all"] * graph.down_hubs.widest), ["urn", "slot"])
             .groupBy(F.col("upstream_urn").alias("urn"), "word")
             .agg(F.bit_or("bits").alias("bits"))
         )
@@ -253,7 +253,7 @@ def target_parents(targets: DataFrame, graph: LineageGraph) -> DataFrame:
     parents = (
         graph.known_by_child.withColumnRenamed("downstream_urn", "urn")
         .withColumnRenamed("down_slot", "slot")
-        .join(at_child, ["urn", "slot"])
+        .join(shuffled(at_child), ["urn", "slot"])
         .select("request_id", "urn", "upstream_urn", "up_slot", "up_availability")
     )
     at_parent = graph.up_hubs.spread(
@@ -266,7 +266,7 @@ def target_parents(targets: DataFrame, graph: LineageGraph) -> DataFrame:
         .when(F.col("up_availability") == "healthy", "precondition")
         .otherwise("unresolved")
     )
-    return parents.join(at_parent, ["request_id", "upstream_urn", "up_slot"], "left").select(
+    return parents.join(shuffled(at_parent), ["request_id", "upstream_urn", "up_slot"], "left").select(
         "request_id", "urn", "upstream_urn", "up_slot", "up_availability", role.alias("role")
     )
 
@@ -302,7 +302,7 @@ def _peel(
     sizes_of = {"ready": F.col("waiting") == 0, "left": F.col("waiting") > 0}
     state, sizes = cut_counted(
         nodes.select("request_id", "urn")
-        .join(arity, ["request_id", "urn"], "left")
+        .join(shuffled(arity), ["request_id", "urn"], "left")
         .select(
             "request_id", "urn", F.coalesce("waiting", F.lit(0)).alias("waiting"),
             empty_key.alias("best"),
@@ -328,7 +328,7 @@ def _peel(
         # A key made in wave k has at most k labels.
         labels = sizes["ready"] * hubs.widest * len(layers)
         got = (
-            arcs.join(small(sent, labels), ["request_id", "src", "slot"])
+            arcs.join(sized(sent, labels), ["request_id", "src", "slot"])
             .groupBy("request_id", F.col("dst").alias("urn"))
             .agg(F.count(F.lit(1)).alias("done"), F.max("order_key").alias("key"))
         )
@@ -411,7 +411,7 @@ def recovery_waves(
     )
     large = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
     large, n = cut_counted(large.select("request_id"), "large", all=F.lit(True))
-    whole = rows.join(small(large, n["all"]), "request_id", "left_anti") if n["all"] else rows
+    whole = rows.join(sized(large, n["all"]), "request_id", "left_anti") if n["all"] else rows
     made, found = cut_counted(
         whole.groupBy("request_id").applyInArrow(
             _orderer(), "request_id string, urn string, wave int, order_key array<string>"
@@ -423,8 +423,8 @@ def recovery_waves(
     if not n["all"]:
         return waves, stuck, left
     deep_waves, deep_stuck, deep_left = _layered(
-        targets.join(small(large, n["all"]), "request_id", "left_semi"),
-        arcs.join(small(large, n["all"]), "request_id", "left_semi"),
+        targets.join(sized(large, n["all"]), "request_id", "left_semi"),
+        arcs.join(sized(large, n["all"]), "request_id", "left_semi"),
         graph,
     )
     return waves.unionByName(deep_waves), stuck.unionByName(deep_stuck), left + deep_left
@@ -448,8 +448,8 @@ def cycle_core(stuck: DataFrame, parents: DataFrame, graph: LineageGraph) -> Dat
     ends = graph.up_hubs.spread(
         stuck.select("request_id", F.col("urn").alias("upstream_urn")), "upstream_urn", "up_slot"
     )
-    inner = deps.join(ends, ["request_id", "upstream_urn", "up_slot"], "left_semi").join(
-        stuck.select("request_id", "urn"), ["request_id", "urn"], "left_semi"
+    inner = deps.join(shuffled(ends), ["request_id", "upstream_urn", "up_slot"], "left_semi").join(
+        shuffled(stuck.select("request_id", "urn")), ["request_id", "urn"], "left_semi"
     )
     backwards = cut(
         graph.down_hubs.slot_of(
@@ -476,8 +476,8 @@ def one_cycle(core: DataFrame, parents: DataFrame, graph: LineageGraph) -> DataF
         members.withColumnRenamed("urn", "upstream_urn"), "upstream_urn", "up_slot"
     )
     step = (
-        deps.join(heads, ["request_id", "upstream_urn", "up_slot"], "left_semi")
-        .join(members, ["request_id", "urn"], "left_semi")
+        deps.join(sized(heads, n["all"] * graph.up_hubs.widest), ["request_id", "upstream_urn", "up_slot"], "left_semi")
+        .join(sized(members, n["all"]), ["request_id", "urn"], "left_semi")
         .groupBy("request_id", F.col("upstream_urn").alias("urn"))
         .agg(F.min("urn").alias("next"))
     )
@@ -491,7 +491,7 @@ def one_cycle(core: DataFrame, parents: DataFrame, graph: LineageGraph) -> DataF
                 F.col(value).alias("_value"),
             )
             jump = cut(
-                jump.join(far, ["request_id", "next"]).select(
+                jump.join(sized(far, n["all"]), ["request_id", "next"]).select(
                     "request_id", "urn", F.col("_next").alias("next"),
                     combine(F.col(value), F.col("_value")).alias(value),
                 ),
@@ -503,13 +503,13 @@ def one_cycle(core: DataFrame, parents: DataFrame, graph: LineageGraph) -> DataF
     ends = doubled(step.withColumn("least", F.lit(0)), "least", lambda a, b: a)
     # After at least as many steps as there are nodes only cycle nodes are reached.
     on_cycle = ends.select("request_id", F.col("next").alias("urn")).distinct()
-    loops = cut(step.join(on_cycle, ["request_id", "urn"]), "loops")
+    loops = cut(step.join(sized(on_cycle, n["all"]), ["request_id", "urn"]), "loops")
     led = doubled(loops.withColumn("least", F.col("urn")), "least", F.least)
     chosen = led.groupBy("request_id").agg(F.min("least").alias("leader"))
     mine = led.select("request_id", "urn", F.col("least").alias("leader")).join(
         chosen, ["request_id", "leader"]
     )
-    ring = cut(loops.join(mine, ["request_id", "urn"]), "ring")
+    ring = cut(loops.join(sized(mine, n["all"]), ["request_id", "urn"]), "ring")
     # Cut the ring open at its leader and count the steps from each node to it.
     is_leader = F.col("urn") == F.col("leader")
     opened = ring.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salvor.functions.scope import safe_run_name
 from salvor.operators.skew import number_rows
+from salvor.runtime import shuffled
 
 ERROR_CHARS = 240
 # Outcome words and texts written into run records.
@@ -105,7 +106,7 @@ def resume_frontier(steps: DataFrame, dependencies: DataFrame, keys: list[str])
 def missing_preconditions(preconditions: DataFrame, inventory: DataFrame) -> DataFrame:
     """Preconditions that were healthy when planned and are not available now."""
     present = inventory.filter("available").select(F.col("urn").alias("precondition_urn"))
-    return preconditions.join(present, "precondition_urn", "left_anti")
+    return preconditions.join(shuffled(present), "precondition_urn", "left_anti")
 
 
 def approval_gate(runs: DataFrame, approvals: DataFrame, current_fingerprint: Column) -> DataFrame:

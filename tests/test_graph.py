@@ -5,8 +5,12 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from salvor import runtime
+from salvor.operators import catalog as CT
 from salvor.operators import graph as G
+from salvor.operators import ledger as L
 from salvor.operators.skew import number_rows, previous_in_key
+from salvor.plans import compile as C
 from salvor.plans import staleness
 
 
@@ -218,3 +222,43 @@ def test_stale_plans_against_two_full_selections(spark, seed, cyclic, hub_rows):
         targets, _ = _selected(after, new_state, *wanted[r])
         assert {x.urn: x.distance for x in again.targets.where(F.col("request_id") == r).collect()} == targets
     assert staleness.stale_plans(requests, stored, graphs[0], graphs[0])[0].count() == 0
+
+
+def _broadcasts(df):
+    """Relations that Spark's own estimate lets it broadcast, before a row is counted."""
+    return str(df._jdf.queryExecution().executedPlan().toString()).count("BroadcastExchange")
+
+
+def test_uncounted_tables_are_never_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    """A packed catalog is estimated far below the default limit; its rows would not fit the driver."""
+    n = 200_000
+    urn = F.concat(F.lit("urn:li:dataset:(urn:li:dataPlatform:x,estate."), F.col("id").cast("string"), F.lit(",PROD)"))
+    wide = [F.lit(None).cast("string").alias(f"c{i}") for i in range(12)]
+    assets = runtime.cut(
+        spark.range(n).select(urn.alias("urn"), F.lit("healthy").alias("availability"), F.lit(None).cast("string").alias("adapter"), *wide), "assets"
+    )
+    few = assets.limit(3)
+    requests = few.select(F.col("urn").alias("request_id"), F.array("urn").alias("unavailable_asset_urns"), F.lit(1).alias("max_blast_radius_depth"))
+    edges = runtime.cut(assets.select(F.col("urn").alias("upstream_urn"), F.col("urn").alias("downstream_urn")), "edges")
+    targets = runtime.cut(assets.select(F.lit("r").alias("request_id"), "urn", F.lit(0).alias("distance")), "targets")
+    written, made = [], G.cut_bucketed
+    monkeypatch.setattr(G, "cut_bucketed", lambda df, *a, **k: written.append(df) or made(df, *a, **k))
+    graph = G.build_graph(assets, edges)
+    parents = runtime.cut(G.target_parents(targets, graph).drop("up_slot").withColumn("up_slot", F.lit(0)), "parents")
+    plain = assets.select("urn").join(assets.select("urn"), "urn", "left_semi")
+    assert _broadcasts(plain) == 1, "the estimate must be below the limit for this test to tell anything"
+    found = [
+        *written, G.unknown_seeds(requests, assets), G.dangling_pairs(assets, edges), G.target_parents(targets, graph),
+        C.missing_adapters(targets, assets, ["a"]), C.plan_selections(assets, C.selections(targets, parents), "r"),
+        L.missing_preconditions(assets.select(F.col("urn").alias("precondition_urn")), assets.select("urn", F.lit(True).alias("available"))),
+        CT.aspect_feed(
+            assets.select(
+                "*", *[F.lit("x").alias(c) for c in ("display_name", "artifact_type", "platform", "owner", "parameters_json", "risk")],
+                F.lit(False).alias("requires_approval"), F.lit(None).cast("array<struct<kind:string,parameters_json:string,required:boolean>>").alias("validations"),
+            ), edges, CT.CatalogNames(domain_urn="d", tag_urn="t", marker_urn="m"),
+        ),
+    ]
+    assert [_broadcasts(df) for df in found] == [0] * len(found)
+    counted = runtime.sized(assets.select("urn"), runtime.BROADCAST_ROWS + 1)
+    assert _broadcasts(assets.join(counted, "urn")) == 0
+    assert _broadcasts(assets.join(runtime.sized(assets.select("urn"), n), "urn")) == 1
