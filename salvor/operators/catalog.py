@@ -417,7 +417,11 @@ def secret_screen(payloads: DataFrame, body: str, token: str | None = None) -> D
 
 
 def graph_diff(old_assets: DataFrame, new_assets: DataFrame, old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """Added, removed and changed assets and edges between two snapshots."""
+    """Added, removed and changed assets and edges between two snapshots.
+
+    Records are compared by the first 16 bytes of their digest.
+    """
+    digest = lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
     def diff(old: DataFrame, new: DataFrame, keys: list[str], item: str) -> DataFrame:
         j = old.withColumnRenamed("h", "old_h").join(new.withColumnRenamed("h", "new_h"), keys, "full_outer")
@@ -430,11 +434,11 @@ def graph_diff(old_assets: DataFrame, new_assets: DataFrame, old_edges: DataFram
         return j.select(F.lit(item).alias("item"), *cols, change.alias("change")).filter("change IS NOT NULL")
 
     def a(df: DataFrame) -> DataFrame:
-        return df.select("urn", F.sha2(asset_json(), 256).alias("h"))
+        return df.select("urn", digest(asset_json()).alias("h"))
 
     def e(df: DataFrame) -> DataFrame:
         pairs = ["upstream_urn", "downstream_urn"]
-        return df.groupBy(*pairs).agg(F.max(F.sha2(F.to_json("evidence"), 256)).alias("h"))
+        return df.groupBy(*pairs).agg(F.max(digest(F.to_json("evidence"))).alias("h"))
 
     return diff(a(old_assets), a(new_assets), ["urn"], "asset").unionByName(
         diff(e(old_edges), e(new_edges), ["upstream_urn", "downstream_urn"], "edge")

@@ -11,7 +11,8 @@ from salvor.operators import graph as G
 from salvor.operators import ledger as L
 from salvor.operators.skew import number_rows, previous_in_key
 from salvor.plans import compile as C
-from salvor.plans import staleness
+from salvor.plans import staleness, workload
+from salvor.sources import catalog_json
 
 
 def make(spark, rng, nodes, edges, cyclic):
@@ -262,3 +263,22 @@ def test_uncounted_tables_are_never_broadcast_by_the_size_of_their_files(spark,
     counted = runtime.sized(assets.select("urn"), runtime.BROADCAST_ROWS + 1)
     assert _broadcasts(assets.join(counted, "urn")) == 0
     assert _broadcasts(assets.join(runtime.sized(assets.select("urn"), n), "urn")) == 1
+
+
+def test_graph_diff_moves_short_digests(spark):
+    names = ["urn", "display_name", "artifact_type", "platform", "domain", "owner", "adapter", "parameters_json", "availability", "risk"]
+    schema = ", ".join(f"{n} string" for n in names) + ", requires_approval boolean, tags array<string>, validations array<struct<kind:string,parameters_json:string,required:boolean>>"
+    row = lambda urn, owner: (urn, *["x"] * 4, owner, *["x"] * 4, False, ["t"], [])
+    old, new = (spark.createDataFrame([row(*r) for r in rows], schema) for rows in ([("a", "o"), ("b", "o"), ("c", None)], [("a", "o"), ("b", "p"), ("d", "o")]))
+    link = "upstream_urn string, downstream_urn string, evidence struct<source:string>"
+    was, now = (spark.createDataFrame([(u, v, None if s is None else (s,)) for u, v, s in rows], link) for rows in (
+        [("a", "b", "s"), ("a", "b", "r"), ("b", "c", "s"), ("c", "d", "s")], [("a", "b", "s"), ("b", "c", "t"), ("d", "c", "s")]
+    ))
+    found = CT.graph_diff(old, new, was, now)
+    assert {tuple(x) for x in found.collect()} == {
+        ("asset", "b", "", "changed"), ("asset", "c", "", "removed"), ("asset", "d", "", "added"),
+        # Of equal edges the greatest digest counts.
+        *([] if max(brute.sha('{"source":"r"}'), brute.sha('{"source":"s"}')) == brute.sha('{"source":"s"}') else [("edge", "a", "b", "changed")]),
+        ("edge", "b", "c", "changed"), ("edge", "c", "d", "removed"), ("edge", "d", "c", "added"),
+    }
+    assert "unhex" in found._jdf.queryExecution().optimizedPlan().toString()
