@@ -1,4 +1,6 @@
+import os
 import random
+from collections import Counter
 
 import brute
 import pytest
@@ -9,6 +11,7 @@ from salvor import runtime
 from salvor.operators import catalog as CT
 from salvor.operators import graph as G
 from salvor.operators import ledger as L
+from salvor.operators import skew
 from salvor.operators.skew import number_rows, previous_in_key
 from salvor.plans import compile as C
 from salvor.plans import staleness, workload
@@ -265,6 +268,59 @@ def test_uncounted_tables_are_never_broadcast_by_the_size_of_their_files(spark,
     assert _broadcasts(assets.join(runtime.sized(assets.select("urn"), n), "urn")) == 1
 
 
+def _written(spark, *labels):
+    """Scratch tables with such names that are there now."""
+    top = os.path.join(runtime.shared_folder(spark).removeprefix("file://"), spark.sparkContext.applicationId)
+    return {x for x in os.listdir(top) if x.rsplit("-", 1)[0] in labels}
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_a_graph_keeps_its_links_only(spark, stored):
+    """Equal edges collapse, odd ends stay, and what the build wrote on its way is gone."""
+    pairs = [("a", "b"), ("a", "b"), ("b", "c"), ("x", "c"), ("a", "y"), (None, "b"), ("a", None)]
+    assets = spark.createDataFrame([("a", "healthy"), ("b", None), ("c", "unavailable")], "urn string, availability string")
+    edges = runtime.cut(spark.createDataFrame(pairs, "upstream_urn string, downstream_urn string"), "given")
+    before = _written(spark, "edges", "ended", "given")
+    for hub_rows in (1, 1000):
+        graph = G.build_graph(assets, edges, hub_rows=hub_rows, stored=stored)
+        state = {"a": "healthy", "b": "unknown", "c": "unavailable"}
+        want = {(u, v, state.get(u), v in state) for u, v in set(pairs)}
+        for links in (graph.links, graph.links_by_child):
+            got = [tuple(x) for x in links.select("upstream_urn", "downstream_urn", "up_availability", "down_known").collect()]
+            assert len(got) == len(want) and set(got) == want
+    assert _written(spark, "edges", "ended", "given") == before
+
+
+@pytest.mark.parametrize("hub_rows", [2, 7, 40])
+def test_hubs_are_those_of_a_plain_count(spark, hub_rows, monkeypatch):
+    rng = random.Random(hub_rows)
+    rows = [(f"u{int(rng.paretovariate(0.6)) % 30}", f"d{rng.randrange(60)}") for _ in range(300)] + [(None, "d1")] * 9
+    df = spark.createDataFrame(rows, "up string, down string")
+    seen, made = [], skew.cut
+    monkeypatch.setattr(skew, "cut", lambda d, label: seen.append(d) or made(d, label))
+    hubs = skew.find_hubs(df, ["up", "down"], len(rows), hub_rows)
+    for side, h in enumerate(hubs):
+        want = {k: -(-n // hub_rows) for k, n in Counter(r[side] for r in rows).items() if n > hub_rows}
+        assert {x["hub"]: x["slots"] for x in (h.table.collect() if h.table is not None else [])} == want
+        assert h.widest == max(want.values(), default=1)
+    # Rows are counted by key only where their part of the hash is over the limit.
+    assert all("BroadcastExchange" in str(d._jdf.queryExecution().executedPlan().toString()) for d in seen)
+
+
+def test_a_catalog_writes_only_what_is_asked_for(spark, monkeypatch):
+    """``requests`` needs no stored assets or edges, and the evidence of edges is not stored."""
+    ends = spark.createDataFrame([("a", "b"), ("b", "c"), (None, "c")], "upstream_urn string, downstream_urn string")
+    written = []
+    monkeypatch.setattr(workload, "cut", lambda df, label: written.append((label, df.columns)) or runtime.cut(df, label))
+    monkeypatch.setattr(workload, "edges", lambda *a: workload.with_evidence(ends))
+    monkeypatch.setattr(workload, "requests", lambda *a: "requests")
+    c = workload.Catalog(spark, "nowhere")
+    assert c.requests == "requests" and not written
+    rows = {(x["upstream_urn"], x["downstream_urn"], tuple(x["evidence"])) for x in c.edges.collect()}
+    assert rows == {(u, v, ("datahub_mcp", "get_lineage", u, v)) for u, v in [("a", "b"), ("b", "c"), (None, "c")]}
+    assert c.edges.schema == workload.edges().schema and written == [("lineage", ["upstream_urn", "downstream_urn"])]
+
+
 def test_graph_diff_moves_short_digests(spark):
     names = ["urn", "display_name", "artifact_type", "platform", "domain", "owner", "adapter", "parameters_json", "availability", "risk"]
     schema = ", ".join(f"{n} string" for n in names) + ", requires_approval boolean, tags array<string>, validations array<struct<kind:string,parameters_json:string,required:boolean>>"
