@@ -321,6 +321,18 @@ def test_a_catalog_writes_only_what_is_asked_for(spark, monkeypatch):
     assert c.edges.schema == workload.edges().schema and written == [("lineage", ["upstream_urn", "downstream_urn"])]
 
 
+def test_edge_rows_are_packed_in_files_of_some_lines(spark, tmp_path):
+    edges = workload.with_evidence(spark.range(95).coalesce(1).select(
+        F.concat(F.lit("up "), F.col("id").cast("string")).alias("upstream_urn"), F.lit("down \u00e9").alias("downstream_urn")
+    ))
+    for _ in range(2):
+        catalog_json.write_edge_rows(edges, str(tmp_path / "edges"), 10)
+    files = sorted((tmp_path / "edges").glob("part-*"))
+    assert len(files) == 20 and all(f.name.endswith(".json.gz") for f in files)
+    back = catalog_json.read_edge_rows(spark, str(tmp_path / "edges"))
+    assert back.exceptAll(edges).count() == 95 and edges.exceptAll(back).count() == 0 and back.count() == 190
+
+
 def test_graph_diff_moves_short_digests(spark):
     names = ["urn", "display_name", "artifact_type", "platform", "domain", "owner", "adapter", "parameters_json", "availability", "risk"]
     schema = ", ".join(f"{n} string" for n in names) + ", requires_approval boolean, tags array<string>, validations array<struct<kind:string,parameters_json:string,required:boolean>>"
