@@ -11,6 +11,7 @@ from salvor.operators.graph import cycle_core as core_of
 from salvor.operators.graph import build_graph, one_cycle, recovery_waves, target_parents
 from salvor.operators.ledger import SLICE_OPERATION
 from salvor.plans.workload import SCOPE, SOURCE, asset_urn, assets, catalog, edges, table
+from salvor.runtime import cut
 
 NAMES = CT.CatalogNames(
     domain_urn="urn:li:domain:estate", tag_urn="urn:li:tag:estate-managed",
@@ -264,7 +265,7 @@ def _closed_lineage(spark, folder):
     inner = c.edges.select("upstream_urn", "downstream_urn").unionByName(back)
     graph = build_graph(c.assets, inner)
     targets = c.assets.select(F.lit("all").alias("request_id"), "urn")
-    parents = target_parents(targets, graph)
+    parents = cut(target_parents(targets, graph), "parents")  # every round reads them
     _, stuck, _ = recovery_waves(targets, parents, graph)
     return core_of(stuck, parents, graph), parents, graph
 
